@@ -239,7 +239,7 @@ def test_quality(spark, sf):
     got = quality.score(docs, fit).join(held, "doc_id").collect()
     right = [(r.p_quality >= 0.5) == bool(r.quality) for r in got]
     assert len(right) > 50 and sum(right) / len(right) > 0.9
-    edge = docs_of(spark, NASTY).withColumn("host", docs_of(spark, NASTY).n_chars * 0)
+    edge = docs_of(spark, NASTY).selectExpr("*", "0 host", "1.5 llr_quality")
     assert quality.score(edge, fit).count() == len(NASTY)
     assert quality.keep_good(edge, fit.limit(0)).columns == edge.columns
     assert quality.score(edge.limit(0), fit).count() == 0
