@@ -247,7 +247,8 @@ def header_roles(headers: Column) -> Column:
         place = F.array_position(F.transform(low, lambda h: h.rlike(pattern)), True).cast("int") - 1
         return F.when(place >= 0, place).otherwise(F.lit(usual))
 
-    return F.struct(at("pgm|program|#|post", 0).alias("pgm"), at("horse|name", 1).alias("horse"), at("jockey|rider", 2).alias("jockey"), at("trainer", 3).alias("trainer"), at("odds|m/l|ml", 4).alias("odds"))
+    roles = {"pgm": at("pgm|program|#|post|^pp$", 0), "horse": at("horse|name", 1), "jockey": at("jockey|rider", 2), "trainer": at("trainer", 3), "odds": at("odds|m/l|ml", 4)}
+    return F.named_struct(*(x for k, v in roles.items() for x in (F.lit(k), v)))
 
 
 def extract_entry_tables(pages: DataFrame) -> DataFrame:
@@ -295,11 +296,13 @@ def trim_index_page(text: Column) -> Column:
 
 
 def detect_form_race_pages(pages: DataFrame) -> DataFrame:
-    """Adds race_number: a number alone, or after 'Race', in the first six lines of a page that names a kind of race."""
+    """Adds race_number and header_line: a number alone, or after 'Race', in the first six lines of a page that names a kind of race."""
     top = F.slice(F.split("text", "\n"), 1, 6)
     number = F.filter(F.transform(top, lambda l: F.regexp_extract(l, r"(?i)^\s*(?:race\s*)?(\d{1,2})\s*$", 1)), lambda x: x != "")
     kind = F.exists(top, lambda l: l.rlike(r"(?i)claiming|allowance|maiden|stakes|purse|furlong|mile"))
-    return pages.withColumn("race_number", F.when(kind & (F.size(number) > 0), F.get(number, F.lit(0)).cast("int")))
+    found = pages.withColumn("race_number", F.when(kind & (F.size(number) > 0), F.get(number, F.lit(0)).cast("int")))
+    plain = F.transform(top, lambda l: F.regexp_extract(l, r"(?i)^\s*(?:race\s*)?(\d{1,2})\s*$", 1))
+    return found.withColumn("header_line", F.when(F.col("race_number").isNotNull(), F.array_position(plain, F.get(number, F.lit(0))).cast("int") - 1))
 
 
 def extract_form_race(pages: DataFrame) -> DataFrame:
@@ -336,6 +339,7 @@ def assemble_form_races(pages: DataFrame) -> DataFrame:
     trimmed = pages.withColumn("text", trim_index_page(F.col("text")))
     marked = detect_form_race_pages(trimmed).withColumn("is_detail", F.col("race_number").isNull())
     numbered = implicit_first_segment(carry_forward(marked, "race_number", order="page_no"))
-    entries = extract_form_horses(trimmed).join(numbered.select("doc_id", "page_no", "race_number", "is_detail"), ["doc_id", "page_no"])
+    entries = extract_form_horses(trimmed).join(numbered.select("doc_id", "page_no", "race_number", "is_detail", "header_line"), ["doc_id", "page_no"])
+    entries = entries.where("header_line IS NULL OR header_line <> line_no OR race_number <> try_cast(program_number AS int)")
     best = first_by(entries, ["doc_id", "race_number", "program_number"], [F.desc("is_detail"), F.desc("page_no"), F.desc("line_no")])
     return best.select("doc_id", "race_number", "program_number", "horse_name")

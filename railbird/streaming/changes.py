@@ -20,7 +20,7 @@ def late_change_filter(docs: DataFrame, day: str, watermark: str = "1 day") -> D
 def stream_dedupe(changes: DataFrame, keys: list[str], watermark_column: str = "published_ts", watermark: str = "1 day") -> DataFrame:
     """The same event of several sources once; on a stream within the watermark."""
     if changes.isStreaming:
-        return changes.withWatermark(watermark_column, watermark).dropDuplicatesWithinWatermark(keys)
+        return changes.withColumn(watermark_column, F.col(watermark_column).cast("timestamp")).withWatermark(watermark_column, watermark).dropDuplicatesWithinWatermark(keys)
     return changes.dropDuplicates(keys)
 
 

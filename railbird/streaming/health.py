@@ -109,4 +109,4 @@ def zero_activity(total: DataFrame, as_of: str) -> DataFrame:
 def burst_windows(events: DataFrame, watermark: str = "1 hour") -> DataFrame:
     """Streaming form: failures per feed in sliding quarters of an hour, of those with three or more."""
     w = F.window("seen_at", "15 minutes", "1 minute")
-    return events.withWatermark("seen_at", watermark).where("kind = 'failure'").groupBy("feed", w).agg(F.count("*").alias("failures")).where("failures >= 3").select("feed", F.col("window.start").alias("start"), "failures")
+    return events.withColumn("seen_at", F.col("seen_at").cast("timestamp")).withWatermark("seen_at", watermark).where("kind = 'failure'").groupBy("feed", w).agg(F.count("*").alias("failures")).where("failures >= 3").select("feed", F.col("window.start").alias("start"), "failures")
