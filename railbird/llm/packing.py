@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from railbird.llm.stage import materialize
 
 CAPACITY, END = 2048, 0
-SMALL = 16  # a length is small below capacity / SMALL
-GROUPS = (48, 96)  # numbers of groups that are tried
+SMALL = 4  # a length is small below capacity / SMALL
+GROUPS = 160
 CACHE_CHUNKS = 400_000
 _SPACES = re.compile(r"\s (?:\s|\Z)")  # white space that a pre-token may join across a space
 Runs = list[tuple[int, tuple[int, ...]]]  # how many sequences, and the lengths in each
@@ -206,7 +206,7 @@ def _grouped(large: list[tuple[int, int]], groups: int) -> list[list[tuple[int,
     return [g for g in out if g]
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS[-1]) -> Runs:
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS) -> Runs:
     """Runs of sequences that use each length as often as ``histogram`` has it."""
     done: Runs = [(histogram[capacity], (capacity,))] if histogram.get(capacity) else []
     small = {n: c for n, c in histogram.items() if n * SMALL < capacity and c}
@@ -253,13 +253,6 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROU
     return done + best_fit(small, used, capacity)
 
 
-def best_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> Runs:
-    """The plan with fewest sequences among some numbers of groups; small inputs: a group a length."""
-    distinct = max(1, len(histogram))
-    tried = [plan(histogram, capacity, k) for k in sorted({min(k, 4 * distinct) for k in GROUPS})]
-    return min(tried, key=lambda runs: sum(m for m, _ in runs))
-
-
 def _slots(runs: Runs) -> dict[str, np.ndarray]:
     """For each length the ranks from which a slot of a run is filled: key, sequence and offset there."""
     rank, rows, sequence = defaultdict(int), [], 0
@@ -284,7 +277,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     cut_up = materialize(pieces(docs, tokenizer_path, id_col, text_col, capacity), "pieces")
     histogram = {r.length: r["count"] for r in cut_up.groupBy("length").count().collect()}
-    slots = spark.sparkContext.broadcast(_slots(best_plan(histogram, capacity)))
+    slots = spark.sparkContext.broadcast(_slots(plan(histogram, capacity)))
     buckets = max(256, sum(histogram.values()) // 50_000)
     dealt = cut_up.withColumn("bucket", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(buckets)))
     before = dealt.groupBy("length", "bucket").count().select(

@@ -189,14 +189,16 @@ def test_packing_plan_uses_every_piece():
 
     rnd = random.Random(5)
     for hist in ({}, {2048: 3}, {1: 5000}, {1025: 7, 1023: 7}, {rnd.randint(1, 2048): rnd.randint(1, 300) for _ in range(700)}):
-        runs = packing.best_plan(dict(hist))
+        runs = packing.plan(dict(hist))
         used = Counter()
         for m, lengths in runs:
             assert sum(lengths) <= 2048 and m > 0
             for n in lengths:
                 used[n] += m
         assert used == Counter(hist)
-    assert sum(m for m, _ in packing.best_plan({1025: 7, 1023: 7})) == 7
+    assert sum(m for m, _ in packing.plan({1025: 7, 1023: 7})) == 7
+    even = {n: 200 for n in range(1, 2048)}
+    assert sum(m for m, _ in packing.plan(even)) <= 1.01 * sum(n * c for n, c in even.items()) / 2048
 
 
 def test_encoder_chunks_match():
