@@ -67,12 +67,12 @@ def extract_html_changes(pages: DataFrame) -> DataFrame:
     pgm = _first(F.array_join("cells", " "), r"#\s*(\w+)")
     horse = F.trim(F.regexp_replace(F.get("cells", F.lit(1)), r"^#?\s*\w+\s*-\s*", ""))
     said = F.when(F.col("is_header"), strip_tags(F.regexp_replace("line", r"^[^>]*>", ""))).otherwise(F.get("cells", F.size("cells") - 1))
-    kind = changes.change_type(said)
-    return carried.where("race_number IS NOT NULL").select(
+    rows = _staged(carried.where("race_number IS NOT NULL"), pgm=pgm, horse=horse, said=said)
+    return rows.select(
         "doc_id", "track_code", "line_no", "race_number",
-        F.when(~F.col("is_header") & pgm.isNotNull(), names.normalize_pgm(pgm)).alias("program_number"),
-        F.when(~F.col("is_header"), names.normalize_name(horse)).otherwise("").alias("horse_name"),
-        kind.alias("change_type"), changes.normalize_change_description(said).alias("description"), F.col("is_header"),
+        F.when(~F.col("is_header") & F.col("pgm").isNotNull(), names.normalize_pgm(F.col("pgm"))).alias("program_number"),
+        F.when(~F.col("is_header"), names.normalize_name(F.col("horse"))).otherwise("").alias("horse_name"),
+        changes.change_type(F.col("said")).alias("change_type"), changes.normalize_change_description(F.col("said")).alias("description"), F.col("is_header"),
     ).where("change_type = 'Race Cancelled' OR NOT is_header").drop("is_header").where("description <> ''")
 
 
@@ -80,13 +80,15 @@ def extract_mobile_changes(pages: DataFrame) -> DataFrame:
     """(doc_id, track_code, html): race blocks, each with '# n Name' items and their notes."""
     blocks = lines(pages, "html", r"(?i)(?=Race\s+\d+)", ("doc_id", "track_code"))
     items = blocks.select("doc_id", "track_code", _first(F.col("line"), r"(?i)^Race\s+(\d+)").cast("int").alias("race_number"), "line_no", F.posexplode(F.split("line", r"(?i)</tr>|<br\s*/?>")).alias("item_no", "item"))
-    plain = strip_tags(F.col("item"))
+    items = _staged(items.where("race_number IS NOT NULL"), plain=strip_tags(F.col("item")))
+    plain = F.col("plain")
     horse = r"^#\s*(\w+)\s+(.*?)\s*(?:-|:)?\s*((?:Scratched|Jockey|Weight|Equipment|Blinkers|First Start).*)$"
     rest = F.coalesce(_first(plain, horse, 3), F.trim(F.regexp_replace(plain, r"(?i)^Race\s+\d+\s*:?", "")))
-    return items.where("race_number IS NOT NULL").select(
+    items = _staged(items, pgm=_first(plain, horse), horse=_first(plain, horse, 2), rest=rest)
+    return items.select(
         "doc_id", "track_code", "race_number", "line_no", "item_no",
-        F.when(_first(plain, horse).isNotNull(), names.normalize_pgm(_first(plain, horse))).alias("program_number"),
-        names.normalize_name(_first(plain, horse, 2)).alias("horse_name"), changes.change_type(rest).alias("change_type"), changes.normalize_change_description(rest).alias("description"),
+        F.when(F.col("pgm").isNotNull(), names.normalize_pgm(F.col("pgm"))).alias("program_number"),
+        names.normalize_name(F.col("horse")).alias("horse_name"), changes.change_type(F.col("rest")).alias("change_type"), changes.normalize_change_description(F.col("rest")).alias("description"),
     ).where("description <> ''")
 
 
@@ -135,12 +137,13 @@ def extract_chart_metadata(races: DataFrame) -> DataFrame:
     t = F.col("text")
     low = F.lower(t)
     surface = F.when(low.contains("all weather") | low.contains("synthetic"), "Synthetic").when(low.contains("turf"), "Turf").when(low.contains("dirt"), "Dirt")
+    races = _staged(races, title=_first(t, r"(?m)^\s*([A-Za-z' .]+?)\s*-\s*[A-Z][a-z]+ \d"), up=F.upper(t))
     kind = F.lit(None).cast("string")
     for word in ("STARTER ALLOWANCE", "MAIDEN SPECIAL WEIGHT", "MAIDEN CLAIMING", "ALLOWANCE OPTIONAL CLAIMING", "ALLOWANCE", "STAKES", "CLAIMING", "MAIDEN")[::-1]:
-        kind = F.when(F.upper(t).contains(word), F.initcap(F.lit(word))).otherwise(kind)
+        kind = F.when(F.col("up").contains(word), F.initcap(F.lit(word))).otherwise(kind)
     return races.select(
         "doc_id", "segment",
-        racing.canonical_track_name(_first(t, r"(?m)^\s*([A-Za-z' .]+?)\s*-\s*[A-Z][a-z]+ \d")).alias("track_name"),
+        racing.canonical_track_name(F.col("title")).alias("track_name"),
         _first(t, r"(?i)race\s*(\d+)").cast("int").alias("race_number"), times.parse_text_date(t).alias("race_date"), surface.alias("surface"),
         F.trim(_first(t, r"(?i)distance:?\s*([^\n.]+)")).alias("distance"), racing.clean_purse(_first(t, r"(?i)purse:?\s*(\$?[\d,]+)")).alias("purse"), kind.alias("race_type"),
         _first(t, r"(?i)final time:?\s*([\d:.]+\d)").alias("final_time"), racing.fractional_times(_first(t, r"(?i)fractional times:?\s*([^\n]+)")).alias("fractions"),
@@ -286,7 +289,7 @@ def extract_race_schedule(pages: DataFrame) -> DataFrame:
 def extract_form_header(pages: DataFrame) -> DataFrame:
     """(doc_id, page_no, text) -> track_code, race_date of each form, from its first page, the first five lines before the rest."""
     first = pages.groupBy("doc_id").agg(F.min_by("text", "page_no").alias("text"))
-    head = F.array_join(F.slice(F.split("text", "\n"), 1, 5), "\n")
+    first, head = _staged(first, head=F.array_join(F.slice(F.split("text", "\n"), 1, 5), "\n")), F.col("head")
     return first.select("doc_id", racing.track_code_from_text(head, F.col("text")).alias("track_code"), F.coalesce(times.parse_text_date(head), times.parse_text_date(F.col("text"))).alias("race_date"))
 
 
