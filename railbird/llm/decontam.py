@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from railbird.llm.stage import materialize
+from railbird.llm.stage import bound_batches, materialize
 
 WINDOW = 10
 BLOCK_WINDOWS = 1_000_000  # windows that a pass over the documents carries
@@ -108,6 +108,7 @@ def contamination(
     with a pass over the documents each, whose hits are carried on; an empty benchmark hits nothing.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     now = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumns(
         {"hit": F.lit(None).cast("binary"), "items": F.array().cast("array<string>")}

@@ -12,8 +12,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+BATCH_BYTES = "67108864"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Ends Arrow batches by bytes too, so that ten thousand long texts don't meet in one; a session's own setting stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; a temporary one only where none is set."""
+    bound_batches(spark)
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
         path = f"file://{tempfile.mkdtemp(prefix='spark-')}"
@@ -30,8 +41,3 @@ def materialize(df: DataFrame, label: str, compression: str = "zstd") -> DataFra
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def text_or_empty(df: DataFrame, *columns: str) -> DataFrame:
-    """Only the named columns, so that whatever else a table holds can't clash."""
-    return df.select(*columns)

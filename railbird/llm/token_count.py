@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from railbird.llm.stage import bound_batches
+
 MARK = "▁"  # stands before each word
 CACHE_WORDS = 500_000  # word lengths that a task keeps before it starts anew
 
@@ -95,6 +97,7 @@ def count_tokens(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
     Words are what white space parts; each is split greedily, longest piece first.  Null and
     empty texts have none.  Repeated rows and null ids return rows like any other.
     """
+    bound_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
