@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from railbird.functions.names import normalize_name, normalize_pgm
 
+MOST_REQUESTS = 1000
+
 
 def join_track(df: DataFrame, tracks: DataFrame) -> DataFrame:
     return df.join(tracks, "track_code", "left")
@@ -120,12 +122,14 @@ def lookup_horse(requests: DataFrame, horses: DataFrame) -> DataFrame:
     """request, outcome, matches, horse_id: equal names first, else names that contain the request.
 
     outcome is matched, ambiguous or not_found; horse_id only for matched.  Requests are a
-    list that users give; contained names are found by one scan with all requests.
+    list that users give, ``MOST_REQUESTS`` at a time; contained names are found by one scan with all of them.
     """
     r = requests.withColumn("_r", F.lower(F.trim("request")))
     h = horses.select("horse_id", F.lower("horse_name").alias("_h"))
     exact = r.join(h, F.col("_r") == F.col("_h")).groupBy("request").agg(F.count("*").alias("n1"), F.min("horse_id").alias("h1"))
-    asked = [(x["request"], x["_r"]) for x in r.select("request", "_r").distinct().limit(1000).collect()]  # a page of requests
+    asked = [(x["request"], x["_r"]) for x in r.select("request", "_r").distinct().limit(MOST_REQUESTS + 1).collect()]
+    if len(asked) > MOST_REQUESTS:
+        raise ValueError(f"more than {MOST_REQUESTS} requests at a time")
     found = F.filter(F.array(*(F.struct(F.lit(a).alias("request"), F.lit(b).alias("part")) for a, b in asked)), lambda x: F.col("_h").contains(x["part"]))
     part = h.select("horse_id", F.explode(found).alias("f")).groupBy("f.request").agg(F.count("*").alias("n2"), F.min("horse_id").alias("h2"))
     out = r.join(exact, "request", "left").join(part, "request", "left")
