@@ -173,14 +173,15 @@ def near_links(fps: DataFrame, threshold: int = THRESHOLD, block: int = BLOCK) -
     """Distinct fingerprints ``fps`` (fp long) -> links (u, v) that connect all that differ in
     ``threshold`` bits or fewer, directly or over others.  An anchor with many members is
     cut into blocks of about ``block`` and each two blocks are compared apart, so that no
-    task gathers it; only a spanning set of the links found together is passed on."""
+    task gathers it; others are one block.  Only a spanning set of the links found together
+    is passed on."""
     if threshold > THRESHOLD:
         raise ValueError(f"the anchors cover {THRESHOLD} differing bits")
     spread = fps.select("fp").mapInArrow(_replicas, "anchor int, fp long")
-    shared = spread.groupBy("anchor").count().where("count > 1")
+    large = spread.groupBy("anchor").count().where(F.col("count") > block)
     cut = (
-        spread.join(shared, "anchor")
-        .withColumn("blocks", F.ceil(F.col("count") / block).cast("int"))
+        spread.join(large, "anchor", "left")
+        .withColumn("blocks", F.coalesce(F.ceil(F.col("count") / block), F.lit(1)).cast("int"))
         .withColumn("own", F.pmod(F.xxhash64("fp"), "blocks").cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("anchor", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "fp")
