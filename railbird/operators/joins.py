@@ -140,3 +140,14 @@ def lookup_horse(requests: DataFrame, horses: DataFrame) -> DataFrame:
         n.cast("long").alias("matches"),
         F.when(n == 1, F.coalesce("h1", "h2")).alias("horse_id"),
     )
+
+
+def match_claim_price(claims: DataFrame, prices: DataFrame) -> DataFrame:
+    """Adds claim_price: that of the equal name in the race, else of the first (seq) name that contains
+    the claim's or is contained in it.  Claims: race_id, claim_id, horse_name; prices: race_id, seq, priced_name, price."""
+    c = claims.withColumn("_c", normalize_name(F.col("horse_name")))
+    p = prices.select("race_id", "seq", normalize_name(F.col("priced_name")).alias("_p"), "price").where("_p <> ''")
+    fits = (F.col("_c") == F.col("_p")) | F.col("_c").contains(F.col("_p")) | F.col("_p").contains(F.col("_c"))
+    rank = F.struct((F.col("_c") != F.col("_p")).alias("inexact"), "seq")
+    found = c.where("_c <> ''").join(p, "race_id").where(fits).groupBy("claim_id").agg(F.min_by("price", rank).alias("claim_price"))
+    return claims.join(found, "claim_id", "left")

@@ -414,3 +414,125 @@ def pending_notifications(r):
 def zero_activity_alert(r):
     total = r.races.where(F.col("race_date") == F.lit("2030-01-01").cast("date")).agg(F.count("*").alias("total"))
     return health.zero_activity(total, AS_OF_TS)
+
+
+# --- further joins, orders and texts ---------------------------------------------------------
+
+
+@query("v_claims", "v_entries", "v_horses", sql="""
+  , e AS (SELECT race_id, entry_id AS seq, lower(regexp_replace(horse_name, '[^A-Za-z0-9]', '', 'g')) AS p, cast(floor(price) as bigint) AS price FROM v_entries JOIN v_horses USING (horse_id)),
+  c AS (SELECT race_id, claim_id, lower(regexp_replace(split_part(horse_name, ' ', 1), '[^A-Za-z0-9]', '', 'g')) AS c FROM v_claims JOIN v_horses USING (horse_id)),
+  m AS (SELECT claim_id, e.price, row_number() OVER (PARTITION BY claim_id ORDER BY c <> p, seq) AS n FROM c JOIN e ON e.race_id = c.race_id AND (c = p OR contains(c, p) OR contains(p, c)))
+  SELECT claim_id, price AS claim_price FROM v_claims LEFT JOIN (SELECT * FROM m WHERE n = 1) USING (claim_id)""")
+def match_claim_price(r):
+    said = r.claims.join(r.horses, "horse_id").select("race_id", "claim_id", F.split_part("horse_name", F.lit(" "), F.lit(1)).alias("horse_name"))
+    prices = r.entries.join(r.horses, "horse_id").select("race_id", F.col("entry_id").alias("seq"), F.col("horse_name").alias("priced_name"), F.floor("price").cast("long").alias("price"))
+    return joins.match_claim_price(said, prices).select("claim_id", "claim_price")
+
+
+@query("v_entries", "v_entries_raw", sql="""
+  SELECT race_id, program_number, horse_id FROM (SELECT race_id, cast(line as varchar) AS program_number, horse_id, row_number() OVER (PARTITION BY race_id, line ORDER BY horse_id % 2 DESC, horse_id DESC, jockey_id DESC) AS n FROM v_entries_raw) WHERE n = 1""")
+def prefer_detail_entries(r):
+    rows = r.entries_raw.select("race_id", F.col("line").cast("string").alias("program_number"), "horse_id", (F.col("horse_id") % 2 == 1).alias("is_detail"), F.col("horse_id").alias("page_no"), F.col("jockey_id").alias("line_no"))
+    return dedupe.prefer_detail_entries(rows).select("race_id", "program_number", "horse_id")
+
+
+@query("v_races", "v_tracks", sql="SELECT race_id, row_number() OVER (ORDER BY lower(purse) DESC, race_id) AS pos FROM v_races QUALIFY pos <= 120")
+def sort_table_ui(r):
+    top = ordering.sort_table(r.races, "purse", True).limit(120)
+    order = Window.orderBy(F.desc(F.lower("purse")), "race_id")  # 120 rows
+    return top.select("race_id", F.row_number().over(order).cast("long").alias("pos"))
+
+
+@query("v_entries", "v_races", sql="SELECT entry_id, race_key FROM v_entries e JOIN v_races r ON r.race_id = e.race_id WHERE horse_id = 7 ORDER BY race_date DESC, race_number DESC, entry_id LIMIT 25")
+def sort_history(r):
+    return ordering.sort_history(products._starts(r).where("horse_id = 7")).limit(25).select("entry_id", "race_key")
+
+
+@query("v_horses", "v_entries", "v_races", sql="""
+  , q AS (SELECT horse_name AS request, count(*) AS n, min(horse_id) AS h FROM v_horses GROUP BY 1), s AS (SELECT horse_id, count(*) AS starts FROM v_entries e JOIN v_races r ON r.race_id = e.race_id WHERE race_status = 'completed' AND NOT scratched GROUP BY 1)
+  SELECT request, CASE WHEN n = 1 THEN 'matched' ELSE 'ambiguous' END AS outcome, CASE WHEN n = 1 THEN starts END AS starts FROM q LEFT JOIN s ON s.horse_id = q.h""")
+def horse_profile(r):
+    asked = r.horses.select(F.col("horse_name").alias("request")).distinct()
+    return products.horse_profiles(r, asked).select("request", "outcome", "starts")
+
+
+@query("v_entries", "v_horses", sql="SELECT race_id AS doc_id, horse_name AS scratched_name, count(*) AS n FROM v_entries JOIN v_horses USING (horse_id) WHERE scratched GROUP BY 1, 2")
+def extract_scratched_names(r):
+    text = _joined(r.entries.where("scratched").join(r.horses, "horse_id"), "race_id", ["entry_id"], F.concat("horse_name", F.lit(" (Vet)")), ", ")
+    docs = text.select(F.col("race_id").alias("doc_id"), F.lit(1).alias("segment"), F.concat(F.lit("Chart\nScratched Horse(s): "), "text", F.lit("\n\nFootnotes")).alias("text"))
+    return extract.extract_scratched_names(docs).groupBy("doc_id", "scratched_name").agg(F.count("*").alias("n"))
+
+
+@query("v_entries", "v_horses", sql="SELECT race_id AS doc_id, program_number, horse_name, scratched FROM v_entries JOIN v_horses USING (horse_id)")
+def extract_entry_tables(r):
+    row = F.concat(F.lit("<tr><td>"), "program_number", F.lit("</td><td>"), "horse_name", F.lit(" (97)</td><td>Rider"), F.when(F.col("scratched"), " SCR").otherwise(""), F.lit("</td></tr>"))
+    text = _joined(r.entries.join(r.horses, "horse_id"), "race_id", ["entry_id"], row, "")
+    pages = text.select(F.col("race_id").alias("doc_id"), F.concat(F.lit("<table><tr><th>PP</th><th>Horse</th><th>Jockey</th></tr>"), "text", F.lit("</table>")).alias("html"))
+    return extract.extract_entry_tables(pages).select("doc_id", "program_number", "horse_name", "scratched")
+
+
+@query("v_races", sql="SELECT track_code || cast(race_date as varchar) AS doc_id, cast(race_number as int) AS segment, 'Race ' || race_number || ' 1998' || chr(10) || 'more of ' || race_id AS text FROM v_races")
+def extract_chart_races(r):
+    doc = F.concat("track_code", F.col("race_date").cast("string")).alias("doc_id")
+    n = F.col("race_number")
+    head = r.races.select(doc, (n * 2).alias("page_no"), F.concat(F.lit("Race "), n.cast("string"), F.lit(" 1998")).alias("text"))
+    rest = r.races.select(doc, (n * 2 + 1).alias("page_no"), F.concat(F.lit("more of "), F.col("race_id").cast("string")).alias("text"))
+    return extract.extract_chart_races(head.union(rest)).select("doc_id", F.col("segment").cast("int").alias("segment"), "text")
+
+
+@query("v_entries", sql="SELECT race_id AS doc_id, program_number, finish_position FROM v_entries WHERE finish_position IS NOT NULL")
+def extract_text_horses(r):
+    e = r.entries.where("finish_position IS NOT NULL")
+    text = _joined(e, "race_id", ["finish_position"], F.concat(F.lit("12Mar26 4GP2 "), "program_number", F.lit(" Some Horse (Rider, A) 120")))
+    docs = text.select(F.col("race_id").alias("doc_id"), F.lit(1).alias("segment"), F.concat(F.lit("Last Raced Pgm Horse Name\n"), "text", F.lit("\nFractional Times: 22.1")).alias("text"))
+    return extract.extract_text_horses(docs).select("doc_id", "program_number", "finish_position")
+
+
+@query("v_entries", "v_races", sql="SELECT race_id AS doc_id, 1 AS race_number, program_number FROM v_entries")
+def assemble_form_races(r):
+    text = _joined(r.entries, "race_id", ["entry_id"], F.concat("program_number", F.lit("\nSome Horse")))
+    return extract.assemble_form_races(text.select(F.col("race_id").alias("doc_id"), F.lit(1).alias("page_no"), "text")).select("doc_id", "race_number", "program_number")
+
+
+@query("v_races", sql="SELECT race_id AS doc_id, cast(race_number as int) AS race_number, CASE race_id % 5 WHEN 0 THEN 3960 WHEN 1 THEN 5940 WHEN 2 THEN 1050 WHEN 3 THEN 5280 ELSE 4620 END AS distance_feet, purse FROM v_races WHERE race_number <= 99")
+def extract_form_race(r):
+    d = F.when(F.col("distance") == "6F", "6 Furlongs").otherwise(F.initcap("distance"))
+    text = F.concat(F.col("race_number").cast("string"), F.lit("\nSome Park\nClaiming "), d, F.lit(" Purse: "), "purse")
+    pages = r.races.where("race_number <= 99").select(F.col("race_id").alias("doc_id"), F.lit(1).alias("page_no"), text.alias("text"))
+    return extract.extract_form_race(pages).select("doc_id", "race_number", "distance_feet", "purse")
+
+
+@query("v_tracks", sql="SELECT DISTINCT 'T' || chr(65 + cast(substring(track_code, 2, 2) as int)) AS track_code, 'latechangesT' || chr(65 + cast(substring(track_code, 2, 2) as int)) || '-USA.html' AS url FROM v_tracks")
+def extract_change_links(r):
+    code = F.concat(F.lit("T"), F.chr(F.substring("track_code", 2, 2).cast("int") + 65))
+    pages = r.tracks.select(F.col("track_code").alias("page_id"), F.concat(F.lit('<a href="other.html">x</a> <a HREF="latechanges'), code, F.lit('-USA.html">y</a>')).alias("html"))
+    return extract.extract_change_links(pages)
+
+
+@query("v_races", sql="SELECT race_id, CASE race_id % 3 WHEN 0 THEN 'Gulfstream Park' WHEN 1 THEN 'Woodbine' ELSE 'Some Course' END AS name, CASE race_id % 3 WHEN 0 THEN 'GP' WHEN 1 THEN 'WO' END AS code, CASE race_id % 3 WHEN 1 THEN 'America/Toronto' ELSE 'America/New_York' END AS zone FROM v_races")
+def track_functions(r):
+    said = F.when(F.col("race_id") % 3 == 0, "GULFSTREAM PARK").when(F.col("race_id") % 3 == 1, "woodbine").otherwise("Some Course")
+    code = racing.track_code_from_text(said, F.lit(""))
+    return r.races.select("race_id", racing.canonical_track_name(said).alias("name"), code.alias("code"), racing.track_timezone(code).alias("zone"))
+
+
+@query("v_crawl_events", sql=f"""
+  , a AS (SELECT feed, max(seen_at) AS l, max(CASE WHEN kind = 'success' OR (kind = 'signal' AND feed = 'scratches') THEN seen_at END) AS s, max(CASE WHEN kind = 'failure' THEN seen_at END) AS f FROM v_crawl_events WHERE seen_at <= TIMESTAMP '{EVENTS_AS_OF}' GROUP BY 1),
+  b AS (SELECT *, coalesce(floor((epoch(TIMESTAMP '{EVENTS_AS_OF}') - floor(epoch(s))) / 60) > CASE feed WHEN 'entries' THEN 300 WHEN 'results' THEN 30 ELSE 20 END, true) AS late, floor((epoch(TIMESTAMP '{EVENTS_AS_OF}') - floor(epoch(l))) / 60) < 20 AND coalesce(f < l, true) AS busy FROM a)
+  SELECT feed, CASE WHEN late AND NOT busy AND NOT coalesce(f = l, false) THEN 'recovering' WHEN late AND NOT busy THEN 'attention_needed' WHEN late THEN 'running' ELSE 'ok' END AS public_status FROM b""")
+def feed_public_status(r):
+    return health.feed_public_status(health.feed_freshness(r.crawl_events, EVENTS_AS_OF)).select("feed", "public_status")
+
+
+@query("v_crawl_events", sql="SELECT feed, floor(epoch(seen_at) / 60) * 60 AS minute, count(*) AS failures FROM v_crawl_events WHERE kind = 'failure' GROUP BY 1, 2")
+def failures_by_minute(r):
+    minute = (F.floor(F.unix_timestamp("seen_at") / 60) * 60).cast("double")
+    return r.crawl_events.where("kind = 'failure'").groupBy("feed", minute.alias("minute")).agg(F.count("*").alias("failures"))
+
+
+@query("v_races", "v_tracks", sql=f"SELECT (SELECT count(*) FROM v_races) AS races, (SELECT count(DISTINCT race_date) FROM v_races WHERE race_date <= DATE '{AS_OF_DATE}') AS dates, (SELECT count(*) FROM v_tracks) AS tracks")
+def filter_options(r):
+    dates, tracks = products.filter_options(r, AS_OF_DATE)
+    one = lambda df, n: df.agg(F.count("*").alias(n))
+    return one(r.races, "races").join(one(dates, "dates"), F.lit(True)).join(one(tracks, "tracks"), F.lit(True))
