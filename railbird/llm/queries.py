@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from railbird.llm import decontam, html, licenses, media, packing, pii, quality, simhash, token_count, warc
+from railbird.llm.stage import find_package
 
 
 def tokenizer(name: str) -> str:
@@ -17,6 +18,7 @@ def tokenizer(name: str) -> str:
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    find_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -6,6 +6,7 @@ and the driver share, so that a lost executor takes no result with it.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -22,6 +23,14 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, BATCH_BYTES)
 
 
+def find_package(spark: SparkSession) -> None:
+    """Lets Python workers on machines that have this repository import it, whatever folder they start in."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; a temporary one only where none is set."""
     bound_batches(spark)
