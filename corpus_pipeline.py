@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from railbird.llm import decontam, packing, pii, quality, simhash
 from railbird.llm.queries import tokenizer
-from railbird.llm.stage import materialize
+from railbird.llm.stage import find_package, materialize
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,6 +47,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    find_package(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name)
