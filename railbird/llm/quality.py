@@ -170,6 +170,7 @@ def score(
     whole = hosts.agg(F.sum("n").alias("n"), *(F.sum(f"sum_{h}").alias(h) for h in HEADS)).first()
     host_side = hosts.select("host", F.col("n").alias("host_n"), *(F.col(f"sum_{h}").alias(f"host_{h}") for h in HEADS))
     path_side = paths.select("host", "path", F.col("n").alias("path_n"), *(F.col(f"sum_{h}").alias(f"path_{h}") for h in HEADS)).join(host_side, "host")
+    path_side = materialize(path_side, "sites")  # of known size: broadcast if small, else joined with hot sites split
     out = rows.join(path_side, ["host", "path"])
     for h in HEADS:
         prior = float(min(0.999, max(0.001, whole[h] / whole.n))) if whole.n else 0.5
