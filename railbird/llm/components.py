@@ -15,7 +15,8 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
         near = edges.union(edges.select(F.col("v"), F.col("u"))).toDF("u", "v")
     else:
         near = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    # Written apart, so that the join below meets two plain shuffles and can split a node with many neighbours.
+    least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).checkpoint()
     joined = near.join(least, "u")
     if large:
         moved = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -28,9 +29,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``edges`` (u, v) of any comparable type -> (node, root), root the least node.
 
     Nodes without an edge don't appear.  Self-loops, repeated and reversed edges
-    are allowed; edges with a null end are ignored.  Each round is checkpointed,
-    and minima are aggregated before any join, so that a node with many
-    neighbours gathers nowhere.
+    are allowed; edges with a null end are ignored.  Rounds and minima are
+    checkpointed, and minima are aggregated before any join, so that a node with
+    many neighbours gathers nowhere.
     """
     shared_dir(edges.sparkSession)
     now = (

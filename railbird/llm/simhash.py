@@ -203,7 +203,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = materialize(rows.groupBy("fp").agg(F.min("id").alias("least_id")), "nodes")
     roots = connected_components(near_links(nodes, threshold)).toDF("fp", "root")
     placed = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    component = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    # Written, so that a large component's rows meet it in a join that can be split.
+    component = materialize(placed.groupBy("root").agg(F.min("least_id").alias("component_id")), "components")
     by_fp = placed.join(component, "root").select("fp", "component_id")
     return rows.join(by_fp, "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
