@@ -1,13 +1,15 @@
 """Personal data: patterns, and information-theoretic sanitisation around them.
 
 Base kinds are found by pattern.  Each mention of an entity (an address, a number) has a
-window of words beside it.  Over the whole corpus, a word's occurrences inside windows of
-an entity against all its occurrences estimate p(entity | word); the entity's
-uncertainty that is left once the word is known is -log2 of it, that is, the entity's
-information less their pointwise mutual information.  A word that leaves at most
+window of words beside it.  Over the whole corpus, the distinct texts with a word in a
+window of an entity, against all distinct texts with the word, estimate p(entity | word).
+The lower end of its confidence interval (Wilson's) is taken, with as many observations as
+there are different windows, so that copies prove nothing and one mention proves little.
+The entity's uncertainty that is left once the word is known is -log2 of it, that is, the
+entity's information less their pointwise mutual information.  A word that leaves at most
 ``remove_bits`` discloses the entity and is removed; one that leaves at most
-``generalise_bits`` is generalised.  Both need ``min_contexts`` different windows, so that
-copies of a text prove nothing.
+``generalise_bits`` is generalised: wherever it stands, in any text, since the entity
+itself is masked everywhere.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from railbird.llm.stage import materialize
@@ -28,7 +30,7 @@ from railbird.llm.stage import materialize
 KINDS = ("email", "ip", "card", "phone")
 MARKS = {k: f"[{k.upper()}]" for k in KINDS} | {"term": "[REDACTED]", "general": "[WORD]"}
 SIDE_WORDS, SIDE_CHARS = 8, 160
-MIN_CONTEXTS, REMOVE_BITS, GENERALISE_BITS = 3, 1.0, 3.0
+CONFIDENCE, REMOVE_BITS, GENERALISE_BITS = 1.96, 1.0, 3.0  # the first in standard deviations: 95 %
 FILTER_BITS = 1 << 23
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -140,12 +142,8 @@ def _hash(word: str) -> int:
     return xxhash.xxh32_intdigest(word) % FILTER_BITS
 
 
-def word_counts(docs: DataFrame, wanted: DataFrame, text_col: str = "text") -> DataFrame:
-    """(word, n): occurrences in all texts of at least the words in ``wanted`` (word).
-
-    A filter of fixed size, one megabyte whatever the input, holds the wanted words' hashes
-    and keeps most others out of the shuffle.
-    """
+def _sent(wanted: DataFrame, column: str):
+    """A broadcast filter of fixed size, one megabyte whatever the input, that holds the hashes of ``column``."""
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(FILTER_BITS, bool)
@@ -156,37 +154,65 @@ def word_counts(docs: DataFrame, wanted: DataFrame, text_col: str = "text") -> D
         keep = [i for i in range(64) if packed[i].any()]
         yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int32()), pa.array([packed[i].tobytes() for i in keep], pa.binary())], ["piece", "bits"])
 
-    pieces = wanted.select("word").mapInArrow(fold, "piece int, bits binary").toLocalIterator()  # 16 kB each
+    pieces = wanted.select(F.col(column).cast("string")).mapInArrow(fold, "piece int, bits binary").toLocalIterator()  # 16 kB each
     bits = np.zeros((64, FILTER_BITS // 512), np.uint8)
     for r in pieces:
         bits[r.piece] |= np.frombuffer(r.bits, np.uint8)
-    sent = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
+    return wanted.sparkSession.sparkContext.broadcast(bits.tobytes())
+
+
+class _Filter(dict):
+    """Whether the filter holds a word, with a bounded memory of answers."""
+
+    def __init__(self, sent):
+        self.held = np.unpackbits(np.frombuffer(sent.value, np.uint8)).astype(bool)
+
+    def __missing__(self, word: str) -> bool:
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = out = bool(self.held[_hash(word)])
+        return out
+
+
+def _marked(docs: DataFrame, text_col: str, *more: Column) -> DataFrame:
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(*more, F.xxhash64(text).alias("mark"), text.alias("text"))
+
+
+def word_counts(docs: DataFrame, scanned: DataFrame, wanted: DataFrame, text_col: str = "text") -> DataFrame:
+    """(word, n): distinct texts with the word, of at least the words in ``wanted`` (word).
+
+    Filters keep most other words out of the shuffle, and only texts that may have copies
+    pass their words with the text's mark.
+    """
+    copied = scanned.groupBy("mark").count().where("count > 1").select("mark")
+    words, marks = _sent(wanted, "word"), _sent(copied, "mark")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.unpackbits(np.frombuffer(sent.value, np.uint8)).astype(bool)
-        known: dict[str, bool] = {}
+        known, twice = _Filter(words), _Filter(marks)
         for b in batches:
-            seen: Counter[str] = Counter()
-            for t in b.column(0):
-                seen.update(_WORD.findall((t.as_py() or "").lower()))
-            if len(known) > 500_000:
-                known.clear()
-            for w in seen:
-                if w not in known:
-                    known[w] = bool(held[_hash(w)])
-            mine = [(w, n) for w, n in seen.items() if known[w]]
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in mine], pa.string()), pa.array([n for _, n in mine], pa.int64())], ["word", "n"])
+            seen: Counter[tuple[str, int | None]] = Counter()
+            for mark, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                own = mark if twice[str(mark)] else None
+                seen.update((w, own) for w in {w.lower() for w in set(_WORD.findall(t.as_py()))} if known[w])
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in seen], pa.string()), pa.array([m for _, m in seen], pa.int64()), pa.array(list(seen.values()), pa.int64())], ["word", "mark", "n"])
+
+    once = _marked(docs, text_col).mapInArrow(run, "word string, mark long, n long").groupBy("word", "mark").agg(F.sum("n").alias("n"))
+    return once.groupBy("word").agg(F.sum(F.when(F.col("mark").isNull(), F.col("n")).otherwise(1)).alias("n"))
+
 
-    return docs.select(text_col).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def lower_bound(share: Column, n: Column, z: float) -> Column:
+    """The lower end of Wilson's interval of a share seen in ``n`` observations."""
+    return (share + z * z / 2 / n - z * F.sqrt(share * (1 - share) / n + z * z / 4 / n / n)) / (1 + z * z / n)
 
 
-def disclosures(docs: DataFrame, scanned: DataFrame, text_col: str = "text", min_contexts: int = MIN_CONTEXTS, remove_bits: float = REMOVE_BITS, generalise_bits: float = GENERALISE_BITS) -> DataFrame:
+def disclosures(docs: DataFrame, scanned: DataFrame, text_col: str = "text", confidence: float = CONFIDENCE, remove_bits: float = REMOVE_BITS, generalise_bits: float = GENERALISE_BITS) -> DataFrame:
     """(kind, entity, word, bits, action): the words that disclose an entity, action term or general."""
-    seen = scanned.select(F.explode("mentions").alias("m")).select("m.kind", "m.entity", "m.context", F.explode("m.words.word").alias("word"))
-    by_context = seen.groupBy("kind", "entity", "word", "context").agg(F.count("*").alias("n"))
-    pairs = materialize(by_context.groupBy("kind", "entity", "word").agg(F.sum("n").alias("both"), F.count("*").alias("contexts")).where(F.col("contexts") >= min_contexts), "pairs")
-    counts = word_counts(docs, pairs.select("word").distinct(), text_col)
-    bits = F.greatest(F.lit(0.0), F.log2(F.col("n") / F.col("both")))
+    seen = scanned.select("mark", F.explode("mentions").alias("m")).select("mark", "m.kind", "m.entity", "m.context", F.explode("m.words.word").alias("word"))
+    pairs = materialize(seen.groupBy("kind", "entity", "word").agg(F.count_distinct("mark").alias("both"), F.count_distinct("context").alias("contexts")), "pairs")
+    counts = word_counts(docs, scanned, pairs.select("word").distinct(), text_col)
+    share = F.col("both") / F.greatest("n", "both")
+    bits = F.greatest(F.lit(0.0), -F.log2(lower_bound(share, F.least("contexts", "both") / share, confidence)))
     return (
         pairs.join(counts, "word")
         .withColumn("bits", bits)
@@ -195,6 +221,38 @@ def disclosures(docs: DataFrame, scanned: DataFrame, text_col: str = "text", min
     )
 
 
+def words_outside(text: str, spans: list[tuple[str, int, int]]) -> Iterator[re.Match]:
+    """The words of ``text`` between its base spans."""
+    at = 0
+    for a, b in (*sorted((a, b) for _, a, b in spans), (len(text), len(text))):
+        if a > at:
+            yield from _WORD.finditer(text, at, a)
+        at = max(at, b)
+
+
+def occurrences(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, mark, word, places): where, outside base spans, texts have at least the words in ``wanted`` (word)."""
+    words, kind = _sent(wanted, "word"), docs.schema[id_col].dataType.simpleString()
+    places = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Filter(words)
+        for b in batches:
+            at, found, where = [], [], []
+            for i, t in enumerate(b.column(2)):
+                text, mine = t.as_py(), {}
+                for m in words_outside(text, base_spans(text)):
+                    if known[w := m[0].lower()]:
+                        mine.setdefault(w, []).append({"start": m.start(), "end": m.end()})
+                at += [i] * len(mine)
+                found += mine
+                where += mine.values()
+            rows = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(found, pa.string()), pa.array(where, places)], ["id", "mark", "word", "places"])
+
+    return _marked(docs, text_col, F.col(id_col).alias("id")).mapInArrow(run, f"id {kind}, mark long, word string, places array<struct<start:int,end:int>>")
+
+
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **thresholds) -> DataFrame:
     """Per row of ``docs``: id, mark, n_<kind>, base (spans joined), spans (base ones, then added ones).
 
@@ -202,13 +260,14 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     themselves.  An empty table gives an empty result.
     """
     scanned = materialize(scan(docs, id_col, text_col), "pii")
-    known = disclosures(docs, scanned, text_col, **thresholds)
-    around = scanned.select("id", "mark", F.explode("mentions").alias("m")).select("id", "mark", "m.kind", "m.entity", F.explode("m.words").alias("w"))
+    # Written, so that a frequent word meets it in a join that can be split.
+    known = materialize(disclosures(docs, scanned, text_col, **thresholds).groupBy("word").agg(F.max("action").alias("action")), "disclosing")  # term before general
     added = (
-        around.select("id", "mark", "kind", "entity", F.col("w.word").alias("word"), F.col("w.start").alias("start"), F.col("w.end").alias("end"))
-        .join(known, ["kind", "entity", "word"])
-        .groupBy("id", "mark", "start", "end")
-        .agg(F.max("action").alias("action"))  # term before general
+        occurrences(docs, known, id_col, text_col)
+        .join(known, "word")
+        .select("id", "mark", "action", F.explode("places").alias("p"))
+        .groupBy("id", "mark", F.col("p.start").alias("start"), F.col("p.end").alias("end"))
+        .agg(F.max("action").alias("action"))
         .groupBy("id", "mark")
         .agg(F.array_sort(F.collect_list(F.struct(F.when(F.col("action") == "term", 0).otherwise(1).alias("order"), "start", "end", "action"))).alias("added"))
         .select(F.col("id").alias("_id"), F.col("mark").alias("_mark"), F.transform("added", lambda x: F.concat_ws(":", x["action"], x["start"], x["end"])).alias("added"))

@@ -120,6 +120,21 @@ def test_pii_disclosing_words(spark):
     assert pii.sanitize(docs).columns == docs.columns
 
 
+def test_pii_disclosing_words_everywhere(spark):
+    rows = [(i, f"{w} zorbo mail bob@x.example.com then " + "filler words go on " * 60 + "until Zorbo") for i, w in enumerate(["red", "blue", "green", "grey", "pink", "black"])]
+    rows += [(20, "far from all mail stood zorbo"), (21, "quixnor wrote to ann@y.example.com"), (22, "nothing but sunshine")]
+    rows += [(30, "ask plinko via one@z.example.com")] * 5 + [(40 + i, f"plinko number {w}") for i, w in enumerate(["eins", "zwei", "drei", "vier"])]
+    docs = docs_of(spark, rows)
+    found = {r.doc_id: {(k, dict(rows)[r.doc_id][int(a) : int(b)]) for k, a, b in (s.split(":") for s in r.spans.split(",") if s)} for r in pii.report(docs).collect()}
+    assert len(found) == len({i for i, _ in rows}) and pii.report(docs).count() == len(rows)
+    kinds = {k for k, w in found[20] if w == "zorbo"}
+    assert kinds and kinds == {k for k, w in found[0] if w == "Zorbo"} == {k for k, w in found[0] if w == "zorbo"}
+    assert ("general", "quixnor") in found[21] and not found[22]
+    assert not any(w == "plinko" for v in found.values() for _, w in v)  # five copies of one text against four others
+    clean = {r.doc_id: r.text for r in pii.sanitize(docs).collect()}
+    assert "zorbo" not in (clean[0] + clean[20]).lower()
+
+
 def test_redact_overlaps():
     assert pii.redact("0123456789", "email:2:5,phone:4:7,term:8:9") == "01[EMAIL]7[REDACTED]9"
     assert pii.redact("abc", "") == "abc"
