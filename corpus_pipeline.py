@@ -31,7 +31,7 @@ def pii_sanitisation(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4; a row per piece, with its place in a sequence."""
-    return packing.pack(docs, tokenizer("byte_bpe_50k.json"))
+    return packing.pack(docs, tokenizer("byte_bpe_50k.json"), special=True)
 
 
 STAGES = [

@@ -54,16 +54,18 @@ class Encoder:
     The ids are those of ``tokenizers``; the ranks for ``tiktoken``, which is faster, are the
     file's own merges.  A text is encoded in chunks, each a space and what follows, since no
     pre-token crosses their borders; one that has more white space on both sides of a space, as
-    a whole.
+    a whole.  With ``special`` the file's added tokens inside a text are one id each, as
+    ``tokenizers`` has it; without, they are ordinary text (its ``encode_special_tokens``).
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = False):
         import json
 
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            file = json.load(f)
+        model = file["model"]
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(plain)]
         byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
@@ -71,9 +73,19 @@ class Encoder:
         pattern = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
         self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.chunks = _Chunks(self.encoding)
+        added = file["added_tokens"] if special else []
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
+            raise ValueError("added tokens that take in what is beside them are not known")
+        self.added = {t["content"]: struct.pack("<I", t["id"]) for t in added}
+        self.between = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
 
     def __call__(self, text: str) -> bytes:
         """Ids as little-endian 32-bit numbers."""
+        if self.between and len(parts := self.between.split(text)) > 1:
+            return b"".join(self.added[x] if k % 2 else self._ordinary(x) for k, x in enumerate(parts))
+        return self._ordinary(text)
+
+    def _ordinary(self, text: str) -> bytes:
         if _SPACES.search(text):
             ids = self.encoding.encode_ordinary(text)
             return struct.pack(f"<{len(ids)}I", *ids)
@@ -88,7 +100,7 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return [(0, first), *((a, capacity) for a in range(first, n, capacity))]
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, special: bool = False) -> DataFrame:
     """(id, piece, start, length, ids_crc32): each text's ids and the end id, cut to ``capacity``.
 
     A null text counts as empty and has the end id alone.
@@ -96,7 +108,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = Encoder(tokenizer_path), struct.pack("<I", END)
+        encode, end = Encoder(tokenizer_path, special), struct.pack("<I", END)
         for b in batches:
             at, rows = [], []
             for i, t in enumerate(b.column(1)):
@@ -267,7 +279,7 @@ def _slots(runs: Runs) -> dict[str, np.ndarray]:
     return {"key": key, "first": first, "offset": offset}
 
 
-def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, special: bool = False) -> DataFrame:
     """Per piece: id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Sequences are filled from 0 without gaps.  Null and empty texts have a piece of one id;
@@ -275,7 +287,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     Only the histogram of lengths, ``capacity`` rows at most, comes to the driver.
     """
     spark = docs.sparkSession
-    cut_up = materialize(pieces(docs, tokenizer_path, id_col, text_col, capacity), "pieces")
+    cut_up = materialize(pieces(docs, tokenizer_path, id_col, text_col, capacity, special), "pieces")
     histogram = {r.length: r["count"] for r in cut_up.groupBy("length").count().collect()}
     slots = spark.sparkContext.broadcast(_slots(plan(histogram, capacity)))
     buckets = max(256, sum(histogram.values()) // 50_000)

@@ -35,7 +35,7 @@ def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), special=True)
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

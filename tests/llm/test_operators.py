@@ -199,6 +199,20 @@ def test_packing_ids_and_places(mixed):
     assert packing.pack(mixed.limit(0), tokenizer("byte_bpe_50k.json")).count() == 0
 
 
+def test_packing_keeps_special_tokens(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    from railbird.llm import queries
+
+    tok = Tokenizer.from_file(tokenizer("byte_bpe_50k.json"))
+    texts = dict(enumerate(["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|> \n y", "<|endoftext| >", "no more", "", " <|endoftext|>  "]))
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    ids = {i: [*tok.encode(t, add_special_tokens=False).ids, 0] for i, t in texts.items()}
+    want = {(i, len(x), zlib.crc32(b"".join(n.to_bytes(4, "little") for n in x))) for i, x in ids.items()}
+    assert 50256 in ids[0]
+    assert {(r.doc_id, r.length, r.ids_crc32) for r in queries.op4_packing(spark, str(tmp_path)).collect()} == want
+
+
 def test_packing_plan_uses_every_piece():
     import random
 
