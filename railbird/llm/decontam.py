@@ -1,26 +1,29 @@
 """Benchmark decontamination by a prefix-filtered containment join.
 
-An item's shingles are its windows of ten consecutive words.  A document contains a
-window only if it has all its words, so with words in order of rarity the prefix that
-two sides must share is one word: the window's rarest.  A document word that is some
-window's rarest is a candidate; the window's place there must lie inside the document
-(positional and length bound), and the words are then compared one by one.
+An item's windows are its runs of ten consecutive words, each a set of three-word shingles.
+A document has a window only if it has all its shingles, so with shingles in order of
+rarity the prefix that both sides must share is one shingle: the window's rarest in the
+documents.  Shingles are counted and joined in Spark.  Where a document has a prefix
+shingle, the window's place there must lie inside the document (positional and length
+bounds), and the words are compared one by one.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from railbird.llm.stage import bound_batches, materialize
+from railbird.llm.stage import bound_batches, materialize, typed, unused
 
-WINDOW = 10
-BLOCK_WINDOWS = 1_000_000  # windows that a pass over the documents carries
+WINDOW, SHINGLE = 10, 3
+FILTER_BITS = 1 << 25  # of a filter of shingles: four megabytes at most, whatever the benchmark's size
+CACHE_WORDS = 400_000
 #: Digits, ASCII letters (lower-cased) and all bytes from 0x80 on are parts of words.
 _FOLD = bytes(b | 0x20 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
@@ -29,65 +32,133 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_FOLD).split()
 
 
-def windows(item: list[bytes], size: int = WINDOW) -> Iterator[tuple[bytes, ...]]:
-    """All runs of ``size`` words; of a shorter item, but not an empty one, the whole."""
-    if item:
-        for i in range(max(1, len(item) - size + 1)):
-            yield tuple(item[i : i + size])
+class _Hashes(dict):
+    """Hashes of words, with a bounded memory."""
 
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        self[word] = out = xxhash.xxh64_intdigest(word)
+        return out
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, size: int, most: int) -> Iterator[dict]:
-    """window -> item ids, ``most`` windows or one item at a time; partitions pass one by one."""
-    found: dict[tuple[bytes, ...], set[str]] = {}
-    rows = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("i"), F.col(text_col).alias("t"))
-    for row in rows.toLocalIterator():
-        for w in windows(words(row.t), size):
-            found.setdefault(w, set()).add(row.i)
-        if len(found) >= most:
-            yield found
-            found = {}
-    if found:
-        yield found
 
+def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
+    """A hash of the ``size`` words from each place on."""
+    n = len(hashes) - size + 1
+    out = np.full(max(n, 0), size, np.uint64)
+    for k in range(size if n > 0 else 0):
+        out = (out ^ hashes[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(32)
+    return out
 
-def _frequencies(docs: DataFrame, vocabulary: set[bytes]) -> dict[bytes, int]:
-    """In how many documents each word of a block of items occurs."""
-    spark = docs.sparkSession
-    known = spark.sparkContext.broadcast(vocabulary)
+
+def _hashed(text: list[bytes], known: _Hashes) -> np.ndarray:
+    return np.fromiter(map(known.__getitem__, text), np.uint64, len(text))
+
+
+def item_windows(benchmark: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """(item, window, size, tokens): a row per run of ``size`` words, of a shorter item the whole; tokens are its shingles in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Hashes()
+        for b in batches:
+            for item, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                text = words(t.as_py())
+                n = min(size, len(text))
+                width = min(SHINGLE, n)
+                every = shingles(_hashed(text, known), width).view(np.int64) if n else []
+                last = len(text) - n + 1 if n else 0
+                for at in range(0, last, 2000):
+                    starts = range(at, min(at + 2000, last))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([item] * len(starts), pa.string()),
+                            pa.array([b" ".join(text[i : i + n]).decode() for i in starts], pa.string()),
+                            pa.array([n] * len(starts), pa.int32()),
+                            pa.array([every[i : i + n - width + 1] for i in starts], pa.list_(pa.int64())),
+                        ],
+                        ["item", "window", "size", "tokens"],
+                    )
+
+    rows = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, "item string, window string, size int, tokens array<long>")
+
+
+def _filter(tokens: DataFrame):
+    """A broadcast filter that holds the column ``token`` (long): as many bits as FILTER_BITS at most, folded in Spark."""
+    n = tokens.count()
+    bits = min(FILTER_BITS, max(1 << 16, 1 << (16 * n).bit_length()))
+    slot = F.pmod("token", F.lit(bits))
+    held = tokens.groupBy(F.shiftright(slot, 6).cast("int").alias("at")).agg(F.expr("bit_or(shiftleft(1L, int(pmod(token, 64))))").alias("bits")).toArrow()
+    table = np.zeros(bits >> 6, np.int64)
+    table[held["at"].to_numpy()] = held["bits"].to_numpy()
+    return tokens.sparkSession.sparkContext.broadcast(table)
+
+
+def _holds(table: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """Places of the tokens that the filter holds."""
+    slot = tokens & np.uint64((len(table) << 6) - 1)
+    return np.flatnonzero((table[slot >> np.uint64(6)].view(np.uint64) >> (slot & np.uint64(63))) & np.uint64(1))
+
+
+def _frequencies(docs: DataFrame, tokens: DataFrame, widths: list[int]) -> DataFrame:
+    """(token, n): how often documents have at least the shingles in ``tokens``."""
+    sent = _filter(tokens)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[bytes] = Counter()
+        known, table = _Hashes(), sent.value
         for b in batches:
+            found = [np.empty(0, np.uint64)]
             for t in b.column(0):
-                seen.update(known.value.intersection(words(t.as_py())))
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+                hashes = _hashed(words(t.as_py()), known)
+                for w in widths:
+                    s = shingles(hashes, w)
+                    found.append(s[_holds(table, s)])
+            token, n = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n, pa.int64())], ["token", "n"])
 
-    counted = docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return {bytes(r.word): r.n for r in counted.collect()}  # words of the block's items only
+    return docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def prefix_index(found: dict, seen: dict[bytes, int]) -> dict[bytes, list]:
-    """Rarest word -> (its place in the window, the window, the ids of the items that have it)."""
-    index: dict[bytes, list] = {}
-    for w, ids in found.items():
-        rarest = min(w, key=lambda x: (seen.get(x, 0), x))
-        if all(seen.get(x, 0) for x in w):  # a word that no document has: no document has the window
-            index.setdefault(rarest, []).append((w.index(rarest), list(w), sorted(ids)))
-    return index
+PLACES = "array<struct<token:long,at:int,before:int,near:array<string>>>"
+_PLACES_ARROW = pa.list_(pa.struct([("token", pa.int64()), ("at", pa.int32()), ("before", pa.int32()), ("near", pa.list_(pa.string()))]))
+
+
+def _candidates(docs: DataFrame, prefixes: DataFrame, widths: list[int], size: int) -> DataFrame:
+    """(id, text_sha, n_words, places): where a text has a shingle of ``prefixes`` (token), with the words around it."""
+    sent = _filter(prefixes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, table = _Hashes(), sent.value
+        for b in batches:
+            sha, n_words, places = [], [], []
+            for t in b.column(1):
+                plain = t.as_py()
+                text = words(plain)
+                hashes = _hashed(text, known)
+                mine = []
+                for w in widths:
+                    s = shingles(hashes, w)
+                    for at in _holds(table, s).tolist():
+                        first = max(0, at - size + 1)
+                        mine.append({"token": int(s[at].view(np.int64)), "at": at, "before": at - first, "near": [x.decode() for x in text[first : at + size]]})
+                sha.append(hashlib.sha256(plain.encode()).digest())
+                n_words.append(len(text))
+                places.append(mine)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sha, pa.binary()), pa.array(n_words, pa.int64()), pa.array(places, _PLACES_ARROW)], ["id", "text_sha", "n_words", "places"])
+
+    return docs.mapInArrow(run, f"{typed(docs, 'id')}, text_sha binary, n_words long, places {PLACES}")
 
 
-def find(text: list[bytes], index: dict[bytes, list]) -> tuple[bytearray, set[str]]:
-    """Which words lie in an occurrence of a window, and of which items."""
-    hit, ids, n = bytearray(len(text)), set(), len(text)
-    if index.keys().isdisjoint(text):
-        return hit, ids
-    for at, word in enumerate(text):
-        for place, window, items in index.get(word, ()):
-            first = at - place
-            if first >= 0 and first + len(window) <= n and text[first : first + len(window)] == window:
-                hit[first : first + len(window)] = b"\1" * len(window)
-                ids.update(items)
-    return hit, ids
+def _covered(spans: Column) -> Column:
+    """How many words lie in spans (start, size), sorted by start."""
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
+
+    def add(s: Column, x: Column) -> Column:
+        end = x["start"] + x["size"]
+        return F.struct((s["n"] + F.greatest(F.lit(0), end - F.greatest(x["start"], s["end"]))).alias("n"), F.greatest(s["end"], end).alias("end"))
+
+    return F.aggregate(spans, start, add, lambda s: s["n"])
 
 
 def contamination(
@@ -98,69 +169,60 @@ def contamination(
     item_col: str = "item_id",
     item_text_col: str = "text",
     size: int = WINDOW,
-    block_windows: int = BLOCK_WINDOWS,
 ) -> DataFrame:
     """Per row of ``docs``: id, text_sha (of the text, null counts as empty), n_words, n_hit, n_items, items.
 
     ``items`` are the sorted ids, as strings, of the items of which a window occurs (a null
-    item id counts as an empty string).  Null and empty texts have no words and hit nothing.
-    Repeated rows each return a row.  The items' windows go out in blocks of ``block_windows``
-    with a pass over the documents each, whose hits are carried on; an empty benchmark hits nothing.
+    item id counts as an empty string).  Null and empty texts have no words and hit nothing;
+    whole texts are read, very long ones too.  Repeated rows each return a row.  Other columns
+    are left out, so none can clash.  An empty benchmark hits nothing, an empty table of
+    documents gives an empty result.
     """
-    spark = docs.sparkSession
-    bound_batches(spark)
-    kind = docs.schema[id_col].dataType.simpleString()
-    now = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumns(
-        {"hit": F.lit(None).cast("binary"), "items": F.array().cast("array<string>")}
+    bound_batches(docs.sparkSession)
+    plain = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    said = materialize(item_windows(benchmark, item_col, item_text_col, size), "windows")
+    windows = materialize(said.select("window", "size", "tokens").distinct(), "different-windows")
+    tokens = windows.select("window", "size", F.posexplode("tokens").alias("place", "token"))
+    widths = sorted(r.w for r in windows.select(F.least("size", F.lit(SHINGLE)).alias("w")).distinct().collect())  # three at most
+    seen = _frequencies(plain, tokens.select("token").distinct(), widths)
+    # A window with a shingle that no document has is in none: the inner side is its rarest one, with a count.
+    rarest = tokens.join(seen, "token", "left").groupBy("window", "size").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token", "place")).alias("r"))
+    prefixes = materialize(rarest.where("r.n > 0").select("window", "size", "r.token", "r.place"), "prefixes")
+    rows = materialize(_candidates(plain, prefixes.select("token").distinct(), widths, size), "candidates")
+    places = rows.where(F.size("places") > 0).select("id", "text_sha", F.explode("places").alias("p")).select("id", "text_sha", "p.*")
+    fits = (F.col("before") >= F.col("place")) & (F.size("near") - F.col("before") + F.col("place") >= F.col("size"))
+    hits = materialize(
+        places.join(prefixes, "token")
+        .where(fits & (F.array_join(F.slice("near", F.col("before") - F.col("place") + 1, F.col("size")), " ") == F.col("window")))
+        .select("id", "text_sha", "window", (F.col("at") - F.col("place")).alias("start"), "size")
+        .distinct(),
+        "hits",
     )
-    blocks = _blocks(benchmark, item_col, item_text_col, size, block_windows)
-    found, following = next(blocks, {}), next(blocks, None)
-    while following is not None:
-        now = materialize(now.mapInArrow(_pass(spark.sparkContext.broadcast(_index(now, found)), False), f"id {kind}, text string, hit binary, items array<string>"), "hits")
-        found, following = following, next(blocks, None)
-    last = _pass(spark.sparkContext.broadcast(_index(now, found)), True)
-    return now.mapInArrow(last, f"id {kind}, text_sha binary, n_words long, n_hit long, items array<string>").select(
-        F.col("id").alias(id_col), "text_sha", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items"
+    spans = hits.groupBy("id", "text_sha").agg(_covered(F.array_sort(F.collect_set(F.struct("start", "size")))).alias("n_hit"))
+    items = (
+        hits.select("id", "text_sha", "window").distinct().join(said.select("window", "item").distinct(), "window").groupBy("id", "text_sha").agg(F.array_sort(F.collect_set("item")).alias("items"))
     )
-
-
-def _index(docs: DataFrame, found: dict) -> dict[bytes, list]:
-    return prefix_index(found, _frequencies(docs, {x for w in found for x in w})) if found else {}
-
-
-def _pass(index, last: bool):
-    """Adds a block's hits to those of earlier blocks; the last pass digests text and hits."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            hits, items, sha = [], [], []
-            for t, old, had in zip(b.column(1), b.column(2), b.column(3), strict=True):
-                text = t.as_py()
-                hit, ids = find(words(text), index.value)
-                if old.is_valid:
-                    hit = bytearray(x | y for x, y in zip(hit, old.as_py(), strict=True))
-                hits.append(bytes(hit))
-                items.append(sorted(ids.union(had.as_py())))
-                sha.append(hashlib.sha256(text.encode()).digest())
-            listed = pa.array(items, pa.list_(pa.string()))
-            if last:
-                n = [pa.array(x, pa.int64()) for x in ([len(h) for h in hits], [sum(h) for h in hits])]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sha, pa.binary()), *n, listed], ["id", "text_sha", "n_words", "n_hit", "items"])
-            else:
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hits, pa.binary()), listed], ["id", "text", "hit", "items"])
-
-    return run
+    # Written: the texts that hit, once each, so that rows with equal ids and texts meet a table in a join that can be split.
+    found = materialize(spans.join(items, spans.id.eqNullSafe(items.id) & (spans.text_sha == items.text_sha)).select(spans.id.alias("hit_id"), spans.text_sha.alias("hit_sha"), "n_hit", "items"), "found")
+    mine = rows.select("id", "text_sha", "n_words").join(found, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("text_sha") == F.col("hit_sha")), "left")
+    listed = F.coalesce("items", F.array().cast("array<string>"))
+    return mine.select(F.col("id").alias(id_col), "text_sha", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(listed).cast("long").alias("n_items"), listed.alias("items"))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated; cases as in ``contamination``."""
     return contamination(docs, benchmark, **options).select(
         "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
     )
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the rows that have a hit; rows are matched by id (null ids too) and text."""
-    bad = contamination(docs, benchmark, id_col, text_col, **options).where("n_hit > 0").select(F.col(id_col).alias("_id"), F.col("text_sha").alias("_sha")).distinct()
-    sha = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_id")) & (sha == F.col("_sha")), "left_anti")
+    """``docs`` without the rows that have a hit; rows are matched by id (null ids too) and text.
+
+    Null and empty texts stay; repeated rows stay or go together; names of other columns can't
+    clash; an empty table stays empty, an empty benchmark drops nothing.
+    """
+    i, s = unused(docs, "hit_id", "hit_sha")
+    bad = contamination(docs, benchmark, id_col, text_col, **options).where("n_hit > 0").select(F.col(id_col).alias(i), F.col("text_sha").alias(s)).distinct()
+    sha = F.unhex(F.sha2(F.coalesce(docs[text_col].cast("string"), F.lit("")), 256))
+    return docs.join(bad, docs[id_col].eqNullSafe(bad[i]) & (sha == bad[s]), "left_anti")

@@ -1,34 +1,43 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped to one line per block.  What a page marks as menu, header, footer,
-sidebar, notice, advert, form or comments becomes a gap of empty lines.  Text lengths
-(without those of links) are summed over a sliding window of lines; text starts at a
-surge of the sum and ends where it dives to nothing.  Lines that the page marks as its
-article weigh more, so that short paragraphs there surge as well.
+sidebar, notice, advert, form or comments is stripped with it and leaves empty lines.  A
+line's length is that of its text outside links.  Lengths are summed over a sliding window
+of lines: a run of lines starts where the sum rises from nothing and ends where it dives
+to nothing, and is text if the sum surges inside it.  Only lengths decide; on a page whose
+sums are all low, its highest run is the text.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from railbird.llm.stage import bound_batches
+from railbird.llm.stage import bound_batches, typed
 
 WINDOW = 3  # lines in a sum
-SURGE = 86  # characters in a window where text starts
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*+>|<\?[^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
+SURGE = 86  # characters in a window that make a surge
+_OPEN = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*+))")
+_QUOTED = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
+_ARTICLE_ROLE = re.compile(r"""role\s*=\s*["']?(?:main|article)""", re.I)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I | re.S)
 _BLOCKS = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style textarea title noscript template iframe svg math object canvas select option button xmp noembed noframes".split())
+#: Elements whose content isn't text; of the first ones a missing end means the end of the page, of the others that there is no content.
+_RAW_TO_END = frozenset("script style textarea title xmp noembed noframes".split())
+_RAW = _RAW_TO_END | frozenset("noscript template iframe svg math object canvas select option button".split())
+_ENDS = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*+>?", re.I | re.A) for t in _RAW}
+#: Stands inside a text as well as beside it: cuts no run.
+_ASIDES = frozenset("aside form dialog".split())
 _BOILERPLATE = frozenset("nav footer aside form menu dialog".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
 #: Parts of class names and ids, between hyphens, underscores and spaces, that mark what isn't text.
@@ -62,12 +71,20 @@ def _is_boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
-def lines(page: str) -> list[tuple[str, int, bool]]:
-    """(text, characters outside links, inside the article) per block; a gap of empty lines for what isn't text."""
-    out: list[tuple[str, int, bool]] = []
+def lines(page: str) -> list[tuple[str, int]]:
+    """(text, length outside links) per block, in page order; empty lines for what isn't text.
+
+    A line of links alone is 0 long, inside an article 1.  Each character is visited a
+    bounded number of times, whatever the markup: once a quote in a tag has no end, tags end
+    at the next ``>``; a tag without any takes the rest of the page, as in browsers.
+    """
+    out: list[tuple[str, int]] = []
     parts: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # tag, boilerplate, article
+    open_ = Counter()
+    endless: set[str] = set()
     dropping = articles = links = plain = 0
+    quotes_end = True
 
     def text(a: int, b: int) -> None:
         nonlocal plain
@@ -82,52 +99,62 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         if parts:
             t = " ".join("".join(parts).split())
             if t:
-                out.append((t, plain, articles > 0))
+                out.append((t, plain or int(articles > 0)))
             parts.clear()
         plain = 0
 
-    def gap() -> None:
+    def gap(tag: str) -> None:
         flush()
-        out.extend([("", 0, False)] * WINDOW)
+        if not (tag in _ASIDES or articles):
+            out.extend([("", 0)] * WINDOW)
+        elif out and out[-1][0]:
+            out.append(("", 0))
 
     def pop() -> None:
         nonlocal dropping, articles, links
         tag, bad, article = stack.pop()
+        open_[tag] -= 1
         if tag in _BLOCKS:
             flush()
+        articles -= article
         if bad:
             dropping -= 1
             if not dropping:
-                gap()
-        articles -= article
+                gap(tag)
         links -= tag == "a"
 
-    at, low = 0, None
-    while m := _TAG.search(page, at):
+    at, last = 0, page.rfind(">")
+    while m := _OPEN.search(page, at):
         text(at, m.start())
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
-        if not tag:
+        name = m[2]
+        if not name:
+            end = page.find("-->" if m[0] == "<!--" else ">", m.end())
+            at = len(page) if end < 0 else end + (3 if m[0] == "<!--" else 1)
             continue
-        attributes = m[3] or m[6] or ""
-        if m[1] or m[4]:  # an end tag
+        if last < m.end():
+            at = len(page)
+            break
+        tag, closes = name.lower(), bool(m[1])
+        whole = _QUOTED.match(page, m.end()) if quotes_end and not closes else None
+        quotes_end = quotes_end and (closes or whole is not None)
+        at = whole.end() if whole else page.find(">", m.end()) + 1
+        if closes:
             if tag in _BLOCKS:
                 flush()
-            if any(t[0] == tag for t in reversed(stack)):
+            if open_[tag]:
                 while stack[-1][0] != tag:
                     pop()
                 pop()
             continue
+        attributes = page[m.end() : at - 1]
         if tag in _RAW and not attributes.endswith("/"):
-            low = low or page.lower()
-            end = low.find(f"</{tag}", at)
-            if tag in ("select", "button", "option", "noscript", "svg", "object", "canvas", "math", "template", "iframe") or end >= 0:
-                at = end if end >= 0 else at
-            else:
+            close = None if tag in endless else _ENDS[tag].search(page, at)
+            if close:
+                at = close.end()
+            elif tag in _RAW_TO_END:
                 at = len(page)
-            if end >= 0:
-                close = page.find(">", end)
-                at = close + 1 if close >= 0 else len(page)
+            else:
+                endless.add(tag)
             continue
         if tag in _BLOCKS:
             flush()
@@ -138,11 +165,12 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
                     pop()
         if tag in _VOID or attributes.endswith("/"):
             continue
-        article = tag in ("article", "main") or bool(re.search(r"""role\s*=\s*["']?(?:main|article)""", attributes, re.I))
+        article = tag in ("article", "main") or bool(attributes and _ARTICLE_ROLE.search(attributes))
         bad = _is_boilerplate(tag, attributes, articles > 0)
         if bad and not dropping:
-            gap()
+            gap(tag)
         stack.append((tag, bad, article))
+        open_[tag] += 1
         dropping += bad
         articles += article
         links += tag == "a"
@@ -151,32 +179,47 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
     return out
 
 
-def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
-    """The blocks between surges and dives, in page order, joined by a space."""
-    found = lines(page or "")
-    lengths = [n + surge * inside for _, n, inside in found]
-    sums = [sum(lengths[i : i + window]) for i in range(len(found))]
-    kept, i = [], 0
-    while i < len(found):
-        if sums[i] >= surge and found[i][0]:
-            j = i
-            while j < len(found) and sums[j] > 0 and (found[j][0] or any(t for t, *_ in found[j : j + window])):
-                j += 1
-            kept += [t for t, *_ in found[i:j] if t]
+def text_runs(lengths: list[int], window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
+    """[first, end) of the runs of lines that are text: from a rise to a dive, with a surge between."""
+    sums, total = [0] * len(lengths), 0
+    for i in range(len(lengths) - 1, -1, -1):
+        total += lengths[i] - (lengths[i + window] if i + window < len(lengths) else 0)
+        sums[i] = total
+    least = min(surge, max(sums, default=0))
+    runs, i = [], 0
+    while i < len(sums):
+        j = i
+        while j < len(sums) and sums[j]:
+            j += 1
+        if j > i:
+            if max(sums[i:j]) >= least:
+                while not lengths[i]:  # the window looks ahead: it rises before the first line that has a length
+                    i += 1
+                end = j
+                while not lengths[end - 1]:
+                    end -= 1
+                runs.append((i, end))
             i = j
         else:
             i += 1
-    return " ".join(kept)
+    return runs
+
+
+def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
+    """The blocks between surges and dives, in page order, joined by a space."""
+    found = lines(page or "")
+    return " ".join(t for a, b in text_runs([n for _, n in found], window, surge) for t, _ in found[a:b] if t)
 
 
 def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """The columns ``keep`` of every row, with text and n_chars (its code points).
 
-    Null or empty html, and pages without text, give an empty text.  Repeated rows each
-    return a row; other columns are left out, so none can clash.
+    Null or empty html, and pages without text, give an empty text.  Whole pages are read,
+    very long ones too, in time in proportion to their length; Arrow batches end by bytes.
+    Repeated rows and ties each return a row; other columns are left out, so none can clash;
+    an empty table gives an empty result.
     """
     bound_batches(pages.sparkSession)
-    kinds = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -185,4 +228,4 @@ def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("
                 [*b.columns[: len(keep)], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*keep, "text", "n_chars"]
             )
 
-    return pages.select(*keep, F.col(html_col).cast("string").alias("_html")).mapInArrow(run, f"{kinds}, text string, n_chars long")
+    return pages.select(*keep, F.col(html_col).cast("string").alias("_html")).mapInArrow(run, f"{typed(pages, *keep)}, text string, n_chars long")

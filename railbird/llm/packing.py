@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,11 +55,11 @@ class Encoder:
     The ids are those of ``tokenizers``; the ranks for ``tiktoken``, which is faster, are the
     file's own merges.  A text is encoded in chunks, each a space and what follows, since no
     pre-token crosses their borders; one that has more white space on both sides of a space, as
-    a whole.  With ``special`` the file's added tokens inside a text are one id each, as
-    ``tokenizers`` has it; without, they are ordinary text (its ``encode_special_tokens``).
+    a whole.  The file's added tokens inside a text are one id each, as ``tokenizers`` has it;
+    without ``special`` they are ordinary text (its ``encode_special_tokens``).
     """
 
-    def __init__(self, path: str, special: bool = False):
+    def __init__(self, path: str, special: bool = True):
         import json
 
         import tiktoken
@@ -100,15 +101,16 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return [(0, first), *((a, capacity) for a in range(first, n, capacity))]
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, special: bool = False) -> DataFrame:
-    """(id, piece, start, length, ids_crc32): each text's ids and the end id, cut to ``capacity``.
+def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, special: bool = True) -> DataFrame:
+    """(id, piece, start, length, ids_crc32, deal): each text's ids and the end id, cut to ``capacity``.
 
-    A null text counts as empty and has the end id alone.
+    A null text counts as empty and has the end id alone.  ``deal`` numbers the rows, so that
+    equal ones can be told apart once the table is written.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = Encoder(tokenizer_path, special), struct.pack("<I", END)
+        encode, end, deal = Encoder(tokenizer_path, special), struct.pack("<I", END), TaskContext.get().partitionId() << 36
         for b in batches:
             at, rows = [], []
             for i, t in enumerate(b.column(1)):
@@ -117,10 +119,12 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
                     at.append(i)
                     rows.append((k, a, n, zlib.crc32(ids[4 * a : 4 * (a + n)])))
             columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)] if rows else [pa.array([], k) for k in (pa.int32(), pa.int64(), pa.int64(), pa.int64())]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *columns], ["id", "piece", "start", "length", "ids_crc32"])
+            numbers = pa.array(range(deal, deal + len(rows)), pa.int64())
+            deal += len(rows)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *columns, numbers], ["id", "piece", "start", "length", "ids_crc32", "deal"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        run, f"id {kind}, piece int, start long, length long, ids_crc32 long"
+        run, f"id {kind}, piece int, start long, length long, ids_crc32 long, deal long"
     )
 
 
@@ -279,11 +283,12 @@ def _slots(runs: Runs) -> dict[str, np.ndarray]:
     return {"key": key, "first": first, "offset": offset}
 
 
-def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, special: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, special: bool = True) -> DataFrame:
     """Per piece: id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Sequences are filled from 0 without gaps.  Null and empty texts have a piece of one id;
-    repeated rows and null ids are pieces of their own; an empty table gives an empty result.
+    very long ones are cut, nothing else is; repeated rows and null ids are pieces of their own;
+    other columns are left out, so none can clash; an empty table gives an empty result.
     Only the histogram of lengths, ``capacity`` rows at most, comes to the driver.
     """
     spark = docs.sparkSession
@@ -291,12 +296,12 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     histogram = {r.length: r["count"] for r in cut_up.groupBy("length").count().collect()}
     slots = spark.sparkContext.broadcast(_slots(plan(histogram, capacity)))
     buckets = max(256, sum(histogram.values()) // 50_000)
-    dealt = cut_up.withColumn("bucket", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(buckets)))
+    dealt = cut_up.withColumn("bucket", F.pmod(F.xxhash64("deal"), F.lit(buckets)))
     before = dealt.groupBy("length", "bucket").count().select(
         "length", "bucket", (F.sum("count").over(Window.partitionBy("length").orderBy("bucket")) - F.col("count")).alias("before")
     )
     # The order decides which of several pieces takes which place, never how many sequences there are.
-    own = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("id", "piece", "ids_crc32", "start")) - 1
+    own = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("deal")) - 1
     ranked = dealt.withColumn("own", own).join(before, ["length", "bucket"]).select("id", "piece", "start", "length", "ids_crc32", (F.col("own") + F.col("before")).alias("rank"))
     kind, names = docs.schema[id_col].dataType.simpleString(), [*ranked.columns[:5], "sequence_id", "offset"]
 

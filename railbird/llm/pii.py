@@ -8,7 +8,8 @@ there are different windows, so that copies prove nothing and one mention proves
 The entity's uncertainty that is left once the word is known is -log2 of it, that is, the
 entity's information less their pointwise mutual information.  A word that leaves at most
 ``remove_bits`` discloses the entity and is removed; one that leaves at most
-``generalise_bits`` is generalised: wherever it stands, in any text, since the entity
+``generalise_bits`` is generalised to its class, by its shape where it stands (name,
+acronym or word) and its frequency: wherever it stands, in any text, since the entity
 itself is masked everywhere.
 """
 
@@ -25,10 +26,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from railbird.llm.stage import materialize
+from railbird.llm.stage import materialize, unused
 
 KINDS = ("email", "ip", "card", "phone")
-MARKS = {k: f"[{k.upper()}]" for k in KINDS} | {"term": "[REDACTED]", "general": "[WORD]"}
+MARKS = {k: f"[{k.upper()}]" for k in KINDS} | {"term": "[REDACTED]"}
+#: Generalised words by how many different texts have them: up to 10, up to 1000, more.
+BANDS = {"rare": 10, "uncommon": 1000, "common": None}
 SIDE_WORDS, SIDE_CHARS = 8, 160
 CONFIDENCE, REMOVE_BITS, GENERALISE_BITS = 1.96, 1.0, 3.0  # the first in standard deviations: 95 %
 FILTER_BITS = 1 << 23
@@ -139,33 +142,25 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def _hash(word: str) -> int:
-    return xxhash.xxh32_intdigest(word) % FILTER_BITS
+    """As Spark's xxhash64 has it."""
+    return xxhash.xxh64_intdigest(word.encode(), 42) % FILTER_BITS
 
 
 def _sent(wanted: DataFrame, column: str):
-    """A broadcast filter of fixed size, one megabyte whatever the input, that holds the hashes of ``column``."""
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(FILTER_BITS, bool)
-        for b in batches:
-            for w in b.column(0):
-                seen[_hash(w.as_py())] = True
-        packed = np.packbits(seen).reshape(64, -1)
-        keep = [i for i in range(64) if packed[i].any()]
-        yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int32()), pa.array([packed[i].tobytes() for i in keep], pa.binary())], ["piece", "bits"])
-
-    pieces = wanted.select(F.col(column).cast("string")).mapInArrow(fold, "piece int, bits binary").toLocalIterator()  # 16 kB each
-    bits = np.zeros((64, FILTER_BITS // 512), np.uint8)
-    for r in pieces:
-        bits[r.piece] |= np.frombuffer(r.bits, np.uint8)
-    return wanted.sparkSession.sparkContext.broadcast(bits.tobytes())
+    """A broadcast filter of fixed size, one megabyte whatever the input, that holds the hashes of ``column``; folded in Spark."""
+    slot = F.pmod(F.xxhash64(F.col(column).cast("string")), F.lit(FILTER_BITS))
+    folded = wanted.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).cast("int").alias("at")).agg(F.expr("bit_or(shiftleft(1L, int(slot % 64)))").alias("bits"))
+    held = folded.toArrow()  # FILTER_BITS / 64 rows at most
+    bits = np.zeros(FILTER_BITS >> 6, np.int64)
+    bits[held["at"].to_numpy()] = held["bits"].to_numpy()
+    return wanted.sparkSession.sparkContext.broadcast(bits)
 
 
 class _Filter(dict):
     """Whether the filter holds a word, with a bounded memory of answers."""
 
     def __init__(self, sent):
-        self.held = np.unpackbits(np.frombuffer(sent.value, np.uint8)).astype(bool)
+        self.held = np.unpackbits(sent.value.view(np.uint8), bitorder="little").astype(bool)
 
     def __missing__(self, word: str) -> bool:
         if len(self) > 500_000:
@@ -206,8 +201,13 @@ def lower_bound(share: Column, n: Column, z: float) -> Column:
     return (share + z * z / 2 / n - z * F.sqrt(share * (1 - share) / n + z * z / 4 / n / n)) / (1 + z * z / n)
 
 
+def band(n: Column) -> Column:
+    out = F.when(n <= BANDS["rare"], "rare").when(n <= BANDS["uncommon"], "uncommon")
+    return out.otherwise("common")
+
+
 def disclosures(docs: DataFrame, scanned: DataFrame, text_col: str = "text", confidence: float = CONFIDENCE, remove_bits: float = REMOVE_BITS, generalise_bits: float = GENERALISE_BITS) -> DataFrame:
-    """(kind, entity, word, bits, action): the words that disclose an entity, action term or general."""
+    """(kind, entity, word, bits, action): the words that disclose an entity; action is term (removed) or the band of its frequency."""
     seen = scanned.select("mark", F.explode("mentions").alias("m")).select("mark", "m.kind", "m.entity", "m.context", F.explode("m.words.word").alias("word"))
     pairs = materialize(seen.groupBy("kind", "entity", "word").agg(F.count_distinct("mark").alias("both"), F.count_distinct("context").alias("contexts")), "pairs")
     counts = word_counts(docs, scanned, pairs.select("word").distinct(), text_col)
@@ -217,7 +217,7 @@ def disclosures(docs: DataFrame, scanned: DataFrame, text_col: str = "text", con
         pairs.join(counts, "word")
         .withColumn("bits", bits)
         .where(F.col("bits") <= generalise_bits)
-        .select("kind", "entity", "word", "bits", F.when(F.col("bits") <= remove_bits, "term").otherwise("general").alias("action"))
+        .select("kind", "entity", "word", "bits", F.when(F.col("bits") <= remove_bits, "term").otherwise(band(F.col("n"))).alias("action"))
     )
 
 
@@ -253,21 +253,27 @@ def occurrences(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text
     return _marked(docs, text_col, F.col(id_col).alias("id")).mapInArrow(run, f"id {kind}, mark long, word string, places array<struct<start:int,end:int>>")
 
 
+def _strictest(action: str) -> Column:
+    """Removal comes before generalisation; of one word there is one band."""
+    return F.max_by(action, F.col(action) == "term").alias("action")
+
+
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **thresholds) -> DataFrame:
     """Per row of ``docs``: id, mark, n_<kind>, base (spans joined), spans (base ones, then added ones).
 
-    Null texts count as empty; repeated rows each return a row; null ids are matched to
-    themselves.  An empty table gives an empty result.
+    Null texts count as empty; whole texts are read, very long ones too; repeated rows each
+    return a row; null ids are matched to themselves.  Other columns are left out, so none can
+    clash.  An empty table gives an empty result.
     """
     scanned = materialize(scan(docs, id_col, text_col), "pii")
     # Written, so that a frequent word meets it in a join that can be split.
-    known = materialize(disclosures(docs, scanned, text_col, **thresholds).groupBy("word").agg(F.max("action").alias("action")), "disclosing")  # term before general
+    known = materialize(disclosures(docs, scanned, text_col, **thresholds).groupBy("word").agg(_strictest("action")), "disclosing")
     added = (
         occurrences(docs, known, id_col, text_col)
         .join(known, "word")
         .select("id", "mark", "action", F.explode("places").alias("p"))
         .groupBy("id", "mark", F.col("p.start").alias("start"), F.col("p.end").alias("end"))
-        .agg(F.max("action").alias("action"))
+        .agg(_strictest("action"))
         .groupBy("id", "mark")
         .agg(F.array_sort(F.collect_list(F.struct(F.when(F.col("action") == "term", 0).otherwise(1).alias("order"), "start", "end", "action"))).alias("added"))
         .select(F.col("id").alias("_id"), F.col("mark").alias("_mark"), F.transform("added", lambda x: F.concat_ws(":", x["action"], x["start"], x["end"])).alias("added"))
@@ -279,17 +285,25 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, n_<kind>, base_sha256, spans."""
+    """doc_id, n_<kind>, base_sha256, spans; cases as in ``find_spans``."""
     return find_spans(docs, **options).select("doc_id", *(f"n_{k}" for k in KINDS), F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+def mark_of(kind: str, found: str) -> str:
+    """What stands in place of ``found``; generalised words by shape and band."""
+    if kind not in BANDS:
+        return MARKS[kind]
+    shape = "ACRONYM" if found.isupper() else "NAME" if found[:1].isupper() else "WORD"
+    return f"[{kind.upper()} {shape}]"
+
+
 def redact(text: str, spans: str) -> str:
-    """``text`` with each span replaced by its kind's mark; of overlapping spans, the earlier and longer."""
+    """``text`` with each span replaced by its mark; of overlapping spans, the earlier and longer."""
     cuts = sorted((int(a), -int(b), k) for k, a, b in (s.split(":") for s in spans.split(",") if s))
     out, at = [], 0
     for a, b, k in cuts:
         if a >= at:
-            out += [text[at:a], MARKS[k]]
+            out += [text[at:a], mark_of(k, text[a:-b])]
         elif -b > at:  # what overlaps the last span and goes on goes with it
             at = -b
             continue
@@ -300,19 +314,18 @@ def redact(text: str, spans: str) -> str:
 def sanitize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", **thresholds) -> DataFrame:
     """``docs`` with personal data and disclosing words in ``text_col`` replaced; ``length_col``, if there is one, is set anew.
 
-    Rows keep their number and other columns; null texts stay null.
+    Rows keep their number and other columns, whose names can't clash; null texts stay null;
+    repeated rows have one text; an empty table stays empty.
     """
-    spans = find_spans(docs, id_col, text_col, **thresholds).where("spans != ''").select(F.col(id_col).alias("_id"), F.col("mark").alias("_mark"), "spans").distinct()
-    if not spans.columns or "spans" in docs.columns:
-        spans = spans.withColumnRenamed("spans", "_spans")
-    column = spans.columns[-1]
-    both = docs.join(spans, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_mark")), "left")
+    i, m, found = unused(docs, "span_id", "span_mark", "found")
+    spans = find_spans(docs, id_col, text_col, **thresholds).where("spans != ''").select(F.col(id_col).alias(i), F.col("mark").alias(m), F.col("spans").alias(found)).distinct()
+    both = docs.join(spans, docs[id_col].eqNullSafe(spans[i]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == spans[m]), "left")
 
     @F.pandas_udf("string")
     def clean(text, found):  # noqa: ANN001
         return text.combine(found, lambda t, s: redact(t, s) if s and t is not None else t)
 
-    changed = both.withColumn(text_col, F.when(F.col(column).isNull(), F.col(text_col)).otherwise(clean(text_col, column)))
+    changed = both.withColumn(text_col, F.when(F.col(found).isNull(), F.col(text_col)).otherwise(clean(text_col, found)))
     if length_col and length_col in docs.columns:
-        changed = changed.withColumn(length_col, F.when(F.col(column).isNull(), F.col(length_col)).otherwise(F.length(text_col)).cast(docs.schema[length_col].dataType))
-    return changed.select(*(changed[c] for c in docs.columns))
+        changed = changed.withColumn(length_col, F.when(F.col(found).isNull(), F.col(length_col)).otherwise(F.length(text_col)).cast(docs.schema[length_col].dataType))
+    return changed.drop(i, m, found)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from railbird.llm.stage import materialize
+from railbird.llm.stage import materialize, unused
 
 HASHED = 1 << 18
 BINS = 8
@@ -66,7 +66,13 @@ def features(text: str, slots: dict[str, int]) -> np.ndarray:
     """Slots that a text fills: one bin of each shape, and each different word or run of marks."""
     tokens = _TOKEN.findall(text.lower())
     shapes = [BINS * i + min(BINS - 1, int(x * BINS)) for i, x in enumerate(_shapes(text, tokens))]
-    return np.array([*shapes, *{slots[t] for t in set(tokens)}], np.int32)
+    return np.array([*shapes, *sorted({slots[t] for t in set(tokens)})], np.int32)
+
+
+def associated(docs: np.ndarray, yes: np.ndarray, share: float) -> np.ndarray:
+    """Which slots, found in ``docs`` rows of which ``yes`` are positive, tell positives (``share`` of all) from others."""
+    chi2 = (yes - docs * share) ** 2 / np.maximum(docs * share * (1 - share), 1e-9)
+    return (docs >= LEAST_DOCS) & (chi2 >= LEAST_CHI2)
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
@@ -79,8 +85,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     share = labels.mean()
     docs = np.bincount(slot, minlength=HASHED)
     yes = np.bincount(slot, labels[at], HASHED)
-    chi2 = (yes - docs * share) ** 2 / np.maximum(docs * share * (1 - share), 1e-9)
-    kept = (docs >= LEAST_DOCS) & (chi2 >= LEAST_CHI2)
+    kept = associated(docs, yes, share)
     kept[:SHAPES] = True
     at, slot = at[kept[slot]], slot[kept[slot]]
     weight = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share))  # both classes weigh alike: the prior comes from the sites
@@ -95,21 +100,43 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """(weights, rate of positives) by head, from at most ``sample_rows`` labelled rows, chosen by a hash of their ids."""
+    """(weights, rate of positives) by head, from at most ``sample_rows`` labels, chosen by a hash of their ids.
+
+    Words are weighed by counts made in Spark; only those that tell something come to the driver, by row.
+    """
     chosen = labels.select(F.col(id_col).alias("id"), *(F.col(h).cast("int").alias(h) for h in HEADS)).dropna().orderBy(F.xxhash64("id"), "id", *HEADS).limit(sample_rows)
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")  # at most sample_rows rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = _Slots()
         for b in batches:
-            made = [features(t.as_py() or "", slots).tobytes() for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(made, pa.binary())], ["id", *HEADS, "slots"])
+            made = [features(t.as_py() or "", slots) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(made, pa.list_(pa.int32()))], ["id", *HEADS, "slots"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = sample.mapInArrow(run, f"id {kind}, quality int, toxic int, slots binary").orderBy("id", *HEADS).limit(2 * sample_rows).toArrow()
-    made = [np.frombuffer(s.as_py(), np.int32) for s in rows["slots"]]
+    made = materialize(sample.mapInArrow(run, f"id {kind}, quality int, toxic int, slots array<int>"), "sample")
+    counts = made.select(F.explode("slots").alias("slot"), *HEADS).groupBy("slot").agg(F.count("*").alias("docs"), *(F.sum(h).alias(h) for h in HEADS))
+    held = counts.toArrow()  # HASHED rows at most
+    n, positive = made.count(), made.agg(*(F.sum(h) for h in HEADS)).first()
+    if not n:
+        return np.zeros((len(HEADS), HASHED)), np.full(len(HEADS), 0.5)
+    slot, docs_n = held["slot"].to_numpy(), held["docs"].to_numpy()
+    kept = np.zeros(HASHED, bool)
+    for h, k in zip(HEADS, positive, strict=True):
+        kept[slot[associated(docs_n, held[h].to_numpy(), k / n)]] = True
+    kept[:SHAPES] = True
+    sent = docs.sparkSession.sparkContext.broadcast(kept)
+
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            slots = [np.asarray(s.values, np.int32) for s in b.column(3)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([s[sent.value[s]].tobytes() for s in slots], pa.binary())], ["id", *HEADS, "slots"])
+
+    rows = made.mapInArrow(thin, f"id {kind}, quality int, toxic int, slots binary").toArrow()
+    rows = rows.sort_by([("id", "ascending"), *((h, "ascending") for h in HEADS), ("slots", "ascending")])
+    kept_slots = [np.frombuffer(s.as_py(), np.int32) for s in rows["slots"]]
     each = [rows[h].to_numpy() for h in HEADS]
-    return np.array([fit(made, y) for y in each]), np.array([y.mean() if len(y) else 0.5 for y in each])
+    return np.array([fit(kept_slots, y) for y in each]), np.array([y.mean() for y in each])
 
 
 def evidence(docs: DataFrame, weights: np.ndarray, columns: dict[str, str], text_col: str = "text") -> DataFrame:
@@ -137,14 +164,26 @@ def _odds(p):
     return F.log(p / (1 - p))
 
 
-def _strength(sites: DataFrame, head: str) -> float:
-    """Weight of the prior, in documents, from the spread of the sites' shares (method of moments), between 1 and 1000."""
+def _moments(level: str, head: str) -> list:
+    """Sums over sites of more than one document, from which their spread follows."""
     n, p = F.col("n"), F.col(f"sum_{head}") / F.col("n")
-    r = sites.where("n > 1").agg(F.sum(n).alias("n"), F.count("*").alias("k"), (F.sum(n * p) / F.sum(n)).alias("m"), F.sum(n * p * p).alias("q")).first()
-    if not r.k or r.k < 2 or not 0 < r.m < 1:
+    several = F.col("n") > 1
+    return [
+        F.sum(F.when(several, n)).alias(f"{level}_{head}_n"), F.count(F.when(several, 1)).alias(f"{level}_{head}_k"),
+        F.sum(F.when(several, n * p)).alias(f"{level}_{head}_m"), F.sum(F.when(several, n * p * p)).alias(f"{level}_{head}_q"),
+    ]
+
+
+def strength(n: float | None, k: int, total: float | None, q: float | None) -> float:
+    """Weight of the prior, in documents, from the spread of ``k`` sites' shares (method of moments), between 1 and 1000.
+
+    ``n`` documents, ``total`` the sum of their shares, ``q`` the sum of n p^2 over sites.
+    """
+    if not n or k < 2 or not 0 < total / n < 1:
         return 10.0
-    between = max(1e-9, (r.q - r.n * r.m**2 - (r.k - 1) * r.m * (1 - r.m)) / r.n)
-    return float(min(1000.0, max(1.0, r.m * (1 - r.m) / between - 1)))
+    m = total / n
+    between = max(1e-9, (q - n * m**2 - (k - 1) * m * (1 - m)) / n)
+    return float(min(1000.0, max(1.0, m * (1 - m) / between - 1)))
 
 
 def score(
@@ -153,8 +192,11 @@ def score(
     """Per row: id, host, path, mark, p_quality, p_toxic, site_quality, site_toxic, keep.
 
     keep: better than even odds of quality, and less than even odds of toxicity.  Null texts
-    count as empty; null hosts and paths are sites of their own (an empty name); repeated rows
-    each count and return a row.  Without labels of both kinds evidence is neutral.
+    count as empty; whole texts are read, very long ones too; null hosts and paths are sites of
+    their own (an empty name); repeated rows each count and return a row.  Without labels of
+    both kinds evidence is neutral; rows of ``labels`` with a null are left out, and so are
+    labels of ids that aren't there.  Other columns are left out, so none can clash.  An empty
+    table gives an empty result.
     """
     weights, rates = train(docs, labels, id_col, text_col, sample_rows)
     rates = np.clip(rates, 0.01, 0.99)
@@ -165,16 +207,17 @@ def score(
         raw = raw.withColumn(f"own_{h}", 1 / (1 + F.exp(-(F.col(f"llr_{h}") + float(np.log(r / (1 - r)))))))
     rows = materialize(raw, "evidence")
     sums = [F.count("*").alias("n"), *(F.sum(f"own_{h}").alias(f"sum_{h}") for h in HEADS)]
-    paths = rows.groupBy("host", "path").agg(*sums)
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), *(F.sum(f"sum_{h}").alias(f"sum_{h}") for h in HEADS))
-    whole = hosts.agg(F.sum("n").alias("n"), *(F.sum(f"sum_{h}").alias(h) for h in HEADS)).first()
+    paths = materialize(rows.groupBy("host", "path").agg(*sums), "paths")
+    hosts = materialize(paths.groupBy("host").agg(F.sum("n").alias("n"), *(F.sum(f"sum_{h}").alias(f"sum_{h}") for h in HEADS)), "hosts")
+    path_level = paths.agg(*(x for h in HEADS for x in _moments("path", h))).first()
+    whole = hosts.agg(F.sum("n").alias("n"), *(F.sum(f"sum_{h}").alias(h) for h in HEADS), *(x for h in HEADS for x in _moments("host", h))).first()
     host_side = hosts.select("host", F.col("n").alias("host_n"), *(F.col(f"sum_{h}").alias(f"host_{h}") for h in HEADS))
     path_side = paths.select("host", "path", F.col("n").alias("path_n"), *(F.col(f"sum_{h}").alias(f"path_{h}") for h in HEADS)).join(host_side, "host")
     path_side = materialize(path_side, "sites")  # of known size: broadcast if small, else joined with hot sites split
     out = rows.join(path_side, ["host", "path"])
     for h in HEADS:
         prior = float(min(0.999, max(0.001, whole[h] / whole.n))) if whole.n else 0.5
-        a, b = _strength(hosts, h), _strength(paths, h)
+        a, b = (strength(*(r[f"{level}_{h}_{x}"] for x in "nkmq")) for level, r in (("host", whole), ("path", path_level)))
         own = F.col(f"own_{h}")
         # A site's share without the document itself, shrunk to the level above.
         host = (F.col(f"host_{h}") - own + a * prior) / (F.col("host_n") - 1 + a)
@@ -187,7 +230,12 @@ def score(
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the rows that the classifier rejects; rows are matched by id (null ids too) and text."""
-    bad = score(docs, labels, id_col, text_col, **options).where(~F.col("keep")).select(F.col(id_col).alias("_id"), F.col("mark").alias("_mark")).distinct()
-    mark = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_id")) & (mark == F.col("_mark")), "left_anti")
+    """``docs`` without the rows that the classifier rejects; rows are matched by id (null ids too) and text.
+
+    Cases as in ``score``; repeated rows that differ in host or path alone go if one of them is
+    rejected; names of other columns can't clash.
+    """
+    i, m = unused(docs, "bad_id", "bad_mark")
+    bad = score(docs, labels, id_col, text_col, **options).where(~F.col("keep")).select(F.col(id_col).alias(i), F.col("mark").alias(m)).distinct()
+    mark = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
+    return docs.join(bad, docs[id_col].eqNullSafe(bad[i]) & (mark == bad[m]), "left_anti")

@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from railbird.llm.components import connected_components
-from railbird.llm.stage import materialize
+from railbird.llm.similar import Words, shingle_hashes, signature, similar_links, text_key
+from railbird.llm.stage import materialize, unused
 
 GOLAY = 0b110001110101  # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1
 LENGTH, RADIUS = 23, 3
@@ -34,7 +35,10 @@ BLOCK = 512  # members of an anchor that are compared with one another in one pi
 
 def simhash64(text: str | None, shingle: int = 4) -> int:
     """The fingerprint as an unsigned number; no words: zero."""
-    words = (text or "").encode().lower().split()  # bytes: ASCII letters and white space only
+    return simhash_of((text or "").encode().lower().split(), shingle)  # bytes: ASCII letters and white space only
+
+
+def simhash_of(words: list[bytes], shingle: int = 4) -> int:
     if not words:
         return 0
     whole = b" ".join(words)
@@ -61,6 +65,30 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, fp long")
 
 
+def row_mark(docs: DataFrame):
+    """A hash of a row's columns, but for those that Spark can't hash."""
+    return F.xxhash64(*(docs[f.name] for f in docs.schema.fields if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))))
+
+
+def marked(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands: bool) -> DataFrame:
+    """(id, key, mark, fp, bands): a row per input row; with ``bands`` the MinHash bands of its five-word shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Words()
+        for b in batches:
+            fps, signed = [], []
+            for t in b.column(3):
+                words = (t.as_py() or "").encode().lower().split()
+                fps.append(simhash_of(words, shingle))
+                signed.append(signature(shingle_hashes(words, known)) if bands else [])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(signed, pa.list_(pa.int64()))], ["id", "key", "mark", "fp", "bands"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("key"), row_mark(docs).alias("mark"), F.col(text_col).cast("string").alias("text")).mapInArrow(
+        run, f"id {kind}, key binary, mark long, fp long, bands array<long>"
+    )
+
+
 def _syndromes(v: np.ndarray) -> np.ndarray:
     """Remainders of the 23-bit words by the generator polynomial."""
     v = v.copy()
@@ -148,23 +176,23 @@ def local_stars(group: np.ndarray, fp: np.ndarray, threshold: int) -> tuple[np.n
 
 def _links(threshold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = [np.empty(0, np.int64)] * 2  # the group that may go on in the next batch
+        held: list[np.ndarray] = [np.empty(0, np.int64)] * 4  # anchor, blocks and fingerprints of the group that may go on in the next batch
 
         def out(group, fp):
             u, v = local_stars(group, fp, threshold)
             return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
         for b in batches:
-            group = (b.column(0).to_numpy().astype(np.int64) << 36) | (b.column(1).to_numpy().astype(np.int64) << 18) | b.column(2).to_numpy()
-            group, fp = np.concatenate([held[0], group]), np.concatenate([held[1], b.column(3).to_numpy()])
-            if not len(group):
+            now = [np.concatenate([h, c.to_numpy().astype(np.int64)]) for h, c in zip(held, b.columns, strict=True)]
+            if not len(now[0]):
                 continue
+            group = np.append(0, np.cumsum((np.diff(now[0]) != 0) | (np.diff(now[1]) != 0) | (np.diff(now[2]) != 0)))
             cut = int(np.argmax(group == group[-1]))
-            held = [group[cut:], fp[cut:]]
+            held = [c[cut:] for c in now]
             if cut:
-                yield out(group[:cut], fp[:cut])
+                yield out(group[:cut], now[3][:cut])
         if len(held[0]):
-            yield out(*held)
+            yield out(np.zeros(len(held[0]), np.int64), held[3])
 
     return run
 
@@ -177,7 +205,7 @@ def near_links(fps: DataFrame, threshold: int = THRESHOLD, block: int = BLOCK) -
     is passed on."""
     if threshold > THRESHOLD:
         raise ValueError(f"the anchors cover {THRESHOLD} differing bits")
-    spread = fps.select("fp").mapInArrow(_replicas, "anchor int, fp long")
+    spread = materialize(fps.select("fp").mapInArrow(_replicas, "anchor int, fp long"), "replicas")
     large = spread.groupBy("anchor").count().where(F.col("count") > block)
     cut = (
         spread.join(large, "anchor", "left")
@@ -197,7 +225,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``threshold`` or fewer differing bits.  Null or empty texts have fingerprint zero and
     link like any other; null ids get a row and are never a component_id unless a
     component has no other.  Repeated rows each return a row.  Equal fingerprints are
-    one node, so that copies aren't paired.  An empty table gives an empty result.
+    one node, so that copies aren't paired.  Whole texts are read, very long ones too.  Other
+    columns are left out, so none can clash.  An empty table gives an empty result.
     """
     rows = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     nodes = materialize(rows.groupBy("fp").agg(F.min("id").alias("least_id")), "nodes")
@@ -211,20 +240,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, threshold: int = THRESHOLD) -> DataFrame:
-    """``docs`` with one row of each component: that with the least id (of several rows with
-    this id, one; of components without any id, one row)."""
-    groups = near_duplicates(docs, id_col, text_col, shingle, threshold)
-    kept = groups.where(F.col(id_col).eqNullSafe(F.col("component_id")))
-    ids = kept.where(F.col(id_col).isNotNull()).select(id_col).distinct()
-    named = docs.join(ids, id_col, "left_semi").dropDuplicates([id_col])
-    bare = docs.where(F.col(id_col).isNull())
-    if id_col in docs.columns and docs.schema[id_col].nullable:
-        lone = kept.where(F.col(id_col).isNull()).select("fingerprint").distinct()
-        marks = fingerprints(bare, text_col, text_col, shingle).select(
-            F.col("id").alias("_text"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-        )
-        texts = marks.join(lone, "fingerprint").groupBy("fingerprint").agg(F.min(F.coalesce("_text", F.lit(""))).alias("_text"))
-        bare = bare.join(texts, F.coalesce(F.col(text_col), F.lit("")) == F.col("_text"), "left_semi").dropDuplicates([text_col])
-        return named.union(bare)
-    return named
+def drop_near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, threshold: int = THRESHOLD, similarity: float | None = None
+) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates.
+
+    Fingerprints of ``threshold`` or fewer differing bits are linked; with ``similarity`` so are
+    texts whose sets of five-word shingles are at least as similar (Jaccard), see
+    ``similar``.  A group is what links connect.  The row with the least id stays; of a
+    group without ids, and of several texts with that id, the one whose text's digest is
+    least; of rows with that id and text, the one with the least hash of all columns.  Null texts
+    count as empty and are near-duplicates of each other; rows with one id and different texts
+    are different documents.  Names of other columns can't clash; an empty table stays empty.
+    """
+    rows = materialize(marked(docs, id_col, text_col, shingle, similarity is not None), "fingerprints")
+    nodes = materialize(rows.select("fp").distinct(), "nodes")
+    roots = materialize(nodes.join(connected_components(near_links(nodes, threshold)).toDF("fp", "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "roots")
+    if similarity is not None:
+        more = connected_components(similar_links(docs, rows, roots, text_col, similarity)).toDF("root", "top")
+        roots = materialize(roots.join(more, "root", "left").select("fp", F.coalesce("top", "root").alias("root")), "roots")
+    # A null id comes after all others.
+    alike = rows.groupBy("fp", "id", "key", "mark").agg(F.count("*").alias("n")).withColumn("bare", F.col("id").isNull())
+    best = alike.join(roots, "fp").groupBy("root").agg(F.min(F.struct("bare", "id", "key", "mark", "n")).alias("best"))
+    names = unused(docs, "best_id", "best_key", "best_mark")
+    kept = materialize(best.select(*(F.col(f"best.{c}").alias(n) for c, n in zip(("id", "key", "mark"), names, strict=True)), (F.col("best.n") > 1).alias(names[0] + "_again")), "kept")
+    same = docs[id_col].eqNullSafe(kept[names[0]]) & (text_key(text_col) == kept[names[1]]) & (row_mark(docs) == kept[names[2]])
+    if kept.where(kept[names[0] + "_again"]).isEmpty():
+        return docs.join(kept, same, "left_semi")
+    once = docs.join(kept.where(~kept[names[0] + "_again"]), same, "left_semi")
+    again = docs.join(kept.where(kept[names[0] + "_again"]), same, "left_semi")
+    return once.union(again.dropDuplicates([id_col, text_col]))  # only rows that are the same in all columns

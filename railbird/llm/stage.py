@@ -23,6 +23,11 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, BATCH_BYTES)
 
 
+def typed(df: DataFrame, *columns: str) -> str:
+    """The DDL of some columns of ``df``."""
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
+
+
 def find_package(spark: SparkSession) -> None:
     """Lets Python workers on machines that have this repository import it, whatever folder they start in."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -31,11 +36,24 @@ def find_package(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores before it as it takes to clash with no column of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is set."""
+    """The cluster's checkpoint folder; a temporary one only where none is set and all runs on this machine."""
     bound_batches(spark)
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.sparkContext.setCheckpointDir(path)
         path = spark.sparkContext.getCheckpointDir()
@@ -44,9 +62,27 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def materialize(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
+_written: list[str] = []
+
+
+def materialize(df: DataFrame, label: str, compression: str = "zstd", level: int = 3) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    df.write.option("compression", compression).option("parquet.compression.codec.zstd.level", level).parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_tables(spark: SparkSession, since: int, kept: DataFrame) -> None:
+    """Removes the tables that ``materialize`` wrote from the ``since``-th on, but for ``kept``'s; nothing may read them any more."""
+    stay = [p for p in _written[since:] if any(p.rsplit("/", 1)[1] in f for f in kept.inputFiles())]
+    for path in _written[since:]:
+        if path not in stay:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    _written[since:] = stay
+
+
+def tables_written() -> int:
+    return len(_written)

@@ -95,7 +95,9 @@ def count_tokens(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
     """Per row: id, n_chars (code points), n_words, n_tokens.
 
     Words are what white space parts; each is split greedily, longest piece first.  Null and
-    empty texts have none.  Repeated rows and null ids return rows like any other.
+    empty texts have none; whole texts are read, very long ones too.  Repeated rows and null ids
+    return rows like any other.  Other columns are left out, so none can clash.  An empty table
+    gives an empty result.
     """
     bound_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()

@@ -11,10 +11,11 @@ import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from railbird.llm.stage import materialize
@@ -33,6 +34,13 @@ def record_id(page_id) -> str:
     return f"urn:uuid:{uuid.uuid5(_SPACE, str(page_id))}"
 
 
+def record_name(page: Column) -> Column:
+    """``record_id`` of a column of ids."""
+    h = F.sha1(F.concat(F.lit(_SPACE.bytes), page.cast("string").cast("binary")))
+    variant = F.translate(F.substring(h, 17, 1), "0123456789abcdef", "89ab" * 4)
+    return F.concat(F.lit("urn:uuid:"), F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-5"), F.substring(h, 14, 3), F.lit("-"), variant, F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12))
+
+
 def seek_table(frames: list[tuple[int, int]]) -> bytes:
     """The footer: (compressed, plain) bytes of each frame."""
     body = b"".join(struct.pack("<II", *f) for f in frames) + struct.pack("<IBI", len(frames), 0, SEEKABLE)
@@ -63,9 +71,9 @@ def write_record(page_id, url: str | None, payload: bytes, digest: str, refers_t
     if url:
         fields.append(("WARC-Target-URI", " ".join(url.split())))
     if page_id is not None:
-        fields.append(("X-Page-ID", page_id))
+        fields.append(("X-Page-ID", quote(str(page_id), safe="")))
     if refers_to is not None:
-        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<{record_id(refers_to)}>"), ("X-Refers-To-Page-ID", refers_to)]
+        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<{record_id(refers_to)}>"), ("X-Refers-To-Page-ID", quote(str(refers_to), safe=""))]
     fields += [("WARC-Payload-Digest", f"sha256:{digest}"), ("X-Payload-Length", len(payload))]
     block = _HTTP.format(len(payload)).encode() + (payload if refers_to is None else b"")
     fields += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", len(block))]
@@ -79,6 +87,7 @@ def read_record(record: bytes) -> tuple[dict[str, str], bytes]:
     if not lines[0].startswith("WARC/"):
         raise ValueError("not a record")
     fields = dict(x.split(": ", 1) for x in lines[1:])
+    fields |= {k: unquote(v) for k, v in fields.items() if k in ("X-Page-ID", "X-Refers-To-Page-ID")}
     block = rest[: int(fields["Content-Length"])]
     return fields, block.partition(b"\r\n\r\n")[2]
 
@@ -165,13 +174,8 @@ def read_bundles(bundles: DataFrame) -> DataFrame:
 
 
 def fetch(bundles: DataFrame, ids: DataFrame, id_col: str = "page_id") -> DataFrame:
-    """(record_id, record): the records of the pages in ``ids``, each read from one frame of its bundle."""
-
-    @F.udf("string")
-    def name(page):  # noqa: ANN001
-        return record_id(page)
-
-    wanted = ids.select(name(F.col(id_col).cast("string")).alias("record_id")).distinct()
+    """(record_id, record): the records of the pages in ``ids``, each frame read once for all of its records."""
+    wanted = ids.select(record_name(F.col(id_col)).alias("record_id")).distinct()
     places = bundles.select("bundle_id", F.explode("index").alias("e")).select("bundle_id", "e.*").join(wanted, "record_id")
     asked = places.groupBy("bundle_id").agg(F.collect_list(F.struct("record_id", "frame", "offset", "length")).alias("asked"))
 
@@ -180,19 +184,39 @@ def fetch(bundles: DataFrame, ids: DataFrame, id_col: str = "page_id") -> DataFr
             for data, wants in zip(b.column(0), b.column(1), strict=True):
                 bundle = data.as_py()
                 table = read_seek_table(bundle)
-                got = [(e["record_id"], read_frame(bundle, table[e["frame"]])[e["offset"] : e["offset"] + e["length"]]) for e in wants.as_py()]
+                got, last, plain = [], None, b""
+                for e in sorted(wants.as_py(), key=lambda e: (e["frame"], e["offset"])):
+                    if e["frame"] != last:
+                        last, plain = e["frame"], read_frame(bundle, table[e["frame"]])
+                    got.append((e["record_id"], plain[e["offset"] : e["offset"] + e["length"]]))
                 yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got]), pa.array([g[1] for g in got], pa.binary())], ["record_id", "record"])
 
     return bundles.select("bundle_id", "data").join(asked, "bundle_id").select("data", "asked").mapInArrow(run, "record_id string, record binary")
 
 
+def resolve_revisits(read: DataFrame) -> DataFrame:
+    """Rows of ``read_bundles``, in which length and digest of a revisit are those of the response that it refers to.
+
+    A revisit without a response of its digest is an error.
+    """
+    found = read.where("record_type = 'response'").select(F.col("page_id").alias("response"), F.col("payload_digest").alias("digest"), F.col("payload_bytes").alias("n")).distinct()
+    revisits = read.where("record_type = 'revisit'").join(found, (F.col("refers_to") == F.col("response")) & (F.col("payload_digest") == F.col("digest")), "left")
+    n = F.coalesce("n", F.raise_error(F.concat(F.lit("no response to revisit "), F.col("record_id"))).cast("long"))
+    others = [c for c in read.columns if c not in ("payload_bytes", "payload_digest")]
+    checked = revisits.select(*others, n.alias("payload_bytes"), F.col("digest").alias("payload_digest"))
+    return read.where("record_type = 'response'").unionByName(checked)
+
+
 def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Writes all pages to bundles in the shared folder and reads them back.
 
     Per row: id, payload_bytes, payload_digest, record_type, refers_to.  Null html is an empty
-    payload.  Of repeated rows with the least id all are responses; a null id refers to the
-    least id with its payload, if there is one.  An empty table gives an empty result.
+    payload; a very long page is a frame, and a bundle, of its own.  Of repeated rows with the
+    least id all are responses; a null id refers to the least id with its payload, if there is
+    one.  Ids may be any text.  Other columns are left out, so none can clash.  An empty table
+    gives an empty result.
     """
     kind = pages.schema[id_col].dataType
     bundles = materialize(write_bundles(mark_revisits(pages, id_col, url_col, html_col)), "warc", "none")
-    return read_bundles(bundles).select(F.col("page_id").cast(kind).alias(id_col), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+    read = resolve_revisits(materialize(read_bundles(bundles), "warc-read"))
+    return read.select(F.col("page_id").cast(kind).alias(id_col), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))

@@ -2,10 +2,11 @@
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 from railbird.llm import packing, pii, quality
 from railbird.llm.queries import tokenizer
 from railbird.llm.stage import materialize
-from tests.llm.test_operators import brute_contamination, brute_fingerprint, brute_spans
+from tests.llm.test_operators import NASTY, PRIVATE, brute_contamination, brute_groups, brute_spans, docs_of, near_copies
 
 
 @pytest.fixture(scope="module")
@@ -34,20 +35,10 @@ def test_classifier_rejects_what_it_scores_low(spark, sf, steps):
 
 
 def test_one_of_each_group_stays(steps):
-    before, after = texts(steps[1]), texts(steps[2])
-    fps = {i: brute_fingerprint(t) for i, t in before.items()}
-    ids = sorted(fps)
-    root = {i: i for i in ids}
-    for n, a in enumerate(ids):
-        for b in ids[:n]:
-            if (fps[a] ^ fps[b]).bit_count() <= 4:
-                x, y = a, b
-                while root[x] != x:
-                    x = root[x]
-                while root[y] != y:
-                    y = root[y]
-                root[max(x, y)] = min(x, y)
-    assert set(after) == {i for i in ids if root[i] == i}
+    """Links are four bits or fewer, or a similarity of 0.8 or more of five-word shingles."""
+    before, after = sorted(texts(steps[1]).items()), texts(steps[2])
+    groups = brute_groups(before, 0.8)
+    assert set(after) == {before[g][0] for g in groups}
 
 
 def test_benchmark_passages_go(spark, sf, steps):
@@ -70,3 +61,26 @@ def test_every_token_is_packed(steps):
     encode = packing.Encoder(tokenizer("byte_bpe_50k.json"))
     want = sum(len(encode(t)) // 4 + 1 for t in texts(steps[4]).values())
     assert sum(r.length for r in steps[5].collect()) == want
+
+
+def test_bare_rows_go_through_all_stages(spark, sf):
+    """Nulls, repeated ids with different texts, clashing names, near copies; then nothing at all."""
+    docs = docs_of(spark, NASTY + PRIVATE + near_copies()).withColumn("text", F.col("text").cast("string"))
+    for table in (docs, docs.limit(0)):
+        now = table
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            kept = materialize(stage(spark, now, sf), name)
+            assert kept.columns == docs.columns
+            n = kept.count()
+            assert n <= now.count() and (name != "pii_sanitisation" or n == now.count())
+            now = kept
+        packed = corpus_pipeline.STAGES[-1][1](spark, now, sf)
+        assert packed.select("doc_id").count() >= now.count()
+
+
+def test_run_leaves_only_its_own_tables(spark, sf):
+    from railbird.llm import stage
+
+    before = stage.tables_written()
+    assert corpus_pipeline.run(spark, sf).count() > 0
+    assert stage.tables_written() == before + len(corpus_pipeline.STAGES)
