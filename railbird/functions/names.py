@@ -12,9 +12,9 @@ def squeeze(text: Column) -> Column:
 
 
 def normalize_name(name: Column) -> Column:
-    """Without bracketed parts, letters and digits only, lower case; null counts as empty."""
+    """Without bracketed parts, ASCII letters and digits only ('Café' is 'caf'), lower case; null counts as empty."""
     bare = F.regexp_replace(F.coalesce(name, F.lit("")), r"\([^)]*\)", "")
-    return F.lower(F.regexp_replace(bare, r"[^\p{L}\p{N}]", ""))
+    return F.lower(F.regexp_replace(bare, r"[^A-Za-z0-9]", ""))
 
 
 def normalize_pgm(number: Column) -> Column:

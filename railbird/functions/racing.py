@@ -41,7 +41,9 @@ def parse_chart_url(url: Column) -> Column:
     """struct(track_code, race_date, race_number) of a name such as WO042526CAN1.pdf; nulls if it isn't one."""
     pattern = r"([A-Z]{2,3})(\d{6})(?:USA|CAN)(\d+)\.pdf"
     part = lambda i: F.nullif(F.regexp_extract(url, pattern, i), F.lit(""))
-    return F.struct(part(1).alias("track_code"), F.to_date(F.try_to_timestamp(part(2), F.lit("MMddyy"))).alias("race_date"), part(3).cast("int").alias("race_number"))
+    year = F.right(part(2), F.lit(2)).cast("int")
+    whole = F.concat(F.left(part(2), F.lit(4)), F.when(year >= 69, year + 1900).otherwise(year + 2000).cast("string"))
+    return F.struct(part(1).alias("track_code"), F.to_date(F.try_to_timestamp(whole, F.lit("MMddyyyy"))).alias("race_date"), part(3).cast("int").alias("race_number"))
 
 
 def clean_purse(text: Column) -> Column:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from railbird.functions.money import MONEY, key_combos, perm2, perm3, scale_payout
-from railbird.operators.joins import first_exotic
 
 SINGLE = ("Win", "Place", "Show", "Win Place", "Place Show", "WPS", "Win Place Show")
 BOXES = ("Exacta Box", "Trifecta Box")
@@ -36,21 +38,41 @@ def bet_cost(bets: DataFrame) -> DataFrame:
 
 
 def validate_bets(bets: DataFrame, races: DataFrame, funds: int = 1000) -> DataFrame:
-    """Adds reject_reason (null: accepted): missing fields, no such race, or not enough funds left in the wallet,
-    whose earlier bets count first."""
-    known = races.select("race_id", F.lit(True).alias("_race"))
-    b = bet_cost(bets).join(known, "race_id", "left")
-    fit = F.col("race_id").isNotNull() & F.col("bet_type").isNotNull() & F.col("_race").isNotNull()
-    spent = F.sum(F.when(fit, F.col("bet_cost")).otherwise(0)).over(Window.partitionBy("wallet_id").orderBy("created_at", "bet_id").rowsBetween(Window.unboundedPreceding, 0))
-    reason = (
-        F.when(F.col("race_id").isNull() | F.col("bet_type").isNull(), "missing_fields").when(F.col("_race").isNull(), "race_not_found").when(spent > funds, "insufficient_funds")
-    )
-    return b.withColumn("reject_reason", reason).drop("_race")
+    """Adds reject_reason (null: accepted): missing fields, no such race, or not enough funds left in the wallet.
 
-
-def _finishers(entries: DataFrame) -> DataFrame:
-    seen = F.when(F.col("finish_position").isNotNull(), F.struct("finish_position", "program_number"))
-    return entries.groupBy("race_id").agg(F.transform(F.array_sort(F.collect_list(seen)), lambda x: x["program_number"]).alias("finishers"))
+    Only accepted bets are spent, in the order of created_at and bet_id: a bet that the wallet can't pay leaves
+    the funds to later, cheaper ones.  Each wallet is gone through in order, with its balance as all that is
+    kept; bet_id is a key, and a bet without a wallet belongs to the wallet of those without.
+    """
+    known = races.select("race_id").distinct().withColumn("_race", F.lit(True))
+    b = bet_cost(bets).join(known, "race_id", "left")
+    reason = F.when(F.col("race_id").isNull() | F.col("bet_type").isNull(), "missing_fields").when(F.col("_race").isNull(), "race_not_found")
+    asked = b.select("bet_id", "wallet_id", "created_at", (F.col("bet_cost") * 100).cast("long").alias("cents"), reason.alias("reason"))
+    in_order = asked.repartition("wallet_id").sortWithinPartitions("wallet_id", "created_at", "bet_id").select("bet_id", "wallet_id", "cents", "reason")
+
+    def spend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, left = object(), 0
+        for batch in batches:
+            reasons = []
+            for wallet, cents, why in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+                if wallet != now:
+                    now, left = wallet, funds * 100
+                if why is None and (cents or 0) > left:
+                    why = "insufficient_funds"
+                elif why is None:
+                    left -= cents or 0
+                reasons.append(why)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(reasons, pa.string())], ["bet_id", "reject_reason"])
+
+    decided = in_order.mapInArrow(spend, f"bet_id {dict(bets.dtypes)['bet_id']}, reject_reason string")
+    return b.drop("_race").join(decided, "bet_id")
+
+
+def _runners(entries: DataFrame) -> DataFrame:
+    """race_id, runners: a race's entries by place; a place of 0 is none."""
+    place = F.when(F.col("finish_position") > 0, F.col("finish_position"))
+    runner = F.struct(place.isNull().alias("unplaced"), place.alias("finish_position"), "program_number", "scratched", "win_payout", "place_payout", "show_payout")
+    return entries.groupBy("race_id").agg(F.array_sort(F.collect_list(runner)).alias("runners"))
 
 
 def _at(finishers: str, i: int) -> Column:
@@ -65,14 +87,18 @@ def settle(bets: DataFrame, races: DataFrame, entries: DataFrame, exotics: DataF
     fitting exotic payout, nothing without one.  Two days after their race, bets on a
     cancelled one are returned and others are lost.  A bet of no known type loses.
     """
-    horse = entries.select("race_id", F.col("program_number").alias("horse_number"), "scratched", "finish_position", "win_payout", "place_payout", "show_payout")
+    kind = F.lower("wager_type")
+    first = lambda label: F.min_by("payout", F.when(kind.contains(label), F.col("seq")))
+    paid_exotics = exotics.groupBy("race_id").agg(first("exacta").alias("exacta_payout"), first("trifecta").alias("trifecta_payout"))
     b = (
         parse_selection(bet_cost(bets.where("status = 'Pending'")))
         .join(races.select("race_id", "race_status", "race_date"), "race_id")
-        .join(horse, ["race_id", "horse_number"], "left")
-        .join(_finishers(entries), "race_id", "left")
-        .join(first_exotic(exotics, "exacta").withColumnRenamed("exotic_payout", "exacta_payout"), "race_id", "left")
-        .join(first_exotic(exotics, "trifecta").withColumnRenamed("exotic_payout", "trifecta_payout"), "race_id", "left")
+        .join(_runners(entries), "race_id", "left")
+        .join(paid_exotics, "race_id", "left")
+        .withColumn("_horse", F.get(F.filter("runners", lambda x: x["program_number"] == F.col("horse_number")), F.lit(0)))
+        .withColumn("finishers", F.transform(F.filter("runners", lambda x: ~x["unplaced"]), lambda x: x["program_number"]))
+        .select("*", *(F.col(f"_horse.{c}").alias(c) for c in ("scratched", "finish_position", "win_payout", "place_payout", "show_payout")))
+        .drop("_horse", "runners")
     )
     kind, stake, pos = F.col("bet_type"), F.col("bet_amount"), F.col("finish_position")
     legs = {n: F.when(pos <= i, scale_payout(F.col(f"{n}_payout"), stake)).otherwise(F.lit(0).cast("decimal(20,5)")) for i, n in enumerate(("win", "place", "show"), 1)}

@@ -106,9 +106,30 @@ def latest_snapshot(snapshots: DataFrame) -> DataFrame:
     return snapshots.groupBy("snapshot_key").agg(F.max_by("payload", F.struct("captured_at", "payload")).alias("payload"), F.max("captured_at").alias("captured_at"))
 
 
-def consecutive_runs(states: DataFrame, keys: tuple[str, ...], order: str, flag: str) -> DataFrame:
-    """Adds run: how many rows in a row, up to this one, have ``flag``; 0 where it is false."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    resets = F.sum((~F.col(flag)).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    island = Window.partitionBy(*keys, "_island").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return states.withColumn("_island", resets).withColumn("run", F.sum(F.col(flag).cast("int")).over(island)).drop("_island")
+def running(rows: DataFrame, keys: tuple[str, ...], bucket: Column, order: list, **values: tuple[str, Column]) -> DataFrame:
+    """Adds running sums or maxima, (``"sum"`` or ``"max"``, column) by name, over each key in ``order``.
+
+    A key's rows are cut by ``bucket``, which must not fall as the order rises; totals of the buckets before,
+    a row for each, carry on.  So a key with a third of all rows is many windows.
+    """
+    how = {"sum": F.sum, "max": F.max}
+    own = [*keys, "_bucket"]
+    at = rows.withColumn("_bucket", bucket).withColumns({f"_v_{n}": c for n, (_, c) in values.items()})
+    totals = at.groupBy(*own).agg(*(how[f](f"_v_{n}").alias(f"_t_{n}") for n, (f, _) in values.items()))
+    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(*(F.col(k).alias(f"_k_{k}") for k in own), *(how[f](f"_t_{n}").over(earlier).alias(f"_b_{n}") for n, (f, _) in values.items()))
+    on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in own]
+    within = Window.partitionBy(*own).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = at.join(before, on)
+    for n, (f, _) in values.items():
+        here = how[f](f"_v_{n}").over(within)
+        out = out.withColumn(n, F.coalesce(here, F.lit(0)) + F.coalesce(f"_b_{n}", F.lit(0)) if f == "sum" else F.greatest(here, f"_b_{n}"))
+    return out.select(*rows.columns, *values)
+
+
+def consecutive_runs(states: DataFrame, keys: tuple[str, ...], order: str, flag: str, bucket: Column | None = None) -> DataFrame:
+    """Adds run: how many rows in a row, up to this one, have ``flag``; 0 where it is false.  ``bucket`` as in ``running``."""
+    part = F.lit(0) if bucket is None else bucket
+    counted = running(states.withColumn("_part", part), keys, F.col("_part"), [order], _seen=("sum", F.col(flag).cast("long")))
+    reset = running(counted, keys, F.col("_part"), [order], _base=("max", F.when(~F.col(flag), F.col("_seen"))))
+    return reset.withColumn("run", F.when(F.col(flag), F.col("_seen") - F.coalesce("_base", F.lit(0))).otherwise(0)).drop("_seen", "_base", "_part")

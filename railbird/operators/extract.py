@@ -27,6 +27,11 @@ def _staged(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))).alias("_s")).select("*", "_s.*").drop("_s")
 
 
+# How a feed's line goes on after a horse, and what a form has of breeding on a horse's line.
+AFTER_HORSE = ("Scratched", "Scratch Reason", "Jockey", "Weight", "First Start", "Gelding", "Correction", "Equipment", "Workouts")
+BREEDING = ("Life", ".m.", ".g.", ".f.", ".c.")
+
+
 def lines(docs: DataFrame, text: str = "text", by: str = r"\r?\n", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """A row per line: keys, line_no from 0, line."""
     return docs.select(*keys, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), by)).alias("line_no", "line"))
@@ -36,7 +41,7 @@ def extract_rss_changes(items: DataFrame) -> DataFrame:
     """(doc_id, track_code, description) -> a row per feed line that names a race."""
     at = lines(items, "description", LINE_BREAK, ("doc_id", "track_code")).where("trim(line) <> ''")
     cancelled = r"(?is)Race\s*(\d+):.*?Race Cancelled.*?- (.*)"
-    horse = r"(?is)^#\s*(\w+)\s+(.*?)\s+((?:Scratched|Scratch Reason|Jockey|Weight|First Start|Gelding|Correction|Equipment|Workouts).*)"
+    horse = rf"(?is)^#\s*(\w+)\s+(.*?)\s+((?:{'|'.join(AFTER_HORSE)}).*)"
     line = F.col("line")
     at = _staged(at, off=_first(line, cancelled), why=F.trim(F.regexp_extract(line, cancelled, 2)), plain=F.trim(F.regexp_replace(line, r"<[^>]+>", "")))
     at = _staged(at, race=F.coalesce("off", _first(F.col("plain"), r"^Race\s*(\d+):")).cast("int"), content=F.trim(F.regexp_replace("plain", r"^Race\s*\d+:", ""))).where("race IS NOT NULL")
@@ -167,16 +172,32 @@ def extract_running_lines(races: DataFrame) -> DataFrame:
     return rows.select("doc_id", "segment", F.col("row").cast("int").alias("finish_position"), F.regexp_extract("whole", pattern, 1).alias("program_number"), F.trim(F.regexp_extract("whole", pattern, 2)).alias("horse_name"))
 
 
+# What the name cell of a row that is no runner has in it; lower case.
+TABLE_LABELS = ("preliminary", "mutuel", "total", "wps", "claiming", "footnote", "winner", "final time")
+
+
 def extract_table_horses(cells: DataFrame) -> DataFrame:
-    """(doc_id, table_no, row_no, cells) -> finishers of each document's largest table, by row."""
+    """(doc_id, table_no, row_no, cells) -> finishers: program_number, horse_name, jockey, trainer, odds, finish_position.
+
+    Read are the rows below the first one of each document's largest table, and after them those of other tables
+    whose first row has as many cells, give or take one, without repeated headers.  Rows of less than three cells,
+    scratched ones and labels are no runners; places count runners, nameless ones too.
+    """
     from railbird.operators.dedupe import finish_by_order, first_by
-    from railbird.operators.filters import without_metadata_rows
 
-    sizes = first_by(cells.groupBy("doc_id", "table_no").agg(F.count("*").alias("n")), ["doc_id"], [F.desc("n"), "table_no"]).select("doc_id", "table_no")
-    rows = cells.join(sizes, ["doc_id", "table_no"], "left_semi").where(F.size("cells") >= 3)
-    named = rows.select("doc_id", "row_no", names.normalize_pgm(F.get("cells", F.lit(1))).alias("program_number"), F.trim(F.regexp_replace(F.get("cells", F.lit(2)), r"\(.*$", "")).alias("horse_name"))
-    runners = without_metadata_rows(named).where(F.col("program_number").rlike(r"^\d+[A-Z]?$") & names.valid_horse_name(F.col("horse_name")))
-    return finish_by_order(runners, ("doc_id",), "row_no")
+    shape = cells.groupBy("doc_id", "table_no").agg(F.count("*").alias("n"), F.min_by(F.size("cells"), "row_no").alias("width"), F.min("row_no").alias("head"))
+    largest = first_by(shape, ["doc_id"], [F.desc("n"), "table_no"]).where("n >= 2").select("doc_id", F.col("table_no").alias("first"), F.col("width").alias("wide"))
+    taken = shape.join(largest, "doc_id").where("table_no = first OR abs(width - wide) <= 1").select("doc_id", "table_no", "head", (F.col("table_no") != F.col("first")).alias("later"))
+    said = F.lower(F.array_join("cells", " "))
+    header = said.contains("horse") & (said.contains("jockey") | said.contains("pgm"))
+    rows = cells.join(taken, ["doc_id", "table_no"]).where(F.when(F.col("later"), ~header).otherwise(F.col("row_no") > F.col("head"))).where(F.size("cells") >= 3)
+    cell = lambda i: F.nullif(F.trim(F.get("cells", F.lit(i))), F.lit(""))
+    label = F.exists(F.array(*map(F.lit, TABLE_LABELS)), lambda w: F.lower(cell(1)).contains(w))
+    runners = rows.where(~said.contains("scratched") & ~F.array_contains(F.split(said, r"\s+"), "scr") & ~F.coalesce(label, F.lit(False)))
+    placed = finish_by_order(runners.withColumn("place", F.struct("later", "table_no", "row_no")), ("doc_id",), "place")
+    number = names.normalize_pgm(F.coalesce(cell(0), F.col("finish_position").cast("string")))
+    name = F.regexp_replace(cell(1), r"[^\w\s'-]", "")
+    return placed.select("doc_id", number.alias("program_number"), name.alias("horse_name"), cell(2).alias("jockey"), cell(3).alias("trainer"), cell(4).alias("odds"), "finish_position").where("horse_name <> ''")
 
 
 def extract_text_horses(races: DataFrame) -> DataFrame:
@@ -318,6 +339,17 @@ def extract_form_race(pages: DataFrame) -> DataFrame:
     )
 
 
+def detect_form_entry_pages(pages: DataFrame) -> DataFrame:
+    """Adds is_entry_page: a page that goes on with horses.  Its second line is a number alone, its first 500
+    characters speak of a life record or a sire, and its third line is a horse with breeding in it."""
+    row = F.split("text", "\n")
+    line = lambda i: F.coalesce(F.get(row, F.lit(i)), F.lit(""))
+    head = F.upper(F.substring("text", 1, 500))
+    breeding = F.exists(F.array(*map(F.lit, BREEDING)), lambda b: line(2).contains(b))
+    fits = (F.size(row) >= 3) & F.trim(line(1)).rlike(r"^\d+$") & (head.contains("LIFE") | head.contains("SIRE:")) & line(2).rlike(r"^[A-Za-z']") & breeding
+    return pages.withColumn("is_entry_page", F.coalesce(fits, F.lit(False)))
+
+
 def extract_form_horses(pages: DataFrame) -> DataFrame:
     """(doc_id, page_no, text) -> pairs of a line with a number from 1 to 20 alone and the name in the line below."""
     at = lines(pages, keys=("doc_id", "page_no"))

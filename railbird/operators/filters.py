@@ -70,15 +70,20 @@ def valid_programs(df: DataFrame, column: str = "program_number") -> tuple[DataF
     return df.where(good), df.where(~good)
 
 
-def classify_page(html: Column) -> Column:
-    """blocked, no_card or success: short pages and marks of a wall or of an empty card."""
+# What pages of a wall, and pages of a missing card, have in them; lower case.
+BLOCKED_MARKS = ("visid_incap", "incap_ses", "request unsuccessful", "access denied", "incapsula")
+NO_CARD_MARKS = ("404 - file or directory not found", "<title>404")
+SHORT_PAGE = 5000
+
+
+def classify_page(html: Column, size: Column | None = None) -> Column:
+    """blocked, no_card or success.  A short page is blocked, unless it is a 404 without marks of a wall; one
+    without a known size (by default its length, 0 counts as unknown) is never short."""
     low = F.lower(F.coalesce(html, F.lit("")))
-    return (
-        F.when((F.length(low) < 5000) & low.rlike("captcha|access denied|incapsula|pardon our interruption|cloudflare"), "blocked")
-        .when(low.rlike("no entries|no races|not available"), "no_card")
-        .when(F.length(low) > 500, "success")
-        .otherwise("no_card")
-    )
+    n = F.coalesce(F.length(html) if size is None else size, F.lit(0))
+    short = (n > 0) & (n < SHORT_PAGE)
+    has = lambda marks: F.exists(F.array(*map(F.lit, marks)), lambda m: low.contains(m))
+    return F.when(short & has(BLOCKED_MARKS), "blocked").when(has(NO_CARD_MARKS), "no_card").when(short, "blocked").otherwise("success")
 
 
 def fresh(df: DataFrame, published: str, day: str) -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from railbird.functions.names import normalize_name, normalize_pgm
 
-MOST_REQUESTS = 1000
+GRAM = 3
 
 
 def join_track(df: DataFrame, tracks: DataFrame) -> DataFrame:
@@ -118,20 +118,30 @@ def count_default(tracks: DataFrame, totals: DataFrame) -> DataFrame:
     return tracks.join(totals, "track_code", "left").withColumn("total", F.coalesce("total", F.lit(0)).cast("long"))
 
 
+def _grams(text: Column) -> Column:
+    """The runs of ``GRAM`` characters of a text; of a shorter one none."""
+    at = F.when(F.length(text) >= GRAM, F.sequence(F.lit(1), F.length(text) - GRAM + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(at, lambda i: F.substr(text, i, F.lit(GRAM))))
+
+
 def lookup_horse(requests: DataFrame, horses: DataFrame) -> DataFrame:
     """request, outcome, matches, horse_id: equal names first, else names that contain the request.
 
-    outcome is matched, ambiguous or not_found; horse_id only for matched.  Requests are a
-    list that users give, ``MOST_REQUESTS`` at a time; contained names are found by one scan with all of them.
+    outcome is matched, ambiguous or not_found; horse_id only for matched.  Requests may be any number: a name
+    contains a request only if it contains its rarest run of three characters, on which the two are joined.  Shorter
+    requests are joined on the names' runs of their own length; an empty one is in every name.
     """
     r = requests.withColumn("_r", F.lower(F.trim("request")))
     h = horses.select("horse_id", F.lower("horse_name").alias("_h"))
     exact = r.join(h, F.col("_r") == F.col("_h")).groupBy("request").agg(F.count("*").alias("n1"), F.min("horse_id").alias("h1"))
-    asked = [(x["request"], x["_r"]) for x in r.select("request", "_r").distinct().limit(MOST_REQUESTS + 1).collect()]
-    if len(asked) > MOST_REQUESTS:
-        raise ValueError(f"more than {MOST_REQUESTS} requests at a time")
-    found = F.filter(F.array(*(F.struct(F.lit(a).alias("request"), F.lit(b).alias("part")) for a, b in asked)), lambda x: F.col("_h").contains(x["part"]))
-    part = h.select("horse_id", F.explode(found).alias("f")).groupBy("f.request").agg(F.count("*").alias("n2"), F.min("horse_id").alias("h2"))
+    asked = r.join(exact.select("request"), "request", "left_anti").select("request", "_r").distinct()
+    width = F.least(F.length("_r"), F.lit(GRAM))
+    parts = lambda k: F.transform(F.when(F.length("_h") >= k, F.sequence(F.lit(1), F.length("_h") - k + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.substr(F.col("_h"), i, F.lit(k)))
+    named = h.select("horse_id", "_h", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), *(parts(k) for k in range(1, GRAM + 1))))).alias("gram"))
+    often = named.groupBy("gram").agg(F.count("*").alias("often"))
+    wanted = asked.select("request", "_r", F.explode(F.when(width < GRAM, F.array("_r")).otherwise(_grams(F.col("_r")))).alias("gram"))
+    rarest = wanted.join(often, "gram").groupBy("request", "_r").agg(F.min_by("gram", F.struct("often", "gram")).alias("gram"))
+    part = rarest.join(named, "gram").where(F.col("_h").contains(F.col("_r"))).groupBy("request").agg(F.count("*").alias("n2"), F.min("horse_id").alias("h2"))
     out = r.join(exact, "request", "left").join(part, "request", "left")
     n = F.coalesce("n1", "n2", F.lit(0))
     return out.select(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from railbird.functions.names import change_identity, program_order
@@ -20,32 +20,47 @@ def paginate(df: DataFrame, order: list, page: int, limit: int) -> tuple[DataFra
     return rows, total, pages, page < pages
 
 
-def page_export(df: DataFrame, order: list[str], limit: int, partitions: int = 32) -> DataFrame:
-    """All rows with page: ranges are sorted apart, and each counts on from those before it."""
+def numbered(df: DataFrame, order: list, partitions: int = 32) -> DataFrame:
+    """All rows with pos, from 1, in a total order: ranges are sorted apart, and each counts on from those before it."""
     dealt = df.repartitionByRange(partitions, *order).withColumn("_part", F.spark_partition_id())
-    from pyspark.sql import Window
-
     own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    counts = dealt.groupBy("_part").count()
-    before = counts.alias("a").join(counts.select(F.col("_part").alias("_p"), F.col("count").alias("_c")).alias("b"), F.col("_p") < F.col("_part"), "left").groupBy("_part").agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("_before"))
-    return dealt.withColumn("_own", own).join(before, "_part").withColumn("page", (F.floor((F.col("_before") + F.col("_own") - 1) / limit) + 1).cast("long")).drop("_part", "_own", "_before")
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    before = dealt.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_before"))
+    return dealt.withColumn("_own", own).join(before, "_part").withColumn("pos", (F.col("_before") + F.col("_own")).cast("long")).drop("_part", "_own", "_before")
+
+
+def page_export(df: DataFrame, order: list, limit: int, partitions: int = 32) -> DataFrame:
+    """All rows with page, from 1, of ``limit`` rows each."""
+    return numbered(df, order, partitions).withColumn("page", (F.floor((F.col("pos") - 1) / limit) + 1).cast("long")).drop("pos")
+
+
+def changes_order(descending: bool = False) -> list[Column]:
+    keys = [F.col("race_date"), F.col("track_code"), F.col("race_number"), change_identity(F.col("program_number"), F.col("horse_name")), F.col("change_id"), F.col("source_rank")]
+    return [k.desc() if descending else k.asc() for k in keys]
 
 
 def sort_changes(feed: DataFrame, descending: bool = False) -> DataFrame:
-    keys = [F.col("race_date"), F.col("track_code"), F.col("race_number"), change_identity(F.col("program_number"), F.col("horse_name")), F.col("change_id")]
-    return feed.orderBy(*(k.desc() if descending else k.asc() for k in keys))
+    return feed.orderBy(*changes_order(descending))
+
+
+def history_order() -> list[Column]:
+    return [F.desc_nulls_last("race_date"), F.desc_nulls_last("race_number"), F.col("entry_id")]
 
 
 def sort_history(df: DataFrame) -> DataFrame:
-    return df.orderBy(F.desc_nulls_last("race_date"), F.desc_nulls_last("race_number"), "entry_id")
+    return df.orderBy(*history_order())
 
 
-def sort_table(df: DataFrame, column: str, descending: bool = False, tie: str = "race_id") -> DataFrame:
+def table_order(df: DataFrame, column: str, descending: bool = False, tie: str = "race_id") -> list[Column]:
     """As tables in a browser sort: texts by lower case with nulls as '', numbers by value, dates then by track and number."""
     kind = dict(df.dtypes)[column]
     key: Column = F.lower(F.coalesce(column, F.lit(""))) if kind == "string" else F.col(column)
     more = ["track_code", "race_number"] if kind == "date" else []
-    return df.orderBy(key.desc_nulls_last() if descending else key.asc_nulls_first(), *more, tie)
+    return [key.desc_nulls_last() if descending else key.asc_nulls_first(), *map(F.col, more), F.col(tie)]
+
+
+def sort_table(df: DataFrame, column: str, descending: bool = False, tie: str = "race_id") -> DataFrame:
+    return df.orderBy(*table_order(df, column, descending, tie))
 
 
 def sort_by(df: DataFrame, criteria: list[tuple[str, bool]]) -> DataFrame:
@@ -53,12 +68,20 @@ def sort_by(df: DataFrame, criteria: list[tuple[str, bool]]) -> DataFrame:
     return df.orderBy(*(F.desc_nulls_last(c) if down else F.asc_nulls_last(c) for c, down in criteria))
 
 
+def card_order() -> list[Column]:
+    return [F.col("race_id"), F.asc_nulls_last("finish_position"), program_order(F.col("program_number")), F.col("program_number")]
+
+
 def sort_card(entries: DataFrame) -> DataFrame:
-    return entries.orderBy("race_id", F.asc_nulls_last("finish_position"), program_order(F.col("program_number")), "program_number")
+    return entries.orderBy(*card_order())
+
+
+def pinned_order(pinned: str = "WO", tie: str = "track_code") -> list[Column]:
+    return [F.col("track_code") != pinned, F.lower("track_name"), F.col(tie)]
 
 
 def sort_pinned_first(tracks: DataFrame, pinned: str = "WO") -> DataFrame:
-    return tracks.orderBy(F.col("track_code") != pinned, F.lower("track_name"), "track_code")
+    return tracks.orderBy(*pinned_order(pinned))
 
 
 def split_favourites(df: DataFrame, favourites: DataFrame, key: str, name: str) -> DataFrame:

@@ -46,10 +46,13 @@ def scan_table(r):
 
 
 @query("v_entries_raw", sql="""
-  SELECT race_id, line, horse_id, jockey_id, price FROM (SELECT *, row_number() OVER (PARTITION BY race_id, line ORDER BY shipped DESC, price DESC, horse_id DESC, jockey_id DESC) AS n FROM v_entries_raw) WHERE n = 1""")
+  , old AS (SELECT DISTINCT race_id, line + 1 AS line, 0.0 AS price, 0 AS horse_id FROM v_entries_raw),
+  new AS (SELECT race_id, line, price, horse_id FROM (SELECT *, row_number() OVER (PARTITION BY race_id, line ORDER BY shipped DESC, price DESC, horse_id DESC, jockey_id DESC) AS n FROM v_entries_raw) WHERE n = 1)
+  SELECT race_id, line, horse_id, price FROM new UNION ALL SELECT race_id, line, horse_id, price FROM old WHERE NOT EXISTS (SELECT 1 FROM new WHERE new.race_id = old.race_id AND new.line = old.line)""")
 def upsert(r):
     rows = r.entries_raw.select("shipped", "price", "horse_id", "jockey_id", "race_id", "line")
-    return tables.upsert(rows.limit(0), rows, ["race_id", "line"], ["shipped", "price", "horse_id", "jockey_id"]).drop("shipped")
+    old = rows.select("race_id", (F.col("line") + 1).alias("line")).distinct().select(F.lit(None).cast("timestamp").alias("shipped"), F.lit(0.0).alias("price"), F.lit(0).cast("long").alias("horse_id"), F.lit(0).cast("long").alias("jockey_id"), "race_id", "line")
+    return tables.upsert(old, rows, ["race_id", "line"], ["shipped", "price", "horse_id", "jockey_id"]).select("race_id", "line", "horse_id", "price")
 
 
 @query("v_races", sql="""
@@ -69,7 +72,8 @@ def fill_if_missing(r):
 @query("v_changes", sql="SELECT count(*) FILTER (WHERE program_number IS NOT NULL) AS good, count(*) FILTER (WHERE program_number IS NULL) AS bad FROM v_changes")
 def insert_with_quarantine(r):
     good, bad = tables.quarantine(r.changes, F.col("program_number") != "0")
-    return good.agg(F.count("*").alias("good")).join(bad.agg(F.count("*").alias("bad")), F.lit(True))
+    both = good.select(F.lit(1).alias("good"), F.lit(0).alias("bad")).union(bad.select(F.lit(0), F.lit(1)))
+    return both.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
 
 
 @query("v_tracks", sql="SELECT track_code, track_name FROM v_tracks UNION ALL SELECT 'WO', 'Woodbine'")
@@ -204,9 +208,9 @@ def scratch_feed(r):
     return products.scratch_feed(r, "all", AS_OF_DATE).select("id", "race_key", "program_number", "horse_name", "status", "description")
 
 
-@query(*_FEED_VIEWS, sql=_FEED_SQL + "SELECT race_id, change_id, change_type FROM v WHERE race_id % 50 = 0")
+@query(*_FEED_VIEWS, sql=_FEED_SQL + "SELECT race_id, change_id, change_type FROM v")
 def race_changes(r):
-    return products.race_changes(r, r.races.where("race_id % 50 = 0"), True).select("race_id", "change_id", "change_type")
+    return products.race_changes(r, r.races, True).select("race_id", "change_id", "change_type")
 
 
 @query(*_FEED_VIEWS, sql=_FEED_SQL + "SELECT min(race_date) AS min_date, max(race_date) AS max_date, count(*) AS items, 'upcoming' AS requested_view, 'all' AS applied_view, true AS fallback_applied FROM v WHERE horse_name <> 'Race-wide' AND entry_id IS NOT NULL")
@@ -224,20 +228,27 @@ def valid_cancellation(r):
 @query("v_changes", sql="SELECT count(*) FILTER (WHERE coalesce(trim(program_number), '0') NOT IN ('', '0')) AS good, count(*) FILTER (WHERE coalesce(trim(program_number), '0') IN ('', '0')) AS bad FROM v_changes")
 def valid_program_number(r):
     good, bad = filters.valid_programs(r.changes)
-    return good.agg(F.count("*").alias("good")).join(bad.agg(F.count("*").alias("bad")), F.lit(True))
+    both = good.select(F.lit(1).alias("good"), F.lit(0).alias("bad")).union(bad.select(F.lit(0), F.lit(1)))
+    return both.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
 
 
 @query(sql="""
-  SELECT page_id, CASE WHEN length(html) < 5000 AND regexp_matches(lower(html), 'captcha|access denied|incapsula|pardon our interruption|cloudflare') THEN 'blocked'
-    WHEN regexp_matches(lower(html), 'no entries|no races|not available') THEN 'no_card' WHEN length(html) > 500 THEN 'success' ELSE 'no_card' END AS state FROM pages""")
+  WITH v AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN html WHEN 1 THEN '<TITLE>404 gone' || html WHEN 2 THEN left(html, 900) || ' Request Unsuccessful. ' WHEN 3 THEN '404 - File or directory not found.' ELSE html || repeat(' no races today, access denied ', 300) END AS h FROM pages)
+  SELECT page_id, CASE WHEN length(h) BETWEEN 1 AND 4999 AND (contains(lower(h), 'visid_incap') OR contains(lower(h), 'incap_ses') OR contains(lower(h), 'request unsuccessful') OR contains(lower(h), 'access denied') OR contains(lower(h), 'incapsula')) THEN 'blocked'
+    WHEN contains(lower(h), '404 - file or directory not found') OR contains(lower(h), '<title>404') THEN 'no_card' WHEN length(h) BETWEEN 1 AND 4999 THEN 'blocked' ELSE 'success' END AS state FROM v""")
 def classify_page(r):
-    return r.spark.read.parquet(f"{r.sf_dir}/pages.parquet").select("page_id", filters.classify_page(F.col("html")).alias("state"))
+    k, html = F.col("page_id") % 5, F.col("html")
+    said = (
+        F.when(k == 0, html).when(k == 1, F.concat(F.lit("<TITLE>404 gone"), html)).when(k == 2, F.concat(F.left(html, F.lit(900)), F.lit(" Request Unsuccessful. ")))
+        .when(k == 3, "404 - File or directory not found.").otherwise(F.concat(html, F.repeat(F.lit(" no races today, access denied "), 300)))
+    )
+    return r.source("pages").select("page_id", filters.classify_page(said).alias("state"))
 
 
 @query(sql="""
   WITH m AS (SELECT page_id, unnest(regexp_extract_all(coalesce(html, ''), '(?i)href\\s*=\\s*["'']([^"''#?\\s]+)', 1)) AS url FROM pages) SELECT DISTINCT page_id, url FROM m""")
 def extract_links(r):
-    return extract.extract_links(r.spark.read.parquet(f"{r.sf_dir}/pages.parquet"))
+    return extract.extract_links(r.source("pages"))
 
 
 @query("v_races", "v_tracks", sql=f"SELECT race_id FROM v_races JOIN v_tracks USING (track_code) WHERE race_date <= DATE '{AS_OF_DATE}' AND race_status IN ('completed', 'past_drf_only', 'cancelled') AND lower(track_name) LIKE '%nation%'")
@@ -345,13 +356,14 @@ def count_default_join(r):
 
 
 @query("v_horses", sql="""
-  , q AS (SELECT DISTINCT horse_name AS request FROM v_horses WHERE horse_id < 20 UNION SELECT 'red' UNION SELECT 'zzz'),
-  a AS (SELECT request, count(*) AS n, min(horse_id) AS h FROM q JOIN v_horses ON lower(request) = lower(horse_name) GROUP BY 1),
-  b AS (SELECT request, count(*) AS n, min(horse_id) AS h FROM q JOIN v_horses ON contains(lower(horse_name), lower(request)) GROUP BY 1)
+  , q AS (SELECT horse_name AS request FROM v_horses UNION SELECT split_part(horse_name, ' ', 1) FROM v_horses UNION SELECT 'ED ' UNION SELECT 'g' UNION SELECT 'zzz' UNION SELECT 'qu'),
+  a AS (SELECT request, count(*) AS n, min(horse_id) AS h FROM q JOIN v_horses ON trim(lower(request)) = lower(horse_name) GROUP BY 1),
+  b AS (SELECT request, count(*) AS n, min(horse_id) AS h FROM q JOIN v_horses ON contains(lower(horse_name), trim(lower(request))) GROUP BY 1)
   SELECT request, CASE WHEN coalesce(a.n, b.n, 0) = 0 THEN 'not_found' WHEN coalesce(a.n, b.n) = 1 THEN 'matched' ELSE 'ambiguous' END AS outcome, coalesce(a.n, b.n, 0) AS matches,
          CASE WHEN coalesce(a.n, b.n) = 1 THEN coalesce(a.h, b.h) END AS horse_id FROM q LEFT JOIN a USING (request) LEFT JOIN b USING (request)""")
 def lookup_horse(r):
-    asked = r.horses.where("horse_id < 20").select(F.col("horse_name").alias("request")).union(r.spark.createDataFrame([("red",), ("zzz",)], "request string")).distinct()
+    n = F.col("horse_name")
+    asked = r.horses.select(F.explode(F.array(n, F.split_part(n, F.lit(" "), F.lit(1)))).alias("request")).union(r.spark.createDataFrame([("ED ",), ("g",), ("zzz",), ("qu",)], "request string")).distinct()
     return joins.lookup_horse(asked, r.horses)
 
 
@@ -425,9 +437,9 @@ def horses(r):
     return products.horses(r, "b").select("horse_id", "horse_name", "starts", "wins")
 
 
-@query("v_entries", "v_races", "v_horses", sql="SELECT e.horse_id, e.entry_id, race_key, race_date, coalesce(cast(finish_position as varchar), 'N/A') AS finish FROM v_entries e JOIN v_races r ON r.race_id = e.race_id WHERE e.horse_id % 10 = 0")
+@query("v_entries", "v_races", "v_horses", sql="SELECT e.horse_id, e.entry_id, race_key, race_date, coalesce(cast(finish_position as varchar), 'N/A') AS finish FROM v_entries e JOIN v_races r ON r.race_id = e.race_id WHERE e.horse_id IN (SELECT horse_id FROM v_horses)")
 def horse_history(r):
-    return products.horse_history(r, r.horses.where("horse_id % 10 = 0")).select("horse_id", "entry_id", "race_key", "race_date", "finish")
+    return products.horse_history(r, r.horses).select("horse_id", "entry_id", "race_key", "race_date", "finish")
 
 
 @query("v_claims", sql="""
@@ -527,9 +539,16 @@ def dedupe_entries_by_horse(r):
     return dedupe.dedupe_entries_by_horse(r.entries.join(r.horses, "horse_id")).select("race_id", "entry_id")
 
 
-@query("v_changes", "v_races", sql="SELECT race_id, entry_id, change_type, string_agg(description, '; ' ORDER BY change_id) AS description FROM (SELECT DISTINCT ON (race_id, entry_id, change_type, lower(description)) * FROM v_changes WHERE change_type = 'Jockey Change' AND change_id % 2 = 0 ORDER BY change_id) GROUP BY 1, 2, 3")
+@query("v_changes", sql="""SELECT * FROM (WITH RECURSIVE
+    n AS (SELECT race_id, entry_id, change_type, coalesce(description, '') AS said, row_number() OVER w AS k, count(*) OVER (PARTITION BY race_id, entry_id, change_type) AS last FROM v_changes WINDOW w AS (PARTITION BY race_id, entry_id, change_type ORDER BY change_id)),
+    t AS (SELECT race_id, entry_id, change_type, k, last, said AS text FROM n WHERE k = 1
+          UNION ALL SELECT n.race_id, n.entry_id, n.change_type, n.k, n.last,
+            CASE WHEN said = '' OR contains(lower(text), lower(said)) THEN text WHEN text = '' THEN said WHEN contains(lower(text), 'reason unavailable') AND NOT contains(lower(said), 'reason unavailable') THEN said
+                 WHEN contains(lower(said), 'reason unavailable') THEN text ELSE text || '; ' || said END
+          FROM t JOIN n ON n.race_id = t.race_id AND n.entry_id IS NOT DISTINCT FROM t.entry_id AND n.change_type = t.change_type AND n.k = t.k + 1)
+  SELECT race_id, entry_id, change_type, CASE WHEN length(text) > 500 THEN left(text, 497) || '...' ELSE text END AS description FROM t WHERE k = last)""")
 def merge_change_descriptions(r):
-    return dedupe.merge_descriptions(r.changes.where("change_type = 'Jockey Change' AND change_id % 2 = 0").withColumn("seq", F.col("change_id")))
+    return dedupe.merge_descriptions(r.changes.withColumn("seq", F.col("change_id")))
 
 
 @query("v_tracks", "v_races", sql="SELECT track_code, min(race_id) AS pos FROM v_races GROUP BY 1")
@@ -550,7 +569,8 @@ def first_non_empty_source(r):
   SELECT event_id, feed, cast(sum(CASE WHEN bad THEN 1 ELSE 0 END) OVER (PARTITION BY feed, island ORDER BY event_id) as bigint) AS run FROM m""")
 def consecutive_run(r):
     states = r.crawl_events.withColumn("bad", F.col("kind") == "failure")
-    return dedupe.consecutive_runs(states, ("feed",), "event_id", "bad").select("event_id", "feed", F.col("run").cast("long").alias("run"))
+    thousand = F.floor(F.col("event_id") / 1000)
+    return dedupe.consecutive_runs(states, ("feed",), "event_id", "bad", thousand).select("event_id", "feed", F.col("run").cast("long").alias("run"))
 
 
 @query("v_races", sql="SELECT race_id, race_key FROM v_races ORDER BY race_date DESC, race_number, race_id LIMIT 100")
@@ -558,9 +578,10 @@ def top_k_races(r):
     return ordering.sort_by(r.races, [("race_date", True), ("race_number", False), ("race_id", False)]).limit(ordering.clamp(100, 200)).select("race_id", "race_key")
 
 
-@query("v_races", sql="SELECT race_id FROM v_races ORDER BY race_date DESC, race_id LIMIT 20 OFFSET 40")
+@query("v_races", sql="SELECT race_id, (SELECT count(*) FROM v_races) AS total, cast(ceil((SELECT count(*) FROM v_races) / 20.0) as int) AS pages, (SELECT count(*) FROM v_races) > 60 AS more FROM v_races ORDER BY race_date DESC, race_id LIMIT 20 OFFSET 40")
 def paginate(r):
-    return ordering.paginate(r.races, [F.desc("race_date"), "race_id"], 3, 20)[0].select("race_id")
+    rows, total, pages, more = ordering.paginate(r.races, [F.desc("race_date"), "race_id"], 3, 20)
+    return rows.select("race_id", F.lit(total).cast("long").alias("total"), F.lit(pages).alias("pages"), F.lit(more).alias("more"))
 
 
 @query("v_races", sql="SELECT race_id, cast(floor((row_number() OVER (ORDER BY race_date, race_id) - 1) / 50) + 1 as bigint) AS page FROM v_races")
@@ -735,7 +756,11 @@ def refund_deleted(r):
     return betting.refund_deleted(r.bets, r.bets.where("bet_id % 5 = 0")).select("wallet_id", "reference_id", "transaction_type", _d("amount"))
 
 
-@query("v_bets", sql=_COST_SQL + "SELECT bet_id, CASE WHEN sum(bet_cost) OVER (PARTITION BY wallet_id ORDER BY created_at, bet_id) > 100 THEN 'insufficient_funds' END AS reject_reason FROM b")
+@query("v_bets", sql=_COST_SQL + """SELECT * FROM (WITH RECURSIVE
+    n AS (SELECT bet_id, wallet_id, bet_cost, row_number() OVER (PARTITION BY wallet_id ORDER BY created_at, bet_id) AS k FROM b),
+    t AS (SELECT bet_id, wallet_id, k, CASE WHEN bet_cost > 100 THEN 100 ELSE 100 - bet_cost END AS funds, bet_cost > 100 AS refused FROM n WHERE k = 1
+          UNION ALL SELECT n.bet_id, n.wallet_id, n.k, CASE WHEN n.bet_cost > t.funds THEN t.funds ELSE t.funds - n.bet_cost END, n.bet_cost > t.funds FROM t JOIN n ON n.wallet_id = t.wallet_id AND n.k = t.k + 1)
+  SELECT bet_id, CASE WHEN refused THEN 'insufficient_funds' END AS reject_reason FROM t)""")
 def validate_bets(r):
     return betting.validate_bets(r.bets, r.races, 100).select("bet_id", "reject_reason")
 
@@ -756,12 +781,20 @@ def past_races(r):
     return products.past_races(r, AS_OF_DATE).select("race_id", "race_key", "track_name", "race_status", "winner_name", "winner_number", "entry_count", "results")
 
 
-@query("v_races", "v_entries", "v_exotics", "v_claims", sql="""
-  SELECT race_id, (SELECT count(*) FROM v_entries e WHERE e.race_id = r.race_id) AS n_entries, (SELECT count(*) FROM v_exotics e WHERE e.race_id = r.race_id) AS n_exotics,
-         CASE WHEN race_status = 'completed' THEN (SELECT count(*) FROM v_claims e WHERE e.race_id = r.race_id) ELSE 0 END AS n_claims, lag(race_key) OVER (PARTITION BY track_code, race_date ORDER BY race_number) AS prev_race_key FROM v_races r""")
+@query("v_races", "v_entries", "v_exotics", "v_claims", "v_horses", "v_jockeys", sql="""
+  , e AS (SELECT race_id, string_agg(program_number || ' ' || coalesce(horse_name, 'Unknown') || ' ' || coalesce(jockey_name, 'N/A') || ' ' || scratched || ' ' || coalesce(cast(finish_position as varchar), '-'), '|' ORDER BY entry_id) AS entries FROM v_entries LEFT JOIN v_horses USING (horse_id) LEFT JOIN v_jockeys USING (jockey_id) GROUP BY 1),
+  x AS (SELECT race_id, string_agg(wager_type || ' ' || cast(payout as varchar), '|' ORDER BY seq) AS exotics FROM v_exotics GROUP BY 1),
+  c AS (SELECT race_id, string_agg(claim_id || ' ' || cast(claim_price as varchar), '|' ORDER BY claim_id) AS claims FROM v_claims GROUP BY 1)
+  SELECT race_id, coalesce(entries, '') AS entries, coalesce(exotics, '') AS exotics, CASE WHEN race_status = 'completed' THEN coalesce(claims, '') ELSE '' END AS claims,
+         lag(race_key) OVER (PARTITION BY track_code, race_date ORDER BY race_number) AS prev_race_key FROM v_races r LEFT JOIN e USING (race_id) LEFT JOIN x USING (race_id) LEFT JOIN c USING (race_id)""")
 def race_cards(r):
-    size = lambda c: F.size(c).cast("long").alias(f"n_{c}")
-    return products.race_cards(r, AS_OF_TS).select("race_id", size("entries"), size("exotics"), size("claims"), "prev_race_key")
+    told = lambda c, *parts: F.array_join(F.transform(c, lambda x: F.concat_ws(" ", *(p(x) for p in parts))), "|").alias(c)
+    text = lambda f: lambda x: x[f].cast("string")
+    place = lambda x: F.coalesce(x["finish_position"].cast("string"), F.lit("-"))
+    return products.race_cards(r, AS_OF_TS).select(
+        "race_id", told("entries", text("program_number"), lambda x: x["horse_info"]["horse_name"], text("jockey_name"), text("scratched"), place), told("exotics", text("wager_type"), text("payout")),
+        told("claims", text("claim_id"), text("claim_price")), "prev_race_key",
+    )
 
 
 @query("v_races", "v_entries", "v_horses", sql=f"SELECT race_key, entry_id, program_number, horse_name FROM v_entries e JOIN v_races r ON r.race_id = e.race_id JOIN v_horses USING (horse_id) WHERE race_date = DATE '{AS_OF_DATE}' AND NOT scratched")
@@ -795,9 +828,9 @@ def system_health(r):
 
 @query("v_crawl_events", sql="""
   , s AS (SELECT *, sum(CASE WHEN kind = 'success' THEN 1 ELSE 0 END) OVER (PARTITION BY feed ORDER BY seen_at, event_id ROWS UNBOUNDED PRECEDING) AS g, cast(floor(epoch(seen_at)) as bigint) AS t FROM v_crawl_events),
-  c AS (SELECT event_id, feed, seen_at, count(*) OVER (PARTITION BY feed, g ORDER BY t RANGE BETWEEN 900 PRECEDING AND CURRENT ROW) AS failures FROM s WHERE kind = 'failure') SELECT * FROM c WHERE failures >= 2""")
+  c AS (SELECT event_id, feed, seen_at, count(*) OVER (PARTITION BY feed, g ORDER BY t RANGE BETWEEN 900 PRECEDING AND CURRENT ROW) AS failures FROM s WHERE kind = 'failure') SELECT * FROM c WHERE failures >= 3""")
 def failure_burst(r):
-    return health.failure_bursts(r.crawl_events, least=2)
+    return health.failure_bursts(r.crawl_events)
 
 
 @query("v_crawl_events", sql="""
@@ -838,17 +871,22 @@ def apply_delay(r):
     return late.apply_delays(r.races, r.changes).select("race_id", "race_status", "post_time")
 
 
-@query("v_races", "v_changes", sql="""
-  SELECT race_id AS doc_id, cast(race_number as int) AS race_number, CASE WHEN c.change_type = 'Jockey Change' THEN c.program_number END AS program_number, CASE c.change_type WHEN 'Jockey Change' THEN 'Jockey Change' ELSE 'Post Time Change' END AS change_type
-  FROM v_changes c JOIN v_races USING (race_id) WHERE c.change_type IN ('Jockey Change', 'Post Time Change')""")
+@query("v_changes", "v_races", "v_entries", "v_horses", sql="""
+  , c AS (SELECT c.race_id AS doc_id, r.race_number, c.description AS d, c.program_number, c.change_id, lower(regexp_replace(h.horse_name, '[^A-Za-z0-9]', '', 'g')) AS horse
+          FROM v_changes c JOIN v_races r ON r.race_id = c.race_id LEFT JOIN v_entries e ON e.entry_id = c.entry_id LEFT JOIN v_horses h ON h.horse_id = e.horse_id)
+  SELECT doc_id, cast(row_number() OVER (PARTITION BY doc_id ORDER BY change_id) - 1 as int) AS line_no, cast(race_number as int) AS race_number, program_number, CASE WHEN program_number IS NULL THEN '' ELSE coalesce(horse, 'somehorse') END AS horse_name,
+    CASE WHEN d LIKE 'Race Cancelled%' THEN 'Race Cancelled' WHEN contains(d, 'Scratched') THEN 'Scratch' WHEN contains(d, 'Jockey') THEN 'Jockey Change' WHEN contains(d, 'Post Time') THEN 'Post Time Change' WHEN d LIKE '%Wagering Cancelled' THEN 'Wagering' ELSE 'Other' END AS change_type,
+    CASE WHEN d LIKE 'Race Cancelled - %' THEN substring(d, 18) ELSE d END AS description FROM c""")
 def extract_rss_changes(r):
-    c = r.changes.where("change_type IN ('Jockey Change', 'Post Time Change')").join(r.races.select("race_id", "race_number", "track_code"), "race_id")
-    horse = F.when(F.col("change_type") == "Jockey Change", F.concat(F.lit("<b># "), F.col("program_number"), F.lit(" Some Horse</b> <i>"))).otherwise("<i>")
-    line = F.concat(F.lit("Race "), F.lpad(F.col("race_number").cast("string"), 2, "0"), F.lit(": "), horse, F.col("description"), F.lit("</i>"))
+    horse = r.entries.join(r.horses, "horse_id").select("entry_id", "horse_name")
+    c = r.changes.join(r.races.select("race_id", "race_number", "track_code"), "race_id").join(horse, "entry_id", "left")
+    d = F.regexp_replace("description", "^Race Cancelled - (.*)$", "<i>Race Cancelled</i> - $1")
+    named = F.concat(F.lit("<b># "), F.col("program_number"), F.lit(" "), F.coalesce("horse_name", F.lit("Some Horse")), F.lit("</b> <i>"), d, F.lit("</i>"))
+    line = F.concat(F.lit("Race "), F.lpad(F.col("race_number").cast("string"), 2, "0"), F.lit(": "), F.coalesce(named, d))
     items = c.select("race_id", "track_code", "change_id", line.alias("line")).groupBy(F.col("race_id").alias("doc_id"), "track_code").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("change_id", "line"))), lambda x: x["line"]), "<br/>").alias("description")
     )
-    return extract.extract_rss_changes(items).select("doc_id", "race_number", "program_number", "change_type")
+    return extract.extract_rss_changes(items).select("doc_id", "line_no", "race_number", "program_number", "horse_name", "change_type", "description")
 
 
 @query("v_races", "v_entries", "v_horses", sql="""

@@ -11,6 +11,7 @@ from railbird.operators import aggregates as agg
 from railbird.operators import dedupe, extract, filters, joins, ordering, shapes
 from railbird.plans import products
 from railbird.plans.catalog import _BET_VIEWS, _FEED_SQL, _FEED_VIEWS, _SETTLE_SQL, _d, query
+from railbird.sources import tables
 from railbird.sources.views import AS_OF_DATE, AS_OF_TS, EVENTS_AS_OF
 from railbird.streaming import changes as late
 from railbird.streaming import health
@@ -57,11 +58,13 @@ def settle_stale(r):
     return products.settle_bets(r, AS_OF_DATE).join(old.select("bet_id"), "bet_id", "left_semi").select("bet_id", "new_status")
 
 
-@query("v_bets", sql="SELECT bet_id, len(from_json(selection, '[\"VARCHAR\"]')) AS picks FROM v_bets WHERE bet_type IN ('Exacta Box', 'Trifecta Box')")
+@query("v_bets", sql="""SELECT bet_id, CASE WHEN bet_type IN ('Exacta Box', 'Trifecta Box') THEN len(from_json(selection, '["VARCHAR"]')) END AS picks,
+  CASE WHEN bet_type IN ('Exacta Key', 'Trifecta') THEN len(from_json(selection, '[["VARCHAR"]]')) END AS positions FROM v_bets""")
 def parse_selection_json(r):
     from railbird.operators.betting import parse_selection
 
-    return parse_selection(r.bets).where("picks IS NOT NULL").select("bet_id", F.size("picks").cast("long").alias("picks"))
+    n = lambda c: F.when(F.col(c).isNotNull(), F.size(c)).cast("long").alias(c)
+    return parse_selection(r.bets).select("bet_id", n("picks"), n("positions"))
 
 
 @query(*_BET_VIEWS, sql=_SETTLE_SQL + """
@@ -99,10 +102,10 @@ def dedupe_changes(r):
     return dedupe.dedupe_changes(filters.kept_changes(products._feed(r, r.races))).select("change_id", "change_type")
 
 
-@query(*_FEED_VIEWS, sql=_FEED_SQL + "SELECT change_id, who FROM (SELECT change_id, race_date, track_code, race_number, who, row_number() OVER (ORDER BY race_date, track_code, race_number, who, change_id) AS n FROM u WHERE n = 1) WHERE n <= 200")
+@query(*_FEED_VIEWS, sql=_FEED_SQL + "SELECT change_id, source_rank, who, row_number() OVER (ORDER BY race_date, track_code, race_number, who, change_id, source_rank) AS pos FROM u WHERE n = 1")
 def sort_changes(r):
     feed = dedupe.dedupe_changes(filters.kept_changes(products._feed(r, r.races)))
-    return ordering.sort_changes(feed).limit(200).select("change_id", names.change_identity(F.col("program_number"), F.col("horse_name")).alias("who"))
+    return ordering.numbered(feed, ordering.changes_order()).select("change_id", "source_rank", names.change_identity(F.col("program_number"), F.col("horse_name")).alias("who"), "pos")
 
 
 @query("v_entries", "v_horses", "v_jockeys", sql="SELECT entry_id, horse_name, cast(foaling_year as varchar) AS foaling_year, jockey_name, scratched FROM v_entries JOIN v_horses USING (horse_id) JOIN v_jockeys USING (jockey_id)")
@@ -110,27 +113,26 @@ def shape_entry(r):
     return shapes.shape_entry(joins.join_entry_dims(r.entries, r.horses, r.jockeys)).select("entry_id", "horse_info.horse_name", "horse_info.foaling_year", "jockey_name", "scratched")
 
 
-@query("v_races", sql="SELECT race_id, 'static' AS source FROM v_races")
+@query("v_races", sql="SELECT race_id, CASE WHEN race_status = 'completed' THEN 'chart' ELSE 'static' END AS source FROM v_races")
 def annotate_source(r):
-    return shapes.annotate_source(r.races.select("race_id"), "static")
+    done = F.col("race_status") == "completed"
+    return shapes.annotate_source(r.races.where(done).select("race_id"), "chart").union(shapes.annotate_source(r.races.where(~done).select("race_id"), "static"))
 
 
-@query("v_races", "v_tracks", sql="SELECT race_id, track_code, row_number() OVER (ORDER BY track_code <> 'T07', lower(track_name), race_id) AS pos FROM v_races JOIN v_tracks USING (track_code) QUALIFY pos <= 100")
+@query("v_races", "v_tracks", sql="SELECT race_id, track_code, row_number() OVER (ORDER BY track_code <> 'T07', lower(track_name), race_id) AS pos FROM v_races JOIN v_tracks USING (track_code)")
 def sort_pinned_first(r):
-    top = joins.join_track(r.races, r.tracks).orderBy(F.col("track_code") != "T07", F.lower("track_name"), "race_id").limit(100)
-    order = Window.orderBy(F.col("track_code") != "T07", F.lower("track_name"), "race_id")  # 100 rows
-    return top.select("race_id", "track_code", F.row_number().over(order).cast("long").alias("pos"))
+    return ordering.numbered(joins.join_track(r.races, r.tracks), ordering.pinned_order("T07", "race_id")).select("race_id", "track_code", "pos")
 
 
-@query("v_entries", sql="SELECT race_id, entry_id FROM v_entries ORDER BY race_id, finish_position NULLS LAST, cast(program_number as int) LIMIT 150")
+@query("v_entries", sql="SELECT race_id, entry_id, row_number() OVER (ORDER BY race_id, finish_position NULLS LAST, cast(program_number as int)) AS pos FROM v_entries")
 def sort_card_entries(r):
-    return ordering.sort_card(r.entries).limit(150).select("race_id", "entry_id")
+    return ordering.numbered(r.entries, ordering.card_order()).select("race_id", "entry_id", "pos")
 
 
-@query("v_races", "v_tracks", sql="SELECT track_code, race_id % 3 = 0 AND track_code IN ('T01', 'T02') AS is_favourite, race_id FROM v_races WHERE race_id % 3 = 0")
+@query("v_races", "v_tracks", sql="SELECT track_code, track_code IN ('T01', 'T02') AS is_favourite, race_id FROM v_races")
 def split_favourites(r):
     fav = r.tracks.where("track_code IN ('T01', 'T02')")
-    return ordering.split_favourites(joins.join_track(r.races.where("race_id % 3 = 0"), r.tracks), fav, "track_code", "track_name").select("track_code", "is_favourite", "race_id")
+    return ordering.split_favourites(joins.join_track(r.races, r.tracks), fav, "track_code", "track_name").select("track_code", "is_favourite", "race_id")
 
 
 # --- scalar functions ------------------------------------------------------------------------
@@ -161,12 +163,11 @@ def clean_purse(r):
 
 
 @query("v_races", "v_tracks", sql="""
-  SELECT race_id, cast(race_date as timestamp) + cast(post_time as interval) + (CASE WHEN timezone = 'America/Phoenix' THEN INTERVAL 7 HOUR ELSE
-    (CASE timezone WHEN 'America/New_York' THEN INTERVAL 5 HOUR WHEN 'America/Chicago' THEN INTERVAL 6 HOUR WHEN 'America/Denver' THEN INTERVAL 7 HOUR ELSE INTERVAL 8 HOUR END) END) AS at
-  FROM v_races JOIN v_tracks USING (track_code) WHERE month(race_date) IN (1, 2, 12)""")
+  SELECT race_id, cast(race_date as timestamp) + cast(post_time as interval) + (CASE timezone WHEN 'America/New_York' THEN INTERVAL 5 HOUR WHEN 'America/Chicago' THEN INTERVAL 6 HOUR WHEN 'America/Los_Angeles' THEN INTERVAL 8 HOUR ELSE INTERVAL 7 HOUR END)
+    - (CASE WHEN timezone <> 'America/Phoenix' AND (month(race_date) BETWEEN 5 AND 10 OR month(race_date) = 4 AND dayofweek(race_date) = 0) THEN INTERVAL 1 HOUR ELSE INTERVAL 0 HOUR END) AS at
+  FROM v_races JOIN v_tracks USING (track_code)""")
 def post_ts(r):
-    cold = joins.join_track(r.races, r.tracks).where("month(race_date) IN (1, 2, 12)")
-    return cold.select("race_id", times.post_ts(F.col("race_date"), F.col("post_time"), F.col("timezone")).cast("timestamp_ntz").alias("at"))
+    return joins.join_track(r.races, r.tracks).select("race_id", times.post_ts(F.col("race_date"), F.col("post_time"), F.col("timezone")).cast("timestamp_ntz").alias("at"))
 
 
 @query("v_races", sql=f"SELECT race_id, CASE WHEN race_date < DATE '{AS_OF_DATE}' THEN 'past_drf_only' ELSE 'upcoming' END AS first_status, coalesce(CASE WHEN race_id % 2 = 0 THEN race_status END, 'upcoming') AS kept_status FROM v_races")
@@ -189,28 +190,30 @@ def parse_dates(r):
     return r.races.select("race_id", times.parse_rfc822_date(rss).alias("d1"), times.parse_text_date(F.concat(F.lit("Chart ("), F.date_format(d, "M/d/yyyy"), F.lit(")"))).alias("d2"), times.parse_text_date(F.upper(F.date_format(d, "EEEE, MMMM d, yyyy"))).alias("d3"))
 
 
-@query("v_races", sql="SELECT race_id, track_code AS code, race_date, race_number FROM v_races WHERE race_date >= DATE '2000-01-01'")
+@query("v_races", sql="SELECT race_id, track_code AS code, race_date, race_number FROM v_races")
 def parse_chart_url(r):
     letters = F.translate("track_code", "T0123456789", "TABCDEFGHIJ")
     url = racing.chart_url("http://charts/", letters, F.col("race_date"), F.col("race_number"))
     c = racing.parse_chart_url(url)
-    return r.races.where("race_date >= DATE '2000-01-01'").select("race_id", F.translate(c["track_code"], "TABCDEFGHIJ", "T0123456789").alias("code"), c["race_date"].alias("race_date"), c["race_number"].alias("race_number"))
+    return r.races.select("race_id", F.translate(c["track_code"], "TABCDEFGHIJ", "T0123456789").alias("code"), c["race_date"].alias("race_date"), c["race_number"].alias("race_number"))
 
 
 @query("v_entries", "v_races", sql="""
-  SELECT race_id, coalesce(string_agg(cast(20 + entry_id % 55 as varchar) || '.25', ', ' ORDER BY entry_id) FILTER (WHERE n <= 4), '') AS fractions
-  FROM (SELECT *, row_number() OVER (PARTITION BY race_id ORDER BY entry_id) AS n FROM v_entries WHERE entry_id % 55 < 50) GROUP BY 1""")
+  , f AS (SELECT race_id, entry_id, 20 + entry_id % 55 AS t, row_number() OVER (PARTITION BY race_id, entry_id % 55 < 50 ORDER BY entry_id) AS n FROM v_entries)
+  SELECT race_id, coalesce(string_agg(cast(t as varchar) || '.25', ', ' ORDER BY entry_id) FILTER (WHERE n <= 4 AND t < 70), '') AS fractions FROM f GROUP BY 1""")
 def fractional_times(r):
-    said = r.entries.where("entry_id % 55 < 50").groupBy("race_id").agg(F.array_sort(F.collect_list(F.struct("entry_id"))).alias("e"))
+    said = r.entries.groupBy("race_id").agg(F.array_sort(F.collect_list(F.struct("entry_id"))).alias("e"))
     text = F.array_join(F.transform("e", lambda x: F.concat((F.lit(20) + x["entry_id"] % 55).cast("string"), F.lit(".25"))), " then ")
     return said.select("race_id", racing.fractional_times(text).alias("fractions"))
 
 
 @query("v_bets", sql="""
-  , p AS (SELECT bet_id, from_json(selection, '[["VARCHAR"]]') AS x FROM v_bets WHERE bet_type = 'Trifecta')
-  SELECT bet_id, (SELECT count(*) FROM (SELECT unnest(x[1]) AS a) , (SELECT unnest(x[2]) AS b), (SELECT unnest(x[3]) AS c) WHERE a <> b AND b <> c AND a <> c) AS combos FROM p""")
+  , p AS (SELECT bet_id, bet_type, from_json(selection, '[["VARCHAR"]]') AS x FROM v_bets WHERE bet_type IN ('Trifecta', 'Exacta Key'))
+  SELECT bet_id, CASE bet_type WHEN 'Trifecta' THEN (SELECT count(*) FROM (SELECT unnest(x[1]) AS a) , (SELECT unnest(x[2]) AS b), (SELECT unnest(x[3]) AS c) WHERE a <> b AND b <> c AND a <> c)
+    ELSE (SELECT count(*) FROM (SELECT unnest(x[1]) AS a) , (SELECT unnest(x[2]) AS b) WHERE a <> b) END AS combos FROM p""")
 def key_combos(r):
-    return r.bets.where("bet_type = 'Trifecta'").select("bet_id", money.key_combos(F.from_json("selection", "array<array<string>>")).alias("combos"))
+    keyed = r.bets.where("bet_type IN ('Trifecta', 'Exacta Key')")  # the kinds that have positions
+    return keyed.select("bet_id", money.key_combos(F.from_json("selection", "array<array<string>>")).alias("combos"))
 
 
 @query("v_races", "v_entries", "v_horses", sql="""
@@ -280,24 +283,34 @@ def race_map(r):
 
 def _joined(df, key, order, line, by="\n"):
     rows = F.array_sort(F.collect_list(F.struct(*order, line.alias("_line"))))
-    return df.groupBy(key).agg(F.array_join(F.transform(rows, lambda x: x["_line"]), by).alias("text"))
+    return df.groupBy(*([key] if isinstance(key, str) else key)).agg(F.array_join(F.transform(rows, lambda x: x["_line"]), by).alias("text"))
 
 
-@query("v_entries", "v_races", sql="SELECT race_id AS doc_id, program_number, 'Scratch' AS change_type FROM v_entries WHERE scratched")
+@query("v_entries", "v_races", "v_horses", sql="""
+  SELECT race_id AS doc_id, race_number, program_number, lower(regexp_replace(horse_name, '[^A-Za-z0-9]', '', 'g')) AS horse_name, CASE WHEN scratched THEN 'Scratch' ELSE 'Jockey Change' END AS change_type, CASE WHEN scratched THEN 'Scratched - Vet ' || entry_id % 7 ELSE 'Jockey changed to Rider ' || jockey_id END AS description
+  FROM v_entries JOIN v_races USING (race_id) JOIN v_horses USING (horse_id)""")
 def extract_html_changes(r):
-    e = r.entries.where("scratched")
-    row = F.concat(F.lit("<tr><td>#"), "program_number", F.lit("</td><td>Some Horse</td><td>Scratched - Vet</td></tr>"))
-    text = _joined(e, "race_id", ["entry_id"], row, "")
-    pages = text.select(F.col("race_id").alias("doc_id"), F.lit("GP").alias("track_code"), F.concat(F.lit('<table><tr class="race"><th>Race 4</th></tr>'), "text", F.lit("</table>")).alias("html"))
-    return extract.extract_html_changes(pages).select("doc_id", "program_number", "change_type")
-
-
-@query("v_entries", sql="SELECT race_id AS doc_id, program_number, 'Jockey Change' AS change_type FROM v_entries WHERE NOT scratched")
+    e = r.entries.join(r.races.select("race_id", "race_number"), "race_id").join(r.horses, "horse_id")
+    said = F.when(F.col("scratched"), F.concat(F.lit("Scratched - Vet "), (F.col("entry_id") % 7).cast("string"))).otherwise(F.concat(F.lit("Jockey changed to Rider "), F.col("jockey_id").cast("string")))
+    # Two layouts: the horse in a cell of its own, and after its number.
+    horse = F.when(F.col("race_id") % 2 == 0, F.col("horse_name")).otherwise(F.concat("program_number", F.lit(" - "), "horse_name"))
+    row = F.concat(F.lit("<tr class='x'><td>#"), "program_number", F.lit("</td><td><b>"), horse, F.lit("</b></td><td>"), said, F.lit("</td></tr>"))
+    text = _joined(e, ["race_id", "race_number"], ["entry_id"], row, "")
+    head = F.concat(F.when(F.col("race_id") % 2 == 0, '<tr class="race-header"><td>Race: ').otherwise("<tr><th>Race "), F.col("race_number").cast("string"), F.when(F.col("race_id") % 2 == 0, "</td></tr>").otherwise("</th></tr>"))
+    pages = text.select(F.col("race_id").alias("doc_id"), F.lit("GP").alias("track_code"), F.concat(F.lit("<table>"), head, "text", F.lit("</table>")).alias("html"))
+    return extract.extract_html_changes(pages).select("doc_id", "race_number", "program_number", "horse_name", "change_type", "description")
+
+
+@query("v_entries", "v_races", "v_horses", sql="""
+  SELECT race_id AS doc_id, race_number, program_number, lower(regexp_replace(horse_name, '[^A-Za-z0-9]', '', 'g')) AS horse_name, CASE WHEN scratched THEN 'Scratch' ELSE 'Jockey Change' END AS change_type, CASE WHEN scratched THEN 'Scratched - Veterinarian' ELSE 'Jockey changed to Rider ' || jockey_id END AS description
+  FROM v_entries JOIN v_races USING (race_id) JOIN v_horses USING (horse_id)""")
 def extract_mobile_changes(r):
-    item = F.concat(F.lit("<tr><td># "), "program_number", F.lit(" Some Horse Jockey changed to X</td></tr>"))
-    text = _joined(r.entries.where("NOT scratched"), "race_id", ["entry_id"], item, "")
-    pages = text.select(F.col("race_id").alias("doc_id"), F.lit("GP").alias("track_code"), F.concat(F.lit("<table><tr><td>Race 7</td></tr>"), "text").alias("html"))
-    return extract.extract_mobile_changes(pages).select("doc_id", "program_number", "change_type")
+    e = r.entries.join(r.races.select("race_id", "race_number"), "race_id").join(r.horses, "horse_id")
+    said = F.when(F.col("scratched"), "Scratched - Veterinarian").otherwise(F.concat(F.lit("Jockey changed to Rider "), F.col("jockey_id").cast("string")))
+    item = F.concat(F.lit("<tr><td># "), "program_number", F.lit(" "), "horse_name", F.when(F.col("race_id") % 2 == 0, F.lit(" - ")).otherwise(F.lit(" ")), said, F.lit("</td></tr>"))
+    text = _joined(e, ["race_id", "race_number"], ["entry_id"], item, "")
+    pages = text.select(F.col("race_id").alias("doc_id"), F.lit("GP").alias("track_code"), F.concat(F.lit("<table><tr><td>Race "), F.col("race_number").cast("string"), F.lit("</td></tr>"), "text").alias("html"))
+    return extract.extract_mobile_changes(pages).select("doc_id", "race_number", "program_number", "horse_name", "change_type", "description")
 
 
 @query("v_races", "v_entries", sql="SELECT r.track_code AS doc_id, race_number, program_number FROM v_entries e JOIN v_races r USING (race_id) WHERE scratched AND race_date = DATE '1998-06-01'")
@@ -323,11 +336,17 @@ def extract_running_lines(r):
     return extract.extract_running_lines(docs).select("doc_id", "finish_position", "program_number")
 
 
-@query("v_entries", sql="SELECT race_id AS doc_id, program_number, finish_position FROM v_entries WHERE finish_position IS NOT NULL")
+@query("v_entries", "v_horses", "v_jockeys", sql="SELECT race_id AS doc_id, program_number, regexp_replace(horse_name, '[^A-Za-z0-9 ''-]', '', 'g') AS horse_name, jockey_name AS jockey, finish_position FROM v_entries JOIN v_horses USING (horse_id) JOIN v_jockeys USING (jockey_id) WHERE finish_position IS NOT NULL")
 def extract_table_horses(r):
-    e = r.entries.where("finish_position IS NOT NULL")
-    cells = e.select(F.col("race_id").alias("doc_id"), F.lit(1).alias("table_no"), F.col("finish_position").alias("row_no"), F.array(F.lit("x"), F.col("program_number"), F.lit("Some Horse (Rider)")).alias("cells"))
-    return extract.extract_table_horses(cells).select("doc_id", "program_number", "finish_position")
+    e = r.entries.where("finish_position IS NOT NULL").join(r.horses, "horse_id").join(r.jockeys, "jockey_id")
+    doc, place = F.col("race_id").alias("doc_id"), F.col("finish_position")
+    # The first two places and three rows that are no runners in one table, the rest on the next page, below its header.
+    late = place > 2
+    own = e.select(doc, F.when(late, 2).otherwise(1).alias("table_no"), (place * 2).alias("row_no"), F.array("program_number", "horse_name", "jockey_name", F.lit("Trainer"), F.lit("5/2")).alias("cells"))
+    races = e.select("race_id").distinct()
+    made = [(1, 0, ["Pgm", "Horse", "Jockey", "Trainer", "Odds"]), (1, 3, ["9", "Gone", "X", "Scratched", ""]), (1, 98, ["", "Total WPS Pool", "", "", ""]), (1, 99, ["x", "Winner: y", "", "", ""]), (1, 101, ["a", "b"]), (1, 102, ["a", "b"]), (1, 103, ["a", "b"]), (1, 104, ["a", "b"]), (1, 105, ["a", "b"]), (2, 0, ["Pgm", "Horse", "Jockey", "Trainer"]), (3, 0, ["z", "No Runner", "of another table"])]
+    each = races.select(doc, F.explode(F.array(*(F.struct(F.lit(t).alias("table_no"), F.lit(n).alias("row_no"), F.array(*map(F.lit, c)).alias("cells")) for t, n, c in made))).alias("x")).select("doc_id", "x.*")
+    return extract.extract_table_horses(own.unionByName(each)).select("doc_id", "program_number", "horse_name", "jockey", "finish_position")
 
 
 @query("v_exotics", sql="SELECT race_id AS doc_id, 'Exacta' AS wager_type, cast(payout as double) AS payout FROM v_exotics WHERE seq = 1")
@@ -336,12 +355,17 @@ def extract_exotic_payouts(r):
     return extract.extract_exotic_payouts(docs).select("doc_id", "wager_type", _d("payout"))
 
 
-@query("v_claims", sql="SELECT race_id AS doc_id, count(*) AS claims FROM v_claims GROUP BY 1")
+@query("v_claims", "v_horses", sql="""
+  SELECT race_id AS doc_id, cast(row_number() OVER (PARTITION BY race_id ORDER BY claim_id) as int) AS row, horse_name, coalesce(new_trainer_name, 'Nobody') AS new_trainer_name, 'Big Stable ' || claim_id % 9 AS new_owner_name,
+         cast(max(cast(floor(claim_price) as bigint)) OVER (PARTITION BY race_id) as double) AS claim_price FROM v_claims JOIN v_horses USING (horse_id)""")
 def extract_claims(r):
-    line = F.concat(F.lit("Some Horse New Trainer: Al Jones New Owner: Big\nStable"))
-    text = _joined(r.claims, "race_id", ["claim_id"], line)
-    docs = text.select(F.col("race_id").alias("doc_id"), F.lit(1).alias("segment"), F.concat(F.lit("Claimed Horse(s):\n"), "text", F.lit("\nFootnotes")).alias("text"))
-    return extract.extract_claims(docs).groupBy("doc_id").agg(F.count("*").alias("claims"))
+    c = r.claims.join(r.horses, "horse_id")
+    owner = F.when(F.col("claim_id") % 2 == 0, " New Owner: Big\nStable ").otherwise(" New Ow|ner: Big Stable ")  # a broken line, a broken label
+    line = F.concat("horse_name", F.lit(" New Trainer: "), F.coalesce("new_trainer_name", F.lit("Nobody")), owner, (F.col("claim_id") % 9).cast("string"))
+    dear = F.max(F.floor("claim_price").cast("long")).cast("string").alias("dear")
+    text = _joined(c, "race_id", ["claim_id"], line).join(c.groupBy("race_id").agg(dear), "race_id")
+    docs = text.select(F.col("race_id").alias("doc_id"), F.lit(1).alias("segment"), F.concat(F.lit("Claiming Price: $"), "dear", F.lit("\nClaimed Horse(s): "), "text", F.lit("\nFootnotes")).alias("text"))
+    return extract.extract_claims(docs).select("doc_id", F.col("row").cast("int").alias("row"), "horse_name", "new_trainer_name", "new_owner_name", _d("claim_price"))
 
 
 @query("v_entries", "v_races", sql="SELECT race_id AS doc_id, race_number, program_number, scratched FROM v_entries JOIN v_races USING (race_id)")
@@ -384,9 +408,9 @@ def reset_card(r):
     return late.reset_races(r.races, r.entries, r.changes, r.races.where("race_id % 5 = 0"))[1].select("entry_id", "scratched", "finish_position")
 
 
-@query("v_changes", sql="SELECT change_type, description, count(DISTINCT race_id) AS n FROM v_changes GROUP BY 1, 2")
+@query("v_changes", sql="SELECT race_id, change_type, description, arg_min(change_id, struct_pack(a := created_at, b := change_id)) AS change_id FROM v_changes GROUP BY 1, 2, 3")
 def stream_dedupe(r):
-    return late.stream_dedupe(r.changes, ["race_id", "change_type", "description"]).groupBy("change_type", "description").agg(F.count("*").alias("n"))
+    return late.stream_dedupe(r.changes, ["race_id", "change_type", "description"], "created_at").select("race_id", "change_type", "description", "change_id")
 
 
 @query("v_crawl_events", sql="SELECT event_id FROM v_crawl_events WHERE cast(seen_at as date) = DATE '2024-01-20'")
@@ -395,19 +419,25 @@ def late_change_filter(r):
 
 
 @query("v_crawl_events", sql="""
-  SELECT feed || source AS key, count(*) FILTER (WHERE kind = 'failure') AS count, min(seen_at) AS first_seen, max(seen_at) AS last_seen FROM v_crawl_events GROUP BY 1""")
+  , s AS (SELECT feed || source AS key, seen_at AS tm, kind = 'failure' AS o FROM v_crawl_events), told AS (SELECT feed || source AS key, seen_at AS tm, CASE WHEN kind = 'failure' THEN 'opened' ELSE 'resolved' END AS event FROM v_crawl_events WHERE event_id % 2 = 0),
+  l AS (SELECT *, lag(o) OVER (PARTITION BY key ORDER BY tm) AS p FROM s),
+  a AS (SELECT key, count(*) FILTER (WHERE o) AS count, min(tm) AS first_seen, max(tm) AS last_seen, arg_max(o, tm) AS open, max(tm) FILTER (WHERE o AND p IS DISTINCT FROM true) AS opened_at, max(tm) FILTER (WHERE NOT o AND p) AS ended FROM l GROUP BY 1)
+  SELECT key, count, first_seen, last_seen, open, opened_at, CASE WHEN NOT open THEN ended END AS resolved_at, EXISTS (SELECT 1 FROM told WHERE told.key = a.key AND event = 'opened' AND told.tm >= opened_at) AS notified_open,
+         NOT open AND EXISTS (SELECT 1 FROM told WHERE told.key = a.key AND event = 'resolved' AND told.tm >= ended) AS notified_resolved FROM a""")
 def alert_lifecycle(r):
-    s = r.crawl_events.select(F.concat("feed", "source").alias("key"), F.col("seen_at").alias("at"), (F.col("kind") == "failure").alias("is_open"))
-    return health.alert_lifecycle(s).drop("open")
+    opens = F.col("kind") == "failure"
+    s = r.crawl_events.select(F.concat("feed", "source").alias("key"), F.col("seen_at").alias("at"), opens.alias("is_open"))
+    told = r.crawl_events.where("event_id % 2 = 0").select(F.concat("feed", "source").alias("key"), F.col("seen_at").alias("at"), F.when(opens, "opened").otherwise("resolved").alias("event"))
+    return health.alert_lifecycle(s, told)
 
 
 @query("v_crawl_events", sql="""
-  , a AS (SELECT feed || source AS key, arg_max(kind = 'failure', struct_pack(a := seen_at, b := kind = 'failure')) AS open FROM v_crawl_events GROUP BY 1)
-  SELECT key, CASE WHEN open THEN 'opened' ELSE 'resolved' END AS event FROM a WHERE open OR key LIKE 'r%'""")
+  , s AS (SELECT feed || source AS key, seen_at AS tm, kind = 'failure' AS o FROM v_crawl_events), a AS (SELECT key, arg_max(o, tm) AS open, max(tm) FILTER (WHERE o) AS last_open FROM s GROUP BY 1)
+  SELECT key, CASE WHEN open THEN 'opened' ELSE 'resolved' END AS event FROM a WHERE open AND NOT key LIKE 'r%' OR NOT open AND key LIKE 'r%' AND last_open IS NOT NULL""")
 def pending_notifications(r):
     s = r.crawl_events.select(F.concat("feed", "source").alias("key"), F.col("seen_at").alias("at"), (F.col("kind") == "failure").alias("is_open"))
-    alerts = health.alert_lifecycle(s).select("key", "open", (~F.col("open") & F.col("key").startswith("r")).alias("notified_open"), F.lit(False).alias("notified_resolved"))
-    return health.pending_notifications(alerts).select("key", "event")
+    told = s.where("is_open AND key LIKE 'r%'").select("key", "at", F.lit("opened").alias("event"))  # of alerts of one feed the opening was told
+    return health.pending_notifications(health.alert_lifecycle(s, told)).select("key", "event")
 
 
 @query("v_races", sql=f"SELECT 'zero_races' AS key, 'critical' AS severity FROM v_races WHERE race_date = DATE '2030-01-01' HAVING count(*) = 0")
@@ -437,16 +467,14 @@ def prefer_detail_entries(r):
     return dedupe.prefer_detail_entries(rows).select("race_id", "program_number", "horse_id")
 
 
-@query("v_races", "v_tracks", sql="SELECT race_id, row_number() OVER (ORDER BY lower(purse) DESC, race_id) AS pos FROM v_races QUALIFY pos <= 120")
+@query("v_races", "v_tracks", sql="SELECT race_id, row_number() OVER (ORDER BY lower(purse) DESC, race_id) AS pos FROM v_races")
 def sort_table_ui(r):
-    top = ordering.sort_table(r.races, "purse", True).limit(120)
-    order = Window.orderBy(F.desc(F.lower("purse")), "race_id")  # 120 rows
-    return top.select("race_id", F.row_number().over(order).cast("long").alias("pos"))
+    return ordering.numbered(r.races, ordering.table_order(r.races, "purse", True)).select("race_id", "pos")
 
 
-@query("v_entries", "v_races", sql="SELECT entry_id, race_key FROM v_entries e JOIN v_races r ON r.race_id = e.race_id WHERE horse_id = 7 ORDER BY race_date DESC, race_number DESC, entry_id LIMIT 25")
+@query("v_entries", "v_races", sql="SELECT entry_id, race_key, row_number() OVER (ORDER BY race_date DESC, race_number DESC, entry_id) AS pos FROM v_entries e JOIN v_races r ON r.race_id = e.race_id")
 def sort_history(r):
-    return ordering.sort_history(products._starts(r).where("horse_id = 7")).limit(25).select("entry_id", "race_key")
+    return ordering.numbered(products._starts(r), ordering.history_order()).select("entry_id", "race_key", "pos")
 
 
 @query("v_horses", "v_entries", "v_races", sql="""
@@ -534,5 +562,120 @@ def failures_by_minute(r):
 @query("v_races", "v_tracks", sql=f"SELECT (SELECT count(*) FROM v_races) AS races, (SELECT count(DISTINCT race_date) FROM v_races WHERE race_date <= DATE '{AS_OF_DATE}') AS dates, (SELECT count(*) FROM v_tracks) AS tracks")
 def filter_options(r):
     dates, tracks = products.filter_options(r, AS_OF_DATE)
-    one = lambda df, n: df.agg(F.count("*").alias(n))
-    return one(r.races, "races").join(one(dates, "dates"), F.lit(True)).join(one(tracks, "tracks"), F.lit(True))
+    kinds = {"races": r.races, "dates": dates, "tracks": tracks}
+    rows = [df.select(F.lit(n).alias("kind")) for n, df in kinds.items()]
+    return rows[0].union(rows[1]).union(rows[2]).agg(*(F.count_if(F.col("kind") == n).alias(n) for n in kinds))
+
+
+# --- readers, snapshots, labels, forms -------------------------------------------------------
+
+
+@query("v_races", sql="SELECT race_id, cast(race_number as int) AS race_number, 'Post Time Change' AS change_type FROM v_races")
+def read_rss_items(r):
+    """Written as feed files and read back."""
+    path = tables.scratch_dir(r.spark)
+    item = r.races.select(F.concat(F.lit("Race "), F.col("race_number").cast("string"), F.lit(": <i>Post Time</i> changed to 1:30 PM; "), F.col("race_id").cast("string")).alias("description"), F.lit("Mon, 01 Jun 1998 10:00:00 EST").alias("pubDate"))
+    item.write.format("xml").option("rootTag", "rss").option("rowTag", "item").save(path)
+    changes = extract.extract_rss_changes(tables.read_rss_items(r.spark, path).select("doc_id", "track_code", "description"))
+    return changes.select(F.regexp_extract("description", r"(\d+)$", 1).cast("long").alias("race_id"), "race_number", "change_type")
+
+
+@query("v_races", sql="SELECT race_id, track_code FROM v_races")
+def read_html_pages(r):
+    """Pages of several lines, written as files and read back whole."""
+    path = tables.scratch_dir(r.spark)
+    r.races.select(F.concat(F.lit("<a id='"), F.col("race_id").cast("string"), F.lit("'>\n"), "track_code", F.lit("</a>")).alias("value")).write.text(path)
+    found = tables.read_html_pages(r.spark, path).select(F.explode(F.regexp_extract_all("html", F.lit(r"(?s)<a id='(\d+'>\n\w+)</a>"), F.lit(1))).alias("x"))
+    return found.select(F.split_part("x", F.lit("'>\n"), F.lit(1)).cast("long").alias("race_id"), F.split_part("x", F.lit("'>\n"), F.lit(2)).alias("track_code"))
+
+
+@query("v_races", sql="SELECT track_code AS doc_id, cast(race_id % 1000000 as int) AS page_no, race_key AS text FROM v_races")
+def read_text_pages(r):
+    path = tables.scratch_dir(r.spark)
+    r.races.select(F.col("track_code").alias("doc_id"), (F.col("race_id") % 1_000_000).cast("int").alias("page_no"), F.col("race_key").alias("text")).write.parquet(path)
+    return tables.read_text_pages(r.spark, path)
+
+
+@query("v_races", sql="SELECT track_code, count(*) AS total FROM v_races GROUP BY 1")
+def write_and_read_snapshot(r):
+    path = tables.scratch_dir(r.spark)
+    total = r.races.groupBy("track_code").agg(F.count("*").alias("total"))
+    tables.write_snapshot(total.withColumn("total", F.lit(0).cast("long")), path, "summary", "1998-06-01 10:00:00")
+    tables.write_snapshot(total.withColumn("total", F.lit(1).cast("long")), path, "other", "1998-06-01 12:00:00")
+    tables.write_snapshot(total, path, "summary", "1998-06-01 11:00:00")
+    return tables.read_snapshot(r.spark, path, "summary").select("track_code", "total")
+
+
+@query("v_races", "v_entries", sql="""
+  SELECT race_id, '$' || (race_id % 900 + 100) || '000 and $' || (race_id % 90 + 10) || '500000' AS purse, CASE race_id % 3 WHEN 0 THEN 'Colt' WHEN 1 THEN 'Mare' ELSE 'x' END AS sex,
+         CASE race_status WHEN 'past_drf_only' THEN 'Past Drf Only' ELSE upper(left(race_status, 1)) || substring(race_status, 2) END AS status, CASE race_id % 3 WHEN 0 THEN track_code WHEN 1 THEN 'Woodbine' ELSE 'Some Park' END AS shown FROM v_races""")
+def labels_and_currency(r):
+    k = F.col("race_id") % 3
+    said = F.concat(F.lit("$"), (F.col("race_id") % 900 + 100).cast("string"), F.lit(", 000 and $"), (F.col("race_id") % 90 + 10).cast("string"), F.lit(",500,000"))
+    shown = racing.track_display_name(F.when(k == 2, "Some Park").when(k == 1, ""), F.when(k == 1, "WO").otherwise(F.col("track_code")))
+    sex = names.sex_label(F.when(k == 0, "c").when(k == 1, "M").otherwise("x"))
+    return r.races.select("race_id", racing.merge_split_currency(said).alias("purse"), sex.alias("sex"), names.status_label(F.col("race_status")).alias("status"), shown.alias("shown"))
+
+
+@query("v_crawl_events", sql=f"""
+  , a AS (SELECT feed, max(CASE WHEN kind = 'success' OR (kind = 'signal' AND feed = 'scratches') THEN seen_at END) AS s FROM v_crawl_events WHERE seen_at <= TIMESTAMP '{EVENTS_AS_OF}' GROUP BY 1)
+  SELECT feed, true AS within_startup_grace, false AS stale FROM a""")
+def within_grace(r):
+    return health.feed_freshness(r.crawl_events, EVENTS_AS_OF, "2024-01-20 11:50:00").select("feed", "within_startup_grace", "stale")
+
+
+@query("v_races", sql="SELECT race_id AS doc_id, CASE race_id % 2 WHEN 0 THEN 'GP' ELSE 'WO' END AS track_code, race_date FROM v_races")
+def extract_form_header(r):
+    name = F.when(F.col("race_id") % 2 == 0, "Gulfstream Park").otherwise("Woodbine")
+    first = F.concat(F.lit("Daily Form\n"), name, F.lit("\n"), F.date_format("race_date", "EEEE, MMMM d, yyyy"), F.lit("\nx\ny\nalso at Saratoga"))
+    pages = r.races.select(F.col("race_id").alias("doc_id"), F.explode(F.array(F.struct(F.lit(1).alias("page_no"), first.alias("text")), F.struct(F.lit(2).alias("page_no"), F.lit("Aqueduct\nJanuary 1, 1990").alias("text")))).alias("p")).select("doc_id", "p.*")
+    return extract.extract_form_header(pages)
+
+
+@query("v_entries", "v_races", sql="""
+  SELECT race_id AS doc_id, entry_id AS page_no, race_id % 3 > 0 AND entry_id % 2 = 0 AS is_entry_page FROM v_entries""")
+def detect_form_entry_pages(r):
+    horse = F.when(F.col("race_id") % 3 == 0, "BOLD BOY of no breeding").otherwise("BOLD BOY b.g.4 Sire: Some One")
+    number = F.when(F.col("entry_id") % 2 == 0, F.col("program_number")).otherwise("Race one")
+    pages = r.entries.select(F.col("race_id").alias("doc_id"), F.col("entry_id").alias("page_no"), F.concat(F.lit("Form\n "), number, F.lit(" \n"), horse, F.lit("\nLife 3 1")).alias("text"))
+    return extract.detect_form_entry_pages(pages).select("doc_id", "page_no", "is_entry_page")
+
+
+@query("v_entries", "v_jockeys", sql="SELECT entry_id, entry_id % 2 = 0 AS blinkers, entry_id % 3 = 0 AS lasix, cast(110 + entry_id % 20 as int) AS weight FROM v_entries")
+def extract_form_entry_details(r):
+    i = F.col("entry_id")
+    text = F.concat(F.when(i % 2 == 0, "Blinkers on. ").otherwise("plain. "), F.when(i % 6 == 0, "Lasix ").when(i % 3 == 0, "L ").otherwise(""), (i % 20 + 110).cast("string"), F.lit(" Tr: some one"))
+    return extract.extract_form_entry_details(r.entries.select("entry_id", text.alias("text"))).select("entry_id", "blinkers", "lasix", "weight")
+
+
+@query("v_races", sql="SELECT race_id, CASE WHEN race_id % 2 = 0 THEN '1' || chr(10) || 'Race of ' || race_id ELSE 'Page without one ' || race_id END AS text FROM v_races")
+def trim_index_page(r):
+    own = F.concat(F.lit("1\nRace of "), F.col("race_id").cast("string"))
+    text = F.when(F.col("race_id") % 2 == 0, F.concat(F.lit("Index of races\n2 Some Park\n"), own)).otherwise(F.concat(F.lit("Page without one "), F.col("race_id").cast("string")))
+    return r.races.select("race_id", extract.trim_index_page(text).alias("text"))
+
+
+@query("v_crawl_events", sql="SELECT event_id AS upload_id, seen_at AS uploaded_at FROM v_crawl_events ORDER BY seen_at DESC, event_id DESC LIMIT 10")
+def recent_uploads(r):
+    return products.recent_uploads(r.crawl_events.select(F.col("event_id").alias("upload_id"), F.col("seen_at").alias("uploaded_at")))
+
+
+@query("v_tracks", sql="SELECT track_code, track_name, timezone FROM v_tracks")
+def tracks(r):
+    return products.tracks(r)
+
+
+@query("v_changes", "v_races", sql="SELECT track_code, string_agg(cast(change_id as varchar), ',' ORDER BY c.race_id, change_id) AS ids FROM v_changes c JOIN v_races r ON r.race_id = c.race_id GROUP BY 1")
+def group_changes_by_track(r):
+    rows = r.changes.join(r.races.select("race_id", "track_code"), "race_id").select("track_code", F.col("race_id").alias("doc_id"), F.col("change_id").alias("line_no"), "change_type", "description")
+    return late.group_changes_by_track(rows).select("track_code", F.array_join(F.transform("changes", lambda c: c["line_no"].cast("string")), ",").alias("ids"))
+
+
+@query("v_crawl_events", sql="""
+  , e AS (SELECT feed, seen_at AS tm, kind = 'failure' AS bad, event_id FROM v_crawl_events), i AS (SELECT *, sum(CASE WHEN bad THEN 0 ELSE 1 END) OVER (PARTITION BY feed ORDER BY tm, event_id) AS island FROM e),
+  n AS (SELECT *, row_number() OVER (PARTITION BY feed, island ORDER BY tm, event_id) AS k FROM i WHERE bad)
+  SELECT n.feed, n.tm AS opened_at, f.tm AS resolved_at FROM n LEFT JOIN (SELECT feed, island - 1 AS island, tm FROM i WHERE NOT bad) f ON f.feed = n.feed AND f.island = n.island WHERE k = 2""")
+def database_alerts(r):
+    """A failure is an evaluation without connection; two in a row open an alert."""
+    seen = r.crawl_events.select("feed", F.col("seen_at").alias("evaluated_at"), (F.col("kind") == "failure").alias("stale"))
+    return health.stale_alerts(seen, health.DATABASE_STRIKES).select("feed", "opened_at", "resolved_at")

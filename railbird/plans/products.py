@@ -15,24 +15,30 @@ from railbird.operators import betting, dedupe, filters, joins, ordering, sets,
 from railbird.streaming import health
 
 
-def _with_state(r, races: DataFrame, as_of: str) -> DataFrame:
+def _of(races: DataFrame, children: DataFrame) -> DataFrame:
+    """The rows of ``children`` that belong to some races; the filter goes down to their scan."""
+    return joins.semi_by_ids(children, races, "race_id")
+
+
+def _with_state(races: DataFrame, tracks: DataFrame, entries: DataFrame, claims: DataFrame, as_of: str) -> DataFrame:
     """Races with their track, entry counts, first three, claims flag and state at ``as_of``."""
-    out = joins.join_track(races, r.tracks).join(agg.race_stats(r.entries), "race_id", "left")
-    out = joins.exists_flag(out, r.claims, "race_id", "has_claims")
+    out = joins.join_track(races, tracks).join(agg.race_stats(entries), "race_id", "left")
+    out = joins.exists_flag(out, claims, "race_id", "has_claims")
     state = live_status(F.col("race_date"), F.col("post_time"), F.col("race_status"), F.col("timezone"), F.size("top3") > 0, F.lit(as_of).cast("timestamp"))
     return out.withColumn("live_status", state)
 
 
 def todays_races(r, day: str, as_of: str, track: str = "All", status: str = "All") -> DataFrame:
     today = r.races.where(F.col("race_date") == F.lit(day).cast("date"))
-    return shapes.shape_race(filters.status(filters.track(_with_state(r, today, as_of), track), status))
+    rows = _with_state(today, r.tracks, _of(today, r.entries), _of(today, r.claims), as_of)
+    return shapes.shape_race(filters.status(filters.track(rows, track), status))
 
 
 def past_races(r, today: str, start: str = "", end: str = "", track: str = "All") -> DataFrame:
     """Finished, past and cancelled races up to today, with winner and first three."""
     old = r.races.where(F.col("race_status").isin("completed", "past_drf_only", "cancelled") & (F.col("race_date") <= F.lit(today).cast("date")))
     old = filters.track(joins.join_track(filters.view_dates(old, "all", today, start, end), r.tracks), track)
-    out = old.join(agg.race_stats(r.entries), "race_id", "left").join(agg.race_winner(r.races, r.entries), "race_id", "left").join(r.horses.select(F.col("horse_id").alias("winner_horse_id"), F.col("horse_name").alias("winner_name")), "winner_horse_id", "left")
+    out = old.join(agg.race_stats(r.entries), "race_id", "left").join(agg.race_winner(old, r.entries), "race_id", "left").join(r.horses.select(F.col("horse_id").alias("winner_horse_id"), F.col("horse_name").alias("winner_name")), "winner_horse_id", "left")
     return out.select(
         "race_id", "race_key", "track_code", F.coalesce("track_name", "track_code").alias("track_name"), "race_date", "race_number", "race_status",
         F.coalesce("winner_name", F.lit("N/A")).alias("winner_name"), "winner_number", F.coalesce("entry_count", F.lit(0)).cast("long").alias("entry_count"),
@@ -45,7 +51,7 @@ def race_cards(r, as_of: str, keys: DataFrame | None = None) -> DataFrame:
     around = dedupe.prev_next_race(r.races).select("race_id", "prev_race_key", "next_race_key")
     races = r.races if keys is None else r.races.join(keys.select("race_key"), "race_key", "left_semi")
     entries = shapes.shape_entry(joins.join_entry_dims(r.entries, r.horses, r.jockeys))
-    out = _with_state(r, races, as_of).drop("top3", "entry_count").join(around, "race_id")
+    out = _with_state(races, r.tracks, r.entries, r.claims, as_of).drop("top3", "entry_count").join(around, "race_id")
     out = joins.nest(out, entries, "race_id", "entries", "entry_id")
     out = joins.nest(out, r.exotics, "race_id", "exotics", "seq")
     out = joins.nest(out, r.claims, "race_id", "claims", "claim_id")
@@ -54,7 +60,7 @@ def race_cards(r, as_of: str, keys: DataFrame | None = None) -> DataFrame:
 
 def entries_for(r, day: str, track: str = "All", include_scratched: bool = True) -> DataFrame:
     races = filters.track(joins.join_track(r.races.where(F.col("race_date") == F.lit(day).cast("date")), r.tracks), track)
-    rows = shapes.shape_entry(joins.join_entry_dims(filters.scratched(r.entries, include_scratched), r.horses, r.jockeys))
+    rows = shapes.shape_entry(joins.join_entry_dims(filters.scratched(_of(races, r.entries), include_scratched), r.horses, r.jockeys))
     return races.select("race_id", "race_key", "track_code", "race_number").join(rows, "race_id")
 
 
@@ -67,8 +73,10 @@ def results_for(r, today: str, track: str = "All") -> DataFrame:
 
 
 def day_summary(r, day: str, as_of: str) -> DataFrame:
-    today = _with_state(r, r.races.where(F.col("race_date") == F.lit(day).cast("date")), as_of)
-    first = r.entries.where("finish_position = 1").groupBy("race_id").agg(F.min("horse_id").alias("horse_id")).join(r.horses.select("horse_id", F.col("horse_name").alias("winner_name")), "horse_id", "left")
+    races = r.races.where(F.col("race_date") == F.lit(day).cast("date"))
+    entries = _of(races, r.entries)
+    today = _with_state(races, r.tracks, entries, _of(races, r.claims), as_of)
+    first = entries.where("finish_position = 1").groupBy("race_id").agg(F.min("horse_id").alias("horse_id")).join(r.horses.select("horse_id", F.col("horse_name").alias("winner_name")), "horse_id", "left")
     return agg.track_day_summary(today.join(first.drop("horse_id"), "race_id", "left"))
 
 
@@ -146,5 +154,15 @@ def settle_bets(r, as_of: str) -> DataFrame:
     return betting.settle(r.bets, r.races, r.entries, r.exotics, as_of)
 
 
+def tracks(r) -> DataFrame:
+    """All tracks by name."""
+    return r.tracks.select("track_code", "track_name", "timezone").orderBy("track_name", "track_code")
+
+
+def recent_uploads(uploads: DataFrame, limit: int = 10) -> DataFrame:
+    """The latest uploads (upload_id, uploaded_at, …), at most a hundred."""
+    return ordering.recent(uploads, "uploaded_at", "upload_id", ordering.clamp(limit, 100))
+
+
 def recent_bets(r, limit: int = 50) -> DataFrame:
     return ordering.recent(r.bets, "created_at", "bet_id", ordering.clamp(limit, 200))

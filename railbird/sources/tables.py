@@ -6,7 +6,9 @@ functions return the new table; ``write_version`` makes it the current one.
 
 from __future__ import annotations
 
+import tempfile
 import time
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -42,6 +44,16 @@ def read_text_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("doc_id string, page_no int, text string").parquet(path)
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """A new folder that driver and executors share, below ``spark.checkpoint.dir``; a local one only where all runs on this machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if root:
+        return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"file://{tempfile.mkdtemp(prefix='spark-')}"
+
+
 def _latest(rows: DataFrame, keys: list[str], order: Column) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(order)
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")

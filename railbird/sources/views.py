@@ -44,10 +44,10 @@ VIEWS = {
                CASE WHEN state <> 'F' AND priority = '5-LOW' THEN 'Weather' END AS cancellation_reason,
                CASE WHEN state = 'F' AND race_id % 13 = 0 THEN '9' END AS winner_program_number
         FROM (
-          SELECT o_orderkey AS race_id, concat('T', {_pad2("c_nationkey")}) AS track_code, cast(date_trunc('month', o_orderdate) as date) AS race_date,
-                 cast(row_number() OVER (PARTITION BY c_nationkey, date_trunc('month', o_orderdate) ORDER BY o_orderdate, o_orderkey) as int) AS race_number,
-                 o_orderstatus AS state, o_orderpriority AS priority, o_totalprice AS price
-          FROM {{orders}} JOIN {{customer}} ON o_custkey = c_custkey) cards""",
+          SELECT *, cast(row_number() OVER (PARTITION BY track_code, race_date ORDER BY ordered, race_id) as int) AS race_number
+          FROM (SELECT o_orderkey AS race_id, concat('T', {_pad2("c_nationkey")}) AS track_code, cast(date_trunc('month', o_orderdate) as date) AS race_date,
+                       o_orderdate AS ordered, o_orderstatus AS state, o_orderpriority AS priority, o_totalprice AS price
+                FROM {{orders}} JOIN {{customer}} ON o_custkey = c_custkey) dated) cards""",
     "v_entries_raw": """
         SELECT l_orderkey AS race_id, l_linenumber AS line, l_partkey AS horse_id, l_suppkey AS jockey_id, l_orderkey % 97 AS trainer_id,
                l_extendedprice AS price, l_discount AS discount, l_returnflag AS flag, l_shipdate AS shipped
@@ -59,11 +59,11 @@ VIEWS = {
                CASE WHEN e.place <= 2 THEN {_cents("(cast(floor(e.price) as bigint) % 1500 + 210)")} END AS place_payout,
                CASE WHEN e.place <= 3 THEN {_cents("(cast(floor(e.price) as bigint) % 700 + 200)")} END AS show_payout
         FROM (
-          SELECT c.*, CASE WHEN r.race_status = 'completed' AND c.flag <> 'R'
-                      THEN cast(row_number() OVER (PARTITION BY c.race_id, c.flag = 'R' ORDER BY c.price DESC, c.line) as int) END AS place
-          FROM (SELECT *, row_number() OVER (PARTITION BY race_id, line ORDER BY shipped DESC, price DESC, horse_id DESC, jockey_id DESC) AS nth FROM v_entries_raw) c
-          JOIN v_races r ON r.race_id = c.race_id
-          WHERE c.nth = 1) e""",
+          SELECT c.*, CASE WHEN r.o_orderstatus = 'F' AND c.flag <> 'R'
+                      THEN cast(row_number() OVER (PARTITION BY c.race_id ORDER BY c.flag = 'R', c.price DESC, c.line) as int) END AS place
+          FROM (SELECT *, lag(line) OVER (PARTITION BY race_id ORDER BY line, shipped DESC, price DESC, horse_id DESC, jockey_id DESC) AS before FROM v_entries_raw) c
+          JOIN {{orders}} r ON r.o_orderkey = c.race_id
+          WHERE c.before IS NULL OR c.before <> c.line) e""",
     "v_horses": "SELECT p_partkey AS horse_id, p_name AS horse_name, p_size AS foaling_year FROM {part}",
     "v_jockeys": "SELECT s_suppkey AS jockey_id, s_name AS jockey_name FROM {supplier}",
     "v_changes": f"""
@@ -124,11 +124,11 @@ def cte(*names: str) -> str:
     return "WITH " + ",\n".join(f"{v} AS ({VIEWS[v].format(**tables)})" for v in needed(names))
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One view as a DataFrame over the Parquet tables in ``sf_dir``."""
+def view(spark: SparkSession, source, name: str) -> DataFrame:  # noqa: ANN001
+    """One view as a DataFrame over the source tables that ``source`` gives by name."""
     chain = needed((name,))
     text = "WITH " + ",\n".join(f"{v} AS ({VIEWS[v]})" for v in chain) + f"\nSELECT * FROM {name}"
-    used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in SOURCES if "{" + t + "}" in text}
+    used = {t: source(t) for t in SOURCES if "{" + t + "}" in text}
     return spark.sql(text.replace("varchar(4)", "string").replace("varchar(9)", "string").replace("varchar(20)", "string"), **used)
 
 
@@ -136,9 +136,15 @@ class Racing:
     """The views of one data set, by attribute: ``Racing(spark, dir).races``."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir, self._sources = spark, sf_dir, {}
+
+    def source(self, name: str) -> DataFrame:
+        """A source table, whose files are listed once."""
+        if name not in self._sources:
+            self._sources[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._sources[name]
 
     def __getattr__(self, name: str) -> DataFrame:
-        if f"v_{name}" not in VIEWS:
+        if name.startswith("_") or f"v_{name}" not in VIEWS:
             raise AttributeError(name)
-        return view(self.spark, self.sf_dir, f"v_{name}")
+        return view(self.spark, self.source, f"v_{name}")

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from railbird.functions.changes import extract_new_post_time, valid_cancellation
 from railbird.operators.extract import extract_rss_changes
-from railbird.operators.joins import zombie_entries
+from railbird.operators.joins import match_entries, zombie_entries
+from railbird.sources.tables import upsert
 
 
 def late_change_filter(docs: DataFrame, day: str, watermark: str = "1 day") -> DataFrame:
@@ -18,10 +19,13 @@ def late_change_filter(docs: DataFrame, day: str, watermark: str = "1 day") -> D
 
 
 def stream_dedupe(changes: DataFrame, keys: list[str], watermark_column: str = "published_ts", watermark: str = "1 day") -> DataFrame:
-    """The same event of several sources once; on a stream within the watermark."""
+    """The same event of several sources once: of a table the first by time and all columns, of a stream the first to come within the watermark."""
     if changes.isStreaming:
         return changes.withColumn(watermark_column, F.col(watermark_column).cast("timestamp")).withWatermark(watermark_column, watermark).dropDuplicatesWithinWatermark(keys)
-    return changes.dropDuplicates(keys)
+    rest = [c for c in changes.columns if c not in keys]
+    first = F.struct(*([watermark_column] if watermark_column in rest else []), *(c for c in rest if c != watermark_column))
+    one = changes.groupBy(*keys).agg(F.min(first).alias("_first")).select(*keys, "_first.*")
+    return one.select(*changes.columns)
 
 
 def apply_scratches(entries: DataFrame, changes: DataFrame) -> DataFrame:
@@ -77,7 +81,45 @@ def reset_races(races: DataFrame, entries: DataFrame, changes: DataFrame, race_i
     return r, e, changes.join(mark, "race_id", "left_anti")
 
 
+def group_changes_by_track(changes: DataFrame) -> DataFrame:
+    """track_code, changes: an array of each track's changes of a run, in the order they were read."""
+    rest = [c for c in changes.columns if c not in ("track_code", "doc_id", "line_no")]
+    return changes.groupBy("track_code").agg(F.array_sort(F.collect_list(F.struct("doc_id", "line_no", *rest))).alias("changes"))
+
+
+def ingest_changes(stored: DataFrame, items: DataFrame, races: DataFrame, entries: DataFrame, day: str) -> DataFrame:
+    """``stored`` changes with those of feed ``items`` (doc_id, track_code, description) of a day added.
+
+    A line is matched to the race by track, day and number, and to an entry by program number, else by name; what
+    fits no race, and a horse that the race doesn't have, is left out.  The key is race, entry and kind: the same
+    item again changes nothing, a later text of the same change takes the place of the earlier one.
+    """
+    today = races.where(F.col("race_date") == F.lit(day).cast("date")).select("race_id", "track_code", "race_number")
+    found = extract_rss_changes(items).join(today, ["track_code", "race_number"])
+    named = found.withColumn("horse_name", F.nullif("horse_name", F.lit("")))
+    here = entries.join(today.select("race_id"), "race_id", "left_semi")
+    matched = match_entries(named, here).select("race_id", "entry_id", "change_type", "description", "doc_id", "line_no")
+    new = matched.groupBy("race_id", "entry_id", "change_type").agg(F.max_by("description", F.struct("doc_id", "line_no", "description")).alias("description"))
+    return upsert(stored, new, ["race_id", "entry_id", "change_type"])
+
+
 def stream_changes(docs: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict | None = None):
     """Landed feed documents (doc_id, track_code, description) -> changes, handed to ``sink`` (rows, batch id) batch by
     batch.  A batch may come again after a failure: sinks are to be idempotent by batch id or key."""
     return extract_rss_changes(docs).writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "5 minutes"})).start()
+
+
+def stream_ingest(docs: DataFrame, table: str, races: DataFrame, entries: DataFrame, day: str, checkpoint: str, trigger: dict | None = None):
+    """Landed feed documents -> the next version of the table of changes in the folder ``table``, batch by batch.
+
+    A batch's version is named by its number and made of the one before it, so that a batch that comes again
+    after a failure writes the same table anew.
+    """
+
+    def each(items: DataFrame, n: int) -> None:
+        spark = items.sparkSession
+        kind = "race_id long, entry_id long, change_type string, description string"
+        old = spark.read.schema(kind).parquet(f"{table}/v={n - 1}") if n else spark.createDataFrame([], kind)
+        ingest_changes(old, items, races, entries, day).write.mode("overwrite").parquet(f"{table}/v={n}")
+
+    return docs.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "5 minutes"})).start()

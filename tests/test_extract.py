@@ -15,12 +15,12 @@ def rows(df, *columns, by=None):
 
 def test_rss(spark):
     text = (
-        "Race 02: <b># 5 A Lister</b> <i>Scratched</i> - Reason Unavailable<br/>Race 02: <b># 05 A Lister</b> Scratch Reason - Reason Unavailable changed to PrivVet-Injured<br />"
-        "Race 05: <i>Race Cancelled</i> - Weather<br/>Race 06: <i>Show Wagering Cancelled</i><br/>Race 07: Post Time changed to 1:30 PM<br/>junk<br/>Race 1: Race Cancelled - Show Wagering"
+        "Race 03: <b># 7 Copper Kettle</b> <i>Scratched</i> - Lame<br/>Race 03: <b># 07 Copper Kettle</b> Scratch Reason - Lame changed to Bruised Foot<br />"
+        "Race 04: <i>Race Cancelled</i> - Fog<br/>Race 08: <i>Exacta Wagering Cancelled</i><br/>Race 09: Post Time changed to 4:10 PM<br/>nothing<br/>Race 2: Race Cancelled - Exacta Wagering"
     )
-    got = rows(extract.extract_rss_changes(one(spark, "doc_id int, track_code string, description string", 1, "AQU", text)), "race_number", "program_number", "horse_name", "change_type", by=["line_no"])
-    assert got == [(2, "5", "alister", "Scratch"), (2, "5", "alister", "Other"), (5, None, "", "Race Cancelled"), (6, None, "", "Wagering"), (7, None, "", "Post Time Change"), (1, None, "", "Wagering")]
-    assert extract.extract_rss_changes(one(spark, "doc_id int, track_code string, description string", 1, "AQU", None)).count() == 0
+    got = rows(extract.extract_rss_changes(one(spark, "doc_id int, track_code string, description string", 1, "CT", text)), "race_number", "program_number", "horse_name", "change_type", by=["line_no"])
+    assert got == [(3, "7", "copperkettle", "Scratch"), (3, "7", "copperkettle", "Other"), (4, None, "", "Race Cancelled"), (8, None, "", "Wagering"), (9, None, "", "Post Time Change"), (2, None, "", "Wagering")]
+    assert extract.extract_rss_changes(one(spark, "doc_id int, track_code string, description string", 1, "CT", None)).count() == 0
 
 
 def test_html_changes(spark):

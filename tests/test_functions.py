@@ -89,3 +89,21 @@ def test_key_combos_against_enumeration(spark):
 def test_win_pct_rounds_to_even(spark):
     df = spark.createDataFrame([(1, 16), (0, 0), (1, 3)], "w long, n long")
     assert [float(r[0]) for r in df.select(money.win_pct(F.col("w"), F.col("n"))).collect()] == [6.2, 0.0, 33.3]
+
+
+def test_names_keep_ascii_only(spark):
+    got = spark.sql("SELECT 'Café  Noir (IRE) 2' n UNION ALL SELECT cast(null as string)").select(names.normalize_name(F.col("n"))).collect()
+    assert sorted(r[0] for r in got) == ["", "cafnoir2"]
+
+
+def test_charts_of_the_last_century(spark):
+    c = spark.sql("SELECT 'GP040698USA3.pdf' u UNION ALL SELECT 'WO042526CAN1.pdf' UNION ALL SELECT 'GP139998USA3.pdf'").select(racing.parse_chart_url(F.col("u")).alias("c")).select("c.*").collect()
+    assert sorted((r.track_code, str(r.race_date), r.race_number) for r in c) == [("GP", "1998-04-06", 3), ("GP", "None", 3), ("WO", "2026-04-25", 1)]
+
+
+def test_pages_of_a_wall(spark):
+    from railbird.operators.filters import classify_page
+
+    said = {"": "success", "short": "blocked", "Access Denied <title>404": "blocked", "<TITLE>404": "no_card", "x" * 6000 + "incapsula": "success", "y" * 6000 + "<title>404": "no_card", "z" * 5000: "success"}
+    df = spark.createDataFrame([(k,) for k in said] + [(None,)], "h string")
+    assert {r.h or "": r.s for r in df.select("h", classify_page(F.col("h")).alias("s")).collect()} == said
