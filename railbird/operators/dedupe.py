@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from railbird.functions.changes import change_type_class
 from railbird.functions.names import change_identity, normalize_name, space_count
+from railbird.sources.tables import written
 
 
 def first_by(df: DataFrame, keys: list, order: list) -> DataFrame:
@@ -110,11 +111,11 @@ def running(rows: DataFrame, keys: tuple[str, ...], bucket: Column, order: list,
     """Adds running sums or maxima, (``"sum"`` or ``"max"``, column) by name, over each key in ``order``.
 
     A key's rows are cut by ``bucket``, which must not fall as the order rises; totals of the buckets before,
-    a row for each, carry on.  So a key with a third of all rows is many windows.
+    a row for each, carry on.  So a key with a third of all rows is many windows.  The rows are written once.
     """
     how = {"sum": F.sum, "max": F.max}
     own = [*keys, "_bucket"]
-    at = rows.withColumn("_bucket", bucket).withColumns({f"_v_{n}": c for n, (_, c) in values.items()})
+    at = written(rows.withColumn("_bucket", bucket).withColumns({f"_v_{n}": c for n, (_, c) in values.items()}))
     totals = at.groupBy(*own).agg(*(how[f](f"_v_{n}").alias(f"_t_{n}") for n, (f, _) in values.items()))
     earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = totals.select(*(F.col(k).alias(f"_k_{k}") for k in own), *(how[f](f"_t_{n}").over(earlier).alias(f"_b_{n}") for n, (f, _) in values.items()))

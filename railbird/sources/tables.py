@@ -54,6 +54,13 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"file://{tempfile.mkdtemp(prefix='spark-')}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Writes ``df`` in the shared folder and reads it back, so that what reads it several times computes it once."""
+    path = scratch_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _latest(rows: DataFrame, keys: list[str], order: Column) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(order)
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")

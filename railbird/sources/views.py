@@ -6,6 +6,8 @@ source tables.  Cards are a nation's orders of a month, entries its items, chang
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 AS_OF_DATE = "1998-06-01"
@@ -124,27 +126,29 @@ def cte(*names: str) -> str:
     return "WITH " + ",\n".join(f"{v} AS ({VIEWS[v].format(**tables)})" for v in needed(names))
 
 
-def view(spark: SparkSession, source, name: str) -> DataFrame:  # noqa: ANN001
-    """One view as a DataFrame over the source tables that ``source`` gives by name."""
-    chain = needed((name,))
-    text = "WITH " + ",\n".join(f"{v} AS ({VIEWS[v]})" for v in chain) + f"\nSELECT * FROM {name}"
-    used = {t: source(t) for t in SOURCES if "{" + t + "}" in text}
-    return spark.sql(text.replace("varchar(4)", "string").replace("varchar(9)", "string").replace("varchar(20)", "string"), **used)
+_NAMED = re.compile(r"\bv_\w+\b")
 
 
 class Racing:
-    """The views of one data set, by attribute: ``Racing(spark, dir).races``."""
+    """The views of one data set, by attribute: ``Racing(spark, dir).races``.  Each is analysed once, over the ones it reads."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir, self._sources = spark, sf_dir, {}
+        self.spark, self.sf_dir, self._known = spark, sf_dir, {}
 
     def source(self, name: str) -> DataFrame:
         """A source table, whose files are listed once."""
-        if name not in self._sources:
-            self._sources[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        return self._sources[name]
+        if name not in self._known:
+            self._known[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._known[name]
 
     def __getattr__(self, name: str) -> DataFrame:
-        if name.startswith("_") or f"v_{name}" not in VIEWS:
+        view = f"v_{name}"
+        if name.startswith("_") or view not in VIEWS:
             raise AttributeError(name)
-        return view(self.spark, self.source, f"v_{name}")
+        if view not in self._known:
+            text = _NAMED.sub(lambda m: "{" + m[0] + "}", VIEWS[view])
+            used = {t: self.source(t) for t in SOURCES if "{" + t + "}" in text} | {v: getattr(self, v[2:]) for v in set(_NAMED.findall(VIEWS[view]))}
+            for varchar in ("varchar(4)", "varchar(9)", "varchar(20)"):
+                text = text.replace(varchar, "string")
+            self._known[view] = self.spark.sql(text, **used)
+        return self._known[view]
