@@ -148,6 +148,15 @@ def signal_words(templates: dict[str, str]) -> list[str]:
     return sorted(chosen)
 
 
+def signal_pattern(templates: dict[str, str]) -> str:
+    """Finds any signal word, or a longer one with it; most characters are passed by one look at what words begin with."""
+    chosen = signal_words(templates)
+    least = [w for w in chosen if not any(v in w and v != w for v in chosen)]
+    folded = lambda w: re.escape(w).replace("k", "[k\u212a]")  # noqa: E731  the one other letter that lower-cases to an ASCII one
+    firsts = "".join(sorted({w[0] for w in least})).replace("k", "k\u212a")
+    return f"(?i)(?=[{firsts}])(?:{'|'.join(map(folded, least))})" if least else r"\A\Z."
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None) -> DataFrame:
     """Per row: id, n_licenses, licenses (sorted names, comma-joined), containment (the best, null without any).
 
@@ -159,16 +168,17 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     templates = TEMPLATES if templates is None else templates
     if any(len(re.findall(r"[^\W_]+", t)) < SHINGLE + SHORT[0] - 1 for t in templates.values()):
         raise ValueError("a template has fewer than five words")
-    known = template_table(docs.sparkSession, templates)
+    # Written, so that Spark knows the sizes: templates' bands are broadcast if they are few, else joined by shuffles.
+    known = materialize(template_table(docs.sparkSession, templates), "templates")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     plain = docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("key", F.unhex(F.md5(F.col("text").cast("binary"))))
-    signal = F.col("text").rlike("(?iu)" + "|".join(map(re.escape, signal_words(templates))))
+    signal = F.col("text").rlike(signal_pattern(templates))
     told = plain.where(signal).select("key", _shingle_hashes(_words(F.col("text"))).alias("hashes"))
     windows = told.select("key", F.explode(_let(F.col("hashes"), lambda h: F.concat(_windows(h, SHORT, SHORT[1]), _windows(h, LONG, LONG[1])))).alias("w"))
     asked = windows.select("key", "w.at", F.explode("w.keys").alias("band"))
-    keys = known.select("template", F.size("words").alias("long"), F.explode("windows").alias("w")).select("template", "long", F.explode("w.keys").alias("band")).distinct()
+    keys = materialize(known.select("template", F.size("words").alias("long"), F.explode("windows").alias("w")).select("template", "long", F.explode("w.keys").alias("band")).distinct(), "template-bands")
     called = materialize(asked.join(keys, "band").select("key", "template", F.floor(F.col("at") / F.col("long")).cast("int").alias("stretch")).distinct(), "called")
-    texts = plain.join(called.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")).select("key", _words(F.col("text")).alias("words"))
+    texts = plain.where(signal).join(called.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")).select("key", _words(F.col("text")).alias("words"))
     size = F.size("words")  # the template's
     near = F.slice("said", F.greatest((F.col("stretch") - 1) * size, F.lit(0)) + 1, 3 * size + SHINGLE)
     share = F.size(F.array_intersect(_shingles(near), F.col("shingles"))) / F.size("shingles")
