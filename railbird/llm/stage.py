@@ -65,11 +65,11 @@ def shared_dir(spark: SparkSession) -> str:
 _written: list[str] = []
 
 
-def materialize(df: DataFrame, label: str, compression: str = "zstd", level: int = 3) -> DataFrame:
-    """Writes ``df`` as Parquet in the shared folder and reads it back."""
+def materialize(df: DataFrame, label: str, compression: str = "zstd", level: int = 3, group_bytes: int = 128 << 20) -> DataFrame:
+    """Writes ``df`` as Parquet in the shared folder and reads it back; row groups of about ``group_bytes`` bound what a reader holds."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).option("parquet.compression.codec.zstd.level", level).parquet(path)
+    df.write.option("compression", compression).option("parquet.compression.codec.zstd.level", level).option("parquet.block.size", group_bytes).parquet(path)
     _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
