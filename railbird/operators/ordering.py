@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from railbird.functions.names import change_identity, program_order
+from railbird.sources.tables import written
 
 
 def clamp(limit: int, most: int) -> int:
@@ -22,7 +23,8 @@ def paginate(df: DataFrame, order: list, page: int, limit: int) -> tuple[DataFra
 
 def numbered(df: DataFrame, order: list, partitions: int = 32) -> DataFrame:
     """All rows with pos, from 1, in a total order: ranges are sorted apart, and each counts on from those before it."""
-    dealt = df.repartitionByRange(partitions, *order).withColumn("_part", F.spark_partition_id())
+    # Written: the ranges come from samples, which differ when they are worked out again.
+    dealt = written(df.repartitionByRange(partitions, *order).withColumn("_part", F.spark_partition_id()))
     own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
     before = dealt.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_before"))
