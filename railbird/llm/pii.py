@@ -178,7 +178,8 @@ def word_counts(docs: DataFrame, scanned: DataFrame, wanted: DataFrame, text_col
     """(word, n): distinct texts with the word, of at least the words in ``wanted`` (word).
 
     Filters keep most other words out of the shuffle, and only texts that may have copies
-    pass their words with the text's mark.
+    pass their words with the text's mark.  A row goes out per text and word; Spark counts
+    them, on the map side first.
     """
     copied = scanned.groupBy("mark").count().where("count > 1").select("mark")
     words, marks = _sent(wanted, "word"), _sent(copied, "mark")
@@ -186,13 +187,16 @@ def word_counts(docs: DataFrame, scanned: DataFrame, wanted: DataFrame, text_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, twice = _Filter(words), _Filter(marks)
         for b in batches:
-            seen: Counter[tuple[str, int | None]] = Counter()
-            for mark, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                own = mark if twice[str(mark)] else None
-                seen.update((w, own) for w in {w.lower() for w in set(_WORD.findall(t.as_py()))} if known[w])
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in seen], pa.string()), pa.array([m for _, m in seen], pa.int64()), pa.array(list(seen.values()), pa.int64())], ["word", "mark", "n"])
-
-    once = _marked(docs, text_col).mapInArrow(run, "word string, mark long, n long").groupBy("word", "mark").agg(F.sum("n").alias("n"))
+            for at in range(0, b.num_rows, 1000):
+                part = b.slice(at, 1000)
+                seen, own = [], []
+                for mark, t in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                    mine = [w for w in {w.lower() for w in set(_WORD.findall(t.as_py()))} if known[w]]
+                    seen += mine
+                    own += [mark if twice[str(mark)] else None] * len(mine)
+                yield pa.RecordBatch.from_arrays([pa.array(seen, pa.string()), pa.array(own, pa.int64())], ["word", "mark"])
+
+    once = _marked(docs, text_col).mapInArrow(run, "word string, mark long").groupBy("word", "mark").agg(F.count("*").alias("n"))
     return once.groupBy("word").agg(F.sum(F.when(F.col("mark").isNull(), F.col("n")).otherwise(1)).alias("n"))
 
 
