@@ -10,7 +10,6 @@ bounds), and the words are compared one by one.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -101,6 +100,34 @@ def _holds(table: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     return np.flatnonzero((table[slot >> np.uint64(6)].view(np.uint64) >> (slot & np.uint64(63))) & np.uint64(1))
 
 
+def _portions(texts: pa.Array, known: _Hashes, most_words: int = 50_000) -> Iterator[tuple[list[list[bytes]], np.ndarray, np.ndarray]]:
+    """Runs of rows with about ``most_words`` together: their words, where each text starts, and all words' hashes."""
+    held, n = [], 0
+    for t in texts:
+        held.append(words(t.as_py()))
+        n += len(held[-1])
+        if n >= most_words:
+            yield held, *_joined(held, known)
+            held, n = [], 0
+    if held:
+        yield held, *_joined(held, known)
+
+
+def _joined(held: list[list[bytes]], known: _Hashes) -> tuple[np.ndarray, np.ndarray]:
+    lengths = np.array([len(h) for h in held])
+    starts = np.append(0, np.cumsum(lengths))
+    return starts, np.fromiter((h for text in held for h in map(known.__getitem__, text)), np.uint64, starts[-1])
+
+
+def _found(starts: np.ndarray, hashes: np.ndarray, width: int, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place in it, token) of the shingles that the filter holds and that lie in one text."""
+    s = shingles(hashes, width)
+    at = _holds(table, s)
+    text = np.searchsorted(starts, at, side="right") - 1
+    inside = at + width <= starts[text + 1]
+    return text[inside], (at - starts[text])[inside], s[at[inside]].view(np.int64)
+
+
 def _frequencies(docs: DataFrame, tokens: DataFrame, widths: list[int]) -> DataFrame:
     """(token, n): how often documents have at least the shingles in ``tokens``."""
     sent = _filter(tokens)
@@ -108,14 +135,11 @@ def _frequencies(docs: DataFrame, tokens: DataFrame, widths: list[int]) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, table = _Hashes(), sent.value
         for b in batches:
-            found = [np.empty(0, np.uint64)]
-            for t in b.column(0):
-                hashes = _hashed(words(t.as_py()), known)
-                for w in widths:
-                    s = shingles(hashes, w)
-                    found.append(s[_holds(table, s)])
+            found = [np.empty(0, np.int64)]
+            for _, starts, hashes in _portions(b.column(0), known):
+                found += [_found(starts, hashes, w, table)[2] for w in widths]
             token, n = np.unique(np.concatenate(found), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n, pa.int64())], ["token", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(n, pa.int64())], ["token", "n"])
 
     return docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
@@ -131,23 +155,19 @@ def _candidates(docs: DataFrame, prefixes: DataFrame, widths: list[int], size: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, table = _Hashes(), sent.value
         for b in batches:
-            sha, n_words, places = [], [], []
-            for t in b.column(1):
-                plain = t.as_py()
-                text = words(plain)
-                hashes = _hashed(text, known)
-                mine = []
+            n_words, places = [], []
+            for held, starts, hashes in _portions(b.column(2), known):
+                mine: list[list[dict]] = [[] for _ in held]
                 for w in widths:
-                    s = shingles(hashes, w)
-                    for at in _holds(table, s).tolist():
+                    for i, at, token in zip(*(x.tolist() for x in _found(starts, hashes, w, table)), strict=True):
                         first = max(0, at - size + 1)
-                        mine.append({"token": int(s[at].view(np.int64)), "at": at, "before": at - first, "near": [x.decode() for x in text[first : at + size]]})
-                sha.append(hashlib.sha256(plain.encode()).digest())
-                n_words.append(len(text))
-                places.append(mine)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sha, pa.binary()), pa.array(n_words, pa.int64()), pa.array(places, _PLACES_ARROW)], ["id", "text_sha", "n_words", "places"])
+                        mine[i].append({"token": token, "at": at, "before": at - first, "near": [x.decode() for x in held[i][first : at + size]]})
+                n_words += map(len, held)
+                places += mine
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n_words, pa.int64()), pa.array(places, _PLACES_ARROW)], ["id", "text_sha", "n_words", "places"])
 
-    return docs.mapInArrow(run, f"{typed(docs, 'id')}, text_sha binary, n_words long, places {PLACES}")
+    marked = docs.select("id", F.unhex(F.sha2("text", 256)).alias("text_sha"), "text")
+    return marked.mapInArrow(run, f"{typed(docs, 'id')}, text_sha binary, n_words long, places {PLACES}")
 
 
 def _covered(spans: Column) -> Column:

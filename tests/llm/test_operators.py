@@ -332,20 +332,25 @@ def test_quality(spark, sf):
 
 
 def brute_contamination(rows, items):
+    """Every run of words of every document, looked up among all windows."""
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     split = lambda t: word.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    windows = defaultdict(set)
+    for item, text in items:
+        x = split(text)
+        for a in range(max(1, len(x) - 9)) if x else ():
+            windows[tuple(x[a : a + 10])].add(str(item))
+    sizes = {len(w) for w in windows}
     out = []
     for i, t in rows:
         w = split(t)
         hit, ids = set(), set()
-        for item, text in items:
-            x = split(text)
-            for a in range(max(1, len(x) - 9)) if x else ():
-                win = x[a : a + 10]
-                for p in range(len(w) - len(win) + 1):
-                    if w[p : p + len(win)] == win:
-                        hit.update(range(p, p + len(win)))
-                        ids.add(str(item))
+        for n in sizes:
+            for p in range(len(w) - n + 1):
+                found = windows.get(tuple(w[p : p + n]))
+                if found:
+                    hit.update(range(p, p + n))
+                    ids |= found
         out.append((i, len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit)))
     return sorted(out, key=str)
 
