@@ -79,5 +79,24 @@ def oracle_sql() -> dict[str, str]:
                    CASE WHEN f.first_id IS NOT NULL AND f.first_id <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
                    CASE WHEN f.first_id <> p.page_id THEN f.first_id END AS refers_to
             FROM p LEFT JOIN f ON p.d = f.d
-        """
+        """,
+        "op7_decontamination": r"""
+            WITH d AS (
+              SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+            ), b AS (
+              SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+            ), i AS (
+              SELECT DISTINCT item, least(len(w), 10) AS k, array_to_string(w[a + 1 : a + 10], ' ') AS said FROM b, unnest(range(greatest(len(w) - 9, 1))) AS t(a) WHERE len(w) > 0
+            ), m AS (
+              SELECT r, a, x.k, array_to_string(w[a + 1 : a + x.k], ' ') AS said FROM d, (SELECT DISTINCT k FROM i) x, unnest(range(greatest(len(w) - x.k + 1, 0))) AS t(a)
+            ), h AS (
+              SELECT DISTINCT r, a, m.k, item FROM m JOIN i ON m.said = i.said AND m.k = i.k
+            ), n AS (
+              SELECT r, count(DISTINCT a + o) AS n_hit FROM h, unnest(range(k)) AS t(o) GROUP BY r
+            ), s AS (
+              SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM h) GROUP BY r
+            )
+            SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+            FROM d LEFT JOIN n ON n.r = d.r LEFT JOIN s ON s.r = d.r
+        """,
     }

@@ -262,11 +262,11 @@ def drop_near_duplicates(
     # A null id comes after all others.
     alike = rows.groupBy("fp", "id", "key", "mark").agg(F.count("*").alias("n")).withColumn("bare", F.col("id").isNull())
     best = alike.join(roots, "fp").groupBy("root").agg(F.min(F.struct("bare", "id", "key", "mark", "n")).alias("best"))
-    names = unused(docs, "best_id", "best_key", "best_mark")
-    kept = materialize(best.select(*(F.col(f"best.{c}").alias(n) for c, n in zip(("id", "key", "mark"), names, strict=True)), (F.col("best.n") > 1).alias(names[0] + "_again")), "kept")
-    same = docs[id_col].eqNullSafe(kept[names[0]]) & (text_key(text_col) == kept[names[1]]) & (row_mark(docs) == kept[names[2]])
-    if kept.where(kept[names[0] + "_again"]).isEmpty():
+    i, k, m, again = unused(docs, "best_id", "best_key", "best_mark", "again")
+    kept = materialize(best.select(F.col("best.id").alias(i), F.col("best.key").alias(k), F.col("best.mark").alias(m), (F.col("best.n") > 1).alias(again)), "kept")
+    same = docs[id_col].eqNullSafe(kept[i]) & (text_key(text_col) == kept[k]) & (row_mark(docs) == kept[m])
+    if kept.where(kept[again]).isEmpty():
         return docs.join(kept, same, "left_semi")
-    once = docs.join(kept.where(~kept[names[0] + "_again"]), same, "left_semi")
-    again = docs.join(kept.where(kept[names[0] + "_again"]), same, "left_semi")
+    once = docs.join(kept.where(~kept[again]), same, "left_semi")
+    again = docs.join(kept.where(kept[again]), same, "left_semi")
     return once.union(again.dropDuplicates([id_col, text_col]))  # only rows that are the same in all columns

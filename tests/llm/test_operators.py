@@ -781,3 +781,18 @@ def test_no_local_folder_off_this_machine():
     away = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None, set=lambda *a: None), sparkContext=SimpleNamespace(master="spark://x", getCheckpointDir=lambda: None))
     with pytest.raises(RuntimeError, match="share"):
         stage.shared_dir(away)
+
+
+@pytest.mark.parametrize("name", ["op1_warc", "op7_decontamination"])
+def test_sql_twins(spark, sf, name):
+    import duckdb
+
+    from railbird.llm import queries
+
+    duck = duckdb.connect()
+    for table in ("pages", "documents", "benchmark"):
+        duck.sql(f"create view {table} as select * from '{sf}/{table}.parquet'")
+    twin = duck.sql(queries.oracle_sql()[name])
+    df = queries.queries()[name](spark, sf)
+    assert sorted(df.columns) == sorted(twin.columns)
+    assert rows_of(df, *twin.columns) == sorted(map(tuple, twin.fetchall()), key=str)
