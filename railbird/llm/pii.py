@@ -245,6 +245,8 @@ def occurrences(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text
             at, found, where = [], [], []
             for i, t in enumerate(b.column(2)):
                 text, mine = t.as_py(), {}
+                if not any(known[w] for w in {w.lower() for w in set(_WORD.findall(text))}):
+                    continue
                 for m in words_outside(text, base_spans(text)):
                     if known[w := m[0].lower()]:
                         mine.setdefault(w, []).append({"start": m.start(), "end": m.end()})
