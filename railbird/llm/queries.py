@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from railbird.llm import decontam, html, licenses, media, packing, pii, quality, simhash, token_count, warc
+from railbird.llm import decontam, html, jaccard, licenses, media, packing, periodic, pii, quality, simhash, spelling, token_count, warc
 from railbird.llm.stage import find_package
 
 
@@ -62,8 +62,23 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.report(_table(spark, sf_dir, "documents"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
+def op13_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_warc, op2_pii, op3_html, op4_packing, op5_token_counts, op6_quality, op7_decontamination, op8_simhash, op9_telephony, op10_licenses)
+    every = (
+        op1_warc, op2_pii, op3_html, op4_packing, op5_token_counts, op6_quality, op7_decontamination, op8_simhash, op9_telephony,
+        op10_licenses, op11_periodic_runs, op12_spelling, op13_jaccard,
+    )
     return {f.__name__: f for f in every}
 
 
@@ -99,4 +114,23 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
             FROM d LEFT JOIN n ON n.r = d.r LEFT JOIN s ON s.r = d.r
         """,
+        "op13_jaccard": r"""
+            WITH RECURSIVE d AS (
+              SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+            ), s AS (
+              SELECT DISTINCT r, array_to_string(w[a + 1 : a + 3], ' ') AS g FROM d, unnest(range(greatest(len(w) - 2, 1))) AS t(a) WHERE len(w) > 0
+            ), n AS (
+              SELECT r, count(*) AS n FROM s GROUP BY r
+            ), o AS (
+              SELECT s.r, n.n, hash(g) AS g FROM s JOIN n ON n.r = s.r
+            ), l AS (
+              SELECT a.r AS u, b.r AS v FROM o a JOIN o b ON a.g = b.g AND a.r <> b.r AND 100 * a.n >= 90 * b.n AND 100 * b.n >= 90 * a.n
+              GROUP BY a.r, b.r, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+            ), c AS (
+              SELECT r AS u, r AS v FROM d UNION SELECT c.u, l.v FROM c JOIN l ON c.v = l.u
+            ), m AS (
+              SELECT c.u, min(d.doc_id) AS component_id FROM c JOIN d ON d.r = c.v GROUP BY c.u
+            )
+            SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id FROM d LEFT JOIN n ON n.r = d.r JOIN m ON m.u = d.r
+        """,
     }
