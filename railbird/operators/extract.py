@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from railbird.functions import changes, names, racing, times
+from railbird.operators.forms import (  # noqa: F401  forms are read by their own module
+    assemble_form_races, detect_form_entry_pages, detect_form_race_pages, extract_embedded_horses, extract_form_entry_details, extract_form_header, extract_form_horses, extract_form_race, trim_index_page,
+)
+from railbird.operators.markup import attribute, elements, first_of, has_class, inside, joined, nearest, of_class, of_tag, plain, table_rows, text_at, text_lines, tokens
 
 LINE_BREAK = r"<br\s*/?>"
 
@@ -27,9 +31,8 @@ def _staged(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))).alias("_s")).select("*", "_s.*").drop("_s")
 
 
-# How a feed's line goes on after a horse, and what a form has of breeding on a horse's line.
+# How a feed's line goes on after a horse.
 AFTER_HORSE = ("Scratched", "Scratch Reason", "Jockey", "Weight", "First Start", "Gelding", "Correction", "Equipment", "Workouts")
-BREEDING = ("Life", ".m.", ".g.", ".f.", ".c.")
 
 
 def lines(docs: DataFrame, text: str = "text", by: str = r"\r?\n", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -60,61 +63,93 @@ def extract_rss_changes(items: DataFrame) -> DataFrame:
     )
 
 
-def extract_html_changes(pages: DataFrame) -> DataFrame:
-    """(doc_id, track_code, html) of change tables: rows below a race header belong to its race."""
-    rows = lines(pages, "html", r"(?i)<tr", ("doc_id", "track_code")).where("line_no > 0")
-    race = _first(rows.line, r"(?i)Race\s*:?\s*(\d+)").cast("int")
-    is_header = rows.line.rlike(r"""(?i)class\s*=\s*["'][^"']*(?:race|header)|<th""") & race.isNotNull()
-    cells = F.transform(F.regexp_extract_all("line", F.lit(r"(?is)<td[^>]*>(.*?)</td>"), F.lit(1)), strip_tags)
-    marked = rows.select("doc_id", "track_code", "line_no", "line", F.when(is_header, race).alias("race_number"), is_header.alias("is_header"), cells.alias("cells"))
-    order = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    carried = marked.withColumn("race_number", F.last("race_number", ignorenulls=True).over(order))
-    pgm = _first(F.array_join("cells", " "), r"#\s*(\w+)")
-    horse = F.trim(F.regexp_replace(F.get("cells", F.lit(1)), r"^#?\s*\w+\s*-\s*", ""))
-    said = F.when(F.col("is_header"), strip_tags(F.regexp_replace("line", r"^[^>]*>", ""))).otherwise(F.get("cells", F.size("cells") - 1))
-    rows = _staged(carried.where("race_number IS NOT NULL"), pgm=pgm, horse=horse, said=said)
-    return rows.select(
-        "doc_id", "track_code", "line_no", "race_number",
-        F.when(~F.col("is_header") & F.col("pgm").isNotNull(), names.normalize_pgm(F.col("pgm"))).alias("program_number"),
-        F.when(~F.col("is_header"), names.normalize_name(F.col("horse"))).otherwise("").alias("horse_name"),
-        changes.change_type(F.col("said")).alias("change_type"), changes.normalize_change_description(F.col("said")).alias("description"), F.col("is_header"),
-    ).where("change_type = 'Race Cancelled' OR NOT is_header").drop("is_header").where("description <> ''")
+def stale_page(text: Column, day: Column) -> Column:
+    """Whether a page is of another day: it names the day nowhere, and another one (Jan 5, 2026) in its first thousand characters."""
+    own = F.lit(False)
+    for form in ("MMMM dd, yyyy", "MMM dd, yyyy", "MM/dd/yyyy"):
+        own = own | text.contains(F.date_format(day, form))
+    other = F.transform(F.regexp_extract_all(F.substring(text, 1, 1000), F.lit(r"([A-Z][a-z]{2}\s+\d{1,2},\s+\d{4})"), F.lit(1)), lambda d: F.to_date(F.try_to_timestamp(F.regexp_replace(d, r"\s+", " "), F.lit("MMM d, yyyy"))))
+    return F.coalesce(~own & F.exists(other, lambda d: d != day), F.lit(False))
+
+
+def extract_html_changes(pages: DataFrame, day: Column | None = None) -> DataFrame:
+    """(doc_id, track_code, html) of change tables -> a row per change.
+
+    Read is the first table that speaks of Changes or has a th of class ``changes``.  A row with a th of class ``race``
+    starts a race.  Changes are in the cell of class ``changes``, the horse in one cell of class ``horse`` ('#4 Name') or two; other
+    cells say nothing.  A short row, a row without a horse, or a race's th can cancel the race.  With ``day`` pages of other days give nothing.
+    """
+    if day is not None:
+        text = F.regexp_replace("html", r"<[^>]+>", " ")
+        pages = pages.where(~stale_page(names.squeeze(text), day))
+    rows = table_rows(pages, ("doc_id", "track_code"), marked="Changes", th_class="changes")
+    heads, tds = of_class(of_tag(F.col("cells"), "th"), "race"), of_tag(F.col("cells"), "td")
+    rows = _staged(rows, head=text_at(heads, 0), tds=tds)
+    race = _first(F.col("head"), r"(?i)Race:?\s*(\d+)").cast("int")
+    order = Window.partitionBy("doc_id", "track_code").orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
+    carried = rows.withColumn("race_number", F.last(race, True).over(order)).where("race_number IS NOT NULL")
+    n, horse, change = F.size("tds"), of_class(F.col("tds"), "horse"), text_at(of_class(F.col("tds"), "changes"), 0)
+    off = plain(F.get(F.filter("tds", lambda c: changes.valid_cancellation(plain(c["text"]))), F.lit(0))["text"])
+    carried = _staged(carried, horses=F.size(horse), one=text_at(horse, 0), two=text_at(horse, 1), change=change, off=off)
+    joint = r"^#?\s*(\S+)\s*(.*)$"
+    numbered = F.col("one").contains("#")
+    pgm = F.when(F.col("horses") >= 2, F.replace("one", F.lit("#"))).when(numbered, F.regexp_extract("one", joint, 1))
+    name = F.when(F.col("horses") >= 2, F.col("two")).when(numbered, F.regexp_extract("one", joint, 2)).otherwise(F.col("one"))
+    is_head = F.col("head").isNotNull()
+    cancels = F.when(is_head, F.when(changes.valid_cancellation(F.col("head")), F.col("head"))).when(n <= 2, F.nullif(F.col("off"), F.lit(""))).when((F.col("horses") == 0) & changes.valid_cancellation(F.col("change")), F.col("change"))
+    carried = _staged(carried, cancels=cancels, pgm=F.nullif(F.trim(pgm), F.lit("")), name=name, said=changes.normalize_change_description(F.col("change")))
+    is_off = F.col("cancels").isNotNull()
+    named = ~is_head & (n >= 3) & (F.col("horses") > 0) & (F.col("said") != "")
+    return carried.where(is_off | F.coalesce(named, F.lit(False))).select(
+        "doc_id", "track_code", F.col("row_no").alias("line_no"), "race_number",
+        F.when(~is_off & F.col("pgm").isNotNull(), names.normalize_pgm(F.col("pgm"))).alias("program_number"),
+        F.when(is_off, "").otherwise(names.normalize_name(F.col("name"))).alias("horse_name"),
+        F.when(is_off, "Race Cancelled").otherwise(changes.change_type(F.col("said"))).alias("change_type"), F.coalesce("cancels", "said").alias("description"),
+    )
 
 
 def extract_mobile_changes(pages: DataFrame) -> DataFrame:
-    """(doc_id, track_code, html): race blocks, each with '# n Name' items and their notes."""
-    blocks = lines(pages, "html", r"(?i)(?=Race\s+\d+)", ("doc_id", "track_code"))
-    items = blocks.select("doc_id", "track_code", _first(F.col("line"), r"(?i)^Race\s+(\d+)").cast("int").alias("race_number"), "line_no", F.posexplode(F.split("line", r"(?i)</tr>|<br\s*/?>")).alias("item_no", "item"))
-    items = _staged(items.where("race_number IS NOT NULL"), plain=strip_tags(F.col("item")))
-    plain = F.col("plain")
-    horse = r"^#\s*(\w+)\s+(.*?)\s*(?:-|:)?\s*((?:Scratched|Jockey|Weight|Equipment|Blinkers|First Start).*)$"
-    rest = F.coalesce(_first(plain, horse, 3), F.trim(F.regexp_replace(plain, r"(?i)^Race\s+\d+\s*:?", "")))
-    items = _staged(items, pgm=_first(plain, horse), horse=_first(plain, horse, 2), rest=rest)
-    return items.select(
-        "doc_id", "track_code", "race_number", "line_no", "item_no",
-        F.when(F.col("pgm").isNotNull(), names.normalize_pgm(F.col("pgm"))).alias("program_number"),
-        names.normalize_name(F.col("horse")).alias("horse_name"), changes.change_type(F.col("rest")).alias("change_type"), changes.normalize_change_description(F.col("rest")).alias("description"),
-    ).where("description <> ''")
-
-
-def extract_otb_changes(pages: DataFrame) -> DataFrame:
-    """(doc_id, text) of a page of several tracks: a line in capitals is a track, 'Race n' a race,
-    '# n Name' a horse; other lines are reasons for the last horse of the race."""
-    at = lines(pages)
-    plain = names.squeeze(F.col("line"))
-    track = _first(plain, r"^([A-Z][A-Z ]{3,40})$")
-    race = _first(plain, r"(?i)^Race\s*(\d+)").cast("int")
-    horse = r"^#?\s*(\d+[A-Z]?)\s*-?\s+([A-Za-z][A-Za-z' ]+?)\s*(?:-|:|$)"
-    marks = at.select("doc_id", "line_no", plain.alias("line"), track.alias("track_name"), race.alias("race_number"), _first(plain, horse).alias("pgm"), _first(plain, horse, 2).alias("horse"))
-    whole = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    races = marks.withColumn("is_race", F.col("race_number").isNotNull()).withColumns(
-        {"block": F.sum(F.col("is_race").cast("int")).over(whole), "track_name": F.last("track_name", True).over(whole), "race_number": F.last("race_number", True).over(whole), "is_track": F.col("track_name").isNotNull()}
-    )
-    within = Window.partitionBy("doc_id", "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    carried = races.withColumns({"pgm": F.last("pgm", True).over(within), "horse": F.last("horse", True).over(within)})
-    return carried.where("NOT is_race AND NOT is_track AND race_number IS NOT NULL AND line <> '' AND pgm IS NOT NULL").select(
-        "doc_id", "line_no", "track_name", "race_number", names.normalize_pgm(F.col("pgm")).alias("program_number"), names.normalize_name(F.col("horse")).alias("horse_name"),
-        changes.change_type(F.col("line")).alias("change_type"), changes.normalize_change_description(F.col("line")).alias("description"),
+    """(doc_id, track_code, html): below each race's green bar, notes in ChangeDescWeb, some after a paragraph '# n Name:'; pages without their heading give nothing."""
+    told = pages.where(F.upper(strip_tags(F.coalesce("html", F.lit("")))).contains("TODAY'S SCRATCHES AND CHANGES"))
+    bar = r'<table[^>]*bgcolor="#008000"[^>]*>.*?<b>Race\s+(\d+)</b>.*?</table>'
+    blocks = lines(told, "html", rf"(?is)(?={bar})", ("doc_id", "track_code"))
+    blocks = _staged(blocks, race=_first(F.col("line"), rf"(?is)^{bar}").cast("int"), block=F.regexp_replace("line", rf"(?is)^{bar}", "")).where("race IS NOT NULL")
+    note = r"(?is)(?:<p>\s*<b>#\s*([^<:\s]+)\s+([^<]+?):\s*</b>\s*</p>\s*)?<p>\s*<ChangeDescWeb>\s*(.*?)\s*</ChangeDescWeb>\s*</p>"
+    items = blocks.select("doc_id", "track_code", F.col("race").alias("race_number"), "line_no", F.posexplode(F.regexp_extract_all("block", F.lit(note), F.lit(0))).alias("item_no", "item"))
+    items = _staged(items, pgm=_first(F.col("item"), note), horse=F.regexp_extract("item", note, 2), said=changes.normalize_change_description(strip_tags(F.regexp_extract("item", note, 3))))
+    return items.where("said <> ''").select(
+        "doc_id", "track_code", "race_number", "line_no", "item_no", F.when(F.col("pgm").isNotNull(), names.normalize_pgm(F.col("pgm"))).alias("program_number"),
+        names.normalize_name(F.col("horse")).alias("horse_name"), changes.change_type(F.col("said")).alias("change_type"), F.col("said").alias("description"),
+    )
+
+
+def extract_otb_changes(pages: DataFrame, day: Column | None = None) -> DataFrame:
+    """(doc_id, html) of a page of several tracks -> a row per change.
+
+    In the first table with a 'Race Date:', a row 'Track: … Change …: Race n' starts a race and forgets the horse; four cells with a
+    number ('#4') are a horse and its change, three cells are another change of the last horse.  With ``day`` pages of other days give nothing.
+    """
+    if day is not None:
+        at = F.to_date(F.try_to_timestamp(F.regexp_extract(strip_tags(F.col("html")), r"Race Date:\s*(\d{1,2}/\d{1,2}/\d{4})", 1), F.lit("M/d/yyyy")))
+        pages = pages.where(F.coalesce(at == day, F.lit(False)))
+    rows = table_rows(pages, ("doc_id",), marked="Race Date:")
+    whole = F.array_join(F.transform("cells", lambda c: plain(c["text"])), "")
+    rows = _staged(rows, tds=of_tag(F.col("cells"), "td"), is_head=whole.contains("Change") & whole.contains(":"))
+    n = F.size("tds")
+    part = F.split(text_at(F.col("tds"), 0), ":")
+    starts = F.col("is_head") & (n > 0) & (F.size(part) >= 3)
+    number = F.trim(F.replace(F.lower(F.get(part, F.size(part) - 1)), F.lit("race")))
+    head = F.when(starts, F.struct(F.trim(F.get(part, F.lit(0))).alias("track"), F.when(number.rlike(r"^\d+$"), number.cast("int")).alias("race")))
+    horse = F.when((n == 4) & text_at(F.col("tds"), 0).contains("#"), F.struct(F.replace(text_at(F.col("tds"), 0), F.lit("#")).alias("pgm"), text_at(F.col("tds"), 1).alias("horse")))
+    again = (n == 3) & ~text_at(F.col("tds"), 0).contains("#")
+    upto = Window.partitionBy("doc_id").orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
+    races = rows.select("*", F.last(head, True).over(upto).alias("head"), F.sum(F.col("is_head").cast("int")).over(upto).alias("block"), horse.alias("own"), again.alias("again"))
+    within = Window.partitionBy("doc_id", "block").orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
+    carried = races.withColumn("horse", F.last("own", True).over(within)).where("NOT is_head AND head.track <> '' AND head.race IS NOT NULL AND (own IS NOT NULL OR again)")
+    carried = _staged(carried, said=F.when(F.col("own").isNotNull(), text_at(F.col("tds"), 2)).otherwise(text_at(F.col("tds"), 1)))
+    return carried.select(
+        "doc_id", F.col("row_no").alias("line_no"), F.col("head.track").alias("track_name"), F.col("head.race").alias("race_number"), F.col("horse.pgm").alias("program_number"),
+        F.col("horse.horse").alias("horse_name"), changes.change_type(F.col("said")).alias("change_type"), F.col("said").alias("description"),
     )
 
 
@@ -159,17 +194,22 @@ def _section(text: Column, start: str, stop: str) -> Column:
     return F.regexp_extract(F.coalesce(text, F.lit("")), rf"(?is)(?:{start})(.*?)(?:{stop}|\Z)", 1)
 
 
+# A runner's line: number, name, then a place or a length in words.
+RUNNER = r"^\s*(\d+[A-Z]?)\s+([A-Za-z][A-Za-z'&\-.]*(?:\s+[A-Za-z][A-Za-z'&\-.]*)*)\s+(?:\d+|Head|Neck|Nose)\b"
+
+
 def extract_running_lines(races: DataFrame) -> DataFrame:
-    """Finishers of the preview section, in order of their rows; broken rows belong to the last start."""
-    section = _section(F.col("text"), r"past performance running line preview[^\n]*\n", r"trainers:|fractional times|footnotes")
-    at = lines(races.select("doc_id", "segment", section.alias("text")), keys=("doc_id", "segment")).where("trim(line) <> ''")
-    start = F.col("line").rlike(r"^\s*\d{1,2}[A-Z]?\s+[A-Z]")
+    """Finishers of the preview section, in order of their rows; a line that is no runner belongs to the last one, such as a length on a line of its own."""
+    at = lines(races, keys=("doc_id", "segment")).withColumn("line", F.trim("line"))
     order = Window.partitionBy("doc_id", "segment").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    rows = at.withColumn("row", F.sum(start.cast("int")).over(order)).where("row > 0").groupBy("doc_id", "segment", "row").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), " ").alias("whole")
-    )
-    pattern = r"^\s*(\d{1,2}[A-Z]?)\s+([A-Z][A-Za-z' .-]+?)(?=\s+\d|\s*$)"
-    return rows.select("doc_id", "segment", F.col("row").cast("int").alias("finish_position"), F.regexp_extract("whole", pattern, 1).alias("program_number"), F.trim(F.regexp_extract("whole", pattern, 2)).alias("horse_name"))
+    head, stop = F.col("line").rlike("(?i)Past Performance Running Line Preview"), F.col("line").rlike(r"(?i)^(Trainers:|Owners:|Footnotes|Copyright|Denotes\b)")
+    part = at.withColumn("_in", F.sum(head.cast("int")).over(order)).where("_in > 0").withColumn("_end", F.max(stop).over(order))
+    runners = part.where(F.col("line").rlike(RUNNER) & ~F.col("_end") & ~F.col("line").rlike(r"(?i)^Pgm\s+Horse\s+Name\b"))
+    named = runners.select(
+        "doc_id", "segment", "line_no", names.normalize_pgm(F.regexp_extract("line", RUNNER, 1)).alias("program_number"), F.trim(F.regexp_replace(names.squeeze(F.regexp_extract("line", RUNNER, 2)), r"[^\w\s'-]", "")).alias("horse_name")
+    ).where("horse_name <> ''")
+    place = F.row_number().over(Window.partitionBy("doc_id", "segment").orderBy("line_no"))
+    return named.select("doc_id", "segment", place.alias("finish_position"), "program_number", "horse_name")
 
 
 # What the name cell of a row that is no runner has in it; lower case.
@@ -201,14 +241,20 @@ def extract_table_horses(cells: DataFrame) -> DataFrame:
 
 
 def extract_text_horses(races: DataFrame) -> DataFrame:
-    """Finishers of lines below the header 'Last Raced … Pgm', in order."""
-    section = _section(F.col("text"), r"last raced[^\n]*\n", r"fractional times|winner:|total wps")
-    at = lines(races.select("doc_id", "segment", section.alias("text")), keys=("doc_id", "segment"))
-    pattern = r"^\s*(?:---|\d{1,2}[A-Z][a-z]{2}\d{2}\s+\d+[A-Z]{2,3}\d?)\s+(\d{1,2}[A-Z]?)\s+([A-Z][A-Za-z' .-]+?)\s*\("
-    rows = at.select("doc_id", "segment", "line_no", _first(F.col("line"), pattern).alias("program_number"), F.trim(_first(F.col("line"), pattern, 2)).alias("horse_name")).where("program_number IS NOT NULL")
-    from railbird.operators.dedupe import finish_by_order
-
-    return finish_by_order(rows, ("doc_id", "segment"))
+    """Finishers (with jockey and odds) of lines 'LastRaced Pgm Name(Jockey) … odds …' below their header; of races with a running line preview, its finishers."""
+    preview = extract_running_lines(races)
+    at = lines(races.join(preview, ["doc_id", "segment"], "left_anti"), keys=("doc_id", "segment"))
+    order = Window.partitionBy("doc_id", "segment").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    pattern = r"^\s*\S+\s+(\d+)\s+([^(]+)\(([^)]+)\).*?(\d+\.\d+\*?)\s+"
+    head = F.col("line").contains("HorseName(Jockey)") | F.col("line").contains("Horse Name (Jockey)")
+    stop = F.col("line").contains("Fractional Times") | F.col("line").contains("Final Time") | F.col("line").contains("Run-Up")
+    part = at.withColumns({"_head": head, "_in": F.max(head).over(order)}).where("_in AND NOT _head").withColumn("_row", F.col("line").rlike(pattern))
+    seen = part.withColumn("_seen", F.max("_row").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    open_ = seen.withColumn("_end", F.max(stop & F.coalesce("_seen", F.lit(False))).over(order)).where("_row AND NOT _end")
+    part_of = lambda i: F.trim(F.regexp_extract("line", pattern, i))
+    place = F.row_number().over(Window.partitionBy("doc_id", "segment").orderBy("line_no"))
+    told = open_.select("doc_id", "segment", place.alias("finish_position"), part_of(1).alias("program_number"), part_of(2).alias("horse_name"), part_of(3).alias("jockey"), F.replace(part_of(4), F.lit("*")).alias("odds"))
+    return told.unionByName(preview, allowMissingColumns=True)
 
 
 def extract_wps_payouts(races: DataFrame) -> DataFrame:
@@ -242,9 +288,11 @@ def extract_trainers(races: DataFrame) -> DataFrame:
 
 
 def extract_scratched_names(races: DataFrame) -> DataFrame:
-    section = F.regexp_replace(_section(F.col("text"), r"scratched horse(?:\(s\)|s)?:", r"\n\n|total wps|fractional|footnotes"), r"\s+", " ")
-    each = races.select("doc_id", "segment", F.explode(F.split(section, "[;,]")).alias("part"))
-    name = F.trim(F.regexp_replace(F.regexp_replace("part", r"\(.*?\)", ""), r"(?i)\s*-?\s*(vet|trainer|steward|also.eligible).*$", ""))
+    """Names of the scratched section, without what stands in brackets."""
+    stop = r"\s+Trainers:|\s+Owner\(s\):|\s+Footnotes|\s+Claiming|\s+Total\s*WPS|\s+Pgm\s+Horse|\s+Mutuel\s+Prices|\s+Winner:|\s+Final\s+Time"
+    section = F.regexp_replace(_section(F.col("text"), r"Scratched\s*Horse\(s\)\s*:", stop), r"\s+", " ")
+    each = races.select("doc_id", "segment", F.explode(F.split(section, r"[;,]\s*")).alias("part"))
+    name = F.trim(F.regexp_replace(F.trim("part"), r"\s*\(.*?\)", ""))
     return each.select("doc_id", "segment", name.alias("scratched_name")).where((F.length(names.normalize_name(F.col("scratched_name"))) >= 3) & (F.length("scratched_name") <= 35))
 
 
@@ -264,117 +312,114 @@ def extract_claims(races: DataFrame) -> DataFrame:
     ).join(price, ["doc_id", "segment"], "left")
 
 
-def header_roles(headers: Column) -> Column:
-    """struct of the places of pgm, horse, jockey, trainer and odds columns in a table's header; usual places where a name is missing."""
-    low = F.transform(headers, lambda h: F.lower(h))
-    def at(pattern, usual):  # noqa: ANN001, ANN202
-        place = F.array_position(F.transform(low, lambda h: h.rlike(pattern)), True).cast("int") - 1
-        return F.when(place >= 0, place).otherwise(F.lit(usual))
-
-    roles = {"pgm": at("pgm|program|#|post|^pp$", 0), "horse": at("horse|name", 1), "jockey": at("jockey|rider", 2), "trainer": at("trainer", 3), "odds": at("odds|m/l|ml", 4)}
-    return F.named_struct(*(x for k, v in roles.items() for x in (F.lit(k), v)))
-
-
-def extract_entry_tables(pages: DataFrame) -> DataFrame:
-    """(doc_id, html) -> entries of tables whose headers name two roles at least; the n-th such table is race n unless a heading says so."""
-    tables = pages.select("doc_id", F.posexplode(F.regexp_extract_all("html", F.lit(r"(?is)(?:race\s*#?\s*\d+[^<]*(?:<[^t][^>]*>\s*)*)?<table.*?</table>"), F.lit(0))).alias("table_no", "table"))
-    rows = tables.select("doc_id", "table_no", _first(F.col("table"), r"(?i)race\s*#?\s*(\d+)").cast("int").alias("race_number"), F.regexp_extract_all("table", F.lit(r"(?is)<tr.*?</tr>"), F.lit(0)).alias("rows"))
-    heads = F.transform(F.regexp_extract_all(F.get("rows", F.lit(0)), F.lit(r"(?is)<t[hd][^>]*>(.*?)</t[hd]>"), F.lit(1)), strip_tags)
-    fit = F.size(F.filter(heads, lambda h: F.lower(h).rlike("pgm|horse|jockey|trainer|odds|m/l|post"))) >= 2
-    cells = rows.where(fit).select("doc_id", "table_no", F.coalesce("race_number", F.col("table_no") + 1).alias("race_number"), header_roles(heads).alias("role"), F.posexplode("rows").alias("row_no", "row")).where("row_no > 0")
-    c = F.transform(F.regexp_extract_all("row", F.lit(r"(?is)<td[^>]*>(.*?)</td>"), F.lit(1)), lambda x: strip_tags(F.regexp_replace(x, r"(?is)<p>.*?</p>", "")))
-    out = cells.select("doc_id", "race_number", "row_no", *(F.get(c, F.col(f"role.{k}")).alias(n) for k, n in (("pgm", "program_number"), ("horse", "horse_name"), ("jockey", "jockey_name"), ("trainer", "trainer_name"), ("odds", "odds"))), F.lower("row").rlike(r"\bscr\b|scratched").alias("scratched"))
-    return out.withColumn("horse_name", names.clean_horse_name(F.col("horse_name"))).where("program_number rlike '^[0-9]+[A-Z]?$'")
-
-
-def extract_static_entries(pages: DataFrame) -> DataFrame:
-    """(doc_id, html) of cards in blocks: 'Race n' starts a race, 'n Name' a runner; SCR marks a scratch."""
-    at = lines(pages.select("doc_id", F.regexp_replace("html", r"(?i)</(?:div|tr|p|li|h\d)>|<br\s*/?>", "\n").alias("text"))).select("doc_id", "line_no", strip_tags(F.col("line")).alias("line")).where("line <> ''")
-    race = _first(F.col("line"), r"(?i)^Race\s*#?\s*(\d+)").cast("int")
-    order = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    carried = at.withColumn("race_number", F.last(race, True).over(order))
-    pattern = r"^#?\s*(\d{1,2}[A-Z]?)\s+([A-Z][A-Za-z' .()0-9-]+?)\s*(?:\bSCR\b.*|(\d+[/-]\d+).*)?$"
-    return carried.where("race_number IS NOT NULL").select(
-        "doc_id", "race_number", "line_no", _first(F.col("line"), pattern).alias("program_number"), names.clean_horse_name(_first(F.col("line"), pattern, 2)).alias("horse_name"),
-        racing.parse_odds(_first(F.col("line"), pattern, 3)).alias("odds"), F.col("line").rlike(r"\bSCR\b").alias("scratched"),
-    ).where("program_number IS NOT NULL")
+# What headers of a card's table speak of.
+ENTRY_HEADERS = ("#", "pp", "horse", "ml", "jockey", "trainer", "morning")
 
 
-def extract_race_schedule(pages: DataFrame) -> DataFrame:
-    """(doc_id, text) -> track_code, start_date, end_date of lines such as 'MVR 01/02/2026 - 04/10/2026'."""
-    found = pages.select(F.explode(F.regexp_extract_all("text", F.lit(r"\b[A-Z]{2,3}\b\D{1,40}\d{1,2}/\d{1,2}/\d{4}\s*(?:-|to|through)\s*\d{1,2}/\d{1,2}/\d{4}"), F.lit(0))).alias("m"))
-    day = lambda i: F.to_date(F.try_to_timestamp(F.get(F.regexp_extract_all("m", F.lit(r"(\d{1,2}/\d{1,2}/\d{4})"), F.lit(1)), F.lit(i)), F.lit("M/d/yyyy")))
-    return found.select(F.regexp_extract("m", r"^([A-Z]{2,3})", 1).alias("track_code"), day(0).alias("start_date"), day(1).alias("end_date")).where("start_date <= end_date").distinct()
+def header_roles(headers: Column) -> Column:
+    """struct of the places of the number, post position, horse, trainer and jockey, and odds columns; usual places where a name is missing, none for the post position."""
+    low = F.transform(headers, F.lower)
+    role = F.transform(low, lambda h: F.when(h.contains("#"), "pgm").when(h.contains("pp"), "pp").when(h.contains("horse"), "horse").when(h.contains("trainer") | h.contains("jockey"), "people").when(h.contains("ml"), "odds").otherwise(""))
 
+    def at(name, usual):  # noqa: ANN001, ANN202
+        last = F.size(role) - F.array_position(F.reverse(role), name).cast("int")
+        return F.when(F.array_contains(role, name), last).otherwise(F.lit(usual))
 
-def extract_form_header(pages: DataFrame) -> DataFrame:
-    """(doc_id, page_no, text) -> track_code, race_date of each form, from its first page, the first five lines before the rest."""
-    first = pages.groupBy("doc_id").agg(F.min_by("text", "page_no").alias("text"))
-    first, head = _staged(first, head=F.array_join(F.slice(F.split("text", "\n"), 1, 5), "\n")), F.col("head")
-    return first.select("doc_id", racing.track_code_from_text(head, F.col("text")).alias("track_code"), F.coalesce(times.parse_text_date(head), times.parse_text_date(F.col("text"))).alias("race_date"))
+    roles = {"pgm": at("pgm", 0), "pp": at("pp", None), "horse": at("horse", 2), "people": at("people", 3), "odds": at("odds", 4)}
+    return F.named_struct(*(x for k, v in roles.items() for x in (F.lit(k), v.cast("int"))))
 
 
-def trim_index_page(text: Column) -> Column:
-    """An index page from the first race on; a page without an index stays."""
-    return F.when(F.lower(text).contains("index"), F.regexp_extract(text, r"(?is)index.*?\n((?:1\s*\n|race 1\b).*)\Z", 1)).otherwise(text)
+def extract_entry_tables(pages: DataFrame) -> DataFrame:
+    """(doc_id, html) -> entries of tables whose headers speak of two columns of a card at least; the n-th such table is race n.
 
+    The horse's name is in the cell's h4, strong or link, else its first line; the cell of trainer and jockey has a line for each.
+    """
+    rows = table_rows(pages)
+    heads = F.transform(of_tag(F.col("cells"), "th"), lambda c: plain(c["text"]))
+    table = Window.partitionBy("doc_id", "table_no")
+    all_heads = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("row_no", heads.alias("heads"))).over(table)), lambda x: x["heads"]))
+    rows = rows.withColumn("heads", all_heads)
+    speaks = lambda h: F.exists(F.array(*map(F.lit, ENTRY_HEADERS)), lambda k: F.lower(h).contains(k))
+    cards = rows.where(F.size(F.filter("heads", speaks)) >= 2)
+    cards = cards.withColumn("race_number", F.dense_rank().over(Window.partitionBy("doc_id").orderBy("table_no")))
+    cards = _staged(cards, tds=of_tag(F.col("cells"), "td"), role=header_roles(F.col("heads"))).where("size(tds) > 0")
+    cell = lambda role: F.get("tds", F.col(f"role.{role}"))
+    said = lambda role: plain(cell(role)["text"])
+    number = F.coalesce(F.nullif(said("pgm"), F.lit("")), F.nullif(said("pp"), F.lit("")), F.lit("0"))
+    name = F.coalesce(cell("horse")["named"], F.get(text_lines(cell("horse")["text"]), F.lit(0)))
+    people = text_lines(cell("people")["text"])
+    return cards.select(
+        "doc_id", "race_number", "row_no", number.alias("program_number"), names.clean_horse_name(name).alias("horse_name"),
+        F.get(people, F.lit(0)).alias("trainer_name"), F.get(people, F.lit(1)).alias("jockey_name"), F.when(cell("odds").isNotNull(), said("odds")).alias("odds"),
+    )
 
-def detect_form_race_pages(pages: DataFrame) -> DataFrame:
-    """Adds race_number and header_line: a number alone, or after 'Race', in the first six lines of a page that names a kind of race."""
-    top = F.slice(F.split("text", "\n"), 1, 6)
-    number = F.filter(F.transform(top, lambda l: F.regexp_extract(l, r"(?i)^\s*(?:race\s*)?(\d{1,2})\s*$", 1)), lambda x: x != "")
-    kind = F.exists(top, lambda l: l.rlike(r"(?i)claiming|allowance|maiden|stakes|purse|furlong|mile"))
-    found = pages.withColumn("race_number", F.when(kind & (F.size(number) > 0), F.get(number, F.lit(0)).cast("int")))
-    plain = F.transform(top, lambda l: F.regexp_extract(l, r"(?i)^\s*(?:race\s*)?(\d{1,2})\s*$", 1))
-    return found.withColumn("header_line", F.when(F.col("race_number").isNotNull(), F.array_position(plain, F.get(number, F.lit(0))).cast("int") - 1))
 
+def extract_static_entries(pages: DataFrame) -> DataFrame:
+    """(doc_id, html) of cards in blocks ``div#RaceN`` -> entries with what the block says of the race.
 
-def extract_form_race(pages: DataFrame) -> DataFrame:
-    """Race header pages -> distance, feet, surface, purse, post time, conditions."""
-    t = F.col("text")
-    distance = racing.parse_distance(_first(t, r"(?i)(\d+(?: \d/\d)?\s*(?:furlongs?|miles?|yards?))"))
-    return detect_form_race_pages(pages).where("race_number IS NOT NULL").select(
-        "doc_id", "page_no", "race_number", distance["label"].alias("distance"), distance["feet"].alias("distance_feet"), F.when(F.lower(t).contains("turf"), "Turf").otherwise("Dirt").alias("surface"),
-        racing.clean_purse(_first(t, r"(?i)purse:?\s*(\$[\d,]+)")).alias("purse"), F.upper(_first(t, r"(?i)post time:?\s*(\d{1,2}:\d{2}\s*[AP]M)")).alias("post_time"), F.trim(_first(t, r"(?i)((?:for|fillies)[^\n]+)")).alias("conditions"),
+    A block's ``contenders`` have a ``row`` per horse: its saddlecloth, its name in the link of an h4, labelled links to jockey and trainer, odds.  SCR in
+    the number scratches.  A block without contenders may have a table instead: saddlecloths, links by kind, odds in a cell.
+    """
+    tag, classes, ident = F.col("tag"), attribute(F.col("raw"), "class"), attribute(F.col("raw"), "id")
+    is_div, href = tag == "div", attribute(F.col("raw"), "href")
+    kinds = {"horse": "type=Horse", "rider": "searchType=J", "coach": "searchType=T"}
+    at = inside(
+        nearest(elements(tokens(pages)), "div"),
+        race=is_div & ident.rlike(r"^Race\d+$"), info=is_div & classes.contains("race-info"), h3=tag == "h3", h5=tag == "h5", contenders=is_div & has_class(classes, "contenders"),
+        row=is_div & has_class(classes, "row"), saddle=is_div & classes.contains("saddlecloth"), h4=tag == "h4", link=tag == "a",
+        tr=tag == "tr", td=tag == "td", cloth=is_div & classes.contains("paddingSaddleCloths"), **{f"{k}_link": (tag == "a") & href.contains(v) for k, v in kinds.items()},
+    ).where("race IS NOT NULL")
+    pos, said = F.col("pos"), F.col("said")
+    at = at.withColumn("race_no", F.col("race.start"))
+    blocks = at.groupBy("doc_id", "race_no").agg(
+        F.min(F.regexp_extract(attribute(F.col("race.raw"), "id"), r"(\d+)", 1).cast("int")).alias("race_number"), F.max(F.col("contenders").isNotNull()).alias("has_rows"),
+        first_of(said, F.when(F.col("info").isNotNull(), F.col("h3")), pos).alias("race_type"),
+        F.array_sort(F.collect_list(F.when(F.col("info").isNotNull() & F.col("h5").isNotNull() & tag.isNull(), F.struct("pos", plain(said).alias("said"))))).alias("told"),
+    )
+    parts = F.filter(F.transform(F.flatten(F.transform("told", lambda x: F.split(x["said"], r"\|"))), lambda t: F.trim(t)), lambda t: (t != "") & (t != "."))
+    timed = lambda t: t.contains("PM") | t.contains("AM")
+    long = lambda t: ~timed(t) & F.upper(t).rlike(" F| Y|MILE|FURLONG")
+    last = lambda f: F.try_element_at(F.filter("parts", f), F.lit(-1))
+    clock = F.filter(F.transform(F.filter("parts", timed), lambda t: F.regexp_extract(t, r"(?i)(\d{1,2}:\d{2}\s+(?:AM|PM))", 1)), lambda t: t != "")
+    is_surface = lambda t: F.lower(t).isin("dirt", "turf", "all weather", "synthetic", "outer turf", "inner turf")
+    heads = _staged(blocks, parts=parts).select(
+        "doc_id", "race_no", "race_number", "has_rows", "race_type", F.try_element_at(clock, F.lit(-1)).alias("post_time"), last(long).alias("distance"), F.coalesce(last(is_surface), F.lit("Dirt")).alias("surface"),
+        racing.clean_purse(last(lambda t: ~timed(t) & ~long(t) & t.startswith("$"))).alias("purse"),
     )
 
-
-def detect_form_entry_pages(pages: DataFrame) -> DataFrame:
-    """Adds is_entry_page: a page that goes on with horses.  Its second line is a number alone, its first 500
-    characters speak of a life record or a sire, and its third line is a horse with breeding in it."""
-    row = F.split("text", "\n")
-    line = lambda i: F.coalesce(F.get(row, F.lit(i)), F.lit(""))
-    head = F.upper(F.substring("text", 1, 500))
-    breeding = F.exists(F.array(*map(F.lit, BREEDING)), lambda b: line(2).contains(b))
-    fits = (F.size(row) >= 3) & F.trim(line(1)).rlike(r"^\d+$") & (head.contains("LIFE") | head.contains("SIRE:")) & line(2).rlike(r"^[A-Za-z']") & breeding
-    return pages.withColumn("is_entry_page", F.coalesce(fits, F.lit(False)))
-
-
-def extract_form_horses(pages: DataFrame) -> DataFrame:
-    """(doc_id, page_no, text) -> pairs of a line with a number from 1 to 20 alone and the name in the line below."""
-    at = lines(pages, keys=("doc_id", "page_no"))
-    below = F.lead("line").over(Window.partitionBy("doc_id", "page_no").orderBy("line_no"))
-    rows = at.withColumn("below", below).withColumn("n", F.expr("try_cast(trim(line) AS int)")).where("n BETWEEN 1 AND 20")
-    name = F.trim("below")
-    return rows.where(name.rlike(r"^[A-Z][A-Za-z' .-]{1,34}$") & ~F.lower(name).rlike("claiming|allowance|maiden|stakes|furlong|mile|purse|race")).select(
-        "doc_id", "page_no", "line_no", F.col("n").cast("string").alias("program_number"), names.normalize_horse_name(name).alias("horse_name")
+    by_div = at.where("contenders IS NOT NULL AND row.start > contenders.start").groupBy("doc_id", "race_no", F.col("row.start").alias("row_no"), F.col("div.start").alias("div_no")).agg(
+        joined(F.when(F.col("saddle").isNotNull(), said), pos).alias("number"), F.max(F.col("saddle").isNotNull() & ~F.col("is_close")).alias("is_saddle"), first_of(said, F.col("link"), pos).alias("linked"),
+        first_of(said, F.when(F.col("h4").isNotNull(), F.col("link")), pos).alias("name"), joined(said, pos).alias("text"),
+    )
+    label = lambda word, got: F.min_by(F.when(F.col("text").rlike(f"(?i){word}:"), got), F.when(F.col("text").rlike(f"(?i){word}:"), F.col("div_no")))
+    rows = by_div.groupBy("doc_id", "race_no", "row_no").agg(
+        F.max("is_saddle").alias("is_saddle"), F.min_by(plain(F.col("number")), F.when(F.col("is_saddle"), F.col("div_no"))).alias("number"), F.min_by("name", F.when(F.col("name").isNotNull(), F.col("div_no"))).alias("name"),
+        label("Jockey", F.col("linked")).alias("jockey_name"), label("Trainer", F.col("linked")).alias("trainer_name"), label("M/L Odds", _first(F.col("text"), r"(?i)M/L Odds:\s*([\d/]+|[\d.]+)")).alias("odds"),
+    ).where("is_saddle")
+    cell = at.where("contenders IS NULL AND tr.start > race.start AND td.start > tr.start").groupBy("doc_id", "race_no", F.col("tr.start").alias("row_no"), F.col("td.start").alias("td_no")).agg(
+        joined(said, pos).alias("text"), *(first_of(said, F.col(c), pos).alias(c) for c in ("cloth", *(f"{k}_link" for k in kinds)))
     )
+    odd = F.when(plain(F.col("text")).rlike(r"^\d+/\d+$"), plain(F.col("text")))
+    first = lambda c: F.min_by(c, F.when(c.isNotNull(), F.col("td_no")))
+    listed = cell.groupBy("doc_id", "race_no", "row_no").agg(
+        F.count("*").alias("cells"), first(F.col("cloth")).alias("number"), F.regexp_replace(first(F.col("horse_link")), r"\s*\(.*?\)", "").alias("name"), first(F.col("rider_link")).alias("jockey_name"), first(F.col("coach_link")).alias("trainer_name"), first(odd).alias("odds")
+    ).where("cells >= 3 AND number IS NOT NULL")
+    both = rows.drop("is_saddle").withColumn("in_rows", F.lit(True)).unionByName(listed.drop("cells").withColumn("in_rows", F.lit(False)))
+    out = F.upper("number").contains("SCR")
+    return both.join(heads, ["doc_id", "race_no"]).where("in_rows = has_rows").select(
+        "doc_id", "race_number", F.col("row_no").alias("line_no"), F.col("number").alias("program_number"), names.clean_horse_name(F.col("name")).alias("horse_name"), "jockey_name", "trainer_name",
+        F.when(out, "SCR").otherwise(F.col("odds")).alias("odds"), out.alias("scratched"), "race_type", "post_time", "distance", "surface", "purse",
+    )
 
 
-def extract_form_entry_details(entries: DataFrame) -> DataFrame:
-    """(…, text) of an entry -> blinkers, lasix, weight, trainer."""
-    t = F.col("text")
-    return entries.withColumns({"blinkers": t.rlike(r"(?i)\bblinkers\b"), "lasix": t.rlike(r"\bL\b|(?i:lasix)"), "weight": _first(t, r"\b(1[0-3]\d)\b").cast("int"), "trainer_name": names.normalize_person_name(_first(t, r"(?i)Tr:?\s*([A-Za-z' .]+)"))})
-
-
-def assemble_form_races(pages: DataFrame) -> DataFrame:
-    """Form pages -> doc_id, race_number, program_number, horse_name; entries before any header are of race 1."""
-    from railbird.operators.dedupe import carry_forward, first_by, implicit_first_segment
-
-    trimmed = pages.withColumn("text", trim_index_page(F.col("text")))
-    marked = detect_form_race_pages(trimmed).withColumn("is_detail", F.col("race_number").isNull())
-    numbered = implicit_first_segment(carry_forward(marked, "race_number", order="page_no"))
-    entries = extract_form_horses(trimmed).join(numbered.select("doc_id", "page_no", "race_number", "is_detail", "header_line"), ["doc_id", "page_no"])
-    entries = entries.where("header_line IS NULL OR header_line <> line_no OR race_number <> try_cast(program_number AS int)")
-    best = first_by(entries, ["doc_id", "race_number", "program_number"], [F.desc("is_detail"), F.desc("page_no"), F.desc("line_no")])
-    return best.select("doc_id", "race_number", "program_number", "horse_name")
+def extract_race_schedule(pages: DataFrame) -> DataFrame:
+    """(doc_id, html) -> doc_id, track_code, start_date, end_date: of a table row, the code in its second cell and all ranges in it; of a code told twice the last row counts."""
+    from railbird.operators.dedupe import first_by
+
+    rows = table_rows(pages)
+    tds = of_tag(F.col("cells"), "td")
+    rows = _staged(rows, code=F.upper(text_at(tds, 1)), said=F.array_join(F.transform(tds, lambda c: plain(c["text"])), " ")).where("code rlike '^[A-Z0-9]{2,4}$'")
+    day = lambda m, i: F.to_date(F.try_to_timestamp(F.get(F.regexp_extract_all(m, F.lit(r"(\d{2}/\d{2}/\d{4})"), F.lit(1)), F.lit(i)), F.lit("MM/dd/yyyy")))
+    spans = F.transform(F.regexp_extract_all("said", F.lit(r"\d{2}/\d{2}/\d{4}\s*-\s*\d{2}/\d{2}/\d{4}"), F.lit(0)), lambda m: F.struct(day(m, 0).alias("start_date"), day(m, 1).alias("end_date")))
+    valid = rows.select("doc_id", F.col("code").alias("track_code"), "row_no", F.filter(spans, lambda s: s["start_date"].isNotNull() & s["end_date"].isNotNull()).alias("spans")).where("size(spans) > 0")
+    return first_by(valid, ["doc_id", "track_code"], [F.desc("row_no")]).select("doc_id", "track_code", F.explode("spans").alias("s")).select("doc_id", "track_code", "s.*")

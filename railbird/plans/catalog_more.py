@@ -286,56 +286,6 @@ def _joined(df, key, order, line, by="\n"):
     return df.groupBy(*([key] if isinstance(key, str) else key)).agg(F.array_join(F.transform(rows, lambda x: x["_line"]), by).alias("text"))
 
 
-@query("v_entries", "v_races", "v_horses", sql="""
-  SELECT race_id AS doc_id, race_number, program_number, lower(regexp_replace(horse_name, '[^A-Za-z0-9]', '', 'g')) AS horse_name, CASE WHEN scratched THEN 'Scratch' ELSE 'Jockey Change' END AS change_type, CASE WHEN scratched THEN 'Scratched - Vet ' || entry_id % 7 ELSE 'Jockey changed to Rider ' || jockey_id END AS description
-  FROM v_entries JOIN v_races USING (race_id) JOIN v_horses USING (horse_id)""")
-def extract_html_changes(r):
-    e = r.entries.join(r.races.select("race_id", "race_number"), "race_id").join(r.horses, "horse_id")
-    said = F.when(F.col("scratched"), F.concat(F.lit("Scratched - Vet "), (F.col("entry_id") % 7).cast("string"))).otherwise(F.concat(F.lit("Jockey changed to Rider "), F.col("jockey_id").cast("string")))
-    # Two layouts: the horse in a cell of its own, and after its number.
-    horse = F.when(F.col("race_id") % 2 == 0, F.col("horse_name")).otherwise(F.concat("program_number", F.lit(" - "), "horse_name"))
-    row = F.concat(F.lit("<tr class='x'><td>#"), "program_number", F.lit("</td><td><b>"), horse, F.lit("</b></td><td>"), said, F.lit("</td></tr>"))
-    text = _joined(e, ["race_id", "race_number"], ["entry_id"], row, "")
-    head = F.concat(F.when(F.col("race_id") % 2 == 0, '<tr class="race-header"><td>Race: ').otherwise("<tr><th>Race "), F.col("race_number").cast("string"), F.when(F.col("race_id") % 2 == 0, "</td></tr>").otherwise("</th></tr>"))
-    pages = text.select(F.col("race_id").alias("doc_id"), F.lit("GP").alias("track_code"), F.concat(F.lit("<table>"), head, "text", F.lit("</table>")).alias("html"))
-    return extract.extract_html_changes(pages).select("doc_id", "race_number", "program_number", "horse_name", "change_type", "description")
-
-
-@query("v_entries", "v_races", "v_horses", sql="""
-  SELECT race_id AS doc_id, race_number, program_number, lower(regexp_replace(horse_name, '[^A-Za-z0-9]', '', 'g')) AS horse_name, CASE WHEN scratched THEN 'Scratch' ELSE 'Jockey Change' END AS change_type, CASE WHEN scratched THEN 'Scratched - Veterinarian' ELSE 'Jockey changed to Rider ' || jockey_id END AS description
-  FROM v_entries JOIN v_races USING (race_id) JOIN v_horses USING (horse_id)""")
-def extract_mobile_changes(r):
-    e = r.entries.join(r.races.select("race_id", "race_number"), "race_id").join(r.horses, "horse_id")
-    said = F.when(F.col("scratched"), "Scratched - Veterinarian").otherwise(F.concat(F.lit("Jockey changed to Rider "), F.col("jockey_id").cast("string")))
-    item = F.concat(F.lit("<tr><td># "), "program_number", F.lit(" "), "horse_name", F.when(F.col("race_id") % 2 == 0, F.lit(" - ")).otherwise(F.lit(" ")), said, F.lit("</td></tr>"))
-    text = _joined(e, ["race_id", "race_number"], ["entry_id"], item, "")
-    pages = text.select(F.col("race_id").alias("doc_id"), F.lit("GP").alias("track_code"), F.concat(F.lit("<table><tr><td>Race "), F.col("race_number").cast("string"), F.lit("</td></tr>"), "text").alias("html"))
-    return extract.extract_mobile_changes(pages).select("doc_id", "race_number", "program_number", "horse_name", "change_type", "description")
-
-
-@query("v_races", "v_entries", sql="SELECT r.track_code AS doc_id, race_number, program_number FROM v_entries e JOIN v_races r USING (race_id) WHERE scratched AND race_date = DATE '1998-06-01'")
-def extract_otb_changes(r):
-    e = r.entries.where("scratched").join(r.races.where(F.col("race_date") == F.lit(AS_OF_DATE).cast("date")).select("race_id", "track_code", "race_number"), "race_id")
-    race = _joined(e, ["track_code", "race_number"][0], ["race_number", "entry_id"], F.concat(F.lit("Race "), F.col("race_number").cast("string"), F.lit("\n# "), "program_number", F.lit(" Some Horse\nScratched")))
-    return extract.extract_otb_changes(race.select(F.col("track_code").alias("doc_id"), "text")).where("change_type <> 'Other'").select("doc_id", "race_number", "program_number")
-
-
-@query("v_races", sql="SELECT race_id AS doc_id, race_number, race_date, surface, purse FROM v_races")
-def extract_chart_metadata(r):
-    d = F.date_format("race_date", "MMMM d, yyyy")
-    text = F.concat(F.lit("SOME TRACK - "), d, F.lit(" - Race "), F.col("race_number").cast("string"), F.lit("\nCLAIMING\nDistance: Six On The "), "surface", F.lit("\nPurse: "), "purse", F.lit("\n"))
-    docs = r.races.select(F.col("race_id").alias("doc_id"), F.lit(1).alias("segment"), text.alias("text"))
-    return extract.extract_chart_metadata(docs).select("doc_id", "race_number", "race_date", "surface", "purse")
-
-
-@query("v_entries", sql="SELECT race_id AS doc_id, finish_position, program_number FROM v_entries WHERE finish_position IS NOT NULL")
-def extract_running_lines(r):
-    e = r.entries.where("finish_position IS NOT NULL")
-    text = _joined(e, "race_id", ["finish_position"], F.concat("program_number", F.lit(" Some Horse 1 2\nmore 3 4")))
-    docs = text.select(F.col("race_id").alias("doc_id"), F.lit(1).alias("segment"), F.concat(F.lit("Past Performance Running Line Preview\n"), "text", F.lit("\nTrainers: x")).alias("text"))
-    return extract.extract_running_lines(docs).select("doc_id", "finish_position", "program_number")
-
-
 @query("v_entries", "v_horses", "v_jockeys", sql="SELECT race_id AS doc_id, program_number, regexp_replace(horse_name, '[^A-Za-z0-9 ''-]', '', 'g') AS horse_name, jockey_name AS jockey, finish_position FROM v_entries JOIN v_horses USING (horse_id) JOIN v_jockeys USING (jockey_id) WHERE finish_position IS NOT NULL")
 def extract_table_horses(r):
     e = r.entries.where("finish_position IS NOT NULL").join(r.horses, "horse_id").join(r.jockeys, "jockey_id")
@@ -349,12 +299,6 @@ def extract_table_horses(r):
     return extract.extract_table_horses(own.unionByName(each)).select("doc_id", "program_number", "horse_name", "jockey", "finish_position")
 
 
-@query("v_exotics", sql="SELECT race_id AS doc_id, 'Exacta' AS wager_type, cast(payout as double) AS payout FROM v_exotics WHERE seq = 1")
-def extract_exotic_payouts(r):
-    docs = r.exotics.where("seq = 1").select(F.col("race_id").alias("doc_id"), F.lit(1).alias("segment"), F.concat(F.lit("Pools\n$2 Exacta 4-5 "), F.col("payout").cast("string"), F.lit(" $1 x\n")).alias("text"))
-    return extract.extract_exotic_payouts(docs).select("doc_id", "wager_type", _d("payout"))
-
-
 @query("v_claims", "v_horses", sql="""
   SELECT race_id AS doc_id, cast(row_number() OVER (PARTITION BY race_id ORDER BY claim_id) as int) AS row, horse_name, coalesce(new_trainer_name, 'Nobody') AS new_trainer_name, 'Big Stable ' || claim_id % 9 AS new_owner_name,
          cast(max(cast(floor(claim_price) as bigint)) OVER (PARTITION BY race_id) as double) AS claim_price FROM v_claims JOIN v_horses USING (horse_id)""")
@@ -368,28 +312,6 @@ def extract_claims(r):
     return extract.extract_claims(docs).select("doc_id", F.col("row").cast("int").alias("row"), "horse_name", "new_trainer_name", "new_owner_name", _d("claim_price"))
 
 
-@query("v_entries", "v_races", sql="SELECT race_id AS doc_id, race_number, program_number, scratched FROM v_entries JOIN v_races USING (race_id)")
-def extract_static_entries(r):
-    e = r.entries.join(r.races.select("race_id", "race_number"), "race_id")
-    line = F.concat(F.lit("<div>"), "program_number", F.lit(" Some Horse"), F.when(F.col("scratched"), " SCR").otherwise(" 5/2"), F.lit("</div>"))
-    text = e.groupBy("race_id", "race_number").agg(F.array_join(F.array_sort(F.collect_list(line)), "").alias("text"))
-    pages = text.select(F.col("race_id").alias("doc_id"), F.concat(F.lit("<div>Race "), F.col("race_number").cast("string"), F.lit("</div>"), "text").alias("html"))
-    return extract.extract_static_entries(pages).select("doc_id", "race_number", "program_number", "scratched")
-
-
-@query("v_races", sql="SELECT translate(track_code, '0123456789', 'ABCDEFGHIJ') AS track_code, min(race_date) AS start_date, max(race_date) AS end_date FROM v_races GROUP BY 1")
-def extract_race_schedule(r):
-    spans = r.races.groupBy("track_code").agg(F.min("race_date").alias("a"), F.max("race_date").alias("b"))
-    line = F.concat(F.translate("track_code", "0123456789", "ABCDEFGHIJ"), F.lit(" "), F.date_format("a", "M/d/yyyy"), F.lit(" - "), F.date_format("b", "M/d/yyyy"))
-    return extract.extract_race_schedule(spans.select(line.alias("text")))
-
-
-@query("v_entries", "v_races", sql="SELECT race_id AS doc_id, program_number FROM v_entries")
-def extract_form_horses(r):
-    text = _joined(r.entries, "race_id", ["entry_id"], F.concat("program_number", F.lit("\nSome Horse")))
-    return extract.extract_form_horses(text.select(F.col("race_id").alias("doc_id"), F.lit(1).alias("page_no"), "text")).select("doc_id", "program_number")
-
-
 # --- streams' batch twins --------------------------------------------------------------------
 
 
@@ -485,21 +407,6 @@ def horse_profile(r):
     return products.horse_profiles(r, asked).select("request", "outcome", "starts")
 
 
-@query("v_entries", "v_horses", sql="SELECT race_id AS doc_id, horse_name AS scratched_name, count(*) AS n FROM v_entries JOIN v_horses USING (horse_id) WHERE scratched GROUP BY 1, 2")
-def extract_scratched_names(r):
-    text = _joined(r.entries.where("scratched").join(r.horses, "horse_id"), "race_id", ["entry_id"], F.concat("horse_name", F.lit(" (Vet)")), ", ")
-    docs = text.select(F.col("race_id").alias("doc_id"), F.lit(1).alias("segment"), F.concat(F.lit("Chart\nScratched Horse(s): "), "text", F.lit("\n\nFootnotes")).alias("text"))
-    return extract.extract_scratched_names(docs).groupBy("doc_id", "scratched_name").agg(F.count("*").alias("n"))
-
-
-@query("v_entries", "v_horses", sql="SELECT race_id AS doc_id, program_number, horse_name, scratched FROM v_entries JOIN v_horses USING (horse_id)")
-def extract_entry_tables(r):
-    row = F.concat(F.lit("<tr><td>"), "program_number", F.lit("</td><td>"), "horse_name", F.lit(" (97)</td><td>Rider"), F.when(F.col("scratched"), " SCR").otherwise(""), F.lit("</td></tr>"))
-    text = _joined(r.entries.join(r.horses, "horse_id"), "race_id", ["entry_id"], row, "")
-    pages = text.select(F.col("race_id").alias("doc_id"), F.concat(F.lit("<table><tr><th>PP</th><th>Horse</th><th>Jockey</th></tr>"), "text", F.lit("</table>")).alias("html"))
-    return extract.extract_entry_tables(pages).select("doc_id", "program_number", "horse_name", "scratched")
-
-
 @query("v_races", sql="SELECT track_code || cast(race_date as varchar) AS doc_id, cast(race_number as int) AS segment, 'Race ' || race_number || ' 1998' || chr(10) || 'more of ' || race_id AS text FROM v_races")
 def extract_chart_races(r):
     doc = F.concat("track_code", F.col("race_date").cast("string")).alias("doc_id")
@@ -509,28 +416,6 @@ def extract_chart_races(r):
     return extract.extract_chart_races(head.union(rest)).select("doc_id", F.col("segment").cast("int").alias("segment"), "text")
 
 
-@query("v_entries", sql="SELECT race_id AS doc_id, program_number, finish_position FROM v_entries WHERE finish_position IS NOT NULL")
-def extract_text_horses(r):
-    e = r.entries.where("finish_position IS NOT NULL")
-    text = _joined(e, "race_id", ["finish_position"], F.concat(F.lit("12Mar26 4GP2 "), "program_number", F.lit(" Some Horse (Rider, A) 120")))
-    docs = text.select(F.col("race_id").alias("doc_id"), F.lit(1).alias("segment"), F.concat(F.lit("Last Raced Pgm Horse Name\n"), "text", F.lit("\nFractional Times: 22.1")).alias("text"))
-    return extract.extract_text_horses(docs).select("doc_id", "program_number", "finish_position")
-
-
-@query("v_entries", "v_races", sql="SELECT race_id AS doc_id, 1 AS race_number, program_number FROM v_entries")
-def assemble_form_races(r):
-    text = _joined(r.entries, "race_id", ["entry_id"], F.concat("program_number", F.lit("\nSome Horse")))
-    return extract.assemble_form_races(text.select(F.col("race_id").alias("doc_id"), F.lit(1).alias("page_no"), "text")).select("doc_id", "race_number", "program_number")
-
-
-@query("v_races", sql="SELECT race_id AS doc_id, cast(race_number as int) AS race_number, CASE race_id % 5 WHEN 0 THEN 3960 WHEN 1 THEN 5940 WHEN 2 THEN 1050 WHEN 3 THEN 5280 ELSE 4620 END AS distance_feet, purse FROM v_races WHERE race_number <= 99")
-def extract_form_race(r):
-    d = F.when(F.col("distance") == "6F", "6 Furlongs").otherwise(F.initcap("distance"))
-    text = F.concat(F.col("race_number").cast("string"), F.lit("\nSome Park\nClaiming "), d, F.lit(" Purse: "), "purse")
-    pages = r.races.where("race_number <= 99").select(F.col("race_id").alias("doc_id"), F.lit(1).alias("page_no"), text.alias("text"))
-    return extract.extract_form_race(pages).select("doc_id", "race_number", "distance_feet", "purse")
-
-
 @query("v_tracks", sql="SELECT DISTINCT 'T' || chr(65 + cast(substring(track_code, 2, 2) as int)) AS track_code, 'latechangesT' || chr(65 + cast(substring(track_code, 2, 2) as int)) || '-USA.html' AS url FROM v_tracks")
 def extract_change_links(r):
     code = F.concat(F.lit("T"), F.chr(F.substring("track_code", 2, 2).cast("int") + 65))
@@ -624,37 +509,6 @@ def within_grace(r):
     return health.feed_freshness(r.crawl_events, EVENTS_AS_OF, "2024-01-20 11:50:00").select("feed", "within_startup_grace", "stale")
 
 
-@query("v_races", sql="SELECT race_id AS doc_id, CASE race_id % 2 WHEN 0 THEN 'GP' ELSE 'WO' END AS track_code, race_date FROM v_races")
-def extract_form_header(r):
-    name = F.when(F.col("race_id") % 2 == 0, "Gulfstream Park").otherwise("Woodbine")
-    first = F.concat(F.lit("Daily Form\n"), name, F.lit("\n"), F.date_format("race_date", "EEEE, MMMM d, yyyy"), F.lit("\nx\ny\nalso at Saratoga"))
-    pages = r.races.select(F.col("race_id").alias("doc_id"), F.explode(F.array(F.struct(F.lit(1).alias("page_no"), first.alias("text")), F.struct(F.lit(2).alias("page_no"), F.lit("Aqueduct\nJanuary 1, 1990").alias("text")))).alias("p")).select("doc_id", "p.*")
-    return extract.extract_form_header(pages)
-
-
-@query("v_entries", "v_races", sql="""
-  SELECT race_id AS doc_id, entry_id AS page_no, race_id % 3 > 0 AND entry_id % 2 = 0 AS is_entry_page FROM v_entries""")
-def detect_form_entry_pages(r):
-    horse = F.when(F.col("race_id") % 3 == 0, "BOLD BOY of no breeding").otherwise("BOLD BOY b.g.4 Sire: Some One")
-    number = F.when(F.col("entry_id") % 2 == 0, F.col("program_number")).otherwise("Race one")
-    pages = r.entries.select(F.col("race_id").alias("doc_id"), F.col("entry_id").alias("page_no"), F.concat(F.lit("Form\n "), number, F.lit(" \n"), horse, F.lit("\nLife 3 1")).alias("text"))
-    return extract.detect_form_entry_pages(pages).select("doc_id", "page_no", "is_entry_page")
-
-
-@query("v_entries", "v_jockeys", sql="SELECT entry_id, entry_id % 2 = 0 AS blinkers, entry_id % 3 = 0 AS lasix, cast(110 + entry_id % 20 as int) AS weight FROM v_entries")
-def extract_form_entry_details(r):
-    i = F.col("entry_id")
-    text = F.concat(F.when(i % 2 == 0, "Blinkers on. ").otherwise("plain. "), F.when(i % 6 == 0, "Lasix ").when(i % 3 == 0, "L ").otherwise(""), (i % 20 + 110).cast("string"), F.lit(" Tr: some one"))
-    return extract.extract_form_entry_details(r.entries.select("entry_id", text.alias("text"))).select("entry_id", "blinkers", "lasix", "weight")
-
-
-@query("v_races", sql="SELECT race_id, CASE WHEN race_id % 2 = 0 THEN '1' || chr(10) || 'Race of ' || race_id ELSE 'Page without one ' || race_id END AS text FROM v_races")
-def trim_index_page(r):
-    own = F.concat(F.lit("1\nRace of "), F.col("race_id").cast("string"))
-    text = F.when(F.col("race_id") % 2 == 0, F.concat(F.lit("Index of races\n2 Some Park\n"), own)).otherwise(F.concat(F.lit("Page without one "), F.col("race_id").cast("string")))
-    return r.races.select("race_id", extract.trim_index_page(text).alias("text"))
-
-
 @query("v_crawl_events", sql="SELECT event_id AS upload_id, seen_at AS uploaded_at FROM v_crawl_events ORDER BY seen_at DESC, event_id DESC LIMIT 10")
 def recent_uploads(r):
     return products.recent_uploads(r.crawl_events.select(F.col("event_id").alias("upload_id"), F.col("seen_at").alias("uploaded_at")))

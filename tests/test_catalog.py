@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from railbird.plans import catalog, catalog_more  # noqa: F401
+from railbird.plans import catalog, catalog_more, catalog_pages  # noqa: F401
 
 
 @pytest.fixture(scope="module")
