@@ -64,9 +64,9 @@ def hydrate(df: DataFrame, snapshots: DataFrame, key: str, *columns: str) -> Dat
     return out.drop(*(f"_{c}" for c in columns))
 
 
-def match_entries(changes: DataFrame, entries: DataFrame) -> DataFrame:
+def match_entries(changes: DataFrame, entries: DataFrame, keep: Column | None = None) -> DataFrame:
     """Finds each change's entry by program number, else by name in the race; changes of a
-    horse that has none go.  Needs change_id, race_id, program_number, horse_name."""
+    horse that has none go, but for those that ``keep`` holds for.  Needs change_id, race_id, program_number, horse_name."""
     by_pgm = entries.select("race_id", normalize_pgm(F.col("program_number")).alias("_pgm"), F.col("entry_id").alias("_by_pgm")).groupBy("race_id", "_pgm").agg(F.min("_by_pgm").alias("_by_pgm"))
     by_name = entries.select("race_id", normalize_name(F.col("horse_name")).alias("_name"), F.col("entry_id").alias("_by_name")).groupBy("race_id", "_name").agg(F.min("_by_name").alias("_by_name"))
     out = (
@@ -76,7 +76,8 @@ def match_entries(changes: DataFrame, entries: DataFrame) -> DataFrame:
         .join(by_name, ["race_id", "_name"], "left")
         .withColumn("entry_id", F.coalesce("_by_pgm", "_by_name"))
     )
-    return out.where(F.col("entry_id").isNotNull() | (F.col("_pgm").isNull() & F.col("_name").isNull())).drop("_pgm", "_name", "_by_pgm", "_by_name")
+    race_wide = F.col("_pgm").isNull() & F.col("_name").isNull()
+    return out.where(F.col("entry_id").isNotNull() | race_wide | (F.lit(False) if keep is None else keep)).drop("_pgm", "_name", "_by_pgm", "_by_name")
 
 
 def match_name_in_race(left: DataFrame, right: DataFrame, left_name: str = "horse_name", right_name: str = "horse_name") -> DataFrame:

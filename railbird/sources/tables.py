@@ -1,13 +1,12 @@
 """Scans, upserts and the other ways tables change.
 
 Parquet has no MERGE: a changed table is a new version, written beside the old one.  All
-functions return the new table; ``write_version`` makes it the current one.
+functions return the new table.
 """
 
 from __future__ import annotations
 
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -136,11 +135,21 @@ def read_snapshot(spark: SparkSession, path: str, key: str) -> DataFrame:
     return rows.join(newest, "captured_at", "left_semi")
 
 
-def write_version(df: DataFrame, path: str) -> str:
-    """Writes the next version of a table; readers take the greatest."""
-    out = f"{path}/v={time.time_ns()}"
-    df.write.parquet(out)
-    return out
+def _place(spark: SparkSession, path: str):  # noqa: ANN202
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder, if it is there."""
+    place, fs = _place(spark, path)
+    fs.delete(place, True)
+
+
+def subfolders(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a pattern."""
+    place, fs = _place(spark, pattern)
+    return [f.getPath().toString() for f in fs.globStatus(place) or []]
 
 
 def upload_state(events: DataFrame) -> DataFrame:

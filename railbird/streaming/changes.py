@@ -107,19 +107,3 @@ def stream_changes(docs: DataFrame, sink: Callable[[DataFrame, int], None], chec
     """Landed feed documents (doc_id, track_code, description) -> changes, handed to ``sink`` (rows, batch id) batch by
     batch.  A batch may come again after a failure: sinks are to be idempotent by batch id or key."""
     return extract_rss_changes(docs).writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "5 minutes"})).start()
-
-
-def stream_ingest(docs: DataFrame, table: str, races: DataFrame, entries: DataFrame, day: str, checkpoint: str, trigger: dict | None = None):
-    """Landed feed documents -> the next version of the table of changes in the folder ``table``, batch by batch.
-
-    A batch's version is named by its number and made of the one before it, so that a batch that comes again
-    after a failure writes the same table anew.
-    """
-
-    def each(items: DataFrame, n: int) -> None:
-        spark = items.sparkSession
-        kind = "race_id long, entry_id long, change_type string, description string"
-        old = spark.read.schema(kind).parquet(f"{table}/v={n - 1}") if n else spark.createDataFrame([], kind)
-        ingest_changes(old, items, races, entries, day).write.mode("overwrite").parquet(f"{table}/v={n}")
-
-    return docs.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "5 minutes"})).start()
