@@ -183,9 +183,11 @@ def wallet_balance(ledger: DataFrame, opening: int = 1000) -> DataFrame:
 
 
 def running_balance(ledger: DataFrame, opening: int = 1000) -> DataFrame:
-    """Balance after each movement of a wallet; movements at one time go by reference."""
-    w = Window.partitionBy("wallet_id").orderBy("at", "reference_id", "transaction_type").rowsBetween(Window.unboundedPreceding, 0)
-    return ledger.withColumn("balance", (F.lit(opening) + F.sum("amount").over(w)).cast("decimal(14,2)"))
+    """Balance after each movement of a wallet; movements at one time go by reference.  A wallet's movements are cut by the day, and carried on by totals."""
+    from railbird.operators.dedupe import running
+
+    moved = running(ledger, ("wallet_id",), F.date_trunc("DAY", "at"), ["at", "reference_id", "transaction_type"], _moved=("sum", F.col("amount")))
+    return moved.withColumn("balance", (F.lit(opening) + F.col("_moved")).cast("decimal(14,2)")).drop("_moved")
 
 
 def activity_probe(entries: DataFrame, races: DataFrame, today: str) -> DataFrame:

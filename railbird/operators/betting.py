@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from railbird.functions.money import MONEY, key_combos, perm2, perm3, scale_payout
+from railbird.sources.tables import written
 
 SINGLE = ("Win", "Place", "Show", "Win Place", "Place Show", "WPS", "Win Place Show")
 BOXES = ("Exacta Box", "Trifecta Box")
@@ -37,34 +39,105 @@ def bet_cost(bets: DataFrame) -> DataFrame:
     return b.withColumn("bet_cost", (F.col("bet_amount") * times).cast(MONEY)).drop("picks", "positions")
 
 
+def _spend(starts: np.ndarray, left: np.ndarray, cents: int) -> tuple[np.ndarray, np.ndarray]:
+    """What is left of funds, as a function in pieces (funds from ``starts[i]`` on leave ``left[i]`` and what they exceed it by), after one more bet."""
+    width = np.diff(starts, append=np.iinfo(np.int64).max)
+    cut = (left < cents) & (cents - left < width)  # funds of one piece can pay from some point on
+    at = np.flatnonzero(cut)
+    more = starts[at] + cents - left[at]
+    starts = np.insert(starts, at + 1, more)
+    left = np.insert(left, at + 1, np.full(len(at), cents, np.int64))
+    left = np.where(left >= cents, left - cents, left)
+    shift = starts - left
+    own = np.append(True, shift[1:] != shift[:-1])
+    return starts[own], left[own]
+
+
+def _in_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[bool, tuple, int, int, list[list]]]:
+    """(new, key, first row, end, columns) of runs of rows with equal first ``keys`` columns; ``new``: the key is not that of the run before."""
+    before = None
+    for b in batches:
+        columns = [c.to_pylist() for c in b.columns]
+        at = 0
+        for i in range(1, b.num_rows + 1):
+            if i == b.num_rows or any(columns[k][i] != columns[k][at] for k in range(keys)):
+                key = tuple(columns[k][at] for k in range(keys))
+                yield key != before, key, at, i, columns
+                before, at = key, i
+
+
 def validate_bets(bets: DataFrame, races: DataFrame, funds: int = 1000) -> DataFrame:
     """Adds reject_reason (null: accepted): missing fields, no such race, or not enough funds left in the wallet.
 
     Only accepted bets are spent, in the order of created_at and bet_id: a bet that the wallet can't pay leaves
-    the funds to later, cheaper ones.  Each wallet is gone through in order, with its balance as all that is
-    kept; bet_id is a key, and a bet without a wallet belongs to the wallet of those without.
+    the funds to later, cheaper ones.  bet_id is a key, and a bet without a wallet belongs to the wallet of those without.
+    What an hour's bets leave of any funds is a function in pieces, made for each wallet and hour apart; a wallet's functions in
+    order give the funds that each hour starts with, and each hour decides its bets from there.  So a wallet with many bets is many tasks.
     """
     known = races.select("race_id").distinct().withColumn("_race", F.lit(True))
     b = bet_cost(bets).join(known, "race_id", "left")
     reason = F.when(F.col("race_id").isNull() | F.col("bet_type").isNull(), "missing_fields").when(F.col("_race").isNull(), "race_not_found")
-    asked = b.select("bet_id", "wallet_id", "created_at", (F.col("bet_cost") * 100).cast("long").alias("cents"), reason.alias("reason"))
-    in_order = asked.repartition("wallet_id").sortWithinPartitions("wallet_id", "created_at", "bet_id").select("bet_id", "wallet_id", "cents", "reason")
+    hour = F.floor(F.unix_timestamp(F.col("created_at").cast("timestamp")) / 3600)
+    asked = written(b.select("wallet_id", hour.alias("hour"), "bet_id", "created_at", F.coalesce((F.col("bet_cost") * 100).cast("long"), F.lit(0)).alias("cents"), reason.alias("reason")))
+    most, kind = funds * 100, dict(bets.dtypes)
+    order = ["wallet_id", "hour", "created_at", "bet_id"]
+
+    def functions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, starts, left = None, None, None
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array([held[0]], wallet), pa.array([held[1]], pa.int64()), pa.array([starts[starts <= most]], pa.list_(pa.int64())), pa.array([left[starts <= most]], pa.list_(pa.int64()))], ["wallet_id", "hour", "starts", "left"])
 
-    def spend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wallet = None
+        for batch in batches:
+            wallet = batch.schema.field(0).type
+            for new, key, a, z, columns in _in_groups(iter([batch]), 2):
+                if key != held:
+                    if held is not None:
+                        yield out()
+                    held, starts, left = key, np.zeros(1, np.int64), np.zeros(1, np.int64)
+                for cents in columns[2][a:z]:
+                    if 0 < cents <= most:
+                        starts, left = _spend(starts, left, cents)
+                    elif cents < 0:
+                        left = left - cents
+        if held is not None:
+            yield out()
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, left = object(), 0
+        for batch in batches:
+            first = []
+            for w, starts, after in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                if w != now:
+                    now, left = w, most
+                first.append(left)
+                s, v = starts.values.to_numpy(), after.values.to_numpy()
+                i = int(np.searchsorted(s, left, "right")) - 1
+                left = int(v[i] + left - s[i])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(first, pa.int64())], ["wallet_id", "hour", "funds"])
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, left = None, 0
         for batch in batches:
             reasons = []
-            for wallet, cents, why in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
-                if wallet != now:
-                    now, left = wallet, funds * 100
-                if why is None and (cents or 0) > left:
+            for w, h, cents, why, first in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 3, 4)), strict=True):
+                if (w, h) != now:
+                    now, left = (w, h), first
+                if why is None and cents > left:
                     why = "insufficient_funds"
                 elif why is None:
-                    left -= cents or 0
+                    left -= cents
                 reasons.append(why)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(reasons, pa.string())], ["bet_id", "reject_reason"])
-
-    decided = in_order.mapInArrow(spend, f"bet_id {dict(bets.dtypes)['bet_id']}, reject_reason string")
+            yield pa.RecordBatch.from_arrays([batch.column(5), pa.array(reasons, pa.string())], ["bet_id", "reject_reason"])
+
+    valid = asked.where("reason IS NULL").select(*order, "cents")
+    made = valid.repartition("wallet_id", "hour").sortWithinPartitions(*order).select("wallet_id", "hour", "cents").mapInArrow(functions, f"wallet_id {kind['wallet_id']}, hour long, starts array<long>, left array<long>")
+    starts = written(made.repartition("wallet_id").sortWithinPartitions("wallet_id", "hour").mapInArrow(begin, f"wallet_id {kind['wallet_id']}, hour long, funds long"))
+    s = starts.select(F.col("wallet_id").alias("_wallet"), F.col("hour").alias("_hour"), "funds")
+    with_funds = asked.join(s, asked.wallet_id.eqNullSafe(s["_wallet"]) & asked.hour.eqNullSafe(s["_hour"]), "left")
+    dealt = with_funds.repartition("wallet_id", "hour").sortWithinPartitions(*order).select("wallet_id", "hour", "cents", "reason", F.coalesce("funds", F.lit(0)).alias("funds"), "bet_id")
+    decided = dealt.mapInArrow(decide, f"bet_id {kind['bet_id']}, reject_reason string")
     return b.drop("_race").join(decided, "bet_id")
 
 

@@ -98,12 +98,6 @@ def search_results(df: DataFrame, text: str) -> DataFrame:
     return df.where(F.lower("track_name").contains(text.lower()) | F.lower(F.coalesce("winner_name", F.lit(""))).contains(text.lower()))
 
 
-def without_metadata_rows(df: DataFrame, column: str = "horse_name") -> DataFrame:
-    """Table rows that are no runners: headings, totals, and those marked as scratched."""
-    low = F.lower(F.coalesce(F.col(column), F.lit("")))
-    return df.where(~low.rlike("total|footnotes|winner:|breeder|owners:|trainers:|wps pool|past performance") & ~low.rlike(r"\b(scratched|scr)\b"))
-
-
 def schedule_skip(df: DataFrame, column: str = "has_card") -> DataFrame:
     """Goes only when the schedule says no, not when it doesn't know."""
     return df.where(F.coalesce(F.col(column), F.lit(True)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from railbird.functions.names import change_identity, program_order
@@ -21,19 +21,51 @@ def paginate(df: DataFrame, order: list, page: int, limit: int) -> tuple[DataFra
     return rows, total, pages, page < pages
 
 
-def numbered(df: DataFrame, order: list, partitions: int = 32) -> DataFrame:
-    """All rows with pos, from 1, in a total order: ranges are sorted apart, and each counts on from those before it."""
+RANGE_ROWS = 1_000_000  # rows of a range, about: what a task sorts
+
+
+def _ranged(df: DataFrame, order: list, rows_per_range: int) -> DataFrame:
+    """All rows with part and pos, from 1, in a total order: as many ranges as the rows need are sorted apart, and each counts on from those before it."""
+    kept = written(df)
+    ranges = max(1, -(-kept.count() // rows_per_range))
     # Written: the ranges come from samples, which differ when they are worked out again.
-    dealt = written(df.repartitionByRange(partitions, *order).withColumn("_part", F.spark_partition_id()))
+    dealt = written(kept.repartitionByRange(ranges, *order).withColumn("_part", F.spark_partition_id()))
     own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
     before = dealt.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_before"))
-    return dealt.withColumn("_own", own).join(before, "_part").withColumn("pos", (F.col("_before") + F.col("_own")).cast("long")).drop("_part", "_own", "_before")
+    return dealt.withColumn("_own", own).join(before, "_part").withColumn("pos", (F.col("_before") + F.col("_own")).cast("long")).drop("_own", "_before")
+
 
+def numbered(df: DataFrame, order: list, rows_per_range: int = RANGE_ROWS) -> DataFrame:
+    """All rows with pos, from 1, in a total order."""
+    return _ranged(df, order, rows_per_range).drop("_part")
 
-def page_export(df: DataFrame, order: list, limit: int, partitions: int = 32) -> DataFrame:
+
+def page_export(df: DataFrame, order: list, limit: int, rows_per_range: int = RANGE_ROWS) -> DataFrame:
     """All rows with page, from 1, of ``limit`` rows each."""
-    return numbered(df, order, partitions).withColumn("page", (F.floor((F.col("pos") - 1) / limit) + 1).cast("long")).drop("pos")
+    return numbered(df, order, rows_per_range).withColumn("page", (F.floor((F.col("pos") - 1) / limit) + 1).cast("long")).drop("pos")
+
+
+def write_pages(df: DataFrame, order: list, path: str, rows_per_range: int = RANGE_ROWS) -> None:
+    """A feed to read pages from: ``rows``, a folder of files for each range, and ``fences``, the first place and the rows of each."""
+    ranged = _ranged(df, order, rows_per_range).withColumnRenamed("_part", "part")
+    ranged.repartition("part").sortWithinPartitions("part", "pos").write.mode("overwrite").partitionBy("part").parquet(f"{path}/rows")
+    ranged.drop("part").limit(0).write.mode("overwrite").parquet(f"{path}/schema")
+    ranged.groupBy("part").agg(F.min("pos").alias("first"), F.count("*").alias("rows")).coalesce(1).write.mode("overwrite").parquet(f"{path}/fences")
+
+
+def read_page(spark: SparkSession, path: str, page: int, limit: int) -> tuple[DataFrame, int, int, bool]:
+    """(rows of the page in order, total, pages, whether more follow) of a feed that ``write_pages`` wrote: only files that hold the page are read."""
+    fences = spark.read.parquet(f"{path}/fences")
+    low, high = (page - 1) * limit + 1, page * limit
+    total = fences.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    pages = -(-total // limit)
+    hold = [r.part for r in fences.where((F.col("first") <= high) & (F.col("first") + F.col("rows") > low)).select("part").collect()]  # one, or the few that a page spans
+    empty = spark.read.parquet(f"{path}/schema")
+    if not hold:
+        return empty, total, pages, page < pages
+    rows = spark.read.schema(empty.schema).parquet(*(f"{path}/rows/part={p}" for p in hold)).where(F.col("pos").between(low, high))
+    return rows.orderBy("pos"), total, pages, page < pages
 
 
 def changes_order(descending: bool = False) -> list[Column]:

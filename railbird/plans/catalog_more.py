@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -519,10 +521,36 @@ def tracks(r):
     return products.tracks(r)
 
 
-@query("v_changes", "v_races", sql="SELECT track_code, string_agg(cast(change_id as varchar), ',' ORDER BY c.race_id, change_id) AS ids FROM v_changes c JOIN v_races r ON r.race_id = c.race_id GROUP BY 1")
+@query("v_changes", "v_races", sql="SELECT track_code, c.race_id AS doc_id, change_id AS line_no, change_type, description, row_number() OVER (PARTITION BY track_code ORDER BY c.race_id, change_id) AS place FROM v_changes c JOIN v_races r ON r.race_id = c.race_id")
 def group_changes_by_track(r):
     rows = r.changes.join(r.races.select("race_id", "track_code"), "race_id").select("track_code", F.col("race_id").alias("doc_id"), F.col("change_id").alias("line_no"), "change_type", "description")
-    return late.group_changes_by_track(rows).select("track_code", F.array_join(F.transform("changes", lambda c: c["line_no"].cast("string")), ",").alias("ids"))
+    return late.group_changes_by_track(rows)
+
+
+@query("v_races", sql="""
+  , n AS (SELECT race_id, purse, row_number() OVER (ORDER BY race_date DESC, race_id) AS pos, count(*) OVER () AS total FROM v_races)
+  SELECT race_id, purse, pos, total FROM n WHERE pos <= 40 OR pos BETWEEN 361 AND 400 OR pos > (total - 1) // 40 * 40""")
+def read_pages(r):
+    """Pages of a written feed by its fences: the first, the tenth and the last."""
+    path = tables.scratch_dir(r.spark)
+    ordering.write_pages(r.races.select("race_id", "purse", "race_date"), [F.desc("race_date"), "race_id"], path, 1000)
+    last = ordering.read_page(r.spark, path, 1, 40)[2]
+    out = None
+    for page in (1, 10, last):
+        rows, total, _, _ = ordering.read_page(r.spark, path, page, 40)
+        rows = rows.select("race_id", "purse", "pos", F.lit(total).cast("long").alias("total"))
+        out = rows if out is None else out.union(rows)
+    return out
+
+
+@query("v_races", sql="SELECT race_id, track_code, race_number FROM v_races")
+def scan_all(r):
+    """The races through a database that Spark ships with, in parts of about as many rows."""
+    url = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true"
+    options = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    rows = r.races.select(F.col("race_id").alias("RACE_ID"), F.col("track_code").alias("TRACK_CODE"), F.col("race_number").alias("RACE_NUMBER"))
+    rows.write.option("createTableColumnTypes", "TRACK_CODE VARCHAR(20)").jdbc(url, "RACES", properties=options)
+    return tables.scan_all(r.spark, url, "RACES", "RACE_ID", 6, **options).toDF("race_id", "track_code", "race_number")
 
 
 @query("v_crawl_events", sql="""

@@ -20,9 +20,28 @@ def scan_table(spark: SparkSession, path: str, table: str, *columns: str) -> Dat
     return df.select(*columns) if columns else df
 
 
-def read_jdbc(spark: SparkSession, url: str, table: str, column: str, low: int, high: int, parts: int, **options: str) -> DataFrame:
-    """A whole database table in ``parts`` ranges of a numeric column."""
-    return spark.read.jdbc(url, table, column=column, lowerBound=low, upperBound=high, numPartitions=parts, properties=options)
+def key_ranges(keys: DataFrame, key: str, parts: int, error: float = 0.02) -> list[str]:
+    """Conditions that cut a numeric key into ``parts`` of about as many rows, whatever its gaps and repeats; nulls go with the first."""
+    cuts = keys.approxQuantile(key, [i / parts for i in range(1, parts)], error / parts)
+    bounds = sorted({int(c) for c in cuts})
+    if not bounds:
+        return ["1 = 1"]
+    first, last = f"{key} <= {bounds[0]} OR {key} IS NULL", f"{key} > {bounds[-1]}"
+    return [first, *(f"{key} > {a} AND {key} <= {b}" for a, b in zip(bounds, bounds[1:], strict=False)), last]
+
+
+def scan_all(spark: SparkSession, url: str, table: str, key: str, parts: int, columns: tuple[str, ...] = (), **options: str) -> DataFrame:
+    """A whole database table, or some of its columns, in ``parts`` queries of about as many rows.
+
+    The key alone is read first, in even ranges from its least to its greatest value, and its quantiles are the bounds, so that gaps
+    and skew make no large part.  Each part is a condition on the key, which the database can answer by an index.
+    """
+    ends = spark.read.jdbc(url, f"(SELECT MIN({key}) AS LOW, MAX({key}) AS HIGH FROM {table}) ENDS", properties=options).first()
+    what = ", ".join(columns) if columns else "*"
+    if ends[0] is None:
+        return spark.read.jdbc(url, f"(SELECT {what} FROM {table}) ALL_ROWS", properties=options)
+    keys = spark.read.jdbc(url, f"(SELECT {key} FROM {table}) ONLY_KEYS", column=key, lowerBound=int(ends[0]), upperBound=int(ends[1]) + 1, numPartitions=parts, properties=options)
+    return spark.read.jdbc(url, f"(SELECT {what} FROM {table}) ALL_ROWS", predicates=key_ranges(keys, keys.columns[0], parts), properties=options)
 
 
 def read_rss_items(spark: SparkSession, path: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from railbird.functions.changes import extract_new_post_time, valid_cancellation
 from railbird.operators.extract import extract_rss_changes
 from railbird.operators.joins import match_entries, zombie_entries
+from railbird.operators.ordering import numbered
 from railbird.sources.tables import upsert
 
 
@@ -82,9 +83,10 @@ def reset_races(races: DataFrame, entries: DataFrame, changes: DataFrame, race_i
 
 
 def group_changes_by_track(changes: DataFrame) -> DataFrame:
-    """track_code, changes: an array of each track's changes of a run, in the order they were read."""
-    rest = [c for c in changes.columns if c not in ("track_code", "doc_id", "line_no")]
-    return changes.groupBy("track_code").agg(F.array_sort(F.collect_list(F.struct("doc_id", "line_no", *rest))).alias("changes"))
+    """``changes`` with place: where each stands among its track's changes of a run, in the order they were read (doc_id, line_no)."""
+    placed = numbered(changes, ["track_code", "doc_id", "line_no"])
+    first = placed.groupBy("track_code").agg(F.min("pos").alias("_first"))
+    return placed.join(first.withColumnRenamed("track_code", "_track"), placed.track_code.eqNullSafe(F.col("_track"))).withColumn("place", F.col("pos") - F.col("_first") + 1).drop("pos", "_first", "_track")
 
 
 def ingest_changes(stored: DataFrame, items: DataFrame, races: DataFrame, entries: DataFrame, day: str) -> DataFrame:
