@@ -1,11 +1,13 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to one line per block.  What a page marks as menu, header, footer,
-sidebar, notice, advert, form or comments is stripped with it and leaves empty lines.  A
-line's length is that of its text outside links.  Lengths are summed over a sliding window
-of lines: a run of lines starts where the sum rises from nothing and ends where it dives
-to nothing, and is text if the sum surges inside it.  Only lengths decide; on a page whose
-sums are all low, its highest run is the text.
+Markup is stripped to one line per block.  What the markup itself says is a menu, header, footer,
+sidebar, form or hidden is stripped with it and leaves empty lines.  A line's length is that of its text
+outside links.  Lengths are summed over a sliding window of lines: a run of lines starts where the sum rises
+from nothing and ends where it dives to nothing, and is text if the sum surges inside it; on a page whose sums are
+all low, its highest run is the text.
+
+Names of classes and ids drop nothing.  Blocks that bear a name of notices, adverts, comments and the like are taken out of the lines around them and
+weighed by themselves: their lines count for a part of their length, less outside an article, and they are text where the sum still surges.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from railbird.llm.stage import bound_batches, typed
 
 WINDOW = 3  # lines in a sum
 SURGE = 86  # characters in a window that make a surge
+WEIGHT_INSIDE, WEIGHT_OUTSIDE, WEIGHT_NAMED = 0.75, 0.25, 0.02  # what a character counts in a suspect block: in an article, elsewhere, and where a name says nothing else
 _OPEN = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*+))")
 _QUOTED = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
 _ARTICLE_ROLE = re.compile(r"""role\s*=\s*["']?(?:main|article)""", re.I)
@@ -34,13 +37,13 @@ _BLOCKS = frozenset(
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content isn't text; of the first ones a missing end means the end of the page, of the others that there is no content.
 _RAW_TO_END = frozenset("script style textarea title xmp noembed noframes".split())
-_RAW = _RAW_TO_END | frozenset("noscript template iframe svg math object canvas select option button".split())
+_RAW = _RAW_TO_END | frozenset("noscript template iframe svg object canvas select option button".split())
 _ENDS = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*+>?", re.I | re.A) for t in _RAW}
 #: Stands inside a text as well as beside it: cuts no run.
 _ASIDES = frozenset("aside form dialog".split())
 _BOILERPLATE = frozenset("nav footer aside form menu dialog".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
-#: Parts of class names and ids, between hyphens, underscores and spaces, that mark what isn't text.
+#: Parts of class names and ids, between hyphens, underscores and spaces, that make a block suspect.
 _WORDS = frozenset(
     "ad ads advert adverts advertisement advertisements advertising adsense adsbygoogle banner breadcrumb breadcrumbs comment comments commentlist "
     "consent cookie cookies copyright disclaimer disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices "
@@ -51,40 +54,59 @@ _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 _CLOSES_P = _BLOCKS - {"br", "body", "html", "head"}
 
 
+#: Of these, words that articles have in names of their own.
+_COMMON = frozenset("comment copyright disclaimer header notice notices recommended related replies reply share sharing social widget widgets".split())
+
+
 def _is_boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
+    """Whether markup says that an element isn't text: by its tag, role or being hidden."""
     if tag in _BOILERPLATE or tag == "header" and not in_article:
         return True
     if not attributes or tag in ("html", "body", "article", "main"):
         return False
     for name, *value in _ATTRIBUTE.findall(attributes):
         name, text = name.lower(), "".join(value)
-        if name in ("class", "id"):
-            parts = {p.lower() for p in _SPLIT.split(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", text).lower()) if p}
-            if parts & _WORDS and not (in_article and parts & {"header"} and not parts & (_WORDS - {"header"})):
-                return True
-        elif name == "role" and text.lower() in _ROLES:
+        if name == "role" and text.lower() in _ROLES:
             return True
-        elif name == "hidden" or name == "aria-hidden" and text.lower() == "true":
+        if name == "hidden" or name == "aria-hidden" and text.lower() == "true":
             return True
-        elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", text, re.I):
+        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", text, re.I):
             return True
     return False
 
 
-def lines(page: str) -> list[tuple[str, int]]:
-    """(text, length outside links) per block, in page order; empty lines for what isn't text.
+def _weight(tag: str, attributes: str, in_article: bool) -> float:
+    """What a character inside the element counts, by the names that it bears."""
+    if not attributes or tag in ("html", "body", "article", "main"):
+        return 1
+    known = _WORDS - ({"header"} if in_article else set())
+    out = 1.0
+    for name, *value in _ATTRIBUTE.findall(attributes):
+        if name.lower() not in ("class", "id"):
+            continue
+        for token in "".join(value).split():
+            parts = {p for p in _SPLIT.split(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", token).lower()) if p}
+            if parts and parts <= known and parts - _COMMON:
+                return WEIGHT_NAMED
+            if parts & known:
+                out = WEIGHT_INSIDE if in_article else WEIGHT_OUTSIDE
+    return out
+
+
+def lines(page: str) -> list[tuple[str, int, int]]:
+    """(text, weighed length outside links, suspect block or 0) per block, in page order; empty lines for what isn't text.
 
     A line of links alone is 0 long, inside an article 1.  Each character is visited a
     bounded number of times, whatever the markup: once a quote in a tag has no end, tags end
     at the next ``>``; a tag without any takes the rest of the page, as in browsers.
     """
-    out: list[tuple[str, int]] = []
+    out: list[tuple[str, int, int]] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, boilerplate, article
+    stack: list[tuple[str, bool, bool, bool]] = []  # tag, boilerplate, article, suspect
     open_ = Counter()
     endless: set[str] = set()
-    dropping = articles = links = plain = 0
-    quotes_end = True
+    dropping = articles = links = plain = suspects = block = 0
+    quotes_end, weight = True, 1.0
 
     def text(a: int, b: int) -> None:
         nonlocal plain
@@ -99,20 +121,20 @@ def lines(page: str) -> list[tuple[str, int]]:
         if parts:
             t = " ".join("".join(parts).split())
             if t:
-                out.append((t, plain or int(articles > 0)))
+                out.append((t, int(plain * weight) if suspects else plain or int(articles > 0), block if suspects else 0))
             parts.clear()
         plain = 0
 
     def gap(tag: str) -> None:
         flush()
         if not (tag in _ASIDES or articles):
-            out.extend([("", 0)] * WINDOW)
+            out.extend([("", 0, block if suspects else 0)] * WINDOW)
         elif out and out[-1][0]:
-            out.append(("", 0))
+            out.append(("", 0, block if suspects else 0))
 
     def pop() -> None:
-        nonlocal dropping, articles, links
-        tag, bad, article = stack.pop()
+        nonlocal dropping, articles, links, suspects
+        tag, bad, article, suspect = stack.pop()
         open_[tag] -= 1
         if tag in _BLOCKS:
             flush()
@@ -121,6 +143,11 @@ def lines(page: str) -> list[tuple[str, int]]:
             dropping -= 1
             if not dropping:
                 gap(tag)
+        if suspect:
+            flush()
+            suspects -= 1
+            if not suspects and not dropping:
+                gap(tag)
         links -= tag == "a"
 
     at, last = 0, page.rfind(">")
@@ -169,7 +196,14 @@ def lines(page: str) -> list[tuple[str, int]]:
         bad = _is_boilerplate(tag, attributes, articles > 0)
         if bad and not dropping:
             gap(tag)
-        stack.append((tag, bad, article))
+        own = 1 if bad or dropping else _weight(tag, attributes, articles > 0)
+        if own < 1:
+            if not suspects:
+                gap(tag)
+                block, weight = block + 1, own
+            flush()
+            suspects += 1
+        stack.append((tag, bad, article, own < 1))
         open_[tag] += 1
         dropping += bad
         articles += article
@@ -179,13 +213,13 @@ def lines(page: str) -> list[tuple[str, int]]:
     return out
 
 
-def text_runs(lengths: list[int], window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
-    """[first, end) of the runs of lines that are text: from a rise to a dive, with a surge between."""
+def text_runs(lengths: list[int], window: int = WINDOW, surge: int = SURGE, highest: bool = True) -> list[tuple[int, int]]:
+    """[first, end) of the runs of lines that are text: from a rise to a dive, with a surge between; with ``highest`` the highest sum is a surge in any case."""
     sums, total = [0] * len(lengths), 0
     for i in range(len(lengths) - 1, -1, -1):
         total += lengths[i] - (lengths[i + window] if i + window < len(lengths) else 0)
         sums[i] = total
-    least = min(surge, max(sums, default=0))
+    least = min(surge, max(sums, default=0)) if highest else surge
     runs, i = [], 0
     while i < len(sums):
         j = i
@@ -206,9 +240,16 @@ def text_runs(lengths: list[int], window: int = WINDOW, surge: int = SURGE) -> l
 
 
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
-    """The blocks between surges and dives, in page order, joined by a space."""
+    """The blocks between surges and dives, in page order, joined by a space; suspect blocks by their own sums."""
     found = lines(page or "")
-    return " ".join(t for a, b in text_runs([n for _, n in found], window, surge) for t, _ in found[a:b] if t)
+    blocks: dict[int, list[int]] = {0: []}
+    for i, (_, _, block) in enumerate(found):
+        blocks.setdefault(block, []).append(i)
+    kept = []
+    for block, at in blocks.items():
+        for a, b in text_runs([found[i][1] for i in at], window, surge, highest=block == 0):
+            kept += at[a:b]
+    return " ".join(found[i][0] for i in sorted(kept) if found[i][0])
 
 
 def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

@@ -192,6 +192,19 @@ def test_html_surges_and_dives():
     assert html.main_text(menu + story + note) == " ".join(f"Sentence number {k} tells of things that happened." for k in range(9))
 
 
+def test_html_sums_decide_on_suspect_blocks(spark, sf):
+    story, own = "story words that fill a line of the article " * 4, "thirty words or so of the article in a block of its own " * 3
+    for name in ("related-work", "share-price", "social-policy", "notice", "comment", "reply", "widget"):
+        page = f"<article><p>{story}</p><div class='{name}'><p>{own}</p></div><p>End.</p></article>"
+        assert html.main_text(page).split() == f"{story} {own} End.".split(), name
+        assert html.main_text(page.replace(own, "two words")).split() == f"{story} End.".split(), name
+    for name in ("ad", "cookie-notice", "sidebar", "comments"):
+        assert html.main_text(f"<div class='{name}'>{own}</div><article><p>{story}</p><div id={name}>{own}</div></article>").split() == story.split()
+    assert html.main_text(f"<article><p>{story} <math><mi>x</mi></math></p></article>").split() == f"{story} x".split()
+    pages = [r.html for r in spark.read.parquet(f"{sf}/pages.parquet").select("html").collect()]
+    assert sum(html.main_text(p, surge=0) != html.main_text(p) for p in pages) > len(pages) // 10
+
+
 def test_html_positions_after_scripts():
     story = ["İ" * 40 + " start", "first words here " * 5, "second words here " * 5]
     for tag in ("script", "STYLE", "Svg"):
