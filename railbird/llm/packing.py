@@ -49,6 +49,11 @@ class _Chunks(dict):
         return out
 
 
+def contents(path: str) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()
+
+
 class Encoder:
     """Byte-level BPE of a ``tokenizers`` file whose pre-tokens never reach over the space before a visible character.
 
@@ -59,13 +64,13 @@ class Encoder:
     without ``special`` they are ordinary text (its ``encode_special_tokens``).
     """
 
-    def __init__(self, path: str, special: bool = True):
+    def __init__(self, source: str | bytes, special: bool = True):
+        """``source``: the file's place, or what is in it."""
         import json
 
         import tiktoken
 
-        with open(path, encoding="utf-8") as f:
-            file = json.load(f)
+        file = json.loads(source if isinstance(source, bytes) else contents(source))
         model = file["model"]
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(plain)]
@@ -109,8 +114,10 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
+    sent = docs.sparkSession.sparkContext.broadcast(contents(tokenizer_path))  # the file is on the driver's machine
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end, deal = Encoder(tokenizer_path, special), struct.pack("<I", END), TaskContext.get().partitionId() << 36
+        encode, end, deal = Encoder(sent.value, special), struct.pack("<I", END), TaskContext.get().partitionId() << 36
         for b in batches:
             at, rows = [], []
             for i, t in enumerate(b.column(1)):

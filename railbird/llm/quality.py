@@ -100,12 +100,14 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """(weights, rate of positives) by head, from at most ``sample_rows`` labels, chosen by a hash of their ids.
+    """(weights, rate of positives) by head, from at most ``sample_rows`` labels, chosen by a hash of their ids, with one text each (of several under one id that of the least digest).
 
     Words are weighed by counts made in Spark; only those that tell something come to the driver, by row.
     """
     chosen = labels.select(F.col(id_col).alias("id"), *(F.col(h).cast("int").alias(h) for h in HEADS)).dropna().orderBy(F.xxhash64("id"), "id", *HEADS).limit(sample_rows)
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")  # at most sample_rows rows
+    told = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")
+    # One text for each label, however many rows have its id: at most sample_rows.
+    sample = told.groupBy("id", *HEADS).agg(F.min_by("text", F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("text")).select("id", "text", *HEADS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = _Slots()

@@ -9,6 +9,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,7 +65,15 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-_written: list[str] = []
+_tables: ContextVar[list[str] | None] = ContextVar("tables", default=None)
+
+
+def _made() -> list[str]:
+    """Places of the tables that this call, or this thread, has written."""
+    made = _tables.get()
+    if made is None:
+        _tables.set(made := [])
+    return made
 
 
 def materialize(df: DataFrame, label: str, compression: str = "zstd", level: int = 3, group_bytes: int = 128 << 20) -> DataFrame:
@@ -70,19 +81,26 @@ def materialize(df: DataFrame, label: str, compression: str = "zstd", level: int
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).option("parquet.compression.codec.zstd.level", level).option("parquet.block.size", group_bytes).parquet(path)
-    _written.append(path)
+    _made().append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear_tables(spark: SparkSession, since: int, kept: DataFrame) -> None:
-    """Removes the tables that ``materialize`` wrote from the ``since``-th on, but for ``kept``'s; nothing may read them any more."""
-    stay = [p for p in _written[since:] if any(p.rsplit("/", 1)[1] in f for f in kept.inputFiles())]
-    for path in _written[since:]:
-        if path not in stay:
-            place = spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-    _written[since:] = stay
+@contextmanager
+def only_last_stays(spark: SparkSession) -> Iterator[None]:
+    """Of the tables that ``materialize`` writes inside, all but the last one are removed at the end; nothing may read them after that.  Tables of other calls and threads are left alone."""
+    own: list[str] = []
+    outer = _made()
+    token = _tables.set(own)
+    try:
+        yield
+    finally:
+        _tables.reset(token)
+    for path in own[:-1]:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    outer += own[-1:]
 
 
 def tables_written() -> int:
-    return len(_written)
+    """Tables of this thread that stay."""
+    return len(_made())

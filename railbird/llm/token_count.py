@@ -9,6 +9,7 @@ the numbers; no piece is ever built.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -91,6 +92,12 @@ def sentencepiece_vocabulary(path: str) -> list[str]:
     return [p.id_to_piece(i) for i in range(p.get_piece_size()) if not (p.is_control(i) or p.is_unknown(i) or p.is_byte(i) or p.is_unused(i))]
 
 
+@lru_cache(1)
+def automaton(vocabulary: tuple[str, ...]) -> Automaton:
+    """Made once for the tasks that one worker runs."""
+    return Automaton(list(vocabulary))
+
+
 def count_tokens(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_chars (code points), n_words, n_tokens.
 
@@ -101,9 +108,10 @@ def count_tokens(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
     """
     bound_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
+    sent = docs.sparkSession.sparkContext.broadcast(tuple(sentencepiece_vocabulary(vocabulary_path)))  # the file is on the driver's machine
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths = _Lengths(Automaton(sentencepiece_vocabulary(vocabulary_path)))
+        lengths = _Lengths(automaton(sent.value))
         for b in batches:
             chars, words, tokens = [], [], []
             for t in b.column(1):

@@ -84,3 +84,33 @@ def test_run_leaves_only_its_own_tables(spark, sf):
     before = stage.tables_written()
     assert corpus_pipeline.run(spark, sf).count() > 0
     assert stage.tables_written() == before + len(corpus_pipeline.STAGES)
+
+
+def test_two_calls_at_once_keep_their_own_tables(spark):
+    from threading import Barrier, Thread
+
+    from railbird.llm import stage
+
+    meet, left, counts = Barrier(2), {}, {}
+
+    def call(k):
+        with stage.only_last_stays(spark):
+            one = stage.materialize(spark.range(10 + k), f"one{k}")
+            meet.wait(120)
+            left[k] = stage.materialize(one.where("id > 3"), f"two{k}")
+            meet.wait(120)
+        counts[k] = stage.tables_written()
+
+    threads = [Thread(target=call, args=(k,)) for k in (0, 1)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert {k: df.count() for k, df in left.items()} == {0: 6, 1: 7} and counts == {0: 1, 1: 1}
+
+
+def test_training_takes_one_text_for_each_label(spark):
+    from railbird.llm import quality
+
+    texts = [(1, "good words of prose"), (2, "bad junk here")] * 30 + [(1, f"good words of prose {k}") for k in range(200)] + [(3, None), (3, "")]
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (3, 0, 0)], "doc_id long, quality int, toxic int")
+    weights, rates = quality.train(spark.createDataFrame(texts, "doc_id long, text string"), labels)
+    assert abs(rates[0] - 1 / 3) < 1e-9 and abs(rates[1] - 1 / 3) < 1e-9
