@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from railbird.llm import decontam, packing, pii, quality, simhash
 from railbird.llm.queries import tokenizer
 from railbird.llm.similar import SIMILARITY
-from railbird.llm.stage import clear_tables, find_package, materialize, tables_written
+from railbird.llm.stage import find_package, materialize, only_last_stays
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,8 +70,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     find_package(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        before = tables_written()
-        kept = materialize(stage(spark, docs, sf_dir), name)
-        clear_tables(spark, before, kept)  # what the stage wrote on its way
-        docs = kept
+        with only_last_stays(spark):  # what the stage wrote on its way goes
+            docs = materialize(stage(spark, docs, sf_dir), name)
     return docs
