@@ -69,11 +69,10 @@ def fill_if_missing(r):
     return tables.fill_if_missing(old, old.select("race_id", F.lit("13:00:00").alias("post_time")), "race_id", "post_time")
 
 
-@query("v_changes", sql="SELECT count(*) FILTER (WHERE program_number IS NOT NULL) AS good, count(*) FILTER (WHERE program_number IS NULL) AS bad FROM v_changes")
+@query("v_changes", sql="SELECT change_id, race_id, program_number, description, program_number IS NOT NULL AS good FROM v_changes")
 def insert_with_quarantine(r):
-    good, bad = tables.quarantine(r.changes, F.col("program_number") != "0")
-    both = good.select(F.lit(1).alias("good"), F.lit(0).alias("bad")).union(bad.select(F.lit(0), F.lit(1)))
-    return both.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    good, bad = tables.quarantine(r.changes.select("change_id", "race_id", "program_number", "description"), F.col("program_number") != "0")
+    return good.withColumn("good", F.lit(True)).union(bad.withColumn("good", F.lit(False)))
 
 
 @query("v_tracks", sql="SELECT track_code, track_name FROM v_tracks UNION ALL SELECT 'WO', 'Woodbine'")
@@ -225,11 +224,11 @@ def valid_cancellation(r):
     return r.changes.select("change_id", ch.valid_cancellation(F.col("description")).alias("ok"))
 
 
-@query("v_changes", sql="SELECT count(*) FILTER (WHERE coalesce(trim(program_number), '0') NOT IN ('', '0')) AS good, count(*) FILTER (WHERE coalesce(trim(program_number), '0') IN ('', '0')) AS bad FROM v_changes")
+@query("v_changes", sql="SELECT change_id, program_number, coalesce(trim(program_number), '0') NOT IN ('', '0') AS good FROM (SELECT change_id, CASE change_id % 5 WHEN 0 THEN ' 0 ' WHEN 1 THEN ' ' ELSE program_number END AS program_number FROM v_changes)")
 def valid_program_number(r):
-    good, bad = filters.valid_programs(r.changes)
-    both = good.select(F.lit(1).alias("good"), F.lit(0).alias("bad")).union(bad.select(F.lit(0), F.lit(1)))
-    return both.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    told = F.when(F.col("change_id") % 5 == 0, " 0 ").when(F.col("change_id") % 5 == 1, " ").otherwise(F.col("program_number"))
+    good, bad = filters.valid_programs(r.changes.select("change_id", told.alias("program_number")))
+    return good.withColumn("good", F.lit(True)).union(bad.withColumn("good", F.lit(False)))
 
 
 @query(sql="""
@@ -609,15 +608,15 @@ def union_days(r):
     return sets.union_days(r.races, AS_OF_DATE, 1, 31).select("race_id")
 
 
-@query(*_FEED_VIEWS, sql=_FEED_SQL + "SELECT source_rank, count(*) AS n FROM f GROUP BY 1")
+@query(*_FEED_VIEWS, sql=_FEED_SQL + "SELECT change_id, race_id, entry_id, program_number, change_type, description, change_time, source_rank FROM f")
 def union_change_sources(r):
-    return sets.union_change_sources(r.changes, joins.anti_detailed_scratch(r.entries, r.changes)).groupBy("source_rank").agg(F.count("*").alias("n"))
+    return sets.union_change_sources(r.changes, joins.anti_detailed_scratch(r.entries, r.changes))
 
 
-@query("v_crawl_events", sql="SELECT source, count(*) AS n FROM v_crawl_events WHERE source IN ('rss', 'direct') GROUP BY 1")
+@query("v_crawl_events", sql="SELECT event_id, feed, kind, seen_at, source FROM v_crawl_events")
 def union_feeds(r):
-    parts = {s: r.crawl_events.where(F.col("source") == s).drop("source") for s in ("rss", "direct")}
-    return sets.union_feeds(**parts).groupBy("source").agg(F.count("*").alias("n"))
+    parts = {s: r.crawl_events.where(F.col("source") == s).drop("source") for s in ("rss", "direct", "mobile", "index")}
+    return sets.union_feeds(**parts).select("event_id", "feed", "kind", "seen_at", "source")
 
 
 # --- scalar functions ------------------------------------------------------------------------

@@ -16,7 +16,7 @@ from railbird.plans.catalog import _BET_VIEWS, _FEED_SQL, _FEED_VIEWS, _SETTLE_S
 from railbird.sources import tables
 from railbird.sources.views import AS_OF_DATE, AS_OF_TS, EVENTS_AS_OF
 from railbird.streaming import changes as late
-from railbird.streaming import health
+from railbird.streaming import health, ingest
 
 # --- kinds of bets ---------------------------------------------------------------------------
 
@@ -527,6 +527,42 @@ def group_changes_by_track(r):
     return late.group_changes_by_track(rows)
 
 
+@query("v_changes", "v_races", "v_entries", sql=r"""
+  , c AS (SELECT c.*, r.race_date, coalesce(c.program_number, '') AS pgm, regexp_extract(c.description, 'changed to\s+(\d{1,2}:\d{2}\s*(?:AM|PM)?)', 1) AS t FROM v_changes c JOIN v_races r ON r.race_id = c.race_id WHERE c.description <> ''),
+  m AS (SELECT *, CASE WHEN lower(description) LIKE '%scratched%' THEN 'Scratch' WHEN lower(description) LIKE '%jockey%' THEN 'Jockey Change'
+      WHEN lower(description) LIKE '%cancel%' AND NOT regexp_matches(lower(description), 'wagering|simulcast|pool|turf racing|superfecta|trifecta|exacta|daily double|pick|quinella|win|place|show|omnibus') THEN 'Race Cancelled'
+      WHEN lower(description) LIKE '%post time%' THEN 'Post Time Change' WHEN lower(description) LIKE '%cancel%' AND lower(description) LIKE '%wagering%' THEN 'Wagering' ELSE 'Other' END AS kind FROM c),
+  k AS (SELECT *, CASE WHEN kind IN ('Scratch', 'Jockey Change') THEN entry_id END AS entry FROM m WHERE kind NOT IN ('Scratch', 'Jockey Change') OR entry_id IS NOT NULL),
+  w AS (SELECT race_id, max(change_id) FILTER (WHERE kind = 'Post Time Change') AS late, max(change_id) FILTER (WHERE kind = 'Race Cancelled') AS off, min(change_id) FILTER (WHERE kind = 'Post Time Change') AS first_late,
+      max_by(upper(t), change_id) FILTER (WHERE kind = 'Post Time Change' AND t <> '') AS new_time, max_by('Weather', change_id) FILTER (WHERE kind = 'Race Cancelled') AS why FROM k GROUP BY 1),
+  ran AS (SELECT DISTINCT race_id FROM v_entries WHERE finish_position IN (1, 2, 3))
+  SELECT 'change' AS what, race_id AS id, entry AS entry_id, kind AS state, CAST(NULL AS VARCHAR) AS post_time, CAST(NULL AS VARCHAR) AS reason FROM k GROUP BY race_id, entry, kind
+  UNION ALL SELECT 'scratched', e.entry_id, NULL, NULL, NULL, NULL FROM v_entries e WHERE scratched OR entry_id IN (SELECT entry FROM k WHERE kind = 'Scratch')
+  UNION ALL SELECT 'race', r.race_id, NULL, CASE WHEN off IS NOT NULL AND ran.race_id IS NULL AND (race_status <> 'completed' OR off > first_late) AND (late IS NULL OR off > late) THEN 'cancelled' WHEN late IS NOT NULL THEN 'delayed' ELSE race_status END,
+      coalesce(new_time, post_time), coalesce(why, cancellation_reason)
+  FROM v_races r LEFT JOIN w ON w.race_id = r.race_id LEFT JOIN ran ON ran.race_id = r.race_id""")
+def stream_ingest(r):
+    """Feed items of all days, as a stream of two batches into a store: its changes, races and scratched entries afterwards."""
+    spark, root = r.spark, tables.scratch_dir(r.spark)
+    days = r.races.select("race_id", "race_date")
+    ingest.create_store(f"{root}/store", r.races, r.entries.join(days, "race_id").join(r.horses, "horse_id"))
+    c = r.changes.join(r.races.select("race_id", "race_date", "track_code", "race_number"), "race_id").where("description <> ''")
+    horse = F.when(F.col("program_number").isNotNull(), F.concat(F.lit("<b># "), "program_number", F.lit(" No Such Name</b> "))).otherwise("")
+    said = F.concat(F.lit("Race "), F.col("race_number").cast("string"), F.lit(": "), horse, "description")
+    items = c.select(F.col("change_id").alias("doc_id"), "track_code", said.alias("description"), F.lit(None).cast("string").alias("published"), "race_date")
+    low, high = items.agg(F.min("doc_id"), F.max("doc_id")).first()
+    step = (high - low) // 2 + 1
+    for k in range(2):  # in the order of their numbers
+        items.where(F.col("doc_id").between(low + k * step, low + (k + 1) * step - 1)).coalesce(1).write.mode("append").parquet(f"{root}/landed")
+    stream = spark.readStream.schema(items.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/landed")
+    ingest.stream_ingest(stream, f"{root}/store", f"{root}/checkpoint", {"availableNow": True}).awaitTermination()
+    none = lambda n: F.lit(None).cast("string").alias(n)
+    changes = ingest.read_store(spark, f"{root}/store", "changes").select(F.lit("change").alias("what"), F.col("race_id").alias("id"), "entry_id", F.col("change_type").alias("state"), none("post_time"), none("reason"))
+    gone = ingest.read_store(spark, f"{root}/store", "entries").where("scratched").select(F.lit("scratched"), "entry_id", F.lit(None).cast("long"), none("a"), none("b"), none("c"))
+    races = ingest.read_store(spark, f"{root}/store", "races").select(F.lit("race"), "race_id", F.lit(None).cast("long"), "race_status", "post_time", "cancellation_reason")
+    return changes.union(gone).union(races)
+
+
 @query("v_races", sql="""
   , n AS (SELECT race_id, purse, row_number() OVER (ORDER BY race_date DESC, race_id) AS pos, count(*) OVER () AS total FROM v_races)
   SELECT race_id, purse, pos, total FROM n WHERE pos <= 40 OR pos BETWEEN 361 AND 400 OR pos > (total - 1) // 40 * 40""")

@@ -109,7 +109,8 @@ def apply_items(items: DataFrame, changes: DataFrame, entries: DataFrame, races:
 
 
 def _write_days(df: DataFrame, folder: str, table: str, version: int) -> None:
-    df.withColumn("v", F.lit(version)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("race_date", "v").parquet(f"{folder}/{table}")
+    # A file for each day, which is what one day of racing is.
+    df.withColumn("v", F.lit(version)).repartition("race_date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("race_date", "v").parquet(f"{folder}/{table}")
 
 
 def _last_commit(spark: SparkSession, folder: str) -> tuple[int, str, int]:
@@ -147,10 +148,15 @@ def read_store(spark: SparkSession, folder: str, table: str, days: Iterable | No
 
 def _sweep(spark: SparkSession, folder: str, days: Iterable, version: int) -> None:
     """Removes all but the last two versions of the days: readers may still be at the one before."""
+    touched = {str(d) for d in days}
     for table in TABLES:
-        for day in days:
-            versions = sorted(int(p.rsplit("=", 1)[1]) for p in subfolders(spark, f"{folder}/{table}/race_date={day}/v=*"))
-            for v in versions[:-2]:
+        versions: dict[str, list[int]] = {}
+        for path in subfolders(spark, f"{folder}/{table}/race_date=*/v=*"):
+            day, v = path.rsplit("/race_date=", 1)[1].split("/v=")
+            if day in touched:
+                versions.setdefault(day, []).append(int(v))
+        for day, known in versions.items():
+            for v in sorted(known)[:-2]:
                 remove(spark, f"{folder}/{table}/race_date={day}/v={v}")
     remove(spark, f"{folder}/commits/v={version - 2}")
 
