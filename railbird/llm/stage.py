@@ -76,11 +76,12 @@ def _made() -> list[str]:
     return made
 
 
-def materialize(df: DataFrame, label: str, compression: str = "zstd", level: int = 3, group_bytes: int = 128 << 20) -> DataFrame:
-    """Writes ``df`` as Parquet in the shared folder and reads it back; row groups of about ``group_bytes`` bound what a reader holds."""
+def materialize(df: DataFrame, label: str, compression: str = "zstd", level: int = 3, group_bytes: int = 128 << 20, page_bytes: int = 1 << 20) -> DataFrame:
+    """Writes ``df`` as Parquet in the shared folder and reads it back; row groups of about ``group_bytes`` bound what a reader holds, pages of ``page_bytes`` are compressed at once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).option("parquet.compression.codec.zstd.level", level).option("parquet.block.size", group_bytes).parquet(path)
+    options = {"compression": compression, "parquet.compression.codec.zstd.level": level, "parquet.block.size": group_bytes, "parquet.page.size": page_bytes}
+    df.write.options(**options).parquet(path)
     _made().append(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -598,6 +598,23 @@ def test_media_roundtrip(mixed):
     assert {r.codec for r in pcm} <= set(media.FORMATS) and all(len(r.pcm) >= 128 for r in pcm)
 
 
+def test_packed_pcm_comes_back_as_it_was():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    telephone = media.resample(media.mulaw_table()[rng.integers(0, 256, 640)])
+    steps = media.resample(media.decode_adpcm(rng.bytes(64 * 40)))
+    extremes = np.array([32767, -32768] * 300 + list(range(-200, 200)), np.int16)
+    for pcm in (telephone, steps, extremes, rng.integers(-(1 << 15), 1 << 15, 999).astype(np.int16), np.zeros(7, np.int16), np.array([], np.int16)):
+        back = media.unpack_pcm(*media.pack_pcm(pcm))
+        assert back.dtype == np.int16 and np.array_equal(back, pcm)
+    size = lambda pcm: [len(x) for x in media.pack_pcm(pcm)][1:]
+    assert size(telephone) == [640, 0] and size(steps) == [0, len(steps)]
+    broken = telephone.copy()
+    broken[301] += 1  # no mean of its neighbours: nothing may be left out
+    assert np.array_equal(media.unpack_pcm(*media.pack_pcm(broken)), broken)
+
+
 def brute_licenses(text):
     """Containment alone: in some stretch of three times a template's length, from any of its multiples on."""
     split = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
