@@ -31,7 +31,7 @@ def dedupe_changes(feed: DataFrame) -> DataFrame:
 def merge_descriptions(changes: DataFrame, most: int = 500) -> DataFrame:
     """race_id, entry_id, change_type, description: texts of a change in order.  A reason beats
     'Reason Unavailable'; a text that is already said adds nothing; long ones end in dots."""
-    lists = changes.groupBy("race_id", "entry_id", "change_type").agg(F.array_sort(F.collect_list(F.struct("seq", F.coalesce("description", F.lit("")).alias("text")))).alias("all"))
+    lists = changes.groupBy("race_id", "entry_id", "change_type").agg(F.sort_array(F.collect_list(F.struct("seq", F.coalesce("description", F.lit("")).alias("text")))).alias("all"))
 
     def add(now: Column, item: Column) -> Column:
         new = item["text"]

@@ -19,3 +19,10 @@ def test_names_of_many_horses_are_not_broadcast(spark):
     got = joins.lookup_horse(asked, horses)
     assert "Broadcast" not in plan(got)
     assert {r.request: (r.outcome, r.matches) for r in got.collect()} == {"red fox": ("ambiguous", 300), "Fox": ("ambiguous", 600), "e": ("ambiguous", 600), "": ("ambiguous", 600), "owl": ("not_found", 0)}
+
+
+def test_feed_lines_of_races_beyond_99(spark):
+    races = spark.createDataFrame([(1, 7), (2, 450)], "race_id int, race_number int").withColumn("track_code", F.lit("T01"))
+    told = spark.createDataFrame([(1, 1, None, None, "Scratch Reason changed"), (2, 2, None, None, "Scratch Reason changed")], "change_id int, race_id int, entry_id int, program_number string, description string")
+    r = SimpleNamespace(races=races, changes=told, entries=spark.createDataFrame([], "entry_id int, horse_id int"), horses=spark.createDataFrame([], "horse_id int, horse_name string"))
+    assert sorted((x.doc_id, x.race_number) for x in catalog.extract_rss_changes(r).collect()) == [(1, 7), (2, 450)]
