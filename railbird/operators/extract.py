@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from railbird.functions import changes, names, racing, times
 from railbird.operators.forms import (  # noqa: F401  forms are read by their own module
-    assemble_form_races, detect_form_entry_pages, detect_form_race_pages, extract_embedded_horses, extract_form_entry_details, extract_form_header, extract_form_horses, extract_form_race, trim_index_page,
+    _staged, assemble_form_races, detect_form_entry_pages, detect_form_race_pages, extract_embedded_horses, extract_form_entry_details, extract_form_header, extract_form_horses, extract_form_race, trim_index_page,
 )
 from railbird.operators.markup import attribute, elements, first_of, has_class, inside, joined, nearest, of_class, of_tag, plain, table_rows, text_at, text_lines, tokens
 
@@ -26,11 +26,6 @@ def _first(text: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(F.coalesce(text, F.lit("")), pattern, group), F.lit(""))
 
 
-def _staged(df: DataFrame, **columns: Column) -> DataFrame:
-    """Adds columns that later expressions read and don't repeat: a generator keeps projections apart."""
-    return df.select("*", F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))).alias("_s")).select("*", "_s.*").drop("_s")
-
-
 # How a feed's line goes on after a horse.
 AFTER_HORSE = ("Scratched", "Scratch Reason", "Jockey", "Weight", "First Start", "Gelding", "Correction", "Equipment", "Workouts")
 

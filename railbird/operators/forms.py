@@ -7,6 +7,8 @@ its horse) comes from running counts within the page, which of them a page's rac
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,10 +40,12 @@ def _closed(text: Column) -> Column:
 
 
 def _says(text: Column, parts: tuple[str, ...]) -> Column:
-    out = F.lit(False)
-    for p in parts:
-        out = out | text.contains(p)
-    return out
+    return text.rlike("|".join(map(re.escape, parts)))
+
+
+def _staged(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that later expressions read and don't repeat: a generator keeps projections apart."""
+    return df.select("*", F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))).alias("_s")).select("*", "_s.*").drop("_s")
 
 
 def extract_form_header(pages: DataFrame) -> DataFrame:
@@ -81,26 +85,29 @@ def trim_index_page(text: Column, track_name: Column) -> Column:
 
 def detect_form_race_pages(pages: DataFrame) -> DataFrame:
     """Adds race_number and header_line: a number alone in the first six lines, with a track in the three lines below it and no life record or sire."""
-    rows = F.split(F.coalesce("text", F.lit("")), "\n")
-    n = F.size(rows)
-    near = lambda i: F.upper(F.array_join(F.slice(rows, i + 2, 3), " "))
-    fits = lambda i: F.trim(F.get(rows, i)).rlike(r"^\d+$") & _says(near(i), TRACK_WORDS) & ~_says(near(i), ("LIFE", "SIRE:"))
-    at = F.get(F.filter(F.sequence(F.lit(0), F.least(F.lit(5), n - 3)), fits), F.lit(0))
-    found = pages.withColumn("header_line", F.when(n >= 4, at))
-    return found.withColumn("race_number", F.expr("try_cast(trim(get(split(coalesce(text, ''), '\\n'), header_line)) AS int)"))
+    # Ten lines and the rest: a header reads nothing below its ninth line.
+    cut = _staged(pages, _rows=F.split(F.coalesce("text", F.lit("")), "\n", 11))
+    at, n = F.sequence(F.lit(0), F.least(F.lit(5), F.size("_rows") - 3)), F.size("_rows")
+    near = lambda i: F.upper(F.array_join(F.slice("_rows", i + 2, 3), " "))
+    told = _staged(cut, _near=F.when(n >= 4, F.transform(at, lambda i: F.struct(i.alias("i"), F.trim(F.get("_rows", i)).alias("number"), near(i).alias("near")))))
+    fits = lambda x: x["number"].rlike(r"^\d+$") & _says(x["near"], TRACK_WORDS) & ~_says(x["near"], ("LIFE", "SIRE:"))
+    found = _staged(told, _head=F.get(F.filter("_near", fits), F.lit(0)))
+    return found.select(*pages.columns, F.col("_head.i").alias("header_line"), F.expr("try_cast(_head.number AS int)").alias("race_number"))
 
 
 def extract_form_race(pages: DataFrame) -> DataFrame:
     """Race header pages -> distance, feet, surface, race type, purse, post time, conditions."""
-    t, up = F.col("text"), F.upper("text")
+    pages = _staged(detect_form_race_pages(pages).where("race_number IS NOT NULL"), _up=F.upper("text"))
+    pages = _staged(pages, _long=_first(F.col("_up"), r"(\d+[\sÔô]*(?:FURLONG|MILE|YARD)S?)"))
+    t, up = F.col("text"), F.col("_up")
     rows = F.transform(F.slice(F.split("text", "\n"), 5, 6), lambda l: F.trim(l))
     told = F.filter(rows, lambda l: l.rlike("^(For|Weight|Fillies|ClaimingPrice)") | l.contains("Year") | l.contains("Upward"))
     kind = F.when(F.lit(False), F.lit(""))
     for k in RACE_TYPES:
         kind = kind.when(up.contains(k), k.title())
-    distance = racing.parse_distance(_first(up, r"(\d+[\sÔô]*(?:FURLONG|MILE|YARD)S?)"))
+    distance = racing.parse_distance(F.col("_long"))
     purse = _first(t, r"Purse\$?([\d,]+)")
-    return detect_form_race_pages(pages).where("race_number IS NOT NULL").select(
+    return pages.select(
         "doc_id", "page_no", "race_number", distance["label"].alias("distance"), distance["feet"].alias("distance_feet"),
         F.when(up.contains("TURF"), "Turf").when(_says(up, ("TAPETA", "SYNTHETIC")), "Synthetic").otherwise("Dirt").alias("surface"), kind.alias("race_type"),
         F.concat(F.lit("$"), purse).alias("purse"), _first(t, POST_TIME).alias("post_time"), F.nullif(F.array_join(told, " "), F.lit("")).alias("conditions"),

@@ -225,14 +225,18 @@ def _form_track() -> Column:
 def _form_pages(r) -> DataFrame:
     """(doc_id, page_no, text): a form per card.  Race 1 stands below the index; races have a header page with their odd
     entries, then a page with their even ones."""
-    e = _card(r, "distance", "surface", "race_type", "purse")
-    first = F.concat(F.upper(F.substring("horse_name", 1, 1)), F.substring("horse_name", 2, 100))
+    e = r.entries
+    named = r.horses.select("horse_id", F.concat(F.upper(F.substring("horse_name", 1, 1)), F.substring("horse_name", 2, 100)).alias("first"))
+    e, first = e.join(named, "horse_id"), F.col("first")
     row = F.concat(F.col("program_number"), F.lit("\n"), F.when(F.col("entry_id") % 3 == 0, _cat(first, " of one line\nLife 4 M 1 0\n")).otherwise(_cat(first, " B.g.4 (Feb) Life 4\nSire: Some One\n")))
     later = F.concat(F.col("program_number"), F.lit("\n"), first, F.lit(" b.f.3 Life 2 1\nhard held\n"))
     odd = F.col("entry_id") % 2 == 1
     track = _form_track()
-    texts = lambda c, text: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("entry_id", text.alias("text"))))), lambda x: x["text"]), "")
-    races = e.groupBy("doc_id", "race_date", "track_code", "race_id", "race_number", "distance", "surface", "race_type", "purse").agg(texts(odd, row).alias("own"), texts(~odd, later).alias("rest"))
+    # What a page says of its race is joined to its entries' lines once they are together.
+    texts = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(c, F.struct("entry_id", "text")))), lambda x: x["text"]), "")
+    said = e.select("race_id", "entry_id", F.when(odd, row).otherwise(later).alias("text"))
+    held = said.groupBy("race_id").agg(texts(odd).alias("own"), texts(~odd).alias("rest"))
+    races = held.join(r.races.select("race_id", "race_date", "track_code", "race_number", "distance", "surface", "race_type", "purse"), "race_id").withColumn("doc_id", _cat("{track_code}", "-", "{race_date}"))
     head = F.concat(_cat("{race_number}", "\n", track, "\n", "{race_type}", "\n", F.initcap("distance"), " (", F.when(F.col("surface") == "Synthetic", "Tapeta").otherwise(F.col("surface")), "). Purse", "{purse}", "\nFor Three Years Old, ", "{race_id}", "\nPosttime:1:20ET Wagers\n"), F.col("own"))
     cover = F.when(F.col("race_number") == 1, F.concat(F.lit("Daily Form "), track, F.lit("("), F.date_format("race_date", "M/d/yyyy"), F.lit(")\nINDEXTOENTRIES\n>A> Some One,1\n12\nSaratoga runner Life 2\n"))).otherwise("")
     pages = F.array(F.struct((F.col("race_number") * 2).alias("page_no"), F.concat(cover, head).alias("text")), F.struct((F.col("race_number") * 2 + 1).alias("page_no"), F.concat(F.lit("Daily Form page\n"), F.col("rest")).alias("text")))

@@ -26,3 +26,10 @@ def test_feed_lines_of_races_beyond_99(spark):
     told = spark.createDataFrame([(1, 1, None, None, "Scratch Reason changed"), (2, 2, None, None, "Scratch Reason changed")], "change_id int, race_id int, entry_id int, program_number string, description string")
     r = SimpleNamespace(races=races, changes=told, entries=spark.createDataFrame([], "entry_id int, horse_id int"), horses=spark.createDataFrame([], "horse_id int, horse_name string"))
     assert sorted((x.doc_id, x.race_number) for x in catalog.extract_rss_changes(r).collect()) == [(1, 7), (2, 450)]
+
+
+def test_a_form_page_is_cut_once(spark):
+    pages = spark.createDataFrame([(1, 1, "Form\n3\nMdSpWt\nWoodbine\nx"), (1, 2, "1\nx"), (1, 3, None)], "doc_id int, page_no int, text string")
+    found = forms.detect_form_race_pages(pages.withColumn("text", F.trim("text")))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("split(") <= 2
+    assert sorted((r.page_no, r.race_number, r.header_line) for r in found.collect()) == [(1, 3, 1), (2, None, None), (3, None, None)]
