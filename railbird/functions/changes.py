@@ -109,9 +109,9 @@ def normalize_change_description(text: Column) -> Column:
     """Parts between semicolons once each, without a trailing '- Y' or '- N'."""
     clean = F.regexp_replace(squeeze(F.coalesce(text, F.lit(""))), r"\s*-\s+", " - ")
     parts = F.transform(F.split(clean, ";"), lambda p: F.trim(F.regexp_replace(F.trim(p), r"(?i)\s+-\s+[YN]$", "")))
-    kept = F.filter(parts, lambda p: p != "")
-    first = F.filter(kept, lambda p, i: ~F.exists(F.slice(kept, 1, i), lambda q: F.lower(q) == F.lower(p)))
-    return F.array_join(first, "; ")
+    # An array of one binds the parts, which are worked out once and not for each of them.
+    first = lambda kept: F.filter(kept, lambda p, i: ~F.exists(F.slice(kept, 1, i), lambda q: F.lower(q) == F.lower(p)))
+    return F.array_join(F.get(F.transform(F.array(F.filter(parts, lambda p: p != "")), first), F.lit(0)), "; ")
 
 
 def extract_new_post_time(text: Column) -> Column:

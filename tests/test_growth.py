@@ -33,3 +33,7 @@ def test_a_form_page_is_cut_once(spark):
     found = forms.detect_form_race_pages(pages.withColumn("text", F.trim("text")))
     assert found._jdf.queryExecution().optimizedPlan().toString().count("split(") <= 2
     assert sorted((r.page_no, r.race_number, r.header_line) for r in found.collect()) == [(1, 3, 1), (2, None, None), (3, None, None)]
+
+
+def test_a_description_is_cut_once():
+    assert str(changes.normalize_change_description(F.col("x"))).count("split(") == 1
