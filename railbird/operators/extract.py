@@ -164,7 +164,7 @@ def extract_chart_races(pages: DataFrame) -> DataFrame:
 
     header = F.col("text").rlike(r"(?i)race\s*\d+") & F.col("text").rlike(r"(?i)(race|charts?)\b.*\d{4}|- race \d+")
     seg = page_segments(pages, header).where("segment > 0")
-    return seg.groupBy("doc_id", "segment").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "text"))), lambda p: p["text"]), "\n").alias("text"))
+    return seg.groupBy("doc_id", "segment").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_no", "text"))), lambda p: p["text"]), "\n").alias("text"))
 
 
 def extract_chart_metadata(races: DataFrame) -> DataFrame:
@@ -297,7 +297,7 @@ def extract_claims(races: DataFrame) -> DataFrame:
     at = lines(races.select("doc_id", "segment", section.alias("text")), keys=("doc_id", "segment")).where("trim(line) <> ''")
     order = Window.partitionBy("doc_id", "segment").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     whole = at.withColumn("row", F.sum(F.col("line").contains("New Trainer:").cast("int")).over(order)).where("row > 0").groupBy("doc_id", "segment", "row").agg(
-        names.squeeze(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), " ")).alias("line")
+        names.squeeze(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), " ")).alias("line")
     )
     prices = races.select("doc_id", "segment", F.explode(F.regexp_extract_all("text", F.lit(r"\$?\d[\d,]*\.?\d*\s+claim(?:ed|ing price)[^\n]*|Claiming Price[^\n]*"), F.lit(0))).alias("p"))
     price = prices.groupBy("doc_id", "segment").agg(F.max(F.regexp_replace(_first(F.col("p"), r"(\$?\d[\d,]*)"), r"[$,]", "").cast("decimal(12,2)")).alias("claim_price"))
@@ -332,7 +332,7 @@ def extract_entry_tables(pages: DataFrame) -> DataFrame:
     rows = table_rows(pages)
     heads = F.transform(of_tag(F.col("cells"), "th"), lambda c: plain(c["text"]))
     table = Window.partitionBy("doc_id", "table_no")
-    all_heads = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("row_no", heads.alias("heads"))).over(table)), lambda x: x["heads"]))
+    all_heads = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("row_no", heads.alias("heads"))).over(table)), lambda x: x["heads"]))
     rows = rows.withColumn("heads", all_heads)
     speaks = lambda h: F.exists(F.array(*map(F.lit, ENTRY_HEADERS)), lambda k: F.lower(h).contains(k))
     cards = rows.where(F.size(F.filter("heads", speaks)) >= 2)
@@ -355,11 +355,13 @@ def extract_static_entries(pages: DataFrame) -> DataFrame:
     A block's ``contenders`` have a ``row`` per horse: its saddlecloth, its name in the link of an h4, labelled links to jockey and trainer, odds.  SCR in
     the number scratches.  A block without contenders may have a table instead: saddlecloths, links by kind, odds in a cell.
     """
-    tag, classes, ident = F.col("tag"), attribute(F.col("raw"), "class"), attribute(F.col("raw"), "id")
-    is_div, href = tag == "div", attribute(F.col("raw"), "href")
+    told = lambda tag, name: F.when(F.col("is_open") & (F.col("tag") == tag), attribute(F.col("raw"), name))
+    cut = _staged(tokens(pages), _class=told("div", "class"), _id=told("div", "id"), _href=told("a", "href"))
+    tag, classes, ident, href = F.col("tag"), F.col("_class"), F.col("_id"), F.col("_href")
+    is_div = tag == "div"
     kinds = {"horse": "type=Horse", "rider": "searchType=J", "coach": "searchType=T"}
     at = inside(
-        nearest(elements(tokens(pages)), "div"),
+        nearest(elements(cut), "div"),
         race=is_div & ident.rlike(r"^Race\d+$"), info=is_div & classes.contains("race-info"), h3=tag == "h3", h5=tag == "h5", contenders=is_div & has_class(classes, "contenders"),
         row=is_div & has_class(classes, "row"), saddle=is_div & classes.contains("saddlecloth"), h4=tag == "h4", link=tag == "a",
         tr=tag == "tr", td=tag == "td", cloth=is_div & classes.contains("paddingSaddleCloths"), **{f"{k}_link": (tag == "a") & href.contains(v) for k, v in kinds.items()},
@@ -367,9 +369,9 @@ def extract_static_entries(pages: DataFrame) -> DataFrame:
     pos, said = F.col("pos"), F.col("said")
     at = at.withColumn("race_no", F.col("race.start"))
     blocks = at.groupBy("doc_id", "race_no").agg(
-        F.min(F.regexp_extract(attribute(F.col("race.raw"), "id"), r"(\d+)", 1).cast("int")).alias("race_number"), F.max(F.col("contenders").isNotNull()).alias("has_rows"),
+        F.max(F.when(pos == F.col("race.start"), F.regexp_extract("_id", r"(\d+)", 1).cast("int"))).alias("race_number"), F.max(F.col("contenders").isNotNull()).alias("has_rows"),
         first_of(said, F.when(F.col("info").isNotNull(), F.col("h3")), pos).alias("race_type"),
-        F.array_sort(F.collect_list(F.when(F.col("info").isNotNull() & F.col("h5").isNotNull() & tag.isNull(), F.struct("pos", plain(said).alias("said"))))).alias("told"),
+        F.sort_array(F.collect_list(F.when(F.col("info").isNotNull() & F.col("h5").isNotNull() & tag.isNull(), F.struct("pos", plain(said).alias("said"))))).alias("told"),
     )
     parts = F.filter(F.transform(F.flatten(F.transform("told", lambda x: F.split(x["said"], r"\|"))), lambda t: F.trim(t)), lambda t: (t != "") & (t != "."))
     timed = lambda t: t.contains("PM") | t.contains("AM")

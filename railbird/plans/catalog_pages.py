@@ -6,7 +6,7 @@ columns that say nothing, tables inside tables, broken lines and pages of anothe
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from railbird.operators import extract, forms
@@ -29,11 +29,24 @@ _CARD = "SELECT e.*, r.track_code, r.race_date, cast(r.race_number as int) AS ra
 _PLAIN = "lower(regexp_replace(horse_name, '[^A-Za-z0-9]', '', 'g'))"
 
 
+RACES_OF_PAGE = 50
+
+
+def _paged(cards: DataFrame, number: str = "race_number") -> DataFrame:
+    """A card goes on on another page after some races, as cards of any length do: the place of the page after the card's id."""
+    return cards.withColumn("doc_id", _cat("{doc_id}", "/", F.floor((F.col(number) - 1) / RACES_OF_PAGE).cast("string")))
+
+
+def _unpaged() -> Column:
+    return F.split_part("doc_id", F.lit("/"), F.lit(1)).alias("doc_id")
+
+
 def _races_of(cards: DataFrame, row: Column, head: Column, tail: Column, by: str = "") -> DataFrame:
-    """(doc_id, track_code, race_date, body): a card's races in order, each ``head``, its entries' ``row`` and ``tail``."""
-    races = cards.groupBy("doc_id", "track_code", "race_date", "race_id", "race_number", "is_cancelled").agg(F.array_sort(F.collect_list(F.struct("entry_id", row.alias("row")))).alias("rows"))
+    """(doc_id, track_code, race_date, body): a page's races in order, each ``head``, its entries' ``row`` and ``tail``."""
+    cards = cards.select("doc_id", "track_code", "race_date", "race_id", "race_number", "is_cancelled", "entry_id", row.alias("row"))
+    races = cards.groupBy("doc_id", "track_code", "race_date", "race_id", "race_number", "is_cancelled").agg(F.sort_array(F.collect_list(F.struct("entry_id", "row"))).alias("rows"))
     told = races.withColumn("text", F.concat(head, F.array_join(F.transform("rows", lambda x: x["row"]), by), tail))
-    every = F.array_sort(F.collect_list(F.struct("race_number", "text")))
+    every = F.sort_array(F.collect_list(F.struct("race_number", "text")))
     return told.groupBy("doc_id", "track_code", "race_date").agg(F.array_join(F.transform(every, lambda x: x["text"]), by).alias("body"))
 
 
@@ -61,8 +74,8 @@ def extract_html_changes(r):
     tail = F.when(F.col("is_cancelled") & even, '<tr><td colspan="2">Race Cancelled - Weather</td><td></td></tr>'.replace("<td></td>", "")).otherwise("<tr><td>Exacta Wagering Cancelled</td></tr>")
     own = F.when(F.month("race_date") == 3, F.date_add("race_date", 1)).otherwise(F.col("race_date"))
     html = F.concat(F.lit("<h3>Late notes of "), F.date_format(own, "MMM d, yyyy"), F.lit("</h3><table><tr><td>menu</td><td><table>"), F.col("body"), F.lit('</table></td></tr></table><table><tr><th class="race">Race: 99</th></tr></table>'))
-    pages = _races_of(_card(r), row, head, tail).select("doc_id", "track_code", "race_date", html.alias("html"))
-    return extract.extract_html_changes(pages, F.col("race_date")).select("doc_id", "race_number", "program_number", "horse_name", "change_type", "description")
+    pages = _races_of(_paged(_card(r)), row, head, tail).select("doc_id", "track_code", "race_date", html.alias("html"))
+    return extract.extract_html_changes(pages, F.col("race_date")).select(_unpaged(), "race_number", "program_number", "horse_name", "change_type", "description")
 
 
 @query("v_entries", "v_races", "v_horses", sql=f"""
@@ -75,8 +88,8 @@ def extract_mobile_changes(r):
     head = _cat('<table width="100%" bgcolor="#008000"><tr><td><font color="#ffffff"><b>Race ', "{race_number}", "</b></font></td></tr></table>")
     tail = _cat("<p><ChangeDescWeb>Rail set at ", "{race_number}", " ft.</ChangeDescWeb></p><p>Reported at Entry Time</p>")
     html = F.concat(F.lit("<div>TODAY'S SCRATCHES AND CHANGES</div>"), F.col("body"))
-    pages = _races_of(_card(r), row, head, tail).select("doc_id", "track_code", html.alias("html"))
-    return extract.extract_mobile_changes(pages).select("doc_id", "race_number", "program_number", "horse_name", "change_type", "description")
+    pages = _races_of(_paged(_card(r)), row, head, tail).select("doc_id", "track_code", html.alias("html"))
+    return extract.extract_mobile_changes(pages).select(_unpaged(), "race_number", "program_number", "horse_name", "change_type", "description")
 
 
 @query("v_entries", "v_races", "v_horses", sql=f"""
@@ -85,16 +98,17 @@ def extract_mobile_changes(r):
   UNION ALL SELECT day, track, race_no, program_number, horse_name, 'Other', 'Reason - Vet ' || entry_id % 7 FROM k WHERE entry_id % 2 = 0
   UNION ALL SELECT DISTINCT day, track, race_no, NULL, NULL, 'Other', 'Course condition ' || race_no FROM k""")
 def extract_otb_changes(r):
-    """A page per day with all its tracks; a horse's reason is a row of its own, a note before any horse is nobody's; pages of March bear another date."""
+    """Pages of a day with all its tracks; a horse's reason is a row of its own, a note before any horse is nobody's; pages of March bear another date."""
     reason = F.when(F.col("entry_id") % 2 == 0, F.concat(F.lit("<tr><td>&nbsp;</td><td>Reason - Vet "), (F.col("entry_id") % 7).cast("string"), F.lit("</td><td>10:02</td></tr>"))).otherwise("")
     row = F.concat(_cat("<tr><td>#", "{program_number}", "</td><td>", "{horse_name}", "</td><td>Scratched</td><td>10:01</td></tr>"), reason)
     head = _cat("<tr><td colspan=4>Course ", "{track_code}", " : Changes : Race ", "{race_number}", "</td></tr><tr><td></td><td>Course condition ", "{race_number}", "</td><td>9:00</td></tr>")
-    cards = _races_of(_card(r).where("scratched"), row, head, F.lit("<tr><td>short</td><td>row</td></tr>"))
-    days = _joined(cards, "race_date", ["track_code"], F.col("body"), "")
+    cards = _races_of(_paged(_card(r).where("scratched")), row, head, F.lit("<tr><td>short</td><td>row</td></tr>"))
+    page = F.split_part("doc_id", F.lit("/"), F.lit(2)).alias("page")
+    days = _joined(cards.select("race_date", page, "track_code", "body"), ["race_date", "page"], ["track_code"], F.col("body"), "")
     own = F.date_format(F.when(F.month("race_date") == 3, F.date_add("race_date", 1)).otherwise(F.col("race_date")), "MM/dd/yyyy")
     html = F.concat(F.lit("<table><tr><td>menu</td></tr></table><table><tr><td colspan=4>Race Date: "), own, F.lit("</td></tr>"), F.col("text"), F.lit("</table>"))
-    pages = days.select(F.col("race_date").cast("string").alias("doc_id"), "race_date", html.alias("html"))
-    return extract.extract_otb_changes(pages, F.col("race_date")).select("doc_id", "track_name", "race_number", "program_number", "horse_name", "change_type", "description")
+    pages = days.select(_cat("{race_date}", "/", "{page}").alias("doc_id"), "race_date", html.alias("html"))
+    return extract.extract_otb_changes(pages, F.col("race_date")).select(_unpaged(), "track_name", "race_number", "program_number", "horse_name", "change_type", "description")
 
 
 @query("v_entries", "v_races", "v_horses", "v_jockeys", sql=f"""
@@ -109,8 +123,10 @@ def extract_entry_tables(r):
     row = F.concat(F.lit("<tr>"), number, F.lit('<td data-label="Horse / Sire">'), name, F.lit("</td><td>"), people, F.lit("</td><td>"), (e % 30 + 1).cast("string"), F.lit("/1</td></tr>"))
     picks = "<table><tr><th>Power Picks</th><th>Horse</th></tr><tr><td>1</td><td>No Card</td></tr></table>"
     head = F.lit(picks + "<div>Post time: 1:10 PM</div><table><tr><th>#</th><th>PP</th><th>Horse</th><th>Trainer / Jockey</th><th>ML</th></tr>")
-    pages = _races_of(_card(r).join(r.jockeys, "jockey_id"), row, head, F.lit("</table>")).select("doc_id", F.col("body").alias("html"))
-    return extract.extract_entry_tables(pages).select("doc_id", "race_number", "program_number", "horse_name", "trainer_name", "jockey_name", "odds")
+    cards = _card(r).join(r.jockeys, "jockey_id").withColumn("turn", F.dense_rank().over(Window.partitionBy("doc_id").orderBy("race_number")))
+    pages = _races_of(_paged(cards, "turn"), row, head, F.lit("</table>")).select("doc_id", F.col("body").alias("html"))
+    before = F.split_part("doc_id", F.lit("/"), F.lit(2)).cast("int") * RACES_OF_PAGE
+    return extract.extract_entry_tables(pages).select(_unpaged(), (before + F.col("race_number")).alias("race_number"), "program_number", "horse_name", "trainer_name", "jockey_name", "odds")
 
 
 @query("v_entries", "v_races", "v_horses", "v_jockeys", sql=f"""
@@ -136,11 +152,11 @@ def extract_static_entries(r):
         F.coalesce(F.concat(F.substring("post_time", 1, 5), F.lit(" PM ET | ")), F.lit("")), F.col("distance"), F.lit(" | . | "), F.when(F.col("race_number") % 3 == 0, "3yo").otherwise(F.col("surface")), F.lit(" | "), F.col("purse")
     ).alias("told"))
     info = told.select("race_id", _cat('<div class="race-info"><h3>', "{race_type}", "</h3><h5>", "{told}", "</h5></div>").alias("info"))
-    e = _card(r).join(r.jockeys, "jockey_id").join(info, "race_id")
-    races = e.groupBy("doc_id", "race_id", "race_number", "info").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("entry_id", F.when(listed, line).otherwise(row).alias("row")))), lambda x: x["row"]), "").alias("rows"))
+    e = _paged(_card(r)).join(r.jockeys, "jockey_id").select("doc_id", "race_id", "race_number", "entry_id", F.when(listed, line).otherwise(row).alias("row"))
+    races = e.groupBy("doc_id", "race_id", "race_number").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("entry_id", "row"))), lambda x: x["row"]), "").alias("rows")).join(info, "race_id")
     body = F.when(listed, F.concat(F.lit('<table class="saddlecloths">'), F.col("rows"), F.lit("</table>"))).otherwise(F.concat(F.lit('<div class="content"><div class="contenders">'), F.col("rows"), F.lit("</div></div>")))
     pages = _joined(races, "doc_id", ["race_number"], F.concat(_cat('<div id="Race', "{race_number}", '" class="race">', "{info}"), body, F.lit("</div>")), "").withColumnRenamed("text", "html")
-    return extract.extract_static_entries(pages).drop("line_no")
+    return extract.extract_static_entries(pages).drop("line_no").withColumn("doc_id", F.split_part("doc_id", F.lit("/"), F.lit(1)))
 
 
 @query("v_races", sql="""

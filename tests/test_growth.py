@@ -28,6 +28,13 @@ def test_feed_lines_of_races_beyond_99(spark):
     assert sorted((x.doc_id, x.race_number) for x in catalog.extract_rss_changes(r).collect()) == [(1, 7), (2, 450)]
 
 
+def test_tags_are_not_shuffled_and_carry_no_list_of_signs(spark):
+    page = "<table><tr><td>menu</td></tr></table><table>" + "<tr><td>Changes</td></tr>" * 50 + "</table><table><tr><td>Changes</td></tr></table>"
+    rows = markup.table_rows(spark.createDataFrame([(1, page)], "doc_id int, html string"), marked="Changes")
+    assert plan(rows).count("Exchange") == 1 and "_signs" not in plan(rows)
+    assert rows.count() == 50
+
+
 def test_a_form_page_is_cut_once(spark):
     pages = spark.createDataFrame([(1, 1, "Form\n3\nMdSpWt\nWoodbine\nx"), (1, 2, "1\nx"), (1, 3, None)], "doc_id int, page_no int, text string")
     found = forms.detect_form_race_pages(pages.withColumn("text", F.trim("text")))
