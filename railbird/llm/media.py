@@ -117,7 +117,7 @@ def resample(pcm: np.ndarray, rate: int = RATE, to: int = OUT_RATE) -> np.ndarra
 
 
 def pack_pcm(pcm: np.ndarray) -> tuple[bytes, bytes, bytes]:
-    """(head, places, differences) of 16-bit samples, without what follows from the others; any samples come back from ``unpack_pcm`` as they were.
+    """(head, places, differences) of 16-bit samples, for archives of one's own (``roundtrip`` stores whole samples): without what follows from the others; any samples come back from ``unpack_pcm`` as they were.
 
     Every second sample goes where it is the mean of its neighbours, as ``resample`` makes it.
     What stays are places in the head's list of values if these are 256 at most (mu-law and
@@ -227,7 +227,7 @@ def decode_media(media: DataFrame, column: str = "media") -> DataFrame:
 
 
 def roundtrip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Stores every text's bytes as telephony audio, reads the files back, stores their resampled PCM (packed without loss) and reads that back too.
+    """Stores every text's bytes as telephony audio, reads the files back, stores their whole resampled PCM (16-bit samples at 16 kHz) and reads that back too.
 
     Per row: id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes,
     media_sha256, feature.  The first ones are of the files as read, the feature of the PCM as
@@ -236,28 +236,27 @@ def roundtrip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     can clash.  An empty table gives an empty result.
     """
     stored = materialize(encode_texts(docs, id_col, text_col), "media", level=LEVEL, group_bytes=GROUP_BYTES, page_bytes=PAGE_BYTES)
-    packed = ["pcm_head", "pcm_places", "pcm_differences"]
     digests = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"]
     before = f"{typed(stored, 'id')}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "n_bytes", *digests, "codec", *packed]
+        names = ["id", "n_bytes", *digests, "codec", "pcm"]
         for b in batches:
             for first, files in _portions(b.column(2)):
                 part = b.slice(first, len(files))
                 read = [read_wav(m) for m in files]
                 rows = []
                 for media, (codec, rate, data), samples in zip(files, read, decode_all([(codec, data) for codec, _, data in read]), strict=True):
-                    pcm = pack_pcm(resample(samples, rate))
-                    rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), codec, *pcm))
-                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), *[pa.binary()] * 3)
+                    pcm = resample(samples, rate).astype("<i2").tobytes()
+                    rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), codec, pcm))
+                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names)
 
-    decoded = materialize(stored.mapInArrow(digest, f"{before}, codec string, {', '.join(f'{c} binary' for c in packed)}"), "pcm", level=LEVEL, group_bytes=GROUP_BYTES, page_bytes=PAGE_BYTES)
+    decoded = materialize(stored.mapInArrow(digest, f"{before}, codec string, pcm binary"), "pcm", level=LEVEL, group_bytes=GROUP_BYTES, page_bytes=PAGE_BYTES)
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [feature(codec.as_py(), unpack_pcm(*(x.as_py() for x in pcm))) for codec, *pcm in zip(*b.columns[7:], strict=True)]
+            made = [feature(codec.as_py(), np.frombuffer(pcm.as_buffer(), "<i2")) for codec, pcm in zip(*b.columns[7:], strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[:7], pa.array(made, pa.string())], ["id", "n_bytes", *digests, "feature"])
 
     return decoded.mapInArrow(featured, f"{before}, feature string").withColumnRenamed("id", id_col)

@@ -826,3 +826,17 @@ def test_sql_twins(spark, sf, name):
     df = queries.queries()[name](spark, sf)
     assert sorted(df.columns) == sorted(twin.columns)
     assert rows_of(df, *twin.columns) == sorted(map(tuple, twin.fetchall()), key=str)
+
+
+def test_stored_pcm_is_whole(spark, monkeypatch):
+    stored = {}
+
+    def kept(df, label, **options):
+        stored[label] = df
+        return df
+
+    monkeypatch.setattr(media, "materialize", kept)
+    docs = spark.createDataFrame([(i, "some words " * i) for i in range(9)], "doc_id int, text string")
+    media.roundtrip(docs).collect()
+    want = {r.id: bytes(r.pcm) for r in media.decode_media(media.encode_texts(docs)).collect()}
+    assert {r.id: bytes(r.pcm) for r in stored["pcm"].collect()} == want
