@@ -44,3 +44,21 @@ def test_a_form_page_is_cut_once(spark):
 
 def test_a_description_is_cut_once():
     assert str(changes.normalize_change_description(F.col("x"))).count("split(") == 1
+
+
+def test_table_rows_come_from_one_pass_over_a_page(spark):
+    """Unclosed and nested elements, closings without openings, signs outside of tables, references and comments; no window over tags."""
+    page = "Changes</td><table><tr><td>menu</table><a href=x><TABLE><tr><th CLASS='race big'>R&amp;1<!--</th>--><td/>&#9679;&#55296;<td><h4>A <b>B</b></h4> c</tr></table></a><table><tr><td>x<th class=\"changes\"></table><strong>"
+    pages = spark.createDataFrame([(1, page), (2, None), (3, "<td>Changes")], "doc_id int, html string")
+    rows = markup.table_rows(pages)
+    assert "Window" not in plan(rows)
+    told = lambda df: [[(c["tag"], c["classes"], markup_plain(c["text"]), c["named"]) for c in r.cells] for r in df.orderBy("doc_id", "row_no").collect()]
+    want = [[("td", "", "menu", None)], [("th", "race big", "R&1\u25cf?A B c", "R&1\u25cf?A B c"), ("td", "", "A B c", "A B")], [("td", "", "x", None), ("th", "changes", "", None)]]
+    got = told(rows)
+    assert got[0] == want[0] and got[2] == want[2] and got[1][0][:2] == want[1][0][:2] and got[1][1] == want[1][1]
+    assert told(markup.table_rows(pages, th_class="changes")) == [[("td", "", "x", None), ("th", "changes", "", None)]]
+    assert told(markup.table_rows(pages, marked="&1"))[0][1] == want[1][1]
+
+
+def markup_plain(text):
+    return " ".join(text.split())
