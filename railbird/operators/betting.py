@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,8 @@ from railbird.sources.tables import written
 
 SINGLE = ("Win", "Place", "Show", "Win Place", "Place Show", "WPS", "Win Place Show")
 BOXES = ("Exacta Box", "Trifecta Box")
+GROUPS_OF_BATCH = 10_000
+NOTHING = np.zeros(1, np.int64)  # of a function without bets, which leaves all funds
 
 
 def parse_selection(bets: DataFrame) -> DataFrame:
@@ -75,7 +78,8 @@ def validate_bets(bets: DataFrame, races: DataFrame, funds: int = 1000) -> DataF
     order give the funds that each hour starts with, and each hour decides its bets from there.  So a wallet with many bets is many tasks.
     """
     known = races.select("race_id").distinct().withColumn("_race", F.lit(True))
-    b = bet_cost(bets).join(known, "race_id", "left")
+    costed = bet_cost(bets)
+    b = costed.join(known, "race_id", "left")
     reason = F.when(F.col("race_id").isNull() | F.col("bet_type").isNull(), "missing_fields").when(F.col("_race").isNull(), "race_not_found")
     hour = F.floor(F.unix_timestamp(F.col("created_at").cast("timestamp")) / 3600)
     asked = written(b.select("wallet_id", hour.alias("hour"), "bet_id", "created_at", F.coalesce((F.col("bet_cost") * 100).cast("long"), F.lit(0)).alias("cents"), reason.alias("reason")))
@@ -84,9 +88,11 @@ def validate_bets(bets: DataFrame, races: DataFrame, funds: int = 1000) -> DataF
 
     def functions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, starts, left = None, None, None
+        done: list[tuple] = []
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array([held[0]], wallet), pa.array([held[1]], pa.int64()), pa.array([starts[starts <= most]], pa.list_(pa.int64())), pa.array([left[starts <= most]], pa.list_(pa.int64()))], ["wallet_id", "hour", "starts", "left"])
+            columns = zip(zip(*done, strict=True), (wallet, pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())), strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in columns], ["wallet_id", "hour", "starts", "left"])
 
         wallet = None
         for batch in batches:
@@ -94,27 +100,31 @@ def validate_bets(bets: DataFrame, races: DataFrame, funds: int = 1000) -> DataF
             for new, key, a, z, columns in _in_groups(iter([batch]), 2):
                 if key != held:
                     if held is not None:
-                        yield out()
-                    held, starts, left = key, np.zeros(1, np.int64), np.zeros(1, np.int64)
+                        done.append((*held, starts[starts <= most], left[starts <= most]))
+                    held, starts, left = key, NOTHING, NOTHING
                 for cents in columns[2][a:z]:
                     if 0 < cents <= most:
-                        starts, left = _spend(starts, left, cents)
+                        # Of an hour's first bet: less than its cost stays, and more leaves the rest.
+                        starts, left = (np.array([0, cents]), np.zeros(2, np.int64)) if starts is left is NOTHING else _spend(starts, left, cents)
                     elif cents < 0:
                         left = left - cents
+                if len(done) >= GROUPS_OF_BATCH:
+                    yield out()
+                    done = []
         if held is not None:
+            done.append((*held, starts[starts <= most], left[starts <= most]))
             yield out()
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, left = object(), 0
         for batch in batches:
             first = []
-            for w, starts, after in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
+            for w, s, v in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
                 if w != now:
                     now, left = w, most
                 first.append(left)
-                s, v = starts.values.to_numpy(), after.values.to_numpy()
-                i = int(np.searchsorted(s, left, "right")) - 1
-                left = int(v[i] + left - s[i])
+                i = bisect_right(s, left) - 1
+                left = v[i] + left - s[i]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(first, pa.int64())], ["wallet_id", "hour", "funds"])
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +148,7 @@ def validate_bets(bets: DataFrame, races: DataFrame, funds: int = 1000) -> DataF
     with_funds = asked.join(s, asked.wallet_id.eqNullSafe(s["_wallet"]) & asked.hour.eqNullSafe(s["_hour"]), "left")
     dealt = with_funds.repartition("wallet_id", "hour").sortWithinPartitions(*order).select("wallet_id", "hour", "cents", "reason", F.coalesce("funds", F.lit(0)).alias("funds"), "bet_id")
     decided = dealt.mapInArrow(decide, f"bet_id {kind['bet_id']}, reject_reason string")
-    return b.drop("_race").join(decided, "bet_id")
+    return costed.select("race_id", *(c for c in costed.columns if c != "race_id")).join(decided, "bet_id")
 
 
 def _runners(entries: DataFrame) -> DataFrame:
