@@ -28,12 +28,11 @@ def _ranged(df: DataFrame, order: list, rows_per_range: int) -> DataFrame:
     """All rows with part and pos, from 1, in a total order: as many ranges as the rows need are sorted apart, and each counts on from those before it."""
     kept = written(df)
     ranges = max(1, -(-kept.count() // rows_per_range))
-    # Written: the ranges come from samples, which differ when they are worked out again.
-    dealt = written(kept.repartitionByRange(ranges, *order).withColumn("_part", F.spark_partition_id()))
-    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    # Written: the ranges come from samples, which differ when they are worked out again.  Rows are numbered as their range is sorted: the low 33 bits are the place in it.
+    dealt = written(kept.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_own": F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1))}))
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
     before = dealt.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_before"))
-    return dealt.withColumn("_own", own).join(before, "_part").withColumn("pos", (F.col("_before") + F.col("_own")).cast("long")).drop("_own", "_before")
+    return dealt.join(F.broadcast(before), "_part").withColumn("pos", (F.col("_before") + F.col("_own") + 1).cast("long")).drop("_own", "_before")
 
 
 def numbered(df: DataFrame, order: list, rows_per_range: int = RANGE_ROWS) -> DataFrame:
@@ -51,7 +50,9 @@ def write_pages(df: DataFrame, order: list, path: str, rows_per_range: int = RAN
     ranged = _ranged(df, order, rows_per_range).withColumnRenamed("_part", "part")
     ranged.repartition("part").sortWithinPartitions("part", "pos").write.mode("overwrite").partitionBy("part").parquet(f"{path}/rows")
     ranged.drop("part").limit(0).write.mode("overwrite").parquet(f"{path}/schema")
-    ranged.groupBy("part").agg(F.min("pos").alias("first"), F.count("*").alias("rows")).coalesce(1).write.mode("overwrite").parquet(f"{path}/fences")
+    # Of the rows as written: one task that works the ranges out again would sort all of them.
+    rows = df.sparkSession.read.schema("pos long, part int").parquet(f"{path}/rows")
+    rows.groupBy("part").agg(F.min("pos").alias("first"), F.count("*").alias("rows")).repartition(1).write.mode("overwrite").parquet(f"{path}/fences")
 
 
 def read_page(spark: SparkSession, path: str, page: int, limit: int) -> tuple[DataFrame, int, int, bool]:
