@@ -1,12 +1,13 @@
 """What must not grow faster than its input: broadcasts, lists in windows, texts worked out again; and numbers beyond two digits."""
 
+import tempfile
 from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
 from railbird.functions import changes
-from railbird.operators import forms, joins, markup
-from railbird.plans import catalog
+from railbird.operators import betting, forms, joins, markup, ordering
+from railbird.plans import catalog, products
 
 
 def plan(df):
@@ -62,3 +63,36 @@ def test_table_rows_come_from_one_pass_over_a_page(spark):
 
 def markup_plain(text):
     return " ".join(text.split())
+
+
+def test_bets_look_their_race_up_once(spark):
+    bets = spark.createDataFrame([(i, i % 3, 1, "Win", 30, i) for i in range(6)], "bet_id int, race_id int, wallet_id int, bet_type string, bet_amount int, t int").selectExpr("*", "cast(t as timestamp) created_at", "cast(null as string) selection")
+    got = betting.validate_bets(bets, spark.createDataFrame([(1,), (2,)], "race_id int"), 70)
+    assert plan(got).count("Join") == 2  # funds, and the decisions
+    assert {r.bet_id: r.reject_reason for r in got.collect()} == {0: "race_not_found", 1: None, 2: None, 3: "race_not_found", 4: "insufficient_funds", 5: "insufficient_funds"}
+
+
+def test_changes_without_an_entry_are_not_all_of_one_key(spark):
+    changes = spark.range(400).selectExpr("id change_id", "1 race_id", "if(id < 4, id, null) entry_id", "cast(null as string) program_number", "'Other' change_type", "'x' description", "timestamp '2024-01-01' created_at")
+    entries = spark.createDataFrame([(i, 1, str(i), i, i == 9) for i in range(10)], "entry_id long, race_id int, program_number string, horse_id int, scratched boolean")
+    races = spark.createDataFrame([(1, "k", "T01", 3, "12:00:00")], "race_id int, race_key string, track_code string, race_number int, post_time string").withColumn("race_date", F.lit("2024-01-01").cast("date"))
+    r = SimpleNamespace(changes=changes, entries=entries, races=races, horses=spark.createDataFrame([(i, f"h{i}") for i in range(9)], "horse_id int, horse_name string"), tracks=spark.createDataFrame([("T01", "T")], "track_code string, track_name string"))
+    feed = products._feed(r, races)
+    assert "hashpartitioning(entry_id#" not in plan(feed).split("LeftOuter")[0] and "_deal" in plan(feed)
+    got = {x.change_id: (x.program_number, x.horse_name) for x in feed.where("source_rank = 0").collect()}
+    assert len(got) == 400 and got[3] == ("3", "h3") and got[4] == ("-", "Race-wide")
+    assert [(x.program_number, x.horse_name) for x in feed.where("source_rank = 1").collect()] == [("9", "Race-wide")]
+
+
+def test_no_task_sorts_all_rows_for_the_fences(spark):
+    store, path = spark.sparkContext._jsc.sc().statusStore(), tempfile.mkdtemp(prefix="spark-")
+    stages = lambda: spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None))
+    before = {s.stageId() for s in stages()}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ordering.write_pages(spark.range(5000).select("id", F.pmod(F.xxhash64("id"), F.lit(100)).alias("k")), ["k", "id"], path, 1000)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert not [s.stageId() for s in stages() if s.stageId() not in before and s.numTasks() == 1 and s.shuffleReadRecords() > 1000]
+    got = [r.id for r in ordering.read_page(spark, path, 3, 700)[0].collect()]
+    assert got == [r.id for r in spark.read.parquet(f"{path}/rows").orderBy("k", "id").offset(1400).limit(700).collect()]
