@@ -218,14 +218,17 @@ def extract_table_horses(cells: DataFrame) -> DataFrame:
     whose first row has as many cells, give or take one, without repeated headers.  Rows of less than three cells,
     scratched ones and labels are no runners; places count runners, nameless ones too.
     """
-    from railbird.operators.dedupe import finish_by_order, first_by
-
-    shape = cells.groupBy("doc_id", "table_no").agg(F.count("*").alias("n"), F.min_by(F.size("cells"), "row_no").alias("width"), F.min("row_no").alias("head"))
-    largest = first_by(shape, ["doc_id"], [F.desc("n"), "table_no"]).where("n >= 2").select("doc_id", F.col("table_no").alias("first"), F.col("width").alias("wide"))
-    taken = shape.join(largest, "doc_id").where("table_no = first OR abs(width - wide) <= 1").select("doc_id", "table_no", "head", (F.col("table_no") != F.col("first")).alias("later"))
+    from railbird.operators.dedupe import finish_by_order
+
+    # All windows are within a document, so that cells are shuffled once and not joined with what is known of their tables.
+    document = Window.partitionBy("doc_id")
+    table = document.orderBy("table_no").rangeBetween(Window.currentRow, Window.currentRow)
+    shaped = cells.where("doc_id IS NOT NULL AND table_no IS NOT NULL").withColumns({"_n": F.count("*").over(table), "_width": F.min_by(F.size("cells"), "row_no").over(table), "_head": F.min("row_no").over(table)})
+    largest = F.min(F.struct((-F.col("_n")).alias("n"), F.col("table_no").alias("no"), F.col("_width").alias("width"))).over(document)
+    taken = shaped.withColumn("_first", largest).withColumn("later", F.col("table_no") != F.col("_first.no")).where("_first.n <= -2 AND (NOT later OR abs(_width - _first.width) <= 1)")
     said = F.lower(F.array_join("cells", " "))
     header = said.contains("horse") & (said.contains("jockey") | said.contains("pgm"))
-    rows = cells.join(taken, ["doc_id", "table_no"]).where(F.when(F.col("later"), ~header).otherwise(F.col("row_no") > F.col("head"))).where(F.size("cells") >= 3)
+    rows = taken.where(F.when(F.col("later"), ~header).otherwise(F.col("row_no") > F.col("_head"))).where(F.size("cells") >= 3)
     cell = lambda i: F.nullif(F.trim(F.get("cells", F.lit(i))), F.lit(""))
     label = F.exists(F.array(*map(F.lit, TABLE_LABELS)), lambda w: F.lower(cell(1)).contains(w))
     runners = rows.where(~said.contains("scratched") & ~F.array_contains(F.split(said, r"\s+"), "scr") & ~F.coalesce(label, F.lit(False)))

@@ -7,7 +7,7 @@ from types import SimpleNamespace
 from pyspark.sql import functions as F
 
 from railbird.functions import changes
-from railbird.operators import betting, forms, joins, markup, ordering
+from railbird.operators import betting, extract, forms, joins, markup, ordering
 from railbird.plans import catalog, products
 
 
@@ -97,3 +97,11 @@ def test_no_task_sorts_all_rows_for_the_fences(spark):
     assert not [s.stageId() for s in stages() if s.stageId() not in before and s.numTasks() == 1 and s.shuffleReadRecords() > 1000]
     got = [r.id for r in ordering.read_page(spark, path, 3, 700)[0].collect()]
     assert got == [r.id for r in spark.read.parquet(f"{path}/rows").orderBy("k", "id").offset(1400).limit(700).collect()]
+
+
+def test_cells_of_tables_are_shuffled_once(spark):
+    """The largest table, at a tie the first one, and those of its width give or take one; documents of single rows give nothing."""
+    rows = [(1, 2, 0, ["h", "h", "h"]), (1, 2, 1, ["1", "A", "j"]), (1, 1, 0, ["h", "h", "h"]), (1, 1, 7, ["2", "B", "k"]), (1, 3, 0, ["3", "C", "l", "m", "n"]), (1, 4, 4, ["4", "D", "l", "m"]), (2, 1, 0, ["5", "E", "o"]), (None, 1, 0, ["6", "F", "o"]), (None, 1, 1, ["6", "F", "o"])]
+    got = extract.extract_table_horses(spark.createDataFrame(rows, "doc_id int, table_no int, row_no int, cells array<string>").repartition(3))
+    assert plan(got).count("Exchange hashpartitioning") == 1
+    assert sorted((r.doc_id, r.program_number, r.horse_name, r.finish_position) for r in got.collect()) == [(1, "1", "A", 3), (1, "2", "B", 1), (1, "4", "D", 4), (1, "H", "h", 2)]
