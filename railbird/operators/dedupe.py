@@ -28,10 +28,10 @@ def dedupe_changes(feed: DataFrame) -> DataFrame:
     return latest.withColumn("change_type", relabelled).drop("_class", "_who", "_said")
 
 
-def merge_descriptions(changes: DataFrame, most: int = 500) -> DataFrame:
-    """race_id, entry_id, change_type, description: texts of a change in order.  A reason beats
+def merge_descriptions(changes: DataFrame, most: int = 500, keys: tuple[str, ...] = ("race_id", "entry_id", "change_type")) -> DataFrame:
+    """race_id, entry_id, change_type (or other ``keys``), description: texts of a change in order.  A reason beats
     'Reason Unavailable'; a text that is already said adds nothing; long ones end in dots."""
-    lists = changes.groupBy("race_id", "entry_id", "change_type").agg(F.sort_array(F.collect_list(F.struct("seq", F.coalesce("description", F.lit("")).alias("text")))).alias("all"))
+    lists = changes.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("seq", F.coalesce("description", F.lit("")).alias("text")))).alias("all"))
 
     def add(now: Column, item: Column) -> Column:
         new = item["text"]
@@ -44,7 +44,7 @@ def merge_descriptions(changes: DataFrame, most: int = 500) -> DataFrame:
         )
 
     merged = F.aggregate("all", F.lit(""), add)
-    return lists.select("race_id", "entry_id", "change_type", F.when(F.length(merged) > most, F.concat(F.substring(merged, 1, most - 3), F.lit("..."))).otherwise(merged).alias("description"))
+    return lists.select(*keys, F.when(F.length(merged) > most, F.concat(F.substring(merged, 1, most - 3), F.lit("..."))).otherwise(merged).alias("description"))
 
 
 def dedupe_entries_by_horse(entries: DataFrame) -> DataFrame:

@@ -35,9 +35,9 @@ def lines(docs: DataFrame, text: str = "text", by: str = r"\r?\n", keys: tuple[s
     return docs.select(*keys, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), by)).alias("line_no", "line"))
 
 
-def extract_rss_changes(items: DataFrame) -> DataFrame:
-    """(doc_id, track_code, description) -> a row per feed line that names a race."""
-    at = lines(items, "description", LINE_BREAK, ("doc_id", "track_code")).where("trim(line) <> ''")
+def extract_rss_changes(items: DataFrame, keys: tuple[str, ...] = ("doc_id", "track_code")) -> DataFrame:
+    """(doc_id, track_code, description) -> a row per feed line that names a race, with the item's ``keys``."""
+    at = lines(items, "description", LINE_BREAK, keys).where("trim(line) <> ''")
     cancelled = r"(?is)Race\s*(\d+):.*?Race Cancelled.*?- (.*)"
     horse = rf"(?is)^#\s*(\w+)\s+(.*?)\s+((?:{'|'.join(AFTER_HORSE)}).*)"
     line = F.col("line")
@@ -47,8 +47,7 @@ def extract_rss_changes(items: DataFrame) -> DataFrame:
     real = changes.valid_cancellation(line) | changes.valid_cancellation(F.col("why"))
     is_off, rest = F.col("off").isNotNull(), F.col("rest")
     return at.select(
-        "doc_id",
-        "track_code",
+        *keys,
         "line_no",
         F.col("race").alias("race_number"),
         F.when(~is_off & F.col("pgm").isNotNull(), names.normalize_pgm(F.col("pgm"))).alias("program_number"),

@@ -140,3 +140,15 @@ def test_feed_files_that_land(spark):
     assert {(r.race_id, r.change_type) for r in ingest.read_store(spark, folder, "changes").collect()} == {(1, "Scratch"), (11, "Post Time Change"), (22, "Race Cancelled")}
     assert ingest.read_store(spark, folder, "races", ["2027-02-05"]).where("race_id = 22").first().race_status == "cancelled"
     assert spark.read.parquet(f"{folder}/quarantine").count() == 2
+
+
+def test_a_batch_writes_ids_of_scratched_entries_and_not_the_entries(spark):
+    folder = new_store(spark)
+    for n, rows in enumerate((FEED[:2], FEED[2:4], FEED[4:], [(7, 0, 11, "Race 2: # 1 Horse 1 of 2 Scratched - Lame")])):
+        ingest.apply_batch(feed(spark, rows), folder, "s", n)
+    day = f"{folder}/entries/race_date=2027-02-03"
+    assert sorted(os.listdir(day)) == ["v=0", "v=3", "v=4"]  # the first one has all entries and stays
+    assert spark.read.parquet(f"{day}/v=4").columns == ["entry_id"] and {r.entry_id for r in spark.read.parquet(f"{day}/v=4").collect()} == {102, 201}
+    assert {r.entry_id for r in ingest.read_store(spark, folder, "entries").where("scratched").collect()} == {102, 201}
+    assert ingest.read_store(spark, folder, "entries").where("NOT scratched").count() == 34
+    assert not os.path.exists(f"{folder}/_matched")
