@@ -22,7 +22,7 @@ from railbird.llm.stage import materialize, typed
 FORMATS = {"mulaw": 7, "alaw": 6, "adpcm": 17}  # codes of the RIFF registry
 RATE, OUT_RATE, UNIT = 8000, 16000, 64
 GROUP_BYTES = 16 << 20  # of a row group of files or PCM, so that a reader doesn't hold thousands of long ones
-PAGE_BYTES, LEVEL = 4 << 20, 12  # what Zstandard sees at once, and its level, for files and PCM
+PAGE_BYTES, LEVEL = 4 << 20, 10  # what Zstandard sees at once, and its level, for files
 
 
 def mulaw_table() -> np.ndarray:
@@ -229,6 +229,8 @@ def decode_media(media: DataFrame, column: str = "media") -> DataFrame:
 def roundtrip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Stores every text's bytes as telephony audio, reads the files back, stores their whole resampled PCM (16-bit samples at 16 kHz) and reads that back too.
 
+    All samples are stored, those of files of one codec compressed together: bzip2, for ADPCM Zstandard, whose samples it sorts slowly.
+
     Per row: id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes,
     media_sha256, feature.  The first ones are of the files as read, the feature of the PCM as
     read.  Null texts count as empty; whole texts are stored, very long ones too; equal texts
@@ -252,11 +254,11 @@ def roundtrip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                 kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names)
 
-    decoded = materialize(stored.mapInArrow(digest, f"{before}, codec string, pcm binary"), "pcm", level=LEVEL, group_bytes=GROUP_BYTES, page_bytes=PAGE_BYTES)
-
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = [feature(codec.as_py(), np.frombuffer(pcm.as_buffer(), "<i2")) for codec, pcm in zip(*b.columns[7:], strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[:7], pa.array(made, pa.string())], ["id", "n_bytes", *digests, "feature"])
 
-    return decoded.mapInArrow(featured, f"{before}, feature string").withColumnRenamed("id", id_col)
+    decoded = stored.mapInArrow(digest, f"{before}, codec string, pcm binary")
+    made = materialize(decoded, "pcm", group_bytes=GROUP_BYTES, bundled=("pcm", "codec", ("adpcm",)), then=(featured, f"{before}, feature string"))
+    return made.withColumnRenamed("id", id_col)

@@ -15,8 +15,10 @@ from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+from railbird.llm import bundles
 
-BATCH_BYTES = "67108864"
+
+BATCH_BYTES = "8388608"  # a task may have several Python steps, each with a batch on either side
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -76,14 +78,26 @@ def _made() -> list[str]:
     return made
 
 
-def materialize(df: DataFrame, label: str, compression: str = "zstd", level: int = 3, group_bytes: int = 128 << 20, page_bytes: int = 1 << 20) -> DataFrame:
-    """Writes ``df`` as Parquet in the shared folder and reads it back; row groups of about ``group_bytes`` bound what a reader holds, pages of ``page_bytes`` are compressed at once."""
+def materialize(
+    df: DataFrame, label: str, compression: str = "zstd", level: int = 3, group_bytes: int = 128 << 20, page_bytes: int = 1 << 20, bundled: tuple[str, str, tuple[str, ...]] | None = None,
+    then: tuple[bundles.Step, str] | None = None,
+) -> DataFrame:
+    """Writes ``df`` as Parquet in the shared folder and reads it back; row groups of about ``group_bytes`` bound what a reader holds, pages of ``page_bytes`` are compressed at once.
+
+    ``bundled`` (column, kind, quick kinds, see ``bundles.pack``) has one binary column of many rows compressed together; the rows that come back are the same,
+    or what ``then`` (see ``bundles.unpack``) makes of them.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     options = {"compression": compression, "parquet.compression.codec.zstd.level": level, "parquet.block.size": group_bytes, "parquet.page.size": page_bytes}
-    df.write.options(**options).parquet(path)
+    kept = df
+    if bundled:
+        kept = bundles.pack(df, *bundled)
+        options |= {"parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}  # a row is a megabyte or more
+    kept.write.options(**options).parquet(path)
     _made().append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(kept.schema).parquet(path)
+    return bundles.unpack(back, bundled[0], df.schema, then) if bundled else back
 
 
 @contextmanager
