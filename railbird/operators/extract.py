@@ -6,6 +6,7 @@ windows are within a document.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from railbird.functions import changes, names, racing, times
 from railbird.operators.forms import (  # noqa: F401  forms are read by their own module
     _staged, assemble_form_races, detect_form_entry_pages, detect_form_race_pages, extract_embedded_horses, extract_form_entry_details, extract_form_header, extract_form_horses, extract_form_race, trim_index_page,
 )
-from railbird.operators.markup import attribute, elements, first_of, has_class, inside, joined, nearest, of_class, of_tag, plain, table_rows, text_at, text_lines, tokens
+from railbird.operators.markup import card_blocks, of_class, of_tag, page_rows, plain, table_rows, text_at, text_lines
 
 LINE_BREAK = r"<br\s*/?>"
 
@@ -357,57 +358,24 @@ def extract_static_entries(pages: DataFrame) -> DataFrame:
     A block's ``contenders`` have a ``row`` per horse: its saddlecloth, its name in the link of an h4, labelled links to jockey and trainer, odds.  SCR in
     the number scratches.  A block without contenders may have a table instead: saddlecloths, links by kind, odds in a cell.
     """
-    told = lambda tag, name: F.when(F.col("is_open") & (F.col("tag") == tag), attribute(F.col("raw"), name))
-    cut = _staged(tokens(pages), _class=told("div", "class"), _id=told("div", "id"), _href=told("a", "href"))
-    tag, classes, ident, href = F.col("tag"), F.col("_class"), F.col("_id"), F.col("_href")
-    is_div = tag == "div"
-    kinds = {"horse": "type=Horse", "rider": "searchType=J", "coach": "searchType=T"}
-    at = inside(
-        nearest(elements(cut), "div"),
-        race=is_div & ident.rlike(r"^Race\d+$"), info=is_div & classes.contains("race-info"), h3=tag == "h3", h5=tag == "h5", contenders=is_div & has_class(classes, "contenders"),
-        row=is_div & has_class(classes, "row"), saddle=is_div & classes.contains("saddlecloth"), h4=tag == "h4", link=tag == "a",
-        tr=tag == "tr", td=tag == "td", cloth=is_div & classes.contains("paddingSaddleCloths"), **{f"{k}_link": (tag == "a") & href.contains(v) for k, v in kinds.items()},
-    ).where("race IS NOT NULL")
-    pos, said = F.col("pos"), F.col("said")
-    at = at.withColumn("race_no", F.col("race.start"))
-    blocks = at.groupBy("doc_id", "race_no").agg(
-        F.max(F.when(pos == F.col("race.start"), F.regexp_extract("_id", r"(\d+)", 1).cast("int"))).alias("race_number"), F.max(F.col("contenders").isNotNull()).alias("has_rows"),
-        first_of(said, F.when(F.col("info").isNotNull(), F.col("h3")), pos).alias("race_type"),
-        F.sort_array(F.collect_list(F.when(F.col("info").isNotNull() & F.col("h5").isNotNull() & tag.isNull(), F.struct("pos", plain(said).alias("said"))))).alias("told"),
-    )
-    parts = F.filter(F.transform(F.flatten(F.transform("told", lambda x: F.split(x["said"], r"\|"))), lambda t: F.trim(t)), lambda t: (t != "") & (t != "."))
+    entry = pa.struct([("line_no", pa.int32()), *((n, pa.string()) for n in ("number", "name", "jockey_name", "trainer_name", "odds"))])
+    columns = [("number", pa.string()), ("race_type", pa.string()), ("told", pa.string()), ("in_rows", pa.bool_()), ("entries", pa.list_(entry))]
+    parts = F.filter(F.transform(F.split("told", r"\|"), lambda t: F.trim(t)), lambda t: (t != "") & (t != "."))
+    blocks = _staged(page_rows(pages, ("doc_id",), card_blocks, columns), parts=parts)
     timed = lambda t: t.contains("PM") | t.contains("AM")
     long = lambda t: ~timed(t) & F.upper(t).rlike(" F| Y|MILE|FURLONG")
     last = lambda f: F.try_element_at(F.filter("parts", f), F.lit(-1))
     clock = F.filter(F.transform(F.filter("parts", timed), lambda t: F.regexp_extract(t, r"(?i)(\d{1,2}:\d{2}\s+(?:AM|PM))", 1)), lambda t: t != "")
     is_surface = lambda t: F.lower(t).isin("dirt", "turf", "all weather", "synthetic", "outer turf", "inner turf")
-    heads = _staged(blocks, parts=parts).select(
-        "doc_id", "race_no", "race_number", "has_rows", "race_type", F.try_element_at(clock, F.lit(-1)).alias("post_time"), last(long).alias("distance"), F.coalesce(last(is_surface), F.lit("Dirt")).alias("surface"),
-        racing.clean_purse(last(lambda t: ~timed(t) & ~long(t) & t.startswith("$"))).alias("purse"),
-    )
-
-    by_div = at.where("contenders IS NOT NULL AND row.start > contenders.start").groupBy("doc_id", "race_no", F.col("row.start").alias("row_no"), F.col("div.start").alias("div_no")).agg(
-        joined(F.when(F.col("saddle").isNotNull(), said), pos).alias("number"), F.max(F.col("saddle").isNotNull() & ~F.col("is_close")).alias("is_saddle"), first_of(said, F.col("link"), pos).alias("linked"),
-        first_of(said, F.when(F.col("h4").isNotNull(), F.col("link")), pos).alias("name"), joined(said, pos).alias("text"),
+    heads = blocks.select(
+        "doc_id", F.col("number").cast("int").alias("race_number"), "in_rows", "race_type", F.try_element_at(clock, F.lit(-1)).alias("post_time"), last(long).alias("distance"), F.coalesce(last(is_surface), F.lit("Dirt")).alias("surface"),
+        racing.clean_purse(last(lambda t: ~timed(t) & ~long(t) & t.startswith("$"))).alias("purse"), F.explode("entries").alias("e"),
     )
-    label = lambda word, got: F.min_by(F.when(F.col("text").rlike(f"(?i){word}:"), got), F.when(F.col("text").rlike(f"(?i){word}:"), F.col("div_no")))
-    rows = by_div.groupBy("doc_id", "race_no", "row_no").agg(
-        F.max("is_saddle").alias("is_saddle"), F.min_by(plain(F.col("number")), F.when(F.col("is_saddle"), F.col("div_no"))).alias("number"), F.min_by("name", F.when(F.col("name").isNotNull(), F.col("div_no"))).alias("name"),
-        label("Jockey", F.col("linked")).alias("jockey_name"), label("Trainer", F.col("linked")).alias("trainer_name"), label("M/L Odds", _first(F.col("text"), r"(?i)M/L Odds:\s*([\d/]+|[\d.]+)")).alias("odds"),
-    ).where("is_saddle")
-    cell = at.where("contenders IS NULL AND tr.start > race.start AND td.start > tr.start").groupBy("doc_id", "race_no", F.col("tr.start").alias("row_no"), F.col("td.start").alias("td_no")).agg(
-        joined(said, pos).alias("text"), *(first_of(said, F.col(c), pos).alias(c) for c in ("cloth", *(f"{k}_link" for k in kinds)))
-    )
-    odd = F.when(plain(F.col("text")).rlike(r"^\d+/\d+$"), plain(F.col("text")))
-    first = lambda c: F.min_by(c, F.when(c.isNotNull(), F.col("td_no")))
-    listed = cell.groupBy("doc_id", "race_no", "row_no").agg(
-        F.count("*").alias("cells"), first(F.col("cloth")).alias("number"), F.regexp_replace(first(F.col("horse_link")), r"\s*\(.*?\)", "").alias("name"), first(F.col("rider_link")).alias("jockey_name"), first(F.col("coach_link")).alias("trainer_name"), first(odd).alias("odds")
-    ).where("cells >= 3 AND number IS NOT NULL")
-    both = rows.drop("is_saddle").withColumn("in_rows", F.lit(True)).unionByName(listed.drop("cells").withColumn("in_rows", F.lit(False)))
-    out = F.upper("number").contains("SCR")
-    return both.join(heads, ["doc_id", "race_no"]).where("in_rows = has_rows").select(
-        "doc_id", "race_number", F.col("row_no").alias("line_no"), F.col("number").alias("program_number"), names.clean_horse_name(F.col("name")).alias("horse_name"), "jockey_name", "trainer_name",
-        F.when(out, "SCR").otherwise(F.col("odds")).alias("odds"), out.alias("scratched"), "race_type", "post_time", "distance", "surface", "purse",
+    name = F.when(F.col("in_rows"), F.col("e.name")).otherwise(F.regexp_replace("e.name", r"\s*\(.*?\)", ""))
+    out = F.upper("e.number").contains("SCR")
+    return heads.select(
+        "doc_id", "race_number", "e.line_no", F.col("e.number").alias("program_number"), names.clean_horse_name(name).alias("horse_name"), "e.jockey_name", "e.trainer_name",
+        F.when(out, "SCR").otherwise(F.col("e.odds")).alias("odds"), out.alias("scratched"), "race_type", "post_time", "distance", "surface", "purse",
     )
 
 
