@@ -14,7 +14,7 @@ from railbird.functions import changes, names, racing, times
 from railbird.operators.forms import (  # noqa: F401  forms are read by their own module
     _staged, assemble_form_races, detect_form_entry_pages, detect_form_race_pages, extract_embedded_horses, extract_form_entry_details, extract_form_header, extract_form_horses, extract_form_race, trim_index_page,
 )
-from railbird.operators.markup import card_blocks, of_class, of_tag, page_rows, plain, table_rows, text_at, text_lines
+from railbird.operators.markup import card_blocks, change_rows, of_tag, page_rows, plain, table_rows, text_at, text_lines
 
 LINE_BREAK = r"<br\s*/?>"
 
@@ -64,7 +64,7 @@ def stale_page(text: Column, day: Column) -> Column:
     for form in ("MMMM dd, yyyy", "MMM dd, yyyy", "MM/dd/yyyy"):
         own = own | text.contains(F.date_format(day, form))
     other = F.transform(F.regexp_extract_all(F.substring(text, 1, 1000), F.lit(r"([A-Z][a-z]{2}\s+\d{1,2},\s+\d{4})"), F.lit(1)), lambda d: F.to_date(F.try_to_timestamp(F.regexp_replace(d, r"\s+", " "), F.lit("MMM d, yyyy"))))
-    return F.coalesce(~own & F.exists(other, lambda d: d != day), F.lit(False))
+    return F.coalesce(F.exists(other, lambda d: d != day) & ~own, F.lit(False))
 
 
 def extract_html_changes(pages: DataFrame, day: Column | None = None) -> DataFrame:
@@ -75,23 +75,17 @@ def extract_html_changes(pages: DataFrame, day: Column | None = None) -> DataFra
     cells say nothing.  A short row, a row without a horse, or a race's th can cancel the race.  With ``day`` pages of other days give nothing.
     """
     if day is not None:
-        text = F.regexp_replace("html", r"<[^>]+>", " ")
-        pages = pages.where(~stale_page(names.squeeze(text), day))
-    rows = table_rows(pages, ("doc_id", "track_code"), marked="Changes", th_class="changes")
-    heads, tds = of_class(of_tag(F.col("cells"), "th"), "race"), of_tag(F.col("cells"), "td")
-    rows = _staged(rows, head=text_at(heads, 0), tds=tds)
-    race = _first(F.col("head"), r"(?i)Race:?\s*(\d+)").cast("int")
-    order = Window.partitionBy("doc_id", "track_code").orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
-    carried = rows.withColumn("race_number", F.last(race, True).over(order)).where("race_number IS NOT NULL")
-    n, horse, change = F.size("tds"), of_class(F.col("tds"), "horse"), text_at(of_class(F.col("tds"), "changes"), 0)
-    off = plain(F.get(F.filter("tds", lambda c: changes.valid_cancellation(plain(c["text"]))), F.lit(0))["text"])
-    carried = _staged(carried, horses=F.size(horse), one=text_at(horse, 0), two=text_at(horse, 1), change=change, off=off)
+        text = names.squeeze(F.regexp_replace("html", r"<[^>]+>", " "))
+        pages = _staged(pages, _text=text).where(~stale_page(F.col("_text"), day)).drop("_text")
+    columns = [("row_no", pa.int32()), ("race_number", pa.int32()), ("head", pa.string()), ("n", pa.int32()), ("horses", pa.int32()), *((n, pa.string()) for n in ("one", "two", "change")), ("short", pa.list_(pa.string()))]
+    carried = page_rows(pages, ("doc_id", "track_code"), change_rows, columns)
+    n, off = F.col("n"), F.get(F.filter("short", lambda t: changes.valid_cancellation(t)), F.lit(0))
     joint = r"^#?\s*(\S+)\s*(.*)$"
     numbered = F.col("one").contains("#")
     pgm = F.when(F.col("horses") >= 2, F.replace("one", F.lit("#"))).when(numbered, F.regexp_extract("one", joint, 1))
     name = F.when(F.col("horses") >= 2, F.col("two")).when(numbered, F.regexp_extract("one", joint, 2)).otherwise(F.col("one"))
     is_head = F.col("head").isNotNull()
-    cancels = F.when(is_head, F.when(changes.valid_cancellation(F.col("head")), F.col("head"))).when(n <= 2, F.nullif(F.col("off"), F.lit(""))).when((F.col("horses") == 0) & changes.valid_cancellation(F.col("change")), F.col("change"))
+    cancels = F.when(is_head, F.when(changes.valid_cancellation(F.col("head")), F.col("head"))).when(n <= 2, off).when((F.col("horses") == 0) & changes.valid_cancellation(F.col("change")), F.col("change"))
     carried = _staged(carried, cancels=cancels, pgm=F.nullif(F.trim(pgm), F.lit("")), name=name, said=changes.normalize_change_description(F.col("change")))
     is_off = F.col("cancels").isNotNull()
     named = ~is_head & (n >= 3) & (F.col("horses") > 0) & (F.col("said") != "")

@@ -26,3 +26,17 @@ def test_static_cards_need_no_window_over_tags(spark):
         (1, 8, "3 scr", "Tom", None, None, "SCR", True, None, None, None, "Dirt", None),
     ]
     assert extract.extract_static_entries(one(spark, 1, None)).count() == 0
+
+
+def test_changes_carry_their_race_without_a_window(spark):
+    """A th of class race that names none leaves the race as it is; rows before the first race are of none; a nested table's rows are rows of their own, and end what is read of the outer one."""
+    page = (
+        '<table><tr><td class="horse">#1 Early</td><td class="changes">Changes</td><td></td></tr><tr><th class="race">RACE 12</th></tr><tr><th class="race">Post</th></tr>'
+        '<tr><td class="horse">#02 Ivy</td><td class="changes">Scratched - <b>Vet</b>; scratched - vet</td><td></td></tr><tr><th class="race">Race: 3 Cancelled</th></tr>'
+        '<tr><td class="horse x">#</td><td class="horse">Oak</td><td class="changes">Weight 12</td></tr><tr><td><table><tr><td>Race Cancelled</td></tr></table></td></tr><tr><td>Race Cancelled</td></tr></table>'
+    )
+    got = extract.extract_html_changes(spark.createDataFrame([(1, "CT", page)], "doc_id int, track_code string, html string"))
+    assert "Window" not in plan(got) and "Exchange" not in plan(got)
+    assert [tuple(r)[3:] for r in got.orderBy("line_no").collect()] == [
+        (12, "2", "ivy", "Scratch", "Scratched - Vet"), (3, None, "", "Race Cancelled", "Race: 3 Cancelled"), (3, None, "oak", "Weight Change", "Weight 12"), (3, None, "", "Race Cancelled", "Race Cancelled"),
+    ]
