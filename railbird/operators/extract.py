@@ -14,7 +14,7 @@ from railbird.functions import changes, names, racing, times
 from railbird.operators.forms import (  # noqa: F401  forms are read by their own module
     _staged, assemble_form_races, detect_form_entry_pages, detect_form_race_pages, extract_embedded_horses, extract_form_entry_details, extract_form_header, extract_form_horses, extract_form_race, trim_index_page,
 )
-from railbird.operators.markup import card_blocks, change_rows, of_tag, page_rows, plain, table_rows, text_at, text_lines
+from railbird.operators.markup import card_blocks, change_rows, entry_rows, of_tag, page_rows, plain, table_rows, text_at
 
 LINE_BREAK = r"<br\s*/?>"
 
@@ -304,46 +304,14 @@ def extract_claims(races: DataFrame) -> DataFrame:
     ).join(price, ["doc_id", "segment"], "left")
 
 
-# What headers of a card's table speak of.
-ENTRY_HEADERS = ("#", "pp", "horse", "ml", "jockey", "trainer", "morning")
-
-
-def header_roles(headers: Column) -> Column:
-    """struct of the places of the number, post position, horse, trainer and jockey, and odds columns; usual places where a name is missing, none for the post position."""
-    low = F.transform(headers, F.lower)
-    role = F.transform(low, lambda h: F.when(h.contains("#"), "pgm").when(h.contains("pp"), "pp").when(h.contains("horse"), "horse").when(h.contains("trainer") | h.contains("jockey"), "people").when(h.contains("ml"), "odds").otherwise(""))
-
-    def at(name, usual):  # noqa: ANN001, ANN202
-        last = F.size(role) - F.array_position(F.reverse(role), name).cast("int")
-        return F.when(F.array_contains(role, name), last).otherwise(F.lit(usual))
-
-    roles = {"pgm": at("pgm", 0), "pp": at("pp", None), "horse": at("horse", 2), "people": at("people", 3), "odds": at("odds", 4)}
-    return F.named_struct(*(x for k, v in roles.items() for x in (F.lit(k), v.cast("int"))))
-
-
 def extract_entry_tables(pages: DataFrame) -> DataFrame:
     """(doc_id, html) -> entries of tables whose headers speak of two columns of a card at least; the n-th such table is race n.
 
     The horse's name is in the cell's h4, strong or link, else its first line; the cell of trainer and jockey has a line for each.
     """
-    rows = table_rows(pages)
-    heads = F.transform(of_tag(F.col("cells"), "th"), lambda c: plain(c["text"]))
-    table = Window.partitionBy("doc_id", "table_no")
-    all_heads = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("row_no", heads.alias("heads"))).over(table)), lambda x: x["heads"]))
-    rows = rows.withColumn("heads", all_heads)
-    speaks = lambda h: F.exists(F.array(*map(F.lit, ENTRY_HEADERS)), lambda k: F.lower(h).contains(k))
-    cards = rows.where(F.size(F.filter("heads", speaks)) >= 2)
-    cards = cards.withColumn("race_number", F.dense_rank().over(Window.partitionBy("doc_id").orderBy("table_no")))
-    cards = _staged(cards, tds=of_tag(F.col("cells"), "td"), role=header_roles(F.col("heads"))).where("size(tds) > 0")
-    cell = lambda role: F.get("tds", F.col(f"role.{role}"))
-    said = lambda role: plain(cell(role)["text"])
-    number = F.coalesce(F.nullif(said("pgm"), F.lit("")), F.nullif(said("pp"), F.lit("")), F.lit("0"))
-    name = F.coalesce(cell("horse")["named"], F.get(text_lines(cell("horse")["text"]), F.lit(0)))
-    people = text_lines(cell("people")["text"])
-    return cards.select(
-        "doc_id", "race_number", "row_no", number.alias("program_number"), names.clean_horse_name(name).alias("horse_name"),
-        F.get(people, F.lit(0)).alias("trainer_name"), F.get(people, F.lit(1)).alias("jockey_name"), F.when(cell("odds").isNotNull(), said("odds")).alias("odds"),
-    )
+    columns = [("race_number", pa.int32()), ("row_no", pa.int32()), *((n, pa.string()) for n in ("program_number", "horse_name", "trainer_name", "jockey_name", "odds"))]
+    cards = page_rows(pages, ("doc_id",), entry_rows, columns)
+    return cards.withColumn("horse_name", names.clean_horse_name(F.col("horse_name"))).select("doc_id", "race_number", "row_no", "program_number", "horse_name", "trainer_name", "jockey_name", "odds")
 
 
 def extract_static_entries(pages: DataFrame) -> DataFrame:

@@ -32,22 +32,30 @@ _PLAIN = "lower(regexp_replace(horse_name, '[^A-Za-z0-9]', '', 'g'))"
 RACES_OF_PAGE = 50
 
 
-def _paged(cards: DataFrame, number: str = "race_number") -> DataFrame:
+def _paged(cards: DataFrame) -> DataFrame:
     """A card goes on on another page after some races, as cards of any length do: the place of the page after the card's id."""
-    return cards.withColumn("doc_id", _cat("{doc_id}", "/", F.floor((F.col(number) - 1) / RACES_OF_PAGE).cast("string")))
+    return cards.withColumn("doc_id", _cat("{doc_id}", "/", F.floor((F.col("race_number") - 1) / RACES_OF_PAGE).cast("string")))
 
 
 def _unpaged() -> Column:
     return F.split_part("doc_id", F.lit("/"), F.lit(1)).alias("doc_id")
 
 
-def _races_of(cards: DataFrame, row: Column, head: Column, tail: Column, by: str = "") -> DataFrame:
-    """(doc_id, track_code, race_date, body): a page's races in order, each ``head``, its entries' ``row`` and ``tail``."""
+def _races_of(cards: DataFrame, row: Column, head: Column, tail: Column, by: str = "", turns: bool = False) -> DataFrame:
+    """(doc_id, track_code, race_date, body): a page's races in order, each ``head``, its entries' ``row`` and ``tail``.
+
+    With ``turns`` cards go on on other pages by the turn of their races, as ``_paged`` has it; races are numbered where the card's pages are made.
+    """
     cards = cards.select("doc_id", "track_code", "race_date", "race_id", "race_number", "is_cancelled", "entry_id", row.alias("row"))
     races = cards.groupBy("doc_id", "track_code", "race_date", "race_id", "race_number", "is_cancelled").agg(F.sort_array(F.collect_list(F.struct("entry_id", "row"))).alias("rows"))
-    told = races.withColumn("text", F.concat(head, F.array_join(F.transform("rows", lambda x: x["row"]), by), tail))
-    every = F.sort_array(F.collect_list(F.struct("race_number", "text")))
-    return told.groupBy("doc_id", "track_code", "race_date").agg(F.array_join(F.transform(every, lambda x: x["text"]), by).alias("body"))
+    told = races.withColumn("text", F.concat(head, F.array_join(F.transform("rows", lambda x: x["row"]), by), tail)).drop("rows")
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("race_number", "text"))), lambda x: x["text"]), by).alias("body")
+    if not turns:
+        return told.groupBy("doc_id", "track_code", "race_date").agg(body)
+    turn = F.dense_rank().over(Window.partitionBy("doc_id").orderBy("race_number"))
+    page = F.floor((turn - 1) / RACES_OF_PAGE).cast("string")
+    pages = told.withColumn("page", page).groupBy("doc_id", "page", "track_code", "race_date").agg(body)
+    return pages.withColumn("doc_id", _cat("{doc_id}", "/", "{page}")).drop("page")
 
 
 _SAID = "CASE WHEN scratched THEN 'Scratched - Vet ' || entry_id % 7 ELSE 'Jockey changed to Rider ' || jockey_id END"
@@ -123,8 +131,7 @@ def extract_entry_tables(r):
     row = F.concat(F.lit("<tr>"), number, F.lit('<td data-label="Horse / Sire">'), name, F.lit("</td><td>"), people, F.lit("</td><td>"), (e % 30 + 1).cast("string"), F.lit("/1</td></tr>"))
     picks = "<table><tr><th>Power Picks</th><th>Horse</th></tr><tr><td>1</td><td>No Card</td></tr></table>"
     head = F.lit(picks + "<div>Post time: 1:10 PM</div><table><tr><th>#</th><th>PP</th><th>Horse</th><th>Trainer / Jockey</th><th>ML</th></tr>")
-    cards = _card(r).join(r.jockeys, "jockey_id").withColumn("turn", F.dense_rank().over(Window.partitionBy("doc_id").orderBy("race_number")))
-    pages = _races_of(_paged(cards, "turn"), row, head, F.lit("</table>")).select("doc_id", F.col("body").alias("html"))
+    pages = _races_of(_card(r).join(r.jockeys, "jockey_id"), row, head, F.lit("</table>"), turns=True).select("doc_id", F.col("body").alias("html"))
     before = F.split_part("doc_id", F.lit("/"), F.lit(2)).cast("int") * RACES_OF_PAGE
     return extract.extract_entry_tables(pages).select(_unpaged(), (before + F.col("race_number")).alias("race_number"), "program_number", "horse_name", "trainer_name", "jockey_name", "odds")
 

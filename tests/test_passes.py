@@ -1,6 +1,8 @@
 """Pages are gone through once, in the tasks that hold them: no window, no shuffle, and what overlaps is told as before."""
 
 from railbird.operators import extract
+from railbird.plans import catalog_pages
+from railbird.sources.views import Racing
 
 
 def plan(df):
@@ -40,3 +42,16 @@ def test_changes_carry_their_race_without_a_window(spark):
     assert [tuple(r)[3:] for r in got.orderBy("line_no").collect()] == [
         (12, "2", "ivy", "Scratch", "Scratched - Vet"), (3, None, "", "Race Cancelled", "Race: 3 Cancelled"), (3, None, "oak", "Weight Change", "Weight 12"), (3, None, "", "Race Cancelled", "Race Cancelled"),
     ]
+
+
+def test_entries_know_their_headers_without_a_window(spark, sf):
+    """Headers of a table count wherever they stand in it; tables of one such header are no cards; the last column of a kind counts."""
+    page = (
+        "<table><tr><th>Horse</th></tr><tr><td>a</td></tr></table><table><tr><td>7</td><td>8</td><td>Ivy (GB)<br>sire</td><td>Ann<br>B. Stone</td><td> 3/1 </td></tr><tr><th>Pgm #</th><th>PP</th><th>Horse</th><th>Jockey</th></tr>"
+        "<tr><td></td><td> </td><td><strong>Oak</strong><a>no</a></td></tr></table><table><tr><th>Horse</th><th>#</th><th>Trainer</th><th>Jockey</th></tr><tr><td>Tom</td><td>4</td><td>x</td><td>Ann</td></tr></table>"
+    )
+    got = extract.extract_entry_tables(one(spark, 1, page))
+    assert "Window" not in plan(got) and "Exchange" not in plan(got)
+    assert [tuple(r)[1:2] + tuple(r)[3:] for r in got.orderBy("row_no").collect()] == [(1, "7", "Ivy", "Ann", "B. Stone", "3/1"), (1, "0", "Oak", None, None, None), (2, "4", "Tom", "Ann", None, None)]
+    made = catalog_pages.extract_entry_tables(Racing(spark, sf))  # a card's races are numbered and its pages made in one place
+    assert plan(made).count("Exchange hashpartitioning(doc_id") == 1
